@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import DEFAULTS, WEEKDAY_NAMES, Settings
+from tidemark.config import CALENDAR_FEATURES, DEFAULTS, WEEKDAY_NAMES, Settings
 from tidemark.functions import calendar, labels
 from tidemark.operators.ordering import value_counts
 from tidemark.operators.quantiles import QUARTILES, quantiles
@@ -140,10 +140,11 @@ def box_summary(df: DataFrame, by: Sequence[str] = (), value: str = TARGET) -> D
     The whiskers are taken from the distinct values, which are few compared with the rows.
     """
     by = list(by)
-    marks = quantiles(df, value, QUARTILES, by)
+    few = set(by) <= set(CALENDAR_FEATURES)
+    marks = quantiles(df, value, QUARTILES, by, few)
     counted = value_counts(df, value, by)
     if by:
-        fenced = counted.join(F.broadcast(marks) if len(by) == 1 and by[0] == "is_rush" else marks, by)
+        fenced = counted.join(F.broadcast(marks) if few else marks, by)
     else:
         m = marks.first()
         fenced = counted.withColumns({k: F.lit(m[k]) for k in QUARTILES})
@@ -178,29 +179,37 @@ def histogram(df: DataFrame, value: str = TARGET, bins: int = 50) -> DataFrame:
     )
 
 
+# Beyond this many bandwidths the Gaussian kernel is exactly zero in double precision.
+KERNEL_REACH = 38.7
+
+
 def density(df: DataFrame, value: str = TARGET, points: int = 200) -> DataFrame:
     """Gaussian kernel density at evenly spaced points over the observed range, with Scott's
-    bandwidth. Equal values are collapsed first; partial sums leave each task with one row per
-    point, so the shuffle does not grow with the data."""
+    bandwidth. Equal values are collapsed first, a value visits only the points its kernel reaches,
+    and partial sums leave each task with one row per point, so the shuffle does not grow with the
+    data."""
     s = df.agg(
         F.min(value).alias("lo"),
         F.max(value).alias("hi"),
         F.count(value).alias("n"),
         F.stddev_samp(value).alias("sd"),
     ).first()
-    h = s["sd"] * s["n"] ** -0.2
+    if not s["sd"]:
+        raise ValueError(f"column '{value}' needs at least two different values")
+    lo, h = float(s["lo"]), s["sd"] * s["n"] ** -0.2
     step = (s["hi"] - s["lo"]) / (points - 1)
-    grid = F.expr(f"sequence(0, {points - 1})")
-    scale = 1.0 / (s["n"] * h * math.sqrt(2 * math.pi))
-    spread = value_counts(df, value).select(
-        F.col(value).alias("_v"), "n", F.explode(grid).alias("point")
-    )
-    x = F.col("point") * step + s["lo"]
+    v = F.col(value)
+    first = F.greatest(F.lit(0), F.ceil((v - KERNEL_REACH * h - lo) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((v + KERNEL_REACH * h - lo) / step)).cast("int")
+    reached = F.when(first <= last, F.sequence(first, last))
+    spread = value_counts(df, value).select(v.alias("_v"), "n", F.explode(reached).alias("point"))
+    x = F.col("point") * step + lo
     z = (x - F.col("_v")) / h
-    return (
-        spread.groupBy("point")
-        .agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("_k"))
-        .select("point", x.alias("x"), (F.col("_k") * scale).alias("density"))
+    sums = spread.groupBy("point").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("_k"))
+    scale = 1.0 / (s["n"] * h * math.sqrt(2 * math.pi))
+    every = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
+    return every.join(sums, "point", "left").select(
+        "point", x.alias("x"), (F.coalesce("_k", F.lit(0.0)) * scale).alias("density")
     )
 
 

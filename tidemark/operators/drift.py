@@ -94,7 +94,7 @@ def psi(
     """
     sizes = _sizes(paired)
     names = {f"e{i}": i / bins for i in range(bins + 1)}
-    marks = quantiles_of_ranked(paired, VALUE, names, [FEATURE], "n_ref", "b_ref")
+    marks = quantiles_of_ranked(paired, VALUE, names, [FEATURE], "n_ref", "b_ref", few_groups=True)
     edges = F.array_distinct(F.array(*names))
     wide = F.array(F.col("low_ref") - 1, F.col("high_ref") + 1)
     per_feature = (

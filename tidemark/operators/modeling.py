@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.config import CALENDAR_FEATURES, DEFAULTS, LAG_FEATURES, WEATHER_FEATURES, Settings
 from tidemark.functions import calendar, labels
 from tidemark.operators import selection
-from tidemark.operators.ordering import before_key, key_at
+from tidemark.operators.ordering import before_key, time_key_at
 from tidemark.operators.quality import require_values
 from tidemark.operators.statistics import bias_corrected_shape
 from tidemark.operators.quantiles import quantiles
@@ -38,9 +38,7 @@ def split_condition(df: DataFrame, settings: Settings = DEFAULTS) -> Column:
     comparison with constants that reaches the scan, and no row is moved.
     """
     keys = time_keys(df)
-    n = df.count()
-    position = int(n * settings.train_share)
-    bound = key_at(df, keys, position)
+    bound = time_key_at(df, keys, settings.train_share)
     return F.lit(True) if bound is None else before_key(keys, bound)
 
 

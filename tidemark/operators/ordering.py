@@ -11,10 +11,12 @@ many rows as there are partitions and is the only thing broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import hour_start
 from tidemark.session import materialize
 
 BLOCK, SLOT = "_block", "_slot"
@@ -113,72 +115,86 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, columns: Sequence[str])
     """Bring ``columns`` of a per-value table (with row counts ``n``) to every fact row.
 
     Values holding more than one row in a thousand are at most a thousand in number, so they can
-    always be broadcast; all other values are joined by shuffle, where none of them is heavy. Rows
-    served by the broadcast are spread by a salt instead of meeting on a null key.
+    always be broadcast, and the rows that have them are never shuffled. All other values are
+    joined by shuffle, where none of them is heavy. Rows without a value take part in neither join.
     """
     columns = list(columns)
-    total = table.agg(F.sum("n")).scalar()
-    marked = table.withColumn("_hot", F.col("n") * HOT_SHARE > total)
-    hot = marked.filter("_hot").select(
-        F.col(key).alias("_hot_key"),
-        F.lit(True).alias("_is_hot"),
-        *[F.col(c).alias(f"_h_{c}") for c in columns],
+    kept = materialize(table.select(key, "n", *columns), "lookup")
+    total = kept.agg(F.sum("n")).scalar()
+    heavy = F.col("n") * HOT_SHARE > total
+    hot = kept.filter(heavy).select(key, F.lit(True).alias("_hot"), *columns)
+    cold = kept.filter(~heavy).select(key, *columns)
+    near = facts.join(F.broadcast(hot), key, "left").filter(
+        F.col("_hot").isNotNull() | F.col(key).isNull()
     )
-    cold = marked.filter(~F.col("_hot")).select(
-        F.col(key).alias("_cold_key"),
-        F.lit(0).alias("_cold_salt"),
-        *[F.col(c).alias(f"_c_{c}") for c in columns],
-    )
-    served = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    salted = served.withColumns(
-        {
-            "_open_key": F.when(F.col("_is_hot").isNull(), F.col(key)),
-            "_salt": F.when(
-                F.col("_is_hot").isNotNull(), F.pmod(F.xxhash64(*facts.columns), F.lit(HOT_SHARE)) + 1
-            )
-            .otherwise(0)
-            .cast("int"),
-        }
-    )
-    found = salted.join(
-        cold,
-        (F.col("_open_key") == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")),
-        "left",
-    )
-    return found.select(*facts.columns, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in columns])
+    rest = facts.filter(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
+    far = rest.join(cold, key, "left")
+    wanted = [*facts.columns, *columns]
+    return near.select(*wanted).unionByName(far.select(*wanted))
 
 
-def key_at(df: DataFrame, keys: Sequence[str], position: int) -> tuple | None:
+def key_at(
+    df: DataFrame, keys: Sequence[str], position: int, found: Sequence = ()
+) -> tuple | None:
     """The values of ``keys`` in the row at a zero-based position of the total order.
 
     Works key by key: the distinct values of the first key are counted and ranked, the one that
     contains the position is kept, and the search goes on among its ties with the next key. No
     data row is sorted or moved; one row per key reaches the driver.
     """
-    found: list = []
-    tied = df
-    for key in keys:
-        spot = (
-            ranked_values(tied, key)
-            .filter((F.col("before") <= position) & (position < F.col("before") + F.col("n")))
-            .select(F.col(key).alias("v"), "before", "n")
-            .first()
-        )
-        if spot is None:
-            return None
-        found.append(spot["v"])
-        position -= spot["before"]
-        if spot["n"] == 1:
-            break
-        tied = tied.filter(F.col(key) == F.lit(spot["v"]))
-    return tuple(found)
+    if not keys:
+        return tuple(found) or None
+    key = keys[0]
+    spot = (
+        ranked_values(df, key)
+        .filter((F.col("before") <= position) & (position < F.col("before") + F.col("n")))
+        .select(F.col(key).alias("v"), "before", "n")
+        .first()
+    )
+    if spot is None:
+        return None
+    found = [*found, spot["v"]]
+    if spot["n"] == 1:
+        return tuple(found)
+    ties = df.filter(F.col(key) == constant(spot["v"]))
+    return key_at(ties, keys[1:], position - spot["before"], found)
+
+
+def time_key_at(df: DataFrame, keys: Sequence[str], share: float) -> tuple | None:
+    """The key of the row at position ``int(rows * share)`` of an order that starts with a time.
+
+    Rows per hour are counted first; their number is bounded by the calendar, so they may be summed
+    up in one task. Only the hour that holds the position is searched further.
+    """
+    time = F.col(keys[0])
+    hours = df.filter(time.isNotNull()).groupBy(hour_start(time).alias("hour")).agg(F.count("*").alias("n"))
+    upto, total = F.sum("n").over(Window.orderBy("hour")), F.sum("n").over(Window.partitionBy())
+    placed = hours.select("hour", "n", (upto - F.col("n")).alias("before"), total.alias("total"))
+    wanted = F.floor(F.col("total") * F.lit(share))
+    spot = placed.filter(
+        (F.col("before") <= wanted) & (wanted < F.col("before") + F.col("n"))
+    ).withColumn("wanted", wanted).first()
+    if spot is None:
+        return None
+    start = constant(spot["hour"])
+    inside = df.filter((time >= start) & (time < start + F.expr("INTERVAL 1 HOUR")))
+    return key_at(inside, keys, spot["wanted"] - spot["before"])
+
+
+def constant(value) -> Column:
+    """A literal of a collected value; a time stays zone-free, so that comparing a stored time with
+    it needs no cast of the column and reaches the scan."""
+    if isinstance(value, datetime):
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
 
 
 def before_key(keys: Sequence[str], bound: tuple) -> Column:
     """Rows that come before ``bound`` in the total order, as a comparison with constants."""
     condition = F.lit(False)
     for key, value in reversed(list(zip(keys, bound))):
-        condition = (F.col(key) < F.lit(value)) | ((F.col(key) == F.lit(value)) & condition)
+        bound_value = constant(value)
+        condition = (F.col(key) < bound_value) | ((F.col(key) == bound_value) & condition)
     return condition
 
 

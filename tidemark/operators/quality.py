@@ -89,7 +89,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    return moments.join(quantiles(long, "value", QUARTILES, ["column_name"]), "column_name")
+    return moments.join(quantiles(long, "value", QUARTILES, ["column_name"], few_groups=True), "column_name")
 
 
 def iqr_outliers(df: DataFrame, value: str = TARGET) -> DataFrame:

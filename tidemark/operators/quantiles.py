@@ -28,15 +28,18 @@ def quantiles_of_ranked(
     by: Sequence[str] = (),
     n: str = "n",
     before: str = "before",
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, one row per group.
 
     ``ranked`` holds distinct values with a count and the number of rows before each of them.
+    ``few_groups`` states that the groups are bounded by the call itself (named columns, a flag),
+    so that their sizes may be broadcast; otherwise Spark chooses the join.
     """
     by = list(by)
     sizes = ranked.groupBy(*by).agg(F.sum(n).alias("_size"))
     if by:
-        with_size = ranked.join(sizes, by)
+        with_size = ranked.join(F.broadcast(sizes) if few_groups else sizes, by)
     else:
         with_size = ranked.withColumn("_size", sizes.scalar())
     v, b, c = F.col(value).cast("double"), F.col(before), F.col(n)
@@ -61,6 +64,11 @@ def quantiles_of_ranked(
 
 
 def quantiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probabilities: dict[str, float],
+    by: Sequence[str] = (),
+    few_groups: bool = False,
 ) -> DataFrame:
-    return quantiles_of_ranked(ranked_values(df, value, by), value, probabilities, by)
+    ranked = ranked_values(df, value, by)
+    return quantiles_of_ranked(ranked, value, probabilities, by, few_groups=few_groups)

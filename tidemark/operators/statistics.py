@@ -430,10 +430,11 @@ def category_test(df: DataFrame, category: str = "weather_main", value: str = TA
     """
     rows = df.filter(F.col(value).isNotNull() & F.col(category).isNotNull())
     require_values(rows, value)
+    pairs = materialize(value_counts(rows, value, [category]), "kruskal-pairs")
     groups = rows.groupBy(category).agg(
         F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")
     )
-    overall = rows.agg(F.avg(value)).scalar()
+    overall = pairs.agg(F.sum(F.col("n") * F.col(value)) / F.sum("n")).scalar()
     a = groups.withColumn("_g", overall).agg(
         F.count("*").alias("k"),
         F.sum("n").alias("n"),
@@ -443,7 +444,6 @@ def category_test(df: DataFrame, category: str = "weather_main", value: str = TA
     k, n = a["k"], a["n"]
     f = _ratio(a["between"] / (k - 1), a["within"] / (n - k)) if k > 1 and n > k else NAN
 
-    pairs = materialize(value_counts(rows, value, [category]), "kruskal-pairs")
     per_value = pairs.groupBy(value).agg(F.sum("n").alias("n"))
     ranked = running_totals(per_value, [value], {"_upto": "n"}).select(
         value, "n", (F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2).alias("mid")

@@ -189,8 +189,10 @@ def star_join(fact: DataFrame, dates: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, folder: str, name: str, partition_by: str | None = None) -> None:
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(f"{folder}/{name}")
-
+    """Overwrite a table. A partitioned one is rebalanced first: every partition value gets files of
+    the advisory size, with large values split and small ones combined."""
+    if partition_by is None:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    else:
+        balanced = df.hint("rebalance", partition_by)
+        balanced.write.mode("overwrite").partitionBy(partition_by).parquet(f"{folder}/{name}")

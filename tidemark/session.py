@@ -42,8 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate or result table in the shared folder."""
-    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate or result table in the shared folder, below a folder of the
+    application, which can be dropped as a whole once the application has ended."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/tidemark/{run}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -53,8 +53,11 @@ def prepare(
     the input is not gathered anywhere.
     """
     df = raw.dropDuplicates() if deduplicate else raw
-    if isinstance(df.schema["date_time"].dataType, T.StringType):
+    kind = df.schema["date_time"].dataType
+    if isinstance(kind, T.StringType):
         df = df.withColumn("date_time", calendar.parse_time(F.col("date_time")))
+    elif not isinstance(kind, T.TimestampNTZType):
+        df = df.withColumn("date_time", F.col("date_time").cast("timestamp_ntz"))
     return calendar.with_calendar(df, settings)
 
 
