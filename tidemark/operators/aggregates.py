@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import CALENDAR_FEATURES, DEFAULTS, WEEKDAY_NAMES, Settings
 from tidemark.functions import calendar, labels
 from tidemark.operators.ordering import value_counts
-from tidemark.operators.quantiles import QUARTILES, quantiles
+from tidemark.operators.quantiles import QUARTILES, overall_quantiles, quantiles
 
 TARGET = "traffic_volume"
 
@@ -140,14 +140,14 @@ def box_summary(df: DataFrame, by: Sequence[str] = (), value: str = TARGET) -> D
     The whiskers are taken from the distinct values, which are few compared with the rows.
     """
     by = list(by)
-    few = set(by) <= set(CALENDAR_FEATURES)
-    marks = quantiles(df, value, QUARTILES, by, few)
     counted = value_counts(df, value, by)
     if by:
+        few = set(by) <= set(CALENDAR_FEATURES)
+        marks = quantiles(df, value, QUARTILES, by, few)
         fenced = counted.join(F.broadcast(marks) if few else marks, by)
     else:
-        m = marks.first()
-        fenced = counted.withColumns({k: F.lit(m[k]) for k in QUARTILES})
+        marks = overall_quantiles(df, value, QUARTILES)
+        fenced = counted.withColumns({k: F.lit(v) for k, v in marks.items()})
     iqr = F.col("q3") - F.col("q1")
     v = F.col(value)
     return fenced.groupBy(*by).agg(

@@ -7,6 +7,7 @@ index, the Wasserstein distance and the quantiles all come from running totals o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +26,12 @@ from tidemark.functions import labels
 from tidemark.operators.modeling import evaluate_performance
 from tidemark.operators.ordering import running_totals
 from tidemark.operators.quality import ALLOWED_RANGES, require_ranges, require_rows
-from tidemark.operators.quantiles import QUARTILES, quantiles_of_ranked
-from tidemark.session import materialize
+from tidemark.operators.quantiles import QUARTILES, pick_quantiles
+from tidemark.session import materialize, small_table
 from tidemark.sources.observations import require_columns
 
 EPSILON = 1e-4
+PERFORMANCE_SCHEMA = "samples bigint, mae double, mse double, rmse double, r2 double"
 FEATURE, VALUE = "feature", "value"
 
 
@@ -57,26 +59,56 @@ def paired_counts(reference: DataFrame, current: DataFrame, features: Sequence[s
     return materialize(table, "paired-counts")
 
 
-def _sizes(paired: DataFrame) -> DataFrame:
-    """One row per feature; there are as many as the caller named."""
-    return paired.groupBy(FEATURE).agg(
-        F.sum("n_ref").alias("size_ref"),
-        F.sum("n_cur").alias("size_cur"),
-        F.min(VALUE).alias("low"),
-        F.min(F.when(F.col("n_ref") > 0, F.col(VALUE))).alias("low_ref"),
-        F.max(F.when(F.col("n_ref") > 0, F.col(VALUE))).alias("high_ref"),
+@dataclass(frozen=True)
+class Sides:
+    """Sums over one feature's values: rows, mean and range on either side."""
+
+    ref: int
+    cur: int
+    ref_mean: float | None
+    cur_mean: float | None
+    low: float
+    ref_low: float | None
+    ref_high: float | None
+
+
+def sides(paired: DataFrame) -> dict[str, Sides]:
+    """One entry per feature; there are as many features as the caller named."""
+    v, r, c = F.col(VALUE), F.col("n_ref"), F.col("n_cur")
+    rows = paired.groupBy(FEATURE).agg(
+        F.sum(r).alias("ref"),
+        F.sum(c).alias("cur"),
+        F.try_divide(F.sum(r * v), F.sum(r)).alias("ref_mean"),
+        F.try_divide(F.sum(c * v), F.sum(c)).alias("cur_mean"),
+        F.min(v).alias("low"),
+        F.min(F.when(r > 0, v)).alias("ref_low"),
+        F.max(F.when(r > 0, v)).alias("ref_high"),
     )
+    return {row[FEATURE]: Sides(*row[1:]) for row in rows.collect()}
 
 
-def _psi_terms(bins: DataFrame, epsilon: float) -> DataFrame:
-    def share(count: str, size: str) -> Column:
-        return F.when(F.col(count) == 0, epsilon).otherwise(F.col(count) / F.col(size))
+def _known(paired: DataFrame, known: dict[str, Sides]) -> DataFrame:
+    """Values of features that have rows on both sides, with those row counts and the lowest value."""
+    rows = [(f, s.ref, s.cur, s.low) for f, s in known.items() if s.ref and s.cur]
+    schema = f"{FEATURE} string, size_ref bigint, size_cur bigint, low double"
+    return paired.join(F.broadcast(small_table(paired.sparkSession, rows, schema)), FEATURE)
 
-    ref, cur = share("c_ref", "size_ref"), share("c_cur", "size_cur")
-    known = (F.col("size_ref") > 0) & (F.col("size_cur") > 0)
-    return bins.groupBy(FEATURE).agg(
-        F.sum(F.when(known, (cur - ref) * F.log(cur / ref)).otherwise(0.0)).alias("psi")
+
+def bin_edges(paired: DataFrame, known: dict[str, Sides], bins: int = 10) -> dict[str, list[float]]:
+    """Distinct quantile edges of the reference; a constant reference gets one wide bin."""
+    marks = pick_quantiles(
+        paired,
+        VALUE,
+        {i: i / bins for i in range(bins + 1)},
+        {f: s.ref for f, s in known.items() if s.ref and s.cur},
+        FEATURE,
+        "n_ref",
+        "b_ref",
     )
+    edges = {f: sorted(set(m.values())) for f, m in marks.items()}
+    return {
+        f: e if len(e) > 1 else [known[f].ref_low - 1, known[f].ref_high + 1] for f, e in edges.items()
+    }
 
 
 def psi(
@@ -85,54 +117,50 @@ def psi(
     epsilon: float = EPSILON,
     open_ends: bool = False,
     categorical: Sequence[str] = (),
+    known: dict[str, Sides] | None = None,
 ) -> DataFrame:
-    """Population stability index per feature.
+    """Population stability index per feature; 0 where a side is empty.
 
     Bins are the distinct quantile edges of the reference; the last one includes its upper edge.
     Values outside the reference range belong to no bin but stay in the denominator, unless
     ``open_ends`` extends the outer bins. ``categorical`` features use one bin per distinct value.
     """
-    sizes = _sizes(paired)
-    names = {f"e{i}": i / bins for i in range(bins + 1)}
-    marks = quantiles_of_ranked(paired, VALUE, names, [FEATURE], "n_ref", "b_ref", few_groups=True)
-    edges = F.array_distinct(F.array(*names))
-    wide = F.array(F.col("low_ref") - 1, F.col("high_ref") + 1)
-    per_feature = (
-        sizes.join(marks, FEATURE)
-        .withColumn("edges", F.when(F.size(edges) <= 1, wide).otherwise(edges))
-        .select(FEATURE, "size_ref", "size_cur", "edges")
-    )
-    placed = paired.join(F.broadcast(per_feature), FEATURE)
-    v, e, last = F.col(VALUE), F.col("edges"), F.size("edges") - 1
-    index = F.size(F.filter(e, lambda x: x <= v))
-    inside = F.least(index, last)
-    if open_ends:
-        bin_number = F.greatest(inside, F.lit(1))
-    else:
-        bin_number = F.when((v >= F.element_at(e, 1)) & (v <= F.element_at(e, -1)), inside)
-    key = bin_number.cast("double")
-    if categorical:
-        key = F.when(F.col(FEATURE).isin(*categorical), v).otherwise(key)
+    known = sides(paired) if known is None else known
+    v = F.col(VALUE)
+    bin_number = F.lit(None).cast("double")
+    for feature, edges in bin_edges(paired, known, bins).items():
+        number = F.lit(1.0 if open_ends else None).cast("double")
+        for i, edge in enumerate(edges[:-1], start=1):
+            number = F.when(v >= edge, float(i)).otherwise(number)
+        if not open_ends:
+            number = F.when(v <= edges[-1], number)
+        if feature in categorical:
+            number = v
+        bin_number = F.when(F.col(FEATURE) == feature, number).otherwise(bin_number)
     counted = (
-        placed.withColumn("bin", key)
-        .groupBy(FEATURE, "bin")
-        .agg(
-            F.sum(F.when(F.col("bin").isNotNull(), F.col("n_ref")).otherwise(0)).alias("c_ref"),
-            F.sum(F.when(F.col("bin").isNotNull(), F.col("n_cur")).otherwise(0)).alias("c_cur"),
-            F.max("size_ref").alias("size_ref"),
-            F.max("size_cur").alias("size_cur"),
-        )
+        _known(paired, known)
+        .groupBy(FEATURE, "size_ref", "size_cur", bin_number.alias("bin"))
+        .agg(F.sum("n_ref").alias("c_ref"), F.sum("n_cur").alias("c_cur"))
+        .filter(F.col("bin").isNotNull())
+    )
+
+    def share(count: str, size: str) -> Column:
+        return F.when(F.col(count) == 0, epsilon).otherwise(F.col(count) / F.col(size))
+
+    ref, cur = share("c_ref", "size_ref"), share("c_cur", "size_cur")
+    terms = counted.groupBy(FEATURE).agg(F.sum((cur - ref) * F.log(cur / ref)).alias("psi"))
+    every = small_table(paired.sparkSession, [(f,) for f in known], f"{FEATURE} string")
+    return every.join(F.broadcast(terms), FEATURE, "left").select(
+        FEATURE, F.coalesce("psi", F.lit(0.0)).alias("psi")
     )
-    return _psi_terms(counted, epsilon)
 
 
-def wasserstein(paired: DataFrame) -> DataFrame:
-    """Area between the two cumulative distributions, per feature.
+def wasserstein(paired: DataFrame, known: dict[str, Sides] | None = None) -> DataFrame:
+    """Area between the two cumulative distributions, per feature with rows on both sides.
 
     Summed by parts: each value contributes itself times the drop in the absolute difference across
     it, so no row needs its successor.
     """
-    placed = paired.join(F.broadcast(_sizes(paired)), FEATURE)
 
     def gap(extra_ref: Column, extra_cur: Column) -> Column:
         return F.abs(
@@ -140,9 +168,9 @@ def wasserstein(paired: DataFrame) -> DataFrame:
         )
 
     before, after = gap(F.lit(0), F.lit(0)), gap(F.col("n_ref"), F.col("n_cur"))
-    known = (F.col("size_ref") > 0) & (F.col("size_cur") > 0)
     term = (F.col(VALUE) - F.col("low")) * (before - after)
-    return placed.filter(known).groupBy(FEATURE).agg(F.sum(term).alias("wasserstein"))
+    placed = _known(paired, sides(paired) if known is None else known)
+    return placed.groupBy(FEATURE).agg(F.sum(term).alias("wasserstein"))
 
 
 def single_drift(
@@ -153,33 +181,33 @@ def single_drift(
     return psi(paired, bins, open_ends=open_ends).join(wasserstein(paired), FEATURE, "left")
 
 
-def feature_drift(
-    reference: DataFrame,
-    current: DataFrame,
-    features: Sequence[str] = CALENDAR_FEATURES,
-    settings: Settings = DEFAULTS,
-    categorical: Sequence[str] = (),
-    digits: int | None = 4,
-    with_means: bool = False,
-) -> DataFrame:
-    """Drift of every feature with status, threshold text and flag."""
+def check_inputs(
+    reference: DataFrame | None, current: DataFrame | None, features: Sequence[str]
+) -> None:
+    """Both sides need rows and the features, and calendar features their allowed range."""
     require_rows(reference, "Reference dataset")
     require_columns(reference, features, "reference")
     require_rows(current, "Current dataset for monitoring")
     require_columns(current, features, "current monitoring dataset")
     require_ranges(current, {c: b for c, b in ALLOWED_RANGES.items() if c in features})
-    paired = paired_counts(reference, current, features)
-    table = psi(paired, categorical=categorical).join(wasserstein(paired), FEATURE, "left")
-    if with_means:
-        v = F.col(VALUE)
-        table = table.join(
-            paired.groupBy(FEATURE).agg(
-                F.try_divide(F.sum(F.col("n_ref") * v), F.sum("n_ref")).alias("reference_mean"),
-                F.try_divide(F.sum(F.col("n_cur") * v), F.sum("n_cur")).alias("current_mean"),
-            ),
-            FEATURE,
-        )
 
+
+def drift_table(paired: DataFrame, known: dict[str, Sides], categorical: Sequence[str] = ()) -> DataFrame:
+    """PSI, distance and means of every feature of a paired count, as a local table."""
+    scores = psi(paired, categorical=categorical, known=known).join(
+        wasserstein(paired, known), FEATURE, "left"
+    )
+    rows = [
+        (r[FEATURE], r["psi"], r["wasserstein"], known[r[FEATURE]].ref_mean, known[r[FEATURE]].cur_mean)
+        for r in scores.collect()  # one row per named feature
+    ]
+    schema = f"{FEATURE} string, psi double, wasserstein double, reference_mean double, current_mean double"
+    return small_table(paired.sparkSession, rows, schema)
+
+
+def _feature_report(
+    table: DataFrame, settings: Settings, digits: int | None = 4, with_means: bool = False
+) -> DataFrame:
     def rounded(c: str) -> Column:
         return F.col(c) if digits is None else F.round(F.col(c), digits)
 
@@ -195,40 +223,52 @@ def feature_drift(
     )
 
 
-def prediction_drift(
+def feature_drift(
     reference: DataFrame,
     current: DataFrame,
-    column: str = "prediction",
+    features: Sequence[str] = CALENDAR_FEATURES,
     settings: Settings = DEFAULTS,
+    categorical: Sequence[str] = (),
+    digits: int | None = 4,
+    with_means: bool = False,
+) -> DataFrame:
+    """Drift of every feature with status, threshold text and flag."""
+    check_inputs(reference, current, features)
+    paired = paired_counts(reference, current, features)
+    table = drift_table(paired, sides(paired), categorical)
+    return _feature_report(table, settings, digits, with_means)
+
+
+def _prediction_report(
+    paired: DataFrame,
+    known: dict[str, Sides],
+    table: DataFrame,
+    column: str,
+    settings: Settings,
     digits: tuple[int, int] | None = (2, 4),
 ) -> DataFrame:
-    """Mean, median, population deviation and quartiles of both sides, with PSI and distance."""
-    require_rows(reference.select(column), "Reference predictions")
-    require_rows(current.select(column), "Current predictions")
-    paired = paired_counts(reference, current, [column])
-    row = psi(paired).join(wasserstein(paired), FEATURE)
-    for side in ("ref", "cur"):
-        marks = quantiles_of_ranked(paired, VALUE, QUARTILES, n=f"n_{side}", before=f"b_{side}")
-        row = row.withColumn(f"_{side}_q", marks.select(F.struct(*QUARTILES)).scalar())
-    for side, df in (("ref", reference), ("cur", current)):
-        moments = df.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
-        row = row.withColumn(f"_{side}_m", moments.select(F.struct("mean", "std")).scalar())
+    """The summary of one column of a paired count: location and spread of both sides, and drift."""
+    only, size = paired.filter(F.col(FEATURE) == column), known[column]
+    v, shown = F.col(VALUE), []
 
     def rounded(c: Column, place: int) -> Column:
         return c if digits is None else F.round(c, digits[place])
 
-    shown = []
-    for name, path in (
-        ("mean", "m.mean"),
-        ("median", "q.median"),
-        ("std", "m.std"),
-        ("q1", "q.q1"),
-        ("q3", "q.q3"),
+    def spread(side: str, mean: float, rows: int) -> Column:
+        return F.sqrt(F.sum(F.col(f"n_{side}") * (v - mean) * (v - mean)) / rows).alias(side)
+
+    deviations = only.agg(
+        spread("ref", size.ref_mean, size.ref), spread("cur", size.cur_mean, size.cur)
+    ).first()
+    for side, prefix, rows, mean in (
+        ("ref", "reference", size.ref, size.ref_mean),
+        ("cur", "current", size.cur, size.cur_mean),
     ):
-        for side, prefix in (("ref", "reference"), ("cur", "current")):
-            shown.append(rounded(F.col(f"_{side}_{path}"), 0).alias(f"{prefix}_{name}"))
+        marks = pick_quantiles(only, VALUE, QUARTILES, {None: rows}, n=f"n_{side}", before=f"b_{side}")[None]
+        values = {"mean": mean, "std": deviations[side], **marks}
+        shown += [rounded(F.lit(x), 0).alias(f"{prefix}_{name}") for name, x in values.items()]
     flag = labels.drift_detected(F.col("psi"), settings)
-    return row.select(
+    return table.filter(F.col(FEATURE) == column).select(
         *shown,
         rounded(F.col("psi"), 1).alias("psi"),
         rounded(F.col("wasserstein"), 1).alias("wasserstein"),
@@ -237,6 +277,21 @@ def prediction_drift(
     )
 
 
+def prediction_drift(
+    reference: DataFrame,
+    current: DataFrame,
+    column: str = "prediction",
+    settings: Settings = DEFAULTS,
+    digits: tuple[int, int] | None = (2, 4),
+) -> DataFrame:
+    """Mean, median, population deviation and quartiles of both sides, with PSI and distance."""
+    require_rows(reference.select(column), "Reference predictions")
+    require_rows(current.select(column), "Current predictions")
+    paired = paired_counts(reference, current, [column])
+    known = sides(paired)
+    return _prediction_report(paired, known, drift_table(paired, known), column, settings, digits)
+
+
 def alert(performance: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     rmse = F.col("rmse")
     return performance.select(
@@ -253,21 +308,31 @@ def monitoring_report(
     label: str = "Historical Simulation",
     metadata: DataFrame | None = None,
     actual: str = "traffic_volume",
+    prediction: str = "prediction",
 ) -> dict[str, DataFrame | None]:
     """All parts of a report on scored rows, each a table carrying the report label.
 
-    Performance and alert exist only where the current rows have actuals.
+    Performance and alert exist only where the current rows have actuals. Features and predictions
+    are counted together, so the rows are read once for all drift scores and once for performance.
     """
-    has_actuals = actual in current.columns
-    performance = evaluate_performance(current, actual) if has_actuals else None
-    summary = current.agg(F.count("*").alias("monitored_samples")).select(
-        F.localtimestamp().alias("timestamp"), F.lit(label).alias("dataset_label"), "monitored_samples"
-    )
+    check_inputs(reference, current, CALENDAR_FEATURES)
+    paired = paired_counts(reference, current, [*CALENDAR_FEATURES, prediction])
+    known = sides(paired)
+    table = drift_table(paired, known)
+    spark, performance = current.sparkSession, None
+    if actual in current.columns:
+        scores = evaluate_performance(current, actual, prediction).first()
+        performance = small_table(spark, [tuple(scores)], PERFORMANCE_SCHEMA)
+    summary = small_table(
+        spark, [(label, current.count())], "dataset_label string, monitored_samples bigint"
+    ).select(F.localtimestamp().alias("timestamp"), "dataset_label", "monitored_samples")
     parts = {
-        "feature_drift": feature_drift(reference, current, settings=settings, with_means=True),
-        "prediction_drift": prediction_drift(reference, current, settings=settings),
+        "feature_drift": _feature_report(
+            table.filter(F.col(FEATURE) != prediction), settings, with_means=True
+        ),
+        "prediction_drift": _prediction_report(paired, known, table, prediction, settings),
         "performance_metrics": performance,
-        "alert": alert(performance, settings) if has_actuals else None,
+        "alert": None if performance is None else alert(performance, settings),
         "model_metadata": metadata,
     }
     labelled = {k: None if t is None else t.withColumn("dataset_label", F.lit(label)) for k, t in parts.items()}

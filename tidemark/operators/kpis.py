@@ -9,7 +9,7 @@ from tidemark.config import DEFAULTS, DEMAND_CATEGORY, MODEL_CATEGORY, Settings
 from tidemark.functions import calendar, labels
 from tidemark.operators import aggregates, selection
 from tidemark.operators.quality import require_values
-from tidemark.operators.quantiles import quantiles
+from tidemark.operators.quantiles import overall_quantiles
 
 TARGET = "traffic_volume"
 
@@ -47,7 +47,7 @@ def demand_kpis(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     month_text = labels.month_text(calendar.month_abbreviation(F.col("month")), F.col("mean_value"))
     wide = base.withColumns(
         {
-            "median_volume": quantiles(df, TARGET, {"median": 0.5}).scalar(),
+            "median_volume": F.lit(overall_quantiles(df, TARGET, {"median": 0.5})["median"]),
             "top_hours": _joined_text(hours, "hour", hour_text),
             "top_months": _joined_text(months, "month", month_text),
             "rush_diff": F.col("rush_mean") - F.col("non_rush_mean"),
@@ -179,7 +179,7 @@ def executive_kpis(df: DataFrame, settings: Settings = DEFAULTS, digits: int | N
     parts = shift.columns
     row = df.agg(F.avg(TARGET).alias("avg_traffic"), F.max(TARGET).alias("peak_traffic")).withColumns(
         {
-            "median_traffic": quantiles(df, TARGET, {"median": 0.5}).scalar(),
+            "median_traffic": F.lit(overall_quantiles(df, TARGET, {"median": 0.5})["median"]),
             "_s": shift.select(F.struct(*parts)).scalar(),
         }
     )

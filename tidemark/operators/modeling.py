@@ -16,7 +16,8 @@ from tidemark.operators import selection
 from tidemark.operators.ordering import before_key, time_key_at
 from tidemark.operators.quality import require_values
 from tidemark.operators.statistics import bias_corrected_shape
-from tidemark.operators.quantiles import quantiles
+from tidemark.operators.quantiles import overall_quantiles
+from tidemark.session import small_table
 from tidemark.sources.observations import require_columns
 
 TARGET = "traffic_volume"
@@ -145,7 +146,7 @@ def feature_importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """One row per feature, most important first."""
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(f, float(w)) for f, w in zip(model_features(model), weights)]
-    table = spark.createDataFrame(rows, "feature string, importance double")
+    table = small_table(spark, rows, "feature string, importance double")
     return table.orderBy(F.col("importance").desc(), "feature")
 
 
@@ -225,7 +226,7 @@ def residual_diagnostics(
         F.max(r).alias("max_residual"),
         F.skewness(r).alias("_g1"),
     )
-    median = quantiles(errors, "residual", {"median": 0.5}).scalar()
+    median = F.lit(overall_quantiles(errors, "residual", {"median": 0.5})["median"])
     return moments.withColumn("median_residual", median).withColumn("skewness", skew).drop("_g1")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.quantiles import QUARTILES, quantiles
+from tidemark.operators.quantiles import QUARTILES, overall_quantiles, quantiles
 
 TARGET = "traffic_volume"
 
@@ -94,8 +94,10 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, value: str = TARGET) -> DataFrame:
     """Tukey fences and the rows outside them."""
-    q = quantiles(df, value, {"q1": 0.25, "q3": 0.75}).first()
+    q = overall_quantiles(df, value, {"q1": 0.25, "q3": 0.75})
     q1, q3 = q["q1"], q["q3"]
+    if q1 is None:
+        raise ValueError(f"column '{value}' has no values")
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     v = F.col(value)
     counts = df.agg(

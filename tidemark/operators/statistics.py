@@ -17,8 +17,8 @@ from tidemark.functions import distributions as dist
 from tidemark.functions.labels import effect_size
 from tidemark.operators.ordering import lookup, ranked_values, running_totals, value_counts
 from tidemark.operators.quality import require_values
-from tidemark.operators.quantiles import QUARTILES, quantiles, quantiles_of_ranked
-from tidemark.session import materialize
+from tidemark.operators.quantiles import QUARTILES, overall_quantiles, pick_quantiles
+from tidemark.session import materialize, small_table
 
 TARGET = "traffic_volume"
 NAN = float("nan")
@@ -28,7 +28,7 @@ def one_row(spark: SparkSession, values: dict) -> DataFrame:
     """A typed one-row result. Whole numbers stay bigint, everything else is double or text."""
     kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
     schema = ", ".join(f"`{k}` {kinds[type(v)]}" for k, v in values.items())
-    return spark.createDataFrame([tuple(values.values())], schema)
+    return small_table(spark, [tuple(values.values())], schema)
 
 
 def _ratio(a: float, b: float) -> float:
@@ -56,23 +56,22 @@ def descriptive(df: DataFrame, value: str = TARGET, digits: tuple[int, int] | No
         F.skewness(v).alias("_g1"),
         F.kurtosis(v).alias("_g2"),
     )
-    marks = quantiles(df, value, QUARTILES).select(F.struct(*QUARTILES)).scalar()
+    marks = overall_quantiles(df, value, QUARTILES)
     skew, kurt = bias_corrected_shape(F.col("n"), F.col("_g1"), F.col("_g2"))
 
     def rounded(c: Column, place: int) -> Column:
         return c if digits is None else F.round(c, digits[place])
 
-    row = moments.withColumn("_q", marks)
-    return row.select(
+    return moments.select(
         "n",
         rounded(F.col("mean"), 0).alias("mean"),
         rounded(F.col("std_dev"), 0).alias("std_dev"),
-        rounded(F.col("_q.median"), 0).alias("median"),
+        rounded(F.lit(marks["median"]), 0).alias("median"),
         "min",
         "max",
-        rounded(F.col("_q.q1"), 0).alias("q1"),
-        rounded(F.col("_q.q3"), 0).alias("q3"),
-        rounded(F.col("_q.q3") - F.col("_q.q1"), 0).alias("iqr"),
+        rounded(F.lit(marks["q1"]), 0).alias("q1"),
+        rounded(F.lit(marks["q3"]), 0).alias("q3"),
+        rounded(F.lit(marks["q3"] - marks["q1"]), 0).alias("iqr"),
         rounded(skew, 1).alias("skewness"),
         rounded(kurt, 1).alias("kurtosis"),
     )
@@ -272,7 +271,7 @@ def correlations(
         "feature string, n bigint, pearson_r double, pearson_p double, "
         "spearman_r double, spearman_p double, significant boolean"
     )
-    table = df.sparkSession.createDataFrame(rows, schema)
+    table = small_table(df.sparkSession, rows, schema)
     return table.orderBy(F.abs("pearson_r").desc_nulls_last(), "feature")
 
 
@@ -344,8 +343,8 @@ def two_sample(
     if not n1 or not n2:
         raise ValueError("both groups need at least one value")
     m1, m2 = s["s1"] / n1, s["s2"] / n2
-    med1 = quantiles_of_ranked(ranked, "v", {"m": 0.5}, n="c1", before="b1").first()["m"]
-    med2 = quantiles_of_ranked(ranked, "v", {"m": 0.5}, n="c2", before="b2").first()["m"]
+    med1 = pick_quantiles(ranked, "v", {"m": 0.5}, {None: n1}, n="c1", before="b1")[None]["m"]
+    med2 = pick_quantiles(ranked, "v", {"m": 0.5}, {None: n2}, n="c2", before="b2")[None]["m"]
     z1, z2 = F.abs(v - med1), F.abs(v - med2)
     d = ranked.agg(
         F.sum(c1 * (v - m1) * (v - m1)).alias("q1"),

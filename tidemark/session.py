@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(app: str = "tidemark", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -54,3 +57,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ARROW_TYPES = {
+    "string": pa.string(),
+    "double": pa.float64(),
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "boolean": pa.bool_(),
+    "timestamp_ntz": pa.timestamp("us"),
+}
+
+
+def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A result of a handful of rows as a local relation, which later plans read without a job."""
+    struct = T.StructType.fromDDL(schema)
+    columns = [
+        pa.array([row[i] for row in rows], ARROW_TYPES[field.dataType.simpleString()])
+        for i, field in enumerate(struct.fields)
+    ]
+    return spark.createDataFrame(pa.table(columns, names=struct.names), schema=struct)

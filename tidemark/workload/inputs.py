@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.config import Settings
 from tidemark.operators import modeling, windows
+from tidemark.session import materialize
 from tidemark.sources import observations as obs
 
 # Event values run from 0 to about 500, so the bins and tolerances are scaled to them.
@@ -40,7 +41,7 @@ def scored_events(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 
 def scored_forecast(spark: SparkSession, folder: str) -> DataFrame:
     """Late rows with lag features, scored by the hourly means of the early rows."""
-    features = windows.forecasting_features(events(spark, folder))
+    features = materialize(windows.forecasting_features(events(spark, folder)), "features")
     train, test = modeling.chronological_split(features, EVENTS)
     return modeling.group_mean_predictor(train, test, ["hour"])
 
