@@ -93,6 +93,14 @@ def test_key_at_beyond_the_end(skewed):
     assert ordering.key_at(skewed, ["v", "id"], 6000) is None
 
 
+@pytest.mark.parametrize("sort_limit", [0, 100_000])
+def test_both_ways_to_find_a_time_agree(make_series, sort_limit):
+    df = make_series(range(400), hours=[min(i, 100) for i in range(400)])
+    bound = ordering.time_key_at(df, ["date_time", "obs_id"], 0.85, sort_limit)
+    assert df.filter(ordering.before_key(["date_time", "obs_id"], bound)).count() == 340
+    assert ordering.time_key_at(df.filter("false"), ["date_time", "obs_id"], 0.85) is None
+
+
 def test_halo_rows_are_never_owned_twice(spark):
     df = spark.range(1000).withColumnRenamed("id", "ordinal")
     chunked = ordering.halo_chunks(df, lookback=10, chunk_rows=64)

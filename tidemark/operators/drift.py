@@ -6,6 +6,7 @@ index, the Wasserstein distance and the quantiles all come from running totals o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -87,7 +88,7 @@ def sides(paired: DataFrame) -> dict[str, Sides]:
     return {row[FEATURE]: Sides(*row[1:]) for row in rows.collect()}
 
 
-def _known(paired: DataFrame, known: dict[str, Sides]) -> DataFrame:
+def _with_sizes(paired: DataFrame, known: dict[str, Sides]) -> DataFrame:
     """Values of features that have rows on both sides, with those row counts and the lowest value."""
     rows = [(f, s.ref, s.cur, s.low) for f, s in known.items() if s.ref and s.cur]
     schema = f"{FEATURE} string, size_ref bigint, size_cur bigint, low double"
@@ -126,22 +127,40 @@ def psi(
     ``open_ends`` extends the outer bins. ``categorical`` features use one bin per distinct value.
     """
     known = sides(paired) if known is None else known
-    v = F.col(VALUE)
-    bin_number = F.lit(None).cast("double")
+    scores = _psi_scores(paired, known, bins, epsilon, open_ends, categorical)
+    return small_table(paired.sparkSession, list(scores.items()), f"{FEATURE} string, psi double")
+
+
+def _psi_scores(
+    paired: DataFrame,
+    known: dict[str, Sides],
+    bins: int = 10,
+    epsilon: float = EPSILON,
+    open_ends: bool = False,
+    categorical: Sequence[str] = (),
+) -> dict[str, float]:
+    v, binned = F.col(VALUE), []
     for feature, edges in bin_edges(paired, known, bins).items():
-        number = F.lit(1.0 if open_ends else None).cast("double")
-        for i, edge in enumerate(edges[:-1], start=1):
-            number = F.when(v >= edge, float(i)).otherwise(number)
-        if not open_ends:
-            number = F.when(v <= edges[-1], number)
         if feature in categorical:
-            number = v
-        bin_number = F.when(F.col(FEATURE) == feature, number).otherwise(bin_number)
-    counted = (
-        _known(paired, known)
-        .groupBy(FEATURE, "size_ref", "size_cur", bin_number.alias("bin"))
-        .agg(F.sum("n_ref").alias("c_ref"), F.sum("n_cur").alias("c_cur"))
-        .filter(F.col("bin").isNotNull())
+            continue
+        last = len(edges) - 2
+        for i, (low, high) in enumerate(zip(edges, edges[1:])):
+            low = -math.inf if open_ends and i == 0 else low
+            high = math.inf if open_ends and i == last else high
+            binned.append((feature, i, low, high, i == last, known[feature].ref, known[feature].cur))
+    schema = "_f string, bin int, lo double, hi double, closed boolean, size_ref bigint, size_cur bigint"
+    table = F.broadcast(small_table(paired.sparkSession, binned, schema))
+    below = (v < F.col("hi")) | (F.col("closed") & (v <= F.col("hi")))
+    groups = paired.join(table, (F.col(FEATURE) == F.col("_f")) & (v >= F.col("lo")) & below).select(
+        FEATURE, F.col("bin").cast("double").alias("bin"), "n_ref", "n_cur", "size_ref", "size_cur"
+    )
+    if categorical:
+        distinct = _with_sizes(paired.filter(F.col(FEATURE).isin(*categorical)), known)
+        groups = groups.unionByName(
+            distinct.select(FEATURE, v.alias("bin"), "n_ref", "n_cur", "size_ref", "size_cur")
+        )
+    counted = groups.groupBy(FEATURE, "bin", "size_ref", "size_cur").agg(
+        F.sum("n_ref").alias("c_ref"), F.sum("n_cur").alias("c_cur")
     )
 
     def share(count: str, size: str) -> Column:
@@ -149,10 +168,8 @@ def psi(
 
     ref, cur = share("c_ref", "size_ref"), share("c_cur", "size_cur")
     terms = counted.groupBy(FEATURE).agg(F.sum((cur - ref) * F.log(cur / ref)).alias("psi"))
-    every = small_table(paired.sparkSession, [(f,) for f in known], f"{FEATURE} string")
-    return every.join(F.broadcast(terms), FEATURE, "left").select(
-        FEATURE, F.coalesce("psi", F.lit(0.0)).alias("psi")
-    )
+    found = {r[FEATURE]: r["psi"] for r in terms.collect()}  # one row per named feature
+    return {f: found.get(f) or 0.0 for f in known}
 
 
 def wasserstein(paired: DataFrame, known: dict[str, Sides] | None = None) -> DataFrame:
@@ -169,7 +186,7 @@ def wasserstein(paired: DataFrame, known: dict[str, Sides] | None = None) -> Dat
 
     before, after = gap(F.lit(0), F.lit(0)), gap(F.col("n_ref"), F.col("n_cur"))
     term = (F.col(VALUE) - F.col("low")) * (before - after)
-    placed = _known(paired, sides(paired) if known is None else known)
+    placed = _with_sizes(paired, sides(paired) if known is None else known)
     return placed.groupBy(FEATURE).agg(F.sum(term).alias("wasserstein"))
 
 
@@ -178,7 +195,9 @@ def single_drift(
 ) -> DataFrame:
     """PSI and Wasserstein distance of one numeric column; an empty side gives a PSI of 0."""
     paired = paired_counts(reference, current, [column])
-    return psi(paired, bins, open_ends=open_ends).join(wasserstein(paired), FEATURE, "left")
+    known = sides(paired)
+    scores = psi(paired, bins, open_ends=open_ends, known=known)
+    return scores.join(wasserstein(paired, known), FEATURE, "left")
 
 
 def check_inputs(
@@ -194,13 +213,9 @@ def check_inputs(
 
 def drift_table(paired: DataFrame, known: dict[str, Sides], categorical: Sequence[str] = ()) -> DataFrame:
     """PSI, distance and means of every feature of a paired count, as a local table."""
-    scores = psi(paired, categorical=categorical, known=known).join(
-        wasserstein(paired, known), FEATURE, "left"
-    )
-    rows = [
-        (r[FEATURE], r["psi"], r["wasserstein"], known[r[FEATURE]].ref_mean, known[r[FEATURE]].cur_mean)
-        for r in scores.collect()  # one row per named feature
-    ]
+    scores = _psi_scores(paired, known, categorical=categorical)
+    distance = {r[FEATURE]: r["wasserstein"] for r in wasserstein(paired, known).collect()}
+    rows = [(f, scores[f], distance.get(f), s.ref_mean, s.cur_mean) for f, s in known.items()]
     schema = f"{FEATURE} string, psi double, wasserstein double, reference_mean double, current_mean double"
     return small_table(paired.sparkSession, rows, schema)
 

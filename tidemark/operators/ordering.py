@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import hour_start
-from tidemark.session import materialize
+from tidemark.session import materialize, small_table
 
 BLOCK, SLOT = "_block", "_slot"
 HOT_SHARE = 1000
@@ -39,18 +39,28 @@ def layout(df: DataFrame, keys: Sequence[str | Column], name: str = "layout") ->
     return materialize(placed, name)
 
 
+def _with_block_starts(laid: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Add, per output name, the sum over all earlier blocks.
+
+    One row per block reaches the driver, no more than there are partitions; a single block needs
+    no offsets at all.
+    """
+    totals = laid.groupBy(BLOCK).agg(*[c.alias(o) for o, c in sums.items()])
+    rows = sorted(totals.collect(), key=lambda r: r[BLOCK])
+    if len(rows) <= 1:
+        return laid.withColumns({o: F.lit(0).cast("bigint") for o in sums})
+    starts, reached = [], [0] * len(sums)
+    for row in rows:
+        starts.append((row[BLOCK], *reached))
+        reached = [a + (row[o] or 0) for a, o in zip(reached, sums)]
+    schema = f"{BLOCK} int, " + ", ".join(f"{o} bigint" for o in sums)
+    return laid.join(F.broadcast(small_table(laid.sparkSession, starts, schema)), BLOCK)
+
+
 def with_ordinal(df: DataFrame, keys: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
     """Add the zero-based position of each row in the total order of ``keys``."""
-    laid = layout(df, keys)
-    sizes = laid.groupBy(BLOCK).agg(F.count("*").alias("_size"))
-    starts = sizes.select(
-        BLOCK, (F.sum("_size").over(Window.orderBy(BLOCK)) - F.col("_size")).alias("_start")
-    )
-    return (
-        laid.join(F.broadcast(starts), BLOCK)
-        .withColumn(name, F.col("_start") + F.col(SLOT))
-        .drop(BLOCK, SLOT, "_start")
-    )
+    placed = _with_block_starts(layout(df, keys), {"_start": F.count("*")})
+    return placed.select(*df.columns, (F.col("_start") + F.col(SLOT)).alias(name))
 
 
 def running_totals(
@@ -59,15 +69,26 @@ def running_totals(
     sums: dict[str, str],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Add inclusive running sums, restarting for every ``by`` group, in total order.
+    """Add inclusive running sums of whole numbers in total order, restarting for every ``by`` group.
 
-    ``sums`` maps an output name to the column to add up. A group may span any number of blocks;
-    only the first group of a block can have started earlier, so at most one offset row per block
-    is broadcast.
+    ``sums`` maps an output name to the column to add up. A group may span any number of blocks.
+    Only the first group of a block can have started in an earlier one, so with groups at most one
+    offset row per block is broadcast.
     """
     by = list(by)
     laid = layout(df, [*by, *order], "running")
     inside = Window.partitionBy(BLOCK, *by).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
+    if by:
+        placed = _with_group_starts(laid, sums, by)
+    else:
+        placed = _with_block_starts(laid, {f"_o_{o}": F.sum(c) for o, c in sums.items()})
+    return placed.select(
+        *df.columns,
+        *[(F.sum(c).over(inside) + F.coalesce(f"_o_{o}", F.lit(0))).alias(o) for o, c in sums.items()],
+    )
+
+
+def _with_group_starts(laid: DataFrame, sums: dict[str, str], by: Sequence[str]) -> DataFrame:
     per_block = laid.groupBy(BLOCK, *by).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     earlier = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
@@ -79,13 +100,7 @@ def running_totals(
     matches = F.col(BLOCK) == F.col("_b")
     for c in by:
         matches = matches & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    totals = laid.withColumns({f"_i_{o}": F.sum(c).over(inside) for o, c in sums.items()})
-    joined = totals.join(F.broadcast(offsets), matches, "left")
-    zero = {o: F.lit(0).cast(laid.schema[c].dataType) for o, c in sums.items()}
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_i_{o}") + F.coalesce(f"_o_{o}", zero[o])).alias(o) for o in sums],
-    )
+    return laid.join(F.broadcast(offsets), matches, "left")
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -119,20 +134,38 @@ def lookup(facts: DataFrame, table: DataFrame, key: str, columns: Sequence[str])
     joined by shuffle, where none of them is heavy. Rows without a value take part in neither join.
     """
     columns = list(columns)
+    wanted = [*facts.columns, *columns]
     kept = materialize(table.select(key, "n", *columns), "lookup")
-    total = kept.agg(F.sum("n")).scalar()
+    total = kept.agg(F.sum("n")).first()[0] or 0
     heavy = F.col("n") * HOT_SHARE > total
-    hot = kept.filter(heavy).select(key, F.lit(True).alias("_hot"), *columns)
-    cold = kept.filter(~heavy).select(key, *columns)
-    near = facts.join(F.broadcast(hot), key, "left").filter(
-        F.col("_hot").isNotNull() | F.col(key).isNull()
+    found = kept.filter(heavy).select(key, *columns).collect()  # fewer than HOT_SHARE rows
+    if not found:
+        return _lookup_by_shuffle(facts, kept.select(key, *columns), key).select(*wanted)
+    hot = F.broadcast(
+        small_table(
+            facts.sparkSession,
+            [(True, *row) for row in found],
+            "_hot boolean, " + ", ".join(f"`{c}` {dict(kept.dtypes)[c]}" for c in (key, *columns)),
+        )
     )
-    rest = facts.filter(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
-    far = rest.join(cold, key, "left")
-    wanted = [*facts.columns, *columns]
+    near = facts.join(hot, key, "left").filter(F.col("_hot") | F.col(key).isNull())
+    rest = facts.join(hot.select(key), key, "left_anti")
+    far = _lookup_by_shuffle(rest, kept.filter(~heavy).select(key, *columns), key, skip_null=True)
     return near.select(*wanted).unionByName(far.select(*wanted))
 
 
+def _lookup_by_shuffle(
+    facts: DataFrame, table: DataFrame, key: str, skip_null: bool = False
+) -> DataFrame:
+    """Left join on a key without heavy values; rows with a null key stay out of the shuffle."""
+    joined = facts.filter(F.col(key).isNotNull()).join(table, key, "left")
+    if skip_null:
+        return joined
+    types = dict(table.dtypes)
+    missing = [F.lit(None).cast(types[c]).alias(c) for c in table.columns if c != key]
+    return joined.unionByName(facts.filter(F.col(key).isNull()).select("*", *missing))
+
+
 def key_at(
     df: DataFrame, keys: Sequence[str], position: int, found: Sequence = ()
 ) -> tuple | None:
@@ -160,11 +193,14 @@ def key_at(
     return key_at(ties, keys[1:], position - spot["before"], found)
 
 
-def time_key_at(df: DataFrame, keys: Sequence[str], share: float) -> tuple | None:
+def time_key_at(
+    df: DataFrame, keys: Sequence[str], share: float, sort_limit: int = 100_000
+) -> tuple | None:
     """The key of the row at position ``int(rows * share)`` of an order that starts with a time.
 
     Rows per hour are counted first; their number is bounded by the calendar, so they may be summed
-    up in one task. Only the hour that holds the position is searched further.
+    up in one task. Only the hour that holds the position is searched further: by a plain sort if it
+    has at most ``sort_limit`` rows, else through its distinct values.
     """
     time = F.col(keys[0])
     hours = df.filter(time.isNotNull()).groupBy(hour_start(time).alias("hour")).agg(F.count("*").alias("n"))
@@ -178,7 +214,11 @@ def time_key_at(df: DataFrame, keys: Sequence[str], share: float) -> tuple | Non
         return None
     start = constant(spot["hour"])
     inside = df.filter((time >= start) & (time < start + F.expr("INTERVAL 1 HOUR")))
-    return key_at(inside, keys, spot["wanted"] - spot["before"])
+    position = spot["wanted"] - spot["before"]
+    if spot["n"] > sort_limit:
+        return key_at(inside, keys, position)
+    row = inside.select(*keys).orderBy(*keys).offset(position).limit(1).first()
+    return None if row is None else tuple(row)
 
 
 def constant(value) -> Column:
