@@ -38,6 +38,15 @@ def test_all_ten_tables_load(spark, exported):
     assert tables["error_analysis"].filter("segment_type = 'Month of Year'").count() == 0
 
 
+def test_csv_export_loads_with_types(spark, base, tmp_path):
+    star.write_table(star.traffic_daily(base), str(tmp_path), "traffic_daily", fmt="csv")
+    star.write_table(star.traffic_hourly(base), str(tmp_path), "traffic_hourly", "year", fmt="csv")
+    daily = datasets.load_dataset(spark, "traffic_daily", str(tmp_path), "csv")
+    assert sorted(map(tuple, daily.collect())) == sorted(map(tuple, star.traffic_daily(base).collect()))
+    hourly = dict(datasets.load_dataset(spark, "traffic_hourly", str(tmp_path), "csv").dtypes)
+    assert (hourly["date_time"], hourly["traffic_volume"], hourly["hour"]) == ("timestamp_ntz", "double", "int")
+
+
 def test_layer_report(spark, exported, base):
     mean = base.agg(F.avg("traffic_volume")).first()[0]
     good = reports.validate_export(spark, exported, 24 * 60, (mean, 1.0)).collect()

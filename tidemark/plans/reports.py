@@ -92,7 +92,12 @@ def monitoring_inputs(
 
 
 def export_star(
-    df: DataFrame, folder: str, trees: int = 200, sample: int = 1000, settings: Settings = DEFAULTS
+    df: DataFrame,
+    folder: str,
+    trees: int = 200,
+    sample: int = 1000,
+    settings: Settings = DEFAULTS,
+    fmt: str = "parquet",
 ) -> None:
     """Write all ten tables. The hourly fact is partitioned by year, so a slicer on dates reads only
     the years it needs."""
@@ -115,9 +120,9 @@ def export_star(
         "dim_date": star.dim_date(df),
         "dim_time": star.dim_time(df.sparkSession, settings),
     }
-    star.write_table(star.traffic_hourly(df, settings), folder, "traffic_hourly", partition_by="year")
+    star.write_table(star.traffic_hourly(df, settings), folder, "traffic_hourly", "year", fmt)
     for name, table in tables.items():
-        star.write_table(table, folder, name)
+        star.write_table(table, folder, name, fmt=fmt)
 
 
 def validate_export(
@@ -125,10 +130,11 @@ def validate_export(
     folder: str,
     expected_rows: int | None = None,
     expected_mean: tuple[float, float] | None = None,
+    fmt: str = "parquet",
 ) -> DataFrame:
     """The layer report over an exported folder."""
     tables = {
-        name: datasets.load_dataset(spark, name, folder, check_empty=False)
+        name: datasets.load_dataset(spark, name, folder, fmt, check_empty=False)
         for name in datasets.REQUIRED_COLUMNS
     }
     rows = {"dim_time": 24}

@@ -188,11 +188,14 @@ def star_join(fact: DataFrame, dates: DataFrame, times: DataFrame) -> DataFrame:
     return fact.join(F.broadcast(d), "date").join(F.broadcast(t), "hour")
 
 
-def write_table(df: DataFrame, folder: str, name: str, partition_by: str | None = None) -> None:
+def write_table(
+    df: DataFrame, folder: str, name: str, partition_by: str | None = None, fmt: str = "parquet"
+) -> None:
     """Overwrite a table. A partitioned one is rebalanced first: every partition value gets files of
     the advisory size, with large values split and small ones combined."""
-    if partition_by is None:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    else:
-        balanced = df.hint("rebalance", partition_by)
-        balanced.write.mode("overwrite").partitionBy(partition_by).parquet(f"{folder}/{name}")
+    if partition_by is not None:
+        df = df.hint("rebalance", partition_by)
+    writer = df.write.mode("overwrite").format(fmt).option("header", True)
+    if partition_by is not None:
+        writer = writer.partitionBy(partition_by)
+    writer.save(f"{folder}/{name}")

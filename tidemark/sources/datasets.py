@@ -24,13 +24,39 @@ REQUIRED_COLUMNS = {
 }
 
 
+# Types of all published columns, so that text files are read without an inference pass.
+COLUMN_TYPES = {
+    "int": (
+        "year quarter month day hour weekday day_of_week is_weekday is_rush is_rush_hour week_of_year clouds_all"
+    ),
+    "bigint": "record_count sample_count",
+    "double": (
+        "temp temp_celsius rain_1h snow_1h traffic_volume avg_traffic_volume total_traffic_volume min_traffic_volume "
+        "max_traffic_volume peak_hourly_volume actual_traffic_volume naive_lag1h_pred naive_lag24h_pred "
+        "ml_rf_forecast_pred naive_lag1h_error naive_lag1h_abs_error ml_rf_error ml_rf_abs_error "
+        "ml_rf_squared_error mae rmse r2_score mean_bias_error reference_mean current_mean psi_score "
+        "rmse_threshold monitored_rmse"
+    ),
+    "boolean": "alert_triggered",
+    "timestamp_ntz": "date_time",
+    "date": "date",
+}
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """Text columns with a published type, converted to it."""
+    wanted = {c: t for t, names in COLUMN_TYPES.items() for c in names.split()}
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.withColumns({c: F.col(c).cast(wanted[c]) for c in df.columns if c in text and c in wanted})
+
+
 def load_dataset(
     spark: SparkSession, name: str, folder: str, fmt: str = "parquet", check_empty: bool = True
 ) -> DataFrame:
     """Load one named data set: missing, empty and incomplete ones are errors."""
     path = f"{folder.rstrip('/')}/{name}"
     try:
-        df = spark.read.format(fmt).options(header=True, inferSchema=fmt == "csv").load(path)
+        df = spark.read.format(fmt).options(header=True).load(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Required dataset missing: '{path}'") from e
@@ -38,12 +64,7 @@ def load_dataset(
     require_columns(df, REQUIRED_COLUMNS.get(name, []), name)
     if check_empty and df.isEmpty():
         raise ValueError(f"Dataset '{path}' is empty.")
-    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    if "date_time" in text:
-        df = df.withColumn("date_time", F.col("date_time").cast("timestamp_ntz"))
-    if "date" in text:
-        df = df.withColumn("date", F.col("date").cast("date"))
-    return df
+    return _typed(df)
 
 
 def load_all(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import statistics, windows
-from tidemark.workload.inputs import EV, EV_FEATURES, HR, ORD, events, hourly, orders
+from tidemark.workload.inputs import EV, EV_FEATURES, HR, ORD, events, hourly, orders, series
 from tidemark.workload.registry import query
 
 LAGS = "obs_id:i lag_1h:d lag_24h:d"
@@ -13,12 +13,12 @@ LAGS = "obs_id:i lag_1h:d lag_24h:d"
 
 @query("lags", "W4", LAGS, EV_FEATURES + "SELECT obs_id, lag_1h, lag_24h FROM features")
 def _(spark, folder):
-    return windows.lag_features(events(spark, folder))
+    return windows.lag_features(series(spark, folder))
 
 
 @query("lag_168", "W5", "obs_id:i lag_168h:d", EV_FEATURES + "SELECT obs_id, lag_168h FROM features")
 def _(spark, folder):
-    return windows.lag_features(events(spark, folder), [168])
+    return windows.lag_features(series(spark, folder), [168])
 
 
 @query(
@@ -26,12 +26,12 @@ def _(spark, folder):
     EV_FEATURES + "SELECT obs_id, rolling_mean_24h, rolling_std_24h FROM features",
 )
 def _(spark, folder):
-    return windows.forecasting_features(events(spark, folder), drop_incomplete=False)
+    return windows.forecasting_features(series(spark, folder), drop_incomplete=False)
 
 
 @query("ewma", "W8", "obs_id:i ewma_24h:d", EV_FEATURES + "SELECT obs_id, ewma_24h FROM features")
 def _(spark, folder):
-    return windows.forecasting_features(events(spark, folder), drop_incomplete=False)
+    return windows.forecasting_features(series(spark, folder), drop_incomplete=False)
 
 
 @query(
@@ -40,7 +40,7 @@ def _(spark, folder):
     EV_FEATURES + "SELECT * FROM features WHERE lag_24h IS NOT NULL AND rolling_mean_24h IS NOT NULL",
 )
 def _(spark, folder):
-    return windows.forecasting_features(events(spark, folder))
+    return windows.forecasting_features(series(spark, folder))
 
 
 @query(
@@ -52,7 +52,9 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return windows.forecasting_features(
-        events(spark, folder), series=["weather_main"], drop_incomplete=False
+        events(spark, folder).select("obs_id", "date_time", "traffic_volume", "weather_main"),
+        series=["weather_main"],
+        drop_incomplete=False,
     )
 
 

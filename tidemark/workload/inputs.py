@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.config import Settings
+from tidemark.config import CALENDAR_FEATURES, Settings
 from tidemark.operators import modeling, windows
 from tidemark.session import materialize
 from tidemark.sources import observations as obs
@@ -18,6 +18,11 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return obs.observations_from_events(spark, folder, EVENTS)
 
 
+def series(spark: SparkSession, folder: str) -> DataFrame:
+    """Only the columns the order-dependent jobs write and shuffle."""
+    return events(spark, folder).select("obs_id", "date_time", "traffic_volume", *CALENDAR_FEATURES)
+
+
 def orders(spark: SparkSession, folder: str) -> DataFrame:
     return obs.observations_from_orders(spark, folder, ORDERS)
 
@@ -41,7 +46,7 @@ def scored_events(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 
 def scored_forecast(spark: SparkSession, folder: str) -> DataFrame:
     """Late rows with lag features, scored by the hourly means of the early rows."""
-    features = materialize(windows.forecasting_features(events(spark, folder)), "features")
+    features = materialize(windows.forecasting_features(series(spark, folder)), "features")
     train, test = modeling.chronological_split(features, EVENTS)
     return modeling.group_mean_predictor(train, test, ["hour"])
 

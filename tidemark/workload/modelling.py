@@ -20,6 +20,7 @@ from tidemark.workload.inputs import (
     hourly,
     scored_events,
     scored_forecast,
+    series,
 )
 from tidemark.workload.registry import query
 
@@ -65,7 +66,7 @@ def _metrics_sql(table: str, actual: str, predicted: str) -> str:
     + f" UNION ALL SELECT '{modeling.NAIVE_DAY}', {_metrics_sql('forecast', 'actual_traffic_volume', 'naive_lag24h_pred')}",
 )
 def _(spark, folder):
-    features = materialize(windows.forecasting_features(events(spark, folder)), "features")
+    features = materialize(windows.forecasting_features(series(spark, folder)), "features")
     _, test = modeling.chronological_split(features, EVENTS)
     return modeling.regression_metrics(modeling.naive_baselines(test), by=["model_name"], rounded=False)
 

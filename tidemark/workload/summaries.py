@@ -70,7 +70,8 @@ def _(spark, folder):
     ORD + """SELECT obs_id, avg(traffic_volume) OVER (ORDER BY date_time, obs_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS rolling_24h_avg FROM od""",
 )
 def _(spark, folder):
-    return windows.rolling_average(orders(spark, folder), digits=None)
+    rows = orders(spark, folder).select("obs_id", "date_time", "traffic_volume")
+    return windows.rolling_average(rows, digits=None)
 
 
 PEAK = "date_time:t hour:i weekday:i month:i traffic_volume:d volume_rank:i"
