@@ -13,6 +13,8 @@ from tidemark.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", cores="8", partitions=8)
+    # Compiling a plan takes longer than running it on a handful of rows.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 

@@ -24,9 +24,9 @@ from tidemark.config import (
     Settings,
 )
 from tidemark.functions import labels
-from tidemark.operators.modeling import evaluate_performance
+from tidemark.operators.modeling import regression_metrics
 from tidemark.operators.ordering import running_totals
-from tidemark.operators.quality import ALLOWED_RANGES, require_ranges, require_rows
+from tidemark.operators.quality import ALLOWED_RANGES
 from tidemark.operators.quantiles import QUARTILES, pick_quantiles
 from tidemark.session import materialize, small_table
 from tidemark.sources.observations import require_columns
@@ -89,9 +89,13 @@ def sides(paired: DataFrame) -> dict[str, Sides]:
 
 
 def _with_sizes(paired: DataFrame, known: dict[str, Sides]) -> DataFrame:
-    """Values of features that have rows on both sides, with those row counts and the lowest value."""
-    rows = [(f, s.ref, s.cur, s.low) for f, s in known.items() if s.ref and s.cur]
-    schema = f"{FEATURE} string, size_ref bigint, size_cur bigint, low double"
+    """Values of features that have rows on both sides, with that feature's :class:`Sides`."""
+    rows = [
+        (f, s.ref, s.cur, s.low, s.ref_mean, s.cur_mean) for f, s in known.items() if s.ref and s.cur
+    ]
+    schema = (
+        f"{FEATURE} string, size_ref bigint, size_cur bigint, low double, mean_ref double, mean_cur double"
+    )
     return paired.join(F.broadcast(small_table(paired.sparkSession, rows, schema)), FEATURE)
 
 
@@ -172,11 +176,12 @@ def _psi_scores(
     return {f: found.get(f) or 0.0 for f in known}
 
 
-def wasserstein(paired: DataFrame, known: dict[str, Sides] | None = None) -> DataFrame:
-    """Area between the two cumulative distributions, per feature with rows on both sides.
+def distances(paired: DataFrame, known: dict[str, Sides] | None = None) -> DataFrame:
+    """Wasserstein distance and the population deviation of both sides, per feature with rows on both.
 
-    Summed by parts: each value contributes itself times the drop in the absolute difference across
-    it, so no row needs its successor.
+    The distance is the area between the cumulative distributions, summed by parts: each value
+    contributes itself times the drop in the absolute difference across it, so no row needs its
+    successor.
     """
 
     def gap(extra_ref: Column, extra_cur: Column) -> Column:
@@ -184,10 +189,20 @@ def wasserstein(paired: DataFrame, known: dict[str, Sides] | None = None) -> Dat
             (F.col("b_ref") + extra_ref) / F.col("size_ref") - (F.col("b_cur") + extra_cur) / F.col("size_cur")
         )
 
+    def deviation(side: str) -> Column:
+        off = F.col(VALUE) - F.col(f"mean_{side}")
+        return F.sqrt(F.sum(F.col(f"n_{side}") * off * off / F.col(f"size_{side}"))).alias(f"std_{side}")
+
     before, after = gap(F.lit(0), F.lit(0)), gap(F.col("n_ref"), F.col("n_cur"))
     term = (F.col(VALUE) - F.col("low")) * (before - after)
     placed = _with_sizes(paired, sides(paired) if known is None else known)
-    return placed.groupBy(FEATURE).agg(F.sum(term).alias("wasserstein"))
+    return placed.groupBy(FEATURE).agg(
+        F.sum(term).alias("wasserstein"), deviation("ref"), deviation("cur")
+    )
+
+
+def wasserstein(paired: DataFrame, known: dict[str, Sides] | None = None) -> DataFrame:
+    return distances(paired, known).select(FEATURE, "wasserstein")
 
 
 def single_drift(
@@ -200,23 +215,52 @@ def single_drift(
     return scores.join(wasserstein(paired, known), FEATURE, "left")
 
 
-def check_inputs(
-    reference: DataFrame | None, current: DataFrame | None, features: Sequence[str]
+def check_columns(
+    reference: DataFrame | None, current: DataFrame | None, columns: Sequence[str]
 ) -> None:
-    """Both sides need rows and the features, and calendar features their allowed range."""
-    require_rows(reference, "Reference dataset")
-    require_columns(reference, features, "reference")
-    require_rows(current, "Current dataset for monitoring")
-    require_columns(current, features, "current monitoring dataset")
-    require_ranges(current, {c: b for c, b in ALLOWED_RANGES.items() if c in features})
+    """Both sides exist and have the columns; reads no data."""
+    for df, name in ((reference, "Reference dataset"), (current, "Current dataset for monitoring")):
+        if df is None or not df.columns:
+            raise ValueError(f"{name} cannot be empty or None")
+        require_columns(df, columns, name)
+
+
+def check_sides(known: dict[str, Sides], columns: Sequence[str]) -> None:
+    """Every column has values on both sides."""
+    for column in columns:
+        found = known.get(column)
+        if found is None or not found.ref:
+            raise ValueError(f"Reference dataset cannot be empty or None: no values of '{column}'")
+        if not found.cur:
+            raise ValueError(f"Current dataset cannot be empty or None: no values of '{column}'")
+
+
+def check_ranges(paired: DataFrame, features: Sequence[str]) -> None:
+    """Current values of calendar features stay in their allowed range; read from the counts."""
+    bounds = {c: b for c, b in ALLOWED_RANGES.items() if c in features}
+    if not bounds:
+        return
+    outside = F.lit(False)
+    for c, (low, high) in bounds.items():
+        outside = outside | ((F.col(FEATURE) == c) & ~F.col(VALUE).between(low, high))
+    bad = paired.filter((F.col("n_cur") > 0) & outside).select(FEATURE).first()
+    if bad is not None:
+        low, high = bounds[bad[0]]
+        raise ValueError(f"Invalid feature value: '{bad[0]}' must be between {low} and {high}.")
 
 
 def drift_table(paired: DataFrame, known: dict[str, Sides], categorical: Sequence[str] = ()) -> DataFrame:
-    """PSI, distance and means of every feature of a paired count, as a local table."""
+    """PSI, distance, means and deviations of every feature of a paired count, as a local table."""
     scores = _psi_scores(paired, known, categorical=categorical)
-    distance = {r[FEATURE]: r["wasserstein"] for r in wasserstein(paired, known).collect()}
-    rows = [(f, scores[f], distance.get(f), s.ref_mean, s.cur_mean) for f, s in known.items()]
-    schema = f"{FEATURE} string, psi double, wasserstein double, reference_mean double, current_mean double"
+    far = {r[FEATURE]: r for r in distances(paired, known).collect()}
+    rows = [
+        (f, scores[f], *(far[f][1:] if f in far else (None, None, None)), s.ref_mean, s.cur_mean)
+        for f, s in known.items()
+    ]
+    schema = (
+        f"{FEATURE} string, psi double, wasserstein double, reference_std double, current_std double, "
+        "reference_mean double, current_mean double"
+    )
     return small_table(paired.sparkSession, rows, schema)
 
 
@@ -248,9 +292,12 @@ def feature_drift(
     with_means: bool = False,
 ) -> DataFrame:
     """Drift of every feature with status, threshold text and flag."""
-    check_inputs(reference, current, features)
+    check_columns(reference, current, features)
     paired = paired_counts(reference, current, features)
-    table = drift_table(paired, sides(paired), categorical)
+    known = sides(paired)
+    check_sides(known, features)
+    check_ranges(paired, features)
+    table = drift_table(paired, known, categorical)
     return _feature_report(table, settings, digits, with_means)
 
 
@@ -264,24 +311,16 @@ def _prediction_report(
 ) -> DataFrame:
     """The summary of one column of a paired count: location and spread of both sides, and drift."""
     only, size = paired.filter(F.col(FEATURE) == column), known[column]
-    v, shown = F.col(VALUE), []
+    shown = []
 
     def rounded(c: Column, place: int) -> Column:
         return c if digits is None else F.round(c, digits[place])
 
-    def spread(side: str, mean: float, rows: int) -> Column:
-        return F.sqrt(F.sum(F.col(f"n_{side}") * (v - mean) * (v - mean)) / rows).alias(side)
-
-    deviations = only.agg(
-        spread("ref", size.ref_mean, size.ref), spread("cur", size.cur_mean, size.cur)
-    ).first()
-    for side, prefix, rows, mean in (
-        ("ref", "reference", size.ref, size.ref_mean),
-        ("cur", "current", size.cur, size.cur_mean),
-    ):
+    for side, prefix, rows in (("ref", "reference", size.ref), ("cur", "current", size.cur)):
         marks = pick_quantiles(only, VALUE, QUARTILES, {None: rows}, n=f"n_{side}", before=f"b_{side}")[None]
-        values = {"mean": mean, "std": deviations[side], **marks}
-        shown += [rounded(F.lit(x), 0).alias(f"{prefix}_{name}") for name, x in values.items()]
+        values = {name: F.lit(x) for name, x in marks.items()}
+        values |= {name: F.col(f"{prefix}_{name}") for name in ("mean", "std")}
+        shown += [rounded(c, 0).alias(f"{prefix}_{name}") for name, c in values.items()]
     flag = labels.drift_detected(F.col("psi"), settings)
     return table.filter(F.col(FEATURE) == column).select(
         *shown,
@@ -300,10 +339,10 @@ def prediction_drift(
     digits: tuple[int, int] | None = (2, 4),
 ) -> DataFrame:
     """Mean, median, population deviation and quartiles of both sides, with PSI and distance."""
-    require_rows(reference.select(column), "Reference predictions")
-    require_rows(current.select(column), "Current predictions")
+    check_columns(reference, current, [column])
     paired = paired_counts(reference, current, [column])
     known = sides(paired)
+    check_sides(known, [column])
     return _prediction_report(paired, known, drift_table(paired, known), column, settings, digits)
 
 
@@ -330,13 +369,18 @@ def monitoring_report(
     Performance and alert exist only where the current rows have actuals. Features and predictions
     are counted together, so the rows are read once for all drift scores and once for performance.
     """
-    check_inputs(reference, current, CALENDAR_FEATURES)
-    paired = paired_counts(reference, current, [*CALENDAR_FEATURES, prediction])
+    columns = [*CALENDAR_FEATURES, prediction]
+    check_columns(reference, current, columns)
+    paired = paired_counts(reference, current, columns)
     known = sides(paired)
+    check_sides(known, columns)
+    check_ranges(paired, CALENDAR_FEATURES)
     table = drift_table(paired, known)
     spark, performance = current.sparkSession, None
     if actual in current.columns:
-        scores = evaluate_performance(current, actual, prediction).first()
+        scores = regression_metrics(current, actual, prediction).first()
+        if not scores["samples"]:
+            raise ValueError("Actuals and predictions cannot be empty")
         performance = small_table(spark, [tuple(scores)], PERFORMANCE_SCHEMA)
     summary = small_table(
         spark, [(label, current.count())], "dataset_label string, monitored_samples bigint"
