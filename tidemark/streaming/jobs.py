@@ -16,7 +16,8 @@ from tidemark.sources.prediction_log import append_predictions
 
 def hourly_volume(events: DataFrame, time: str = "ts", lateness: str = "2 hours") -> DataFrame:
     """Events per full hour. Rows later than the watermark are dropped; state is kept only for
-    hours that may still change. Watermarks need a zoned time, so the column is cast once."""
+    hours that may still change. Watermarks need a zoned time, so the column is cast and the result
+    cast back; keep the session zone at UTC, where no hour is skipped or doubled."""
     return (
         events.withColumn("_t", F.col(time).cast("timestamp"))
         .withWatermark("_t", lateness)
