@@ -17,7 +17,7 @@ Columbus Day,289.58,0.0,0.0,90,Rain,light rain,08-10-2012 00:00,455
 
 @pytest.fixture(scope="module")
 def raw(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("raw") / "datafile.csv"
+    path = tmp_path_factory.mktemp("raw") / "observations.csv"
     path.write_text(RAW)
     return observations.read_csv(spark, str(path))
 
@@ -81,7 +81,7 @@ def test_text_dates_are_parsed_on_load(spark, tmp_path):
 
 
 def test_metadata_document(spark, tmp_path):
-    path = tmp_path / "model_metadata.json"
+    path = tmp_path / "metadata.json"
     assert datasets.read_model_metadata(spark, str(path)) is None
     path.write_text(json.dumps({"features": ["hour", "day"], "hyperparameters": {"max_depth": 10}}, indent=2))
     row = datasets.read_model_metadata(spark, str(path)).select("features", "hyperparameters.max_depth").first()

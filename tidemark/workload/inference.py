@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import statistics, windows
+from tidemark.session import materialize
 from tidemark.workload.inputs import EV, EV_FEATURES, HR, ORD, events, hourly, orders, series
 from tidemark.workload.registry import query
 
@@ -132,7 +133,9 @@ def _ranks(column: str) -> str:
     + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, corr({f}, traffic_volume) AS pearson_r, corr(r_{f}, ry) AS spearman_r FROM r" for f in FEATURES),
 )
 def _(spark, folder):
-    return statistics.correlations(events(spark, folder), FEATURES)
+    """The base is written once: several passes would otherwise parse the event properties anew."""
+    base = materialize(events(spark, folder).select("traffic_volume", *FEATURES), "base")
+    return statistics.correlations(base, FEATURES)
 
 
 MATRIX = ["traffic_volume", "temp", "rain_1h", "clouds_all", "hour", "day", "weekday", "is_rush"]
