@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, quality_rules
+from tidemark.llm import byte_bpe, exact_dedup, mixing, quality_rules, simhash
 from tidemark.llm.common import documents
 from tidemark.session import materialize
 
 STAGES = [
     ("quality rules", quality_rules.stage),
     ("exact dedup", exact_dedup.stage),
+    ("simhash near-dedup", simhash.stage),
     ("mixing sources to target weights", mixing.stage),
+    ("byte-level bpe", byte_bpe.stage),
 ]
 
 # Encoding cannot be said in SQL.

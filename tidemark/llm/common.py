@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,8 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+_SHIPPED: set[str] = set()
+
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
@@ -45,3 +51,36 @@ def text_of(name: str) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text as an array; repeats and order stay."""
     return F.array_remove(F.split(text, BLANK + "+"), "")
+
+
+def python_ready(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Limit what Spark hands to a Python worker at once, since texts can be long, and see that workers
+    find this package: a cluster that does not have it installed or on its path gets it as a zip file."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = "spark.sql.execution.arrow." + key
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+    package = Path(__file__).resolve().parents[1]
+    known = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if package.parent in known or "site-packages" in package.parts:
+        return
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        with tempfile.TemporaryDirectory() as folder:
+            archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+            context.addPyFile(archive)
+
+
+def join_with_large_keys(
+    rows: DataFrame, table: DataFrame, key: str, count: str, total: int, share: int = 1000
+) -> DataFrame:
+    """Inner join of ``rows`` with a written ``table`` that has each key once and, in ``count``, how many
+    rows have it. Keys with a ``1 / share`` of all ``total`` rows or more are at most ``share`` and are
+    joined by broadcast, so that no task gets all rows of a frequent key; the others shuffle."""
+    large = table.filter(F.col(count) * share >= total).drop(count)
+    rest = table.filter(F.col(count) * share < total).drop(count)
+    at_once = rows.join(F.broadcast(large), key)
+    others = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(rest, key)
+    return at_once.unionByName(others)

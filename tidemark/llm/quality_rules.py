@@ -148,10 +148,19 @@ def quality(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -
     return df.select(*columns(own), whole.alias(result))
 
 
+def kept_rows(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """Only the rows that pass; their texts stay as they are."""
+    judged = quality(df, text, rules)
+    # The optimiser would push the filter below the steps that keep intermediate arrays, and so compute
+    # them again for each element; it does not do so across a column of row numbers.
+    (row,) = fresh(judged, "row")
+    verdict = quoted(judged.columns[-1])["kept"] & (F.col(row) >= 0)
+    numbered = judged.withColumn(row, F.monotonically_increasing_id())
+    return numbered.filter(verdict).select(*columns(df.columns))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only the documents that pass; their texts stay as they are."""
-    judged = quality(docs)
-    return judged.filter(quoted(judged.columns[-1])["kept"]).select(*columns(docs.columns))
+    return kept_rows(docs)
 
 
 def op2_quality_rules(spark, folder: str) -> DataFrame:
