@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, fresh, python_ready, quoted, text_of
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
-CACHED_PIECES = 250_000
+CACHED_PIECES = 200_000
 CACHED_LENGTH = 64
 
 

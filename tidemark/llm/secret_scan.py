@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and Markov models of random strings against ordinary identifiers.
 
 Two kinds of character models (first order, smoothed) are trained from labelled samples. Ordinary
-identifiers are words of the corpus that no pattern calls a secret; random strings are the values that
+identifiers are words of the corpus that no pattern calls a secret, and names made of two of them; random strings are the values that
 the patterns find there and strings drawn with a seed from the alphabets in which keys are written, one
 model for each alphabet. A token of at least ``MIN_LENGTH`` characters is a secret if the best random
 model beats the ordinary one by more, per character, than the ordinary tokens of the held-out sample
@@ -105,9 +105,19 @@ class Models:
         return base, sorted(base + added)
 
 
-def _logs(counts: np.ndarray, smoothing: float) -> np.ndarray:
-    table = counts.reshape(SIZE, SIZE) + smoothing
-    return np.log(table / table.sum(axis=1, keepdims=True)).ravel()
+def _logs(counts: np.ndarray, backed: float = 1.0, smoothing: float = 0.1) -> np.ndarray:
+    """Log probabilities of the second character of each pair; pairs that were rarely seen fall back on
+    the share of that character."""
+    table = counts.reshape(SIZE, SIZE)
+    share = (table.sum(axis=0) + smoothing) / (table.sum() + smoothing * SIZE)
+    return np.log((table + backed * share) / (table.sum(axis=1, keepdims=True) + backed)).ravel()
+
+
+def identifiers(words: list[str]) -> Iterator[str]:
+    """Names as programs write them, from neighbouring words."""
+    for a, b in zip(words[::6], words[1::6]):
+        a, b = a.lower(), b.lower()
+        yield from (f"{a}_{b}", f"{a}-{b}", f"{a}/{b}", a + b.capitalize(), a.capitalize() + b.capitalize(), f"{a}_{b}".upper())
 
 
 def random_strings(alphabet: str, rng: np.random.Generator, n: int = SYNTHETIC) -> list[str]:
@@ -124,8 +134,8 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             text = text.as_py() or ""
             base, at = base_spans(text), 0
             for start, _, end in [*base, (len(text), 0, len(text))]:
-                for m in WORD.finditer(text, at, max(at, start)):
-                    token = m.group()
+                words = WORD.findall(text, at, max(at, start))
+                for token in [*words, *identifiers(words)]:
                     # Every fourth of the long ordinary tokens is kept back for the threshold.
                     if len(token) >= MIN_LENGTH and sum(map(ord, token)) % 4 == 0:
                         if len(held) < 200:
@@ -171,12 +181,12 @@ def fit(df: DataFrame, text: str = "text", seed: int = SEED) -> Models:
         own = np.zeros(SIZE * SIZE)
         for token in random_strings(alphabet, rng):
             np.add.at(own, transitions(token), 1)
-        models.append(_logs(own, 0.05))
+        models.append(_logs(own))
     if counts[1].sum() >= 10_000:
-        models.append(_logs(counts[1], 0.05))
+        models.append(_logs(counts[1]))
     if not counts[0].sum():
         return Models(None, np.array(models), MARGIN)
-    found = Models(_logs(counts[0], 0.2), np.array(models), MARGIN)
+    found = Models(_logs(counts[0]), np.array(models), MARGIN)
     held_out = [found.ratio(token) for token in table.loc[table["label"] == 2, "token"]]
     return Models(found.ordinary, found.random, max([MARGIN, *(r + 0.2 for r in held_out if r < MARGIN + 0.4)]))
 
