@@ -101,7 +101,7 @@ def test_batch_scoring_after_reload(spark, split, tmp_path):
     scored = modeling.score_batch(loaded, text).collect()
     assert [r.hour for r in scored] == [8, 17] and all(r.Prediction > 0 for r in scored)
     assert scored[0].flow_class in {"Smooth Traffic Flow", "Moderate Traffic", "Heavy Traffic"}
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         modeling.score_batch(loaded, spark.range(3))
     curve = modeling.diurnal_curve(spark, loaded).collect()
     assert [r.hour for r in curve] == list(range(24)) and {r.weekday for r in curve} == {2}
@@ -185,3 +185,12 @@ def test_residual_diagnostics(scored):
     assert row.mean_residual == pytest.approx(r.mean())
     assert row.median_residual == pytest.approx(r.median())
     assert row.skewness == pytest.approx(r.skew())
+
+
+@pytest.mark.parametrize("missing", [0, 10, 99])
+def test_split_and_summary_agree_on_rows_without_a_time(make_series, missing):
+    df = make_series(range(100)).withColumn("date_time", F.when(F.col("obs_id") >= missing, F.col("date_time")))
+    train, test = modeling.chronological_split(df)
+    rows = {r.split: r.row_count for r in modeling.split_summary(df).collect()}
+    assert (train.count(), test.count()) == (rows["train"], rows["test"]) == (85, 15)
+    assert test.filter("date_time IS NULL").count() == min(missing, 15)

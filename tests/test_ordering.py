@@ -89,18 +89,43 @@ def test_key_at_and_before_key(skewed, position):
     assert skewed.filter(ordering.before_key(["v", "id"], bound)).count() == position
 
 
+@pytest.mark.parametrize("position", [0, 3, 49, 50, 80, 99])
+def test_missing_keys_come_last_and_no_row_is_lost(spark, position):
+    rows = [(k % 7 if k % 3 else None, k if k % 2 else None) for k in range(100)]
+    df = spark.createDataFrame(rows, "v int, id int").repartition(5)
+    order = sorted(rows, key=lambda r: tuple((x is None, x or 0) for x in r))
+    bound = ordering.key_at(df, ["v", "id"], position)
+    assert bound == order[position]
+    before = df.filter(ordering.before_key(["v", "id"], bound)).count()
+    assert before == order.index(order[position])
+    assert before + df.filter(ordering.from_key(["v", "id"], bound)).count() == 100
+
+
 def test_key_at_beyond_the_end(skewed):
     assert ordering.key_at(skewed, ["v", "id"], 6000) is None
 
 
-@pytest.mark.parametrize("sort_limit", [0, 100_000])
-def test_both_ways_to_find_a_time_agree(make_series, sort_limit):
+def test_split_position_inside_a_crowded_hour(make_series):
     df = make_series(range(400), hours=[min(i, 100) for i in range(400)])
-    bound = ordering.time_key_at(df, ["date_time", "obs_id"], 0.85, sort_limit)
+    bound = ordering.time_key_at(df, ["date_time", "obs_id"], 0.85)
     assert df.filter(ordering.before_key(["date_time", "obs_id"], bound)).count() == 340
     assert ordering.time_key_at(df.filter("false"), ["date_time", "obs_id"], 0.85) is None
 
 
+@pytest.mark.parametrize("missing", [0, 10, 60, 100])
+def test_split_position_with_rows_without_time_or_id(make_series, missing):
+    df = make_series(range(100), hours=[k // 9 for k in range(100)])
+    df = df.withColumn("date_time", F.when(F.col("obs_id") >= missing, F.col("date_time")))
+    df = df.withColumn("obs_id", F.when(F.col("obs_id") % 2 == 0, F.col("obs_id")))
+    keys = ["date_time", "obs_id"]
+    bound = ordering.time_key_at(df, keys, 0.85)
+    early, late = df.filter(ordering.before_key(keys, bound)), df.filter(ordering.from_key(keys, bound))
+    # Rows alike in all keys cannot be told apart; they stay together on the late side.
+    same = df.filter(F.col("date_time").eqNullSafe(F.lit(bound[0])) & F.col("obs_id").eqNullSafe(F.lit(bound[1]))).count()
+    assert early.count() + late.count() == 100
+    assert 85 - same < early.count() <= 85
+
+
 def test_halo_rows_are_never_owned_twice(spark):
     df = spark.range(1000).withColumnRenamed("id", "ordinal")
     chunked = ordering.halo_chunks(df, lookback=10, chunk_rows=64)

@@ -119,3 +119,27 @@ def test_top_k_per_year_keeps_ties(make_series):
     df = make_series([5, 5, 4, 3, 3, 1], hours=[0, 1, 2, 3, 4, 9000])
     got = selection.top_k_per_year(df, 2).orderBy("obs_id").collect()
     assert [(r.obs_id, r.volume_rank) for r in got] == [(0, 1), (1, 1), (2, 2), (5, 1)]
+
+
+def test_long_lags_leave_the_average_alone(make_series):
+    """A lag of a year over hours stretches the halo, not the weights of the average."""
+    values = np.random.default_rng(4).integers(0, 7000, 20000).astype(float)
+    df = make_series(values).repartition(6)
+    got = windows.forecasting_features(df, lags=(1, 24, 8760), drop_incomplete=False).orderBy("date_time").toPandas()
+    expected = reference(values)
+    assert np.allclose(got["ewma_24h"], expected["ewma_24h"], rtol=1e-9, equal_nan=True)
+    assert np.allclose(got["lag_8760h"], pd.Series(values).shift(8760), equal_nan=True)
+    assert windows.forecasting_features(df, lags=(1, 24, 8760)).count() == 20000 - 8760
+
+
+def test_values_that_are_not_numbers_do_not_drop_rows(make_series):
+    values = [float(k) for k in range(100)]
+    values[50] = float("nan")
+    assert windows.forecasting_features(make_series(values)).count() == 76
+
+
+@pytest.mark.parametrize("span", [1, 2, 24, 400])
+def test_any_span(make_series, volumes, span):
+    got = windows.forecasting_features(make_series(volumes), span=span, chunk_rows=500, drop_incomplete=False)
+    got = got.orderBy("date_time").toPandas()[f"ewma_{span}h"]
+    assert np.allclose(got, pd.Series(volumes).shift(1).ewm(span=span).mean(), rtol=1e-9, equal_nan=True)

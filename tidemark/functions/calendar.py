@@ -29,9 +29,15 @@ DAY_FIRST_FORMATS = (
 )
 
 
-def parse_time(text: Column, formats: tuple[str, ...] = DAY_FIRST_FORMATS) -> Column:
-    """Day-first parse into a zone-free timestamp; null where no format fits."""
+def parse_time(
+    text: Column, formats: tuple[str, ...] = DAY_FIRST_FORMATS, strict: bool = False
+) -> Column:
+    """Day-first parse into a zone-free timestamp. Where no format fits, null or, if ``strict``, an
+    error that names the text; a null text is a null time."""
     tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    if strict:
+        message = F.concat(F.lit("unreadable time: "), text)
+        tries.append(F.when(text.isNotNull(), F.raise_error(message).cast("timestamp_ntz")))
     return F.coalesce(*tries)
 
 

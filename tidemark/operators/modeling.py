@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.config import CALENDAR_FEATURES, DEFAULTS, LAG_FEATURES, WEATHER_FEATURES, Settings
 from tidemark.functions import calendar, labels
 from tidemark.operators import selection
-from tidemark.operators.ordering import before_key, time_key_at
+from tidemark.operators.ordering import before_key, from_key, time_key_at
 from tidemark.operators.quality import require_values
 from tidemark.operators.statistics import bias_corrected_shape
 from tidemark.operators.quantiles import overall_quantiles
@@ -32,25 +32,27 @@ def time_keys(df: DataFrame) -> list[str]:
     return [k for k in TIME_KEYS if k in df.columns]
 
 
-def split_condition(df: DataFrame, settings: Settings = DEFAULTS) -> Column:
-    """True for the earliest ``int(n * share)`` rows.
+def split_conditions(df: DataFrame, settings: Settings = DEFAULTS) -> tuple[Column, Column]:
+    """Filters of the earliest ``int(n * share)`` rows and of all others; rows without a time are late.
 
     The row at the split position is located through counts per time; the split itself is then a
     comparison with constants that reaches the scan, and no row is moved.
     """
     keys = time_keys(df)
     bound = time_key_at(df, keys, settings.train_share)
-    return F.lit(True) if bound is None else before_key(keys, bound)
+    if bound is None:
+        return F.lit(True), F.lit(False)
+    return before_key(keys, bound), from_key(keys, bound)
 
 
 def chronological_split(df: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    early = split_condition(df, settings)
-    return df.filter(early), df.filter(~early)
+    early, late = split_conditions(df, settings)
+    return df.filter(early), df.filter(late)
 
 
 def split_summary(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Rows, percent and time window of both sides."""
-    early = split_condition(df, settings)
+    early, _ = split_conditions(df, settings)
     total = df.agg(F.count("*")).scalar()
     return (
         df.groupBy(F.when(early, "train").otherwise("test").alias("split"))

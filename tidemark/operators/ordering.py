@@ -24,7 +24,9 @@ HOT_SHARE = 1000
 
 
 def layout(df: DataFrame, keys: Sequence[str | Column], name: str = "layout") -> DataFrame:
-    """Range-partition and sort by ``keys``; add block and slot; write once."""
+    """Range-partition and sort by ``keys`` (a name: ascending, missing values last); add block and
+    slot; write once."""
+    keys = [F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in keys]
     position = F.monotonically_increasing_id()
     placed = (
         df.repartitionByRange(*keys)
@@ -166,59 +168,47 @@ def _lookup_by_shuffle(
     return joined.unionByName(facts.filter(F.col(key).isNull()).select("*", *missing))
 
 
-def key_at(
-    df: DataFrame, keys: Sequence[str], position: int, found: Sequence = ()
-) -> tuple | None:
-    """The values of ``keys`` in the row at a zero-based position of the total order.
-
-    Works key by key: the distinct values of the first key are counted and ranked, the one that
-    contains the position is kept, and the search goes on among its ties with the next key. No
-    data row is sorted or moved; one row per key reaches the driver.
-    """
-    if not keys:
-        return tuple(found) or None
-    key = keys[0]
-    spot = (
-        ranked_values(df, key)
-        .filter((F.col("before") <= position) & (position < F.col("before") + F.col("n")))
-        .select(F.col(key).alias("v"), "before", "n")
-        .first()
-    )
-    if spot is None:
-        return None
-    found = [*found, spot["v"]]
-    if spot["n"] == 1:
-        return tuple(found)
-    ties = df.filter(F.col(key) == constant(spot["v"]))
-    return key_at(ties, keys[1:], position - spot["before"], found)
+def key_at(df: DataFrame, keys: Sequence[str], position: int) -> tuple | None:
+    """The values of ``keys`` in the row at a zero-based position of their total order, missing values
+    last; None beyond the end. The keys are range-sorted by themselves, and two rows per block at most
+    reach the driver."""
+    laid = layout(df.select(*keys), keys, "keys")
+    blocks = laid.groupBy(BLOCK).agg(F.count("*").alias("n")).collect()
+    for block in sorted(blocks, key=lambda r: r[BLOCK]):
+        if position < block["n"]:
+            row = laid.filter((F.col(BLOCK) == block[BLOCK]) & (F.col(SLOT) == position)).first()
+            return tuple(row[k] for k in keys)
+        position -= block["n"]
+    return None
 
 
-def time_key_at(
-    df: DataFrame, keys: Sequence[str], share: float, sort_limit: int = 100_000
-) -> tuple | None:
-    """The key of the row at position ``int(rows * share)`` of an order that starts with a time.
+def time_key_at(df: DataFrame, keys: Sequence[str], share: float) -> tuple | None:
+    """The key of the row at position ``int(rows * share)`` of an order that starts with a time, rows
+    without a time last; None only for a table without rows.
 
     Rows per hour are counted first; their number is bounded by the calendar, so they may be summed
-    up in one task. Only the hour that holds the position is searched further: by a plain sort if it
-    has at most ``sort_limit`` rows, else through its distinct values.
+    up in one task. Only the hour that holds the position is sorted.
     """
     time = F.col(keys[0])
-    hours = df.filter(time.isNotNull()).groupBy(hour_start(time).alias("hour")).agg(F.count("*").alias("n"))
-    upto, total = F.sum("n").over(Window.orderBy("hour")), F.sum("n").over(Window.partitionBy())
+    hours = df.groupBy(hour_start(time).alias("hour")).agg(F.count("*").alias("n"))
+    by_hour = Window.orderBy(F.col("hour").asc_nulls_last())
+    upto, total = F.sum("n").over(by_hour), F.sum("n").over(Window.partitionBy())
     placed = hours.select("hour", "n", (upto - F.col("n")).alias("before"), total.alias("total"))
-    wanted = F.floor(F.col("total") * F.lit(share))
+    wanted = F.least(F.floor(F.col("total") * F.lit(share)), F.col("total") - 1)
     spot = placed.filter(
         (F.col("before") <= wanted) & (wanted < F.col("before") + F.col("n"))
     ).withColumn("wanted", wanted).first()
     if spot is None:
         return None
-    start = constant(spot["hour"])
-    inside = df.filter((time >= start) & (time < start + F.expr("INTERVAL 1 HOUR")))
-    position = spot["wanted"] - spot["before"]
-    if spot["n"] > sort_limit:
-        return key_at(inside, keys, position)
-    row = inside.select(*keys).orderBy(*keys).offset(position).limit(1).first()
-    return None if row is None else tuple(row)
+    if spot["hour"] is None:
+        inside = df.filter(time.isNull())
+    else:
+        start = constant(spot["hour"])
+        inside = df.filter((time >= start) & (time < start + F.expr("INTERVAL 1 HOUR")))
+    found = key_at(inside, keys, spot["wanted"] - spot["before"])
+    if found is None:
+        raise RuntimeError("the table changed while its split was sought")
+    return found
 
 
 def constant(value) -> Column:
@@ -230,11 +220,27 @@ def constant(value) -> Column:
 
 
 def before_key(keys: Sequence[str], bound: tuple) -> Column:
-    """Rows that come before ``bound`` in the total order, as a comparison with constants."""
+    """Rows that come before ``bound`` in the total order, as a comparison with constants; missing
+    values come last. A filter only: the condition is null where it is not true for a missing value."""
     condition = F.lit(False)
     for key, value in reversed(list(zip(keys, bound))):
-        bound_value = constant(value)
-        condition = (F.col(key) < bound_value) | ((F.col(key) == bound_value) & condition)
+        c = F.col(key)
+        if value is None:
+            condition = c.isNotNull() | condition
+        else:
+            condition = (c < constant(value)) | ((c == constant(value)) & condition)
+    return condition
+
+
+def from_key(keys: Sequence[str], bound: tuple) -> Column:
+    """All other rows: ``bound`` itself and what comes behind it."""
+    condition = F.lit(True)
+    for key, value in reversed(list(zip(keys, bound))):
+        c = F.col(key)
+        if value is None:
+            condition = c.isNull() & condition
+        else:
+            condition = (c > constant(value)) | c.isNull() | ((c == constant(value)) & condition)
     return condition
 
 

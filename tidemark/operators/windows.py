@@ -60,17 +60,32 @@ def lag_features(
     )
 
 
-def _decay(span: int, chunk_rows: int | None, lookback: int) -> tuple[float, int, int]:
-    """Decay factor, halo and chunk size of an exponential average.
+def _decay(span: int) -> tuple[float, int]:
+    """Decay factor of an exponential average, and the number of rows after which a weight is below
+    double precision."""
+    q = 1.0 - 2.0 / (span + 1)
+    return q, math.ceil(math.log(1e-18) / math.log(q)) if q > 0 else 1
+
+
+def _exponential_average(v: Column, q: float, reach: int, place: Column, parts: Sequence[str]) -> Column:
+    """``sum(q^age * v) / sum(q^age)`` over the rows before each row of a chunk.
 
-    The halo is long enough for older rows to weigh less than double precision; the chunk is short
-    enough for the inverse weights inside it to stay finite.
+    Rows are cut into runs of ``reach``. A row adds up its own run so far, with weights relative to
+    the start of the run, and the whole run before it; older rows weigh nothing. No weight leaves
+    the range of ``q^reach``, however long a chunk is.
     """
-    q = 1.0 - 2.0 / (span + 1)
-    halo = max(lookback, math.ceil(math.log(1e-18) / math.log(q)))
-    longest = math.floor(600 / -math.log(q)) - halo
-    size = max(halo, min(chunk_rows or 8192, longest))
-    return q, halo, size
+    run = F.floor(place / reach)
+    inside = place - run * reach
+    so_far = Window.partitionBy(*parts, run).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*parts).orderBy(run).rangeBetween(-1, -1)
+
+    def weighted(x: Column) -> Column:
+        own = F.sum(x * F.pow(F.lit(q), -inside.cast("double"))).over(so_far)
+        last = F.sum(x * F.pow(F.lit(q), (reach - 1 - inside).cast("double"))).over(before)
+        scale = F.pow(F.lit(q), (inside - 1).cast("double"))
+        return F.coalesce(own * scale, F.lit(0.0)) + F.coalesce(last * scale * q, F.lit(0.0))
+
+    return F.try_divide(weighted(v), weighted(F.when(v.isNotNull(), 1.0)))
 
 
 def forecasting_features(
@@ -87,35 +102,36 @@ def forecasting_features(
     """Lags, rolling mean and sample deviation of the previous ``window`` rows, and the bias-adjusted
     exponential average of all previous rows. The current volume enters none of them.
 
-    Rolling features need a full window of values. The exponential average is
-    ``sum(q^age * v) / sum(q^age)``; with weights taken relative to the chunk start it is a ratio of
-    two running sums.
+    Rolling features need a full window of values. ``drop_incomplete`` drops rows whose history is
+    too short for a feature, and no others.
     """
-    q, halo, size = _decay(span, chunk_rows, max(*lags, window))
+    q, reach = _decay(span)
+    halo = max(*lags, window, reach)
+    size = max(chunk_rows or 8192, halo)
     chunked = _in_chunks(df, keys, halo, size, series)
     v = F.col(TARGET).cast("double")
     order = Window.partitionBy("chunk", *series).orderBy("ordinal")
     previous = order.rowsBetween(-window, -1)
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
     place = F.col("ordinal") - F.col("chunk") * size
-    inverse = F.pow(F.lit(q), -place.cast("double"))
-    weighted = F.sum(v * inverse).over(past)
-    weights = F.sum(F.when(v.isNotNull(), inverse)).over(past)
     full = F.count(v).over(previous) == window
+    # A span of one row leaves no weight but that of the row before.
+    parts = ["chunk", *series]
+    average = _exponential_average(v, q, reach, place, parts) if q > 0 else F.lag(v, 1).over(order)
     features = chunked.withColumns(
         {
             **{f"lag_{n}h": F.lag(v, n).over(order) for n in lags},
             f"rolling_mean_{window}h": F.when(full, F.avg(v).over(previous)),
             f"rolling_std_{window}h": F.when(full, F.stddev_samp(v).over(previous)),
-            f"ewma_{span}h": weighted / weights,
+            f"ewma_{span}h": average,
         }
     )
     done = _finish(features, [] if keep_ordinal else ["ordinal"])
     if drop_incomplete:
-        done = done.na.drop(
-            subset=[f"lag_{n}h" for n in lags]
-            + [f"rolling_mean_{window}h", f"rolling_std_{window}h", f"ewma_{span}h"]
-        )
+        names = [f"lag_{n}h" for n in lags] + [f"rolling_mean_{window}h", f"rolling_std_{window}h", f"ewma_{span}h"]
+        complete = F.lit(True)
+        for name in names:
+            complete = complete & F.col(name).isNotNull()
+        done = done.filter(complete)
     return done
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,25 +37,40 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    """Fail before any job runs if columns are missing, naming them."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"Dataset '{name}' missing required columns: {missing}")
+    """``df`` itself, or an error that lists what it lacks; reads no data."""
+    present = set(df.columns)
+    if not present.issuperset(columns):
+        absent = ", ".join(c for c in columns if c not in present)
+        raise ValueError(f"{name} lacks the columns: {absent}")
     return df
 
 
+def identity(df: DataFrame) -> Column:
+    """A number that depends on all columns of a row, nulls included, and on nothing else."""
+    return F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+
+
 def prepare(
-    raw: DataFrame, settings: Settings = DEFAULTS, deduplicate: bool = True
+    raw: DataFrame,
+    settings: Settings = DEFAULTS,
+    deduplicate: bool = True,
+    identified: bool = True,
+    strict: bool = True,
 ) -> DataFrame:
     """Parsed, de-duplicated observations with calendar features: the base of every job.
 
     Copies collapse in the map-side step of the aggregate, so a row repeated across a third of
-    the input is not gathered anywhere.
+    the input is not gathered anywhere. Rows without an ``obs_id`` get one from their raw columns,
+    which orders rows of the same time alike however they are partitioned (not if ``identified`` is
+    false, for tables with one row per time). A time that no known format fits is an error, or null
+    if not ``strict``; a row without a time is kept and comes last in every order.
     """
     df = raw.dropDuplicates() if deduplicate else raw
+    if identified and "obs_id" not in df.columns:
+        df = df.withColumn("obs_id", identity(df))
     kind = df.schema["date_time"].dataType
     if isinstance(kind, T.StringType):
-        df = df.withColumn("date_time", calendar.parse_time(F.col("date_time")))
+        df = df.withColumn("date_time", calendar.parse_time(F.col("date_time"), strict=strict))
     elif not isinstance(kind, T.TimestampNTZType):
         df = df.withColumn("date_time", F.col("date_time").cast("timestamp_ntz"))
     return calendar.with_calendar(df, settings)
@@ -96,7 +111,7 @@ def hourly_from_events(
             F.avg(F.get_json_object("props", "$.k").cast("int")).alias("clouds_all"),
         )
     )
-    return prepare(hourly, settings, deduplicate=False)
+    return prepare(hourly, settings, deduplicate=False, identified=False)
 
 
 def observations_from_orders(
