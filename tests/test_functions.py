@@ -1,3 +1,4 @@
+import math
 from datetime import datetime
 
 import pytest
@@ -105,3 +106,39 @@ def test_published_p_values():
     assert dist.chi2_upper(889.87, 10) == pytest.approx(9.6399e-185, rel=1e-3)
     assert dist.t_two_sided(0.0, 5) == pytest.approx(1.0)
     assert dist.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
+
+
+@pytest.mark.parametrize("df", [1e2, 1e3, 1e5, 1.9e5, 2.1e5, 1e7, 1e9, 1e11, 1e13])
+def test_t_quantiles_approach_the_normal_one(df):
+    z = 1.959963984540054
+    terms = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
+    expansion = z + sum(t / df ** (k + 1) for k, t in enumerate(terms))
+    assert dist.t_quantile(0.95, df) == pytest.approx(expansion, abs=2e-8 if df < 1e3 else 1e-9)
+
+
+@pytest.mark.parametrize("df", [1e7, 1e9, 1e11, 1e13])
+def test_f_tail_approaches_the_chi_square_tail(df):
+    assert dist.f_upper(2.6, 3, df) == pytest.approx(dist.chi2_upper(7.8, 3), rel=100 / df + 1e-9)
+
+
+def test_tails_agree_on_both_sides_of_the_expansions(monkeypatch):
+    cases = [(dist.chi2_upper, (x, 210000.0)) for x in (207000.0, 210000.0, 210300.0, 213000.0)]
+    cases += [(dist.f_upper, (f, 3, 300000.0)) for f in (0.1, 1.0, 2.6, 9.0)]
+    cases += [(dist.t_two_sided, (t, 300000.0)) for t in (0.01, 1.0, 3.0, 6.0)]
+    expanded = [f(*args) for f, args in cases]
+    monkeypatch.setattr(dist, "_LARGE_BETA", 1e18)
+    monkeypatch.setattr(dist, "_LARGE_GAMMA", 1e18)
+    assert expanded == pytest.approx([f(*args) for f, args in cases], rel=1e-9)
+
+
+def test_the_median_of_a_wide_chi_square_is_near_a_half():
+    for df in (1e6, 1e9, 1e12):
+        assert dist.chi2_upper(df, df) == pytest.approx(0.5, abs=1 / math.sqrt(df))
+
+
+def test_loops_that_do_not_converge_raise(monkeypatch):
+    monkeypatch.setattr(dist, "_STEPS", 5)
+    with pytest.raises(ArithmeticError):
+        dist.chi2_upper(1000.0, 1000.0)
+    with pytest.raises(ArithmeticError):
+        dist.t_two_sided(0.5, 5000.0)

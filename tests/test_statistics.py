@@ -179,7 +179,7 @@ def test_quality_profiles(make_series, sample, pdf):
     assert row.duplicate_count == 1500 - doubled.distinct().count()
     nulls = {r.column_name: r.missing_count for r in quality.null_profile(make_series([1, None, None])).collect()}
     assert nulls["traffic_volume"] == 2 and nulls["hour"] == 0
-    with pytest.raises(ValueError, match="'hour' must be between 0 and 23"):
+    with pytest.raises(ValueError, match="'hour' outside 0 to 23"):
         quality.require_ranges(sample.withColumn("hour", F.lit(99)))
     assert quality.require_ranges(sample) is sample
 
@@ -218,3 +218,34 @@ def test_missing_weekday_keeps_a_null_row(make_series):
 def test_shift_falls_back_to_the_overall_mean(make_series):
     row = aggregates.conditional_shift(make_series([4.0, 6.0])).first()
     assert (row.rush_mean, row.non_rush_mean, row.rush_pct_shift) == (5.0, 5.0, 0.0)
+
+
+@pytest.mark.parametrize("mean", [3, 9, 10, 40, 41, 700, 10**7])
+def test_resampling_weights_are_poisson(spark, mean):
+    """Mean, variance and third moment of the draws for one count, whichever way they are made."""
+    draws = 20000
+    key = [F.lit(1.5), F.col("id"), F.lit(42)]
+    if mean < 10:
+        one = [statistics._poisson_one(statistics._uniform(*key, F.lit(i))) for i in range(1, mean + 1)]
+        draw = sum(one[1:], one[0]).cast("double")
+    else:
+        draw = statistics._poisson(F.lit(float(mean)), key).cast("double")
+    values = np.array([r[0] for r in spark.range(draws).select(draw).collect()])
+    z = (values - mean) / math.sqrt(mean)
+    assert abs(z.mean()) < 5 / math.sqrt(draws)
+    assert z.var() == pytest.approx(1, abs=0.06)
+    assert (z**3).mean() == pytest.approx(1 / math.sqrt(mean), abs=0.15)
+
+
+def test_kruskal_keeps_its_digits_for_large_counts(spark):
+    """Groups of near equal ranks: H is tiny against the terms it used to be the difference of."""
+    rows = [(c, float(v), n) for c, v, n in [("a", 1, 3000), ("a", 2, 3001), ("b", 1, 3002), ("b", 2, 3000), ("c", 1, 3000), ("c", 2, 3000)]]
+    df = spark.createDataFrame(rows, "weather_main string, traffic_volume double, n int")
+    df = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).select("weather_main", "traffic_volume")
+    h = statistics.category_test(df).first().kruskal_h
+    n, low = 18003, 9002
+    groups = {"a": (3000, 3001), "b": (3002, 3000), "c": (3000, 3000)}
+    mid1, mid2 = (low + 1) / 2, low + (n - low + 1) / 2
+    square = sum((x * mid1 + y * mid2 - (x + y) * (n + 1) / 2) ** 2 / (x + y) for x, y in groups.values())
+    ties = low**3 - low + (n - low) ** 3 - (n - low)
+    assert h == pytest.approx(12 / (n * (n + 1)) * square / (1 - ties / (n**3 - n)), rel=1e-9)

@@ -152,28 +152,56 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
+def _log_factorial(k: Column) -> Column:
+    small = F.array(*[F.lit(math.lgamma(i + 1.0)) for i in range(10)])
+    x = k + 1.0
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    large = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series
+    return F.when(k < 10, F.get(small, k.cast("int"))).otherwise(large)
+
+
+def _poisson(mean: Column, key: Sequence[Column]) -> Column:
+    """A Poisson draw with a mean of 10 or more from hashed uniforms, by transformed rejection.
+
+    A try fails with a probability below a fifth; that all of the tries do is out of the question.
+    """
+    b = 0.931 + 2.53 * F.sqrt(mean)
+    a = -0.059 + 0.02483 * b
+    scale, quick = 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6224 / (b - 2.0)
+
+    def attempt(i: Column) -> Column:
+        u, v = _uniform(*key, 2 * i) - 0.5, _uniform(*key, 2 * i + 1)
+        edge = F.greatest(0.5 - F.abs(u), F.lit(1e-18))
+        k = F.floor((2 * a / edge + b) * u + mean + 0.43)
+        inside = (edge >= 0.07) & (v <= quick)
+        level = F.log(F.greatest(v, F.lit(1e-300))) + F.log(scale) - F.log(a / (edge * edge) + b)
+        below = level <= k * F.log(mean) - mean - _log_factorial(k)
+        return F.when(inside | ((k >= 0) & ~((edge < 0.013) & (v > edge)) & below), k)
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(64)), F.lit(None).cast("bigint"), lambda found, i: F.coalesce(found, attempt(i))
+    )
+
+
 def bootstrap_replicates(
     df: DataFrame, value: str = TARGET, replicates: int = 1000, seed: int = 42
 ) -> DataFrame:
     """Mean of each bootstrap resample, with Poisson resampling weights.
 
     A weight depends on the value, the replicate and the seed only, so the result does not depend
-    on the partitioning. Equal values share one draw: the sum of up to 40 unit draws, beyond that
-    its normal limit. Each task sends one partial sum per replicate.
+    on the partitioning. Equal values share one draw, Poisson with their number as its mean. Each
+    task sends one partial sum per replicate.
     """
     counts = value_counts(df, value).select(F.col(value).cast("double").alias("_v"), "n")
     drawn = counts.select("_v", "n", F.explode(F.expr(f"sequence(0, {replicates - 1})")).alias("replicate"))
     key = [F.col("_v"), F.col("replicate"), F.lit(seed)]
     few = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.col("n"), F.lit(40)).cast("int")),
+        F.sequence(F.lit(1), F.least(F.col("n"), F.lit(10)).cast("int")),
         F.lit(0),
         lambda total, i: total + _poisson_one(_uniform(*key, i)),
     ).cast("double")
-    radius = F.sqrt(-2.0 * F.log(1.0 - _uniform(*key, F.lit(-1))))
-    normal = radius * F.cos(2 * math.pi * _uniform(*key, F.lit(-2)))
-    many = F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt(F.col("n").cast("double")) * normal))
     weight = F.when(F.col("n") == 1, _poisson_one(_uniform(*key, F.lit(1))).cast("double"))
-    weight = weight.when(F.col("n") <= 40, few).otherwise(many)
+    weight = weight.when(F.col("n") < 10, few).otherwise(_poisson(F.col("n").cast("double"), key).cast("double"))
     weighted = drawn.withColumn("_w", weight)
     return weighted.groupBy("replicate").agg(
         F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("mean_value")
@@ -329,14 +357,15 @@ def two_sample(
     )
     v, c1, c2 = F.col("v"), F.col("c1"), F.col("c2")
     n = c1 + c2
-    mid = F.col("b1") + F.col("b2") + (n + 1) / 2
+    # Twice the mid-rank is a whole number; rank sums of any size are exact as decimals.
+    twice_mid = (2 * (F.col("b1") + F.col("b2")) + n + 1).cast("decimal(19,0)")
     tied = n.cast("double")
     s = ranked.agg(
         F.sum("c1").alias("n1"),
         F.sum("c2").alias("n2"),
         F.sum(c1 * v).alias("s1"),
         F.sum(c2 * v).alias("s2"),
-        F.sum(c1 * mid).alias("r1"),
+        F.sum(c1.cast("decimal(18,0)") * twice_mid).alias("r1"),
         F.sum(tied * tied * tied - tied).alias("ties"),
     ).first()
     n1, n2 = s["n1"] or 0, s["n2"] or 0
@@ -368,7 +397,7 @@ def two_sample(
     t = _ratio(m1 - m2, spread)
     t_p = dist.t_two_sided(t, welch_df(n1, var1, n2, var2)) if spread else NAN
 
-    u = s["r1"] - n1 * (n1 + 1) / 2.0
+    u = float(int(s["r1"]) - n1 * (n1 + 1)) / 2.0
     sigma = math.sqrt(n1 * n2 / 12.0 * (total + 1 - s["ties"] / (total * (total - 1.0))))
     z = (max(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / sigma if sigma else 0.0
     u_p = min(1.0, dist.normal_two_sided(z)) if z > 0 else 1.0
@@ -444,20 +473,21 @@ def category_test(df: DataFrame, category: str = "weather_main", value: str = TA
     f = _ratio(a["between"] / (k - 1), a["within"] / (n - k)) if k > 1 and n > k else NAN
 
     per_value = pairs.groupBy(value).agg(F.sum("n").alias("n"))
-    ranked = running_totals(per_value, [value], {"_upto": "n"}).select(
-        value, "n", (F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2).alias("mid")
-    )
+    # Twice the distance of a mid-rank from the mean rank: whole numbers that add up to zero.
+    off = 2 * F.col("_upto") - F.col("n") - int(n)
+    ranked = running_totals(per_value, [value], {"_upto": "n"}).select(value, "n", off.alias("off"))
     ranked = materialize(ranked, "kruskal-ranks")
     rank_sums = (
         pairs.withColumnRenamed("n", "c")
         .join(ranked, value)
         .groupBy(category)
-        .agg(F.sum(F.col("mid") * F.col("c")).alias("r"), F.sum("c").alias("c"))
+        .agg(F.sum(F.col("off").cast("decimal(19,0)") * F.col("c").cast("decimal(18,0)")).alias("r"), F.sum("c").alias("c"))
     )
-    squares = rank_sums.agg(F.sum(F.col("r") * F.col("r") / F.col("c"))).first()[0]
+    r = F.col("r").cast("double") / 2
+    squares = rank_sums.agg(F.sum(r * r / F.col("c"))).first()[0]
     tied = F.col("n").cast("double")
     ties = ranked.agg(F.sum(tied * tied * tied - tied)).first()[0]
-    h = 12.0 / (n * (n + 1.0)) * squares - 3.0 * (n + 1.0)
+    h = 12.0 / (n * (n + 1.0)) * squares
     h = _ratio(h, 1.0 - ties / (float(n) ** 3 - n)) if n > 1 else NAN
     return one_row(
         df.sparkSession,
