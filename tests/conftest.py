@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from tidemark.functions.calendar import with_calendar  # noqa: E402
-from tidemark.session import local_session  # noqa: E402
+from tidemark.session import drop_scratch, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,6 +16,7 @@ def spark():
     # Compiling a plan takes longer than running it on a handful of rows.
     session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

@@ -112,15 +112,15 @@ def test_feature_table(reference, current):
 
 
 def test_bad_inputs_raise(spark, reference, current):
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         drift.feature_drift(reference, current.drop("is_rush"))
-    with pytest.raises(ValueError, match="'hour' must be between"):
+    with pytest.raises(ValueError, match="'hour' outside 0 to 23"):
         drift.feature_drift(reference, current.withColumn("hour", F.lit(99)))
-    with pytest.raises(ValueError, match="cannot be empty"):
+    with pytest.raises(ValueError, match="not given|no values"):
         drift.feature_drift(reference, current.filter("false"))
-    with pytest.raises(ValueError, match="cannot be empty"):
+    with pytest.raises(ValueError, match="not given|no values"):
         drift.feature_drift(reference, None)
-    with pytest.raises(ValueError, match="cannot be empty"):
+    with pytest.raises(ValueError, match="not given|no values"):
         drift.prediction_drift(column(spark, []), column(spark, [1]), "v")
 
 

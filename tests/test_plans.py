@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import measures, modeling, quality
+from tidemark.operators import errors, measures, modeling, quality
 from tidemark.plans import reports, star, views
 from tidemark.sources import datasets
 from tidemark.streaming import jobs
@@ -53,7 +53,7 @@ def test_layer_report(spark, exported, base):
     assert len(good) == 10 and all(r.all_passed for r in good)
     bad = {r.table_name: r for r in reports.validate_export(spark, exported, 48187, (3259.82, 1.0)).collect()}
     assert bad["traffic_hourly"].status.startswith("FAILED") and not bad["dim_time"].all_passed
-    assert "Expected 48187 rows, got 1440" in bad["traffic_hourly"].notes
+    assert "Expected 48,187 rows, got 1440" in bad["traffic_hourly"].notes
 
 
 def test_report_marks_empty_tables_and_missing_columns(spark):
@@ -83,12 +83,16 @@ def test_dim_date_is_continuous(make_series):
     assert rows[0].week_of_year == 1 and rows[0].month_name == "January" and rows[0].quarter == 1
 
 
-def test_both_error_tables_agree(base):
+def test_stacked_error_table_equals_its_parts(base):
     train, test = modeling.chronological_split(base)
     scored = modeling.group_mean_predictor(train, test, ["hour"])
-    a = sorted(tuple(r) for r in star.error_analysis(scored).collect())
-    assert a == sorted(tuple(r) for r in star.error_analysis_single_pass(scored).collect())
-    assert len(a) == 3 + 24 + 2 + 7
+    table = [tuple(r) for r in star.error_analysis(scored).collect()]
+    rows = errors.holdout(scored, right_closed=True)
+    parts = []
+    for segment in ("volume_bucket", "hour", "is_rush", "weekday"):
+        parts += [(r[0], r[1], r[1], *r[2:]) for r in errors.segment_report(rows, segment).collect()]
+    assert sorted(table) == sorted(parts)
+    assert len(table) == 3 + 24 + 2 + 7
 
 
 def test_five_step_run(spark, base, tmp_path):
@@ -140,3 +144,29 @@ def test_replayed_micro_batch_leaves_one_copy(spark, base, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 200
     metrics = spark.read.parquet(str(tmp_path / "metrics")).orderBy("batch_id").collect()
     assert [r.batch_id for r in metrics] == [0, 1] and all(r.alert_triggered for r in metrics)
+
+
+def test_batches_without_actuals_are_logged_and_have_no_metrics(spark, base, tmp_path):
+    model = modeling.fit(base, modeling.linear_regression(), ["hour"])
+    log, metrics = str(tmp_path / "log"), str(tmp_path / "metrics")
+    handle = jobs.monitor_batch(model, log, metrics)
+    batch = base.select("date_time", "traffic_volume").limit(50)
+    handle(batch.select("date_time"), 0)
+    handle(batch.withColumn("traffic_volume", F.lit(None).cast("double")), 1)
+    handle(batch, 2)
+    assert spark.read.parquet(log).count() == 150
+    assert [r.batch_id for r in spark.read.parquet(metrics).collect()] == [2]
+
+
+def test_missing_tables_and_time_grain_are_rows_of_the_report(spark):
+    tables = {"a": None, "b": spark.range(23)}
+    rows = {r.table_name: r for r in quality.validate_layer(tables, hours={"b": 24}).collect()}
+    assert (rows["a"].status, rows["a"].row_count) == ("FAILED (Missing File)", 0)
+    assert (rows["b"].status, rows["b"].notes) == ("FAILED (Invalid Time Grain)", "Expected 24 hours, got 23")
+    assert not rows["b"].all_passed
+
+
+def test_all_late_rows_are_monitored(base):
+    reference, current = reports.monitoring_inputs(base)
+    assert current.count() == base.count() - int(base.count() * 0.85)
+    assert reference.count() == int(base.count() * 0.85)

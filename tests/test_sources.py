@@ -1,10 +1,13 @@
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import views
+from tidemark import session
+from tidemark.operators import modeling, selection, windows
+from tidemark.plans import star, views
 from tidemark.sources import datasets, observations, prediction_log
 
 RAW = """holiday,temp,rain_1h,snow_1h,clouds_all,weather_main,weather_description,date_time,traffic_volume
@@ -30,7 +33,7 @@ def test_csv_is_parsed_deduplicated_and_enriched(raw):
 
 
 def test_required_columns_are_named(raw):
-    with pytest.raises(ValueError, match=r"'batch' missing required columns: \['nope', 'neither'\]"):
+    with pytest.raises(ValueError, match="batch lacks the columns: nope, neither"):
         observations.require_columns(raw, ["temp", "nope", "neither"], "batch")
 
 
@@ -66,10 +69,10 @@ def test_missing_empty_and_incomplete_datasets(spark, tmp_path):
         datasets.load_dataset(spark, "dim_time", str(tmp_path))
     empty = spark.createDataFrame([], "hour int, time_label string, time_of_day_period string, is_rush_hour int")
     empty.write.parquet(str(tmp_path / "dim_time"))
-    with pytest.raises(ValueError, match="is empty"):
+    with pytest.raises(ValueError, match="has no rows"):
         datasets.load_dataset(spark, "dim_time", str(tmp_path))
     spark.range(3).write.parquet(str(tmp_path / "dim_date"))
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         datasets.load_dataset(spark, "dim_date", str(tmp_path))
 
 
@@ -110,5 +113,73 @@ def test_replayed_batch_is_logged_once(spark, make_series, tmp_path):
 
 
 def test_log_requires_features(spark, tmp_path):
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         prediction_log.append_predictions(spark.range(1), str(tmp_path))
+
+
+def raw_rows(n=1000, per_time=200):
+    return [(f"{1 + k // per_time:02d}-01-2024 00:00", float(k * 7919 % 1009), "x" if k % 3 else None) for k in range(n)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_rows_without_an_id_are_told_apart_by_their_columns(spark, partitions):
+    """Splits, lags and samples of tied times do not depend on how the raw rows lie."""
+    raw = spark.createDataFrame(raw_rows(), "date_time string, traffic_volume double, weather_main string")
+    df = observations.prepare(raw.repartition(partitions))
+    train, test = modeling.chronological_split(df)
+    assert (train.count(), test.count()) == (850, 150)
+    lags = windows.lag_features(df.select("obs_id", "date_time", "traffic_volume"))
+    found = (
+        {r.obs_id: r.lag_1h for r in lags.collect()},
+        {r.obs_id for r in selection.fixed_sample(df, 100, ["obs_id"]).collect()},
+    )
+    assert len(found[0]) == 1000
+    assert found == SEEN.setdefault("raw", found)
+
+
+SEEN: dict = {}
+
+
+def test_equal_raw_rows_collapse_and_nulls_count_for_the_identity(spark):
+    rows = [("01-01-2024 00:00", None, "a"), ("01-01-2024 00:00", "a", None), ("01-01-2024 00:00", "a", None)]
+    df = observations.prepare(spark.createDataFrame(rows, "date_time string, x string, y string"))
+    assert df.count() == 2 and df.select("obs_id").distinct().count() == 2
+
+
+def test_unreadable_times_raise_and_missing_ones_stay(spark):
+    rows = [("01-01-2024 00:00", 1.0), (None, 2.0), ("yesterday", 3.0)]
+    raw = spark.createDataFrame(rows, "date_time string, traffic_volume double")
+    with pytest.raises(Exception, match="unreadable time: yesterday"):
+        observations.prepare(raw).collect()
+    assert observations.prepare(raw, strict=False).filter("date_time IS NULL").count() == 2
+    assert observations.prepare(raw.filter("traffic_volume < 3")).count() == 2
+
+
+def test_log_calls_with_and_without_batch_share_a_path(spark, make_series, tmp_path):
+    path = str(tmp_path / "log")
+    prediction_log.append_predictions(scored(make_series, [1, 2]), path)
+    for batch in (7, 7):
+        prediction_log.append_predictions(scored(make_series, [3, 4, 5]), path, batch=batch)
+    prediction_log.append_predictions(scored(make_series, [6]), path)
+    rows = prediction_log.latest_predictions(spark, path).collect()
+    assert sorted((r.batch_id or 0, r.predicted_traffic_volume) for r in rows) == [
+        (0, 2.0), (0, 3.0), (0, 7.0), (7, 4.0), (7, 5.0), (7, 6.0),
+    ]
+
+
+def test_shelf_shares_reads(spark, make_series, tmp_path):
+    star.write_table(star.dim_time(spark), str(tmp_path), "dim_time")
+    shelf = datasets.Shelf(spark, str(tmp_path))
+    assert shelf.get("dim_time") is shelf.get("dim_time") and shelf.reads == 1
+    assert shelf.get("dim_time").count() == 24
+    shelf.clear()
+    assert not shelf.get("dim_time").storageLevel.useMemory or shelf.reads == 2
+    shelf.clear()
+
+
+def test_scope_drops_what_was_written(spark, tmp_path):
+    with session.scratch_scope(spark):
+        table = session.materialize(spark.range(5), "numbers")
+        path = table.inputFiles()[0].removeprefix("file:").replace("///", "/")
+        assert Path(path).exists() and table.count() == 5
+    assert not Path(path).exists()

@@ -21,6 +21,10 @@ FEATURE_DRIFT_TYPE, PREDICTION_DRIFT_TYPE = "Feature Drift (PSI)", "Prediction D
 PREDICTION_FEATURE_NAME = "traffic_volume_prediction"
 ALERT_RAISED, ALERT_CLEAR = "Performance Degradation Detected", "Performance Within Threshold"
 DEMAND_CATEGORY, MODEL_CATEGORY = "Demand Profile", "Model Performance & Bias"
+PASSED, VALID_NOTE = "PASSED", "Valid Schema & Content"
+MISSING_FILE, EMPTY_FILE = "FAILED (Missing File)", "FAILED (Empty File)"
+ROW_COUNT_MISMATCH, MEAN_MISMATCH = "FAILED (Row Count Mismatch)", "FAILED (Mean Metric Mismatch)"
+MISSING_COLUMN, INVALID_TIME_GRAIN = "FAILED (Missing Column)", "FAILED (Invalid Time Grain)"
 ALERT_COLOR, CLEAR_COLOR = "#D9534F", "#5CB85C"
 BUCKET_SEGMENT = "Traffic Volume Bucket"
 SEGMENT_TYPES = {

@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.config import (
@@ -24,7 +24,6 @@ from tidemark.config import (
     Settings,
 )
 from tidemark.functions import labels
-from tidemark.operators.modeling import regression_metrics
 from tidemark.operators.ordering import running_totals
 from tidemark.operators.quality import ALLOWED_RANGES
 from tidemark.operators.quantiles import QUARTILES, pick_quantiles
@@ -34,6 +33,7 @@ from tidemark.sources.observations import require_columns
 EPSILON = 1e-4
 PERFORMANCE_SCHEMA = "samples bigint, mae double, mse double, rmse double, r2 double"
 FEATURE, VALUE = "feature", "value"
+ROWS = "(rows)"
 
 
 def _long(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
@@ -44,10 +44,14 @@ def _long(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
 def paired_counts(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per feature and distinct value: rows on either side and rows before it on either side."""
     both = _long(reference, features, "ref").unionByName(_long(current, features, "cur"))
-    counts = both.groupBy(FEATURE, VALUE).agg(
-        F.count_if(F.col("side") == "ref").alias("n_ref"),
-        F.count_if(F.col("side") == "cur").alias("n_cur"),
-    )
+    return _ranked_counts(both.groupBy(FEATURE, VALUE).agg(*_side_counts()))
+
+
+def _side_counts() -> list[Column]:
+    return [F.count_if(F.col("side") == side).alias(f"n_{side}") for side in ("ref", "cur")]
+
+
+def _ranked_counts(counts: DataFrame) -> DataFrame:
     running = running_totals(counts, [VALUE], {"u_ref": "n_ref", "u_cur": "n_cur"}, [FEATURE])
     table = running.select(
         FEATURE,
@@ -60,6 +64,41 @@ def paired_counts(reference: DataFrame, current: DataFrame, features: Sequence[s
     return materialize(table, "paired-counts")
 
 
+def paired_counts_and_errors(
+    reference: DataFrame, current: DataFrame, features: Sequence[str], actual: str | None, prediction: str
+) -> tuple[DataFrame, Row]:
+    """The paired counts and, from the same pass over the rows, the number of current rows and the
+    error figures of those with an actual and a prediction. Errors ride along as a further feature
+    without a value, so that they need neither another read nor another shuffle."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        none = F.lit(None).cast("double")
+        pairs = [
+            F.struct(F.lit(f).alias(FEATURE), F.col(f).cast("double").alias(VALUE), none.alias("a"), none.alias("p"))
+            for f in features
+        ]
+        if name == "cur":
+            a = none if actual is None else F.col(actual).cast("double")
+            pairs.append(
+                F.struct(F.lit(ROWS).alias(FEATURE), none.alias(VALUE), a.alias("a"), F.col(prediction).cast("double").alias("p"))
+            )
+        long = df.select(F.lit(name).alias("side"), F.inline(F.array(*pairs)))
+        return long.filter(F.col(VALUE).isNotNull() | (F.col(FEATURE) == ROWS))
+
+    error = F.col("a") - F.col("p")
+    counts = side(reference, "ref").unionByName(side(current, "cur")).groupBy(FEATURE, VALUE).agg(
+        *_side_counts(),
+        F.count(error).alias("samples"),
+        F.avg(F.abs(error)).alias("mae"),
+        F.avg(error * error).alias("mse"),
+        F.var_pop(F.when(error.isNotNull(), F.col("a"))).alias("variance"),
+    )
+    counts = materialize(counts, "counts")
+    figures = counts.filter(F.col(FEATURE) == ROWS).select("n_cur", "samples", "mae", "mse", "variance").first()
+    values = counts.filter(F.col(FEATURE) != ROWS).select(FEATURE, VALUE, "n_ref", "n_cur")
+    return _ranked_counts(values), figures
+
+
 @dataclass(frozen=True)
 class Sides:
     """Sums over one feature's values: rows, mean and range on either side."""
@@ -219,9 +258,9 @@ def check_columns(
     reference: DataFrame | None, current: DataFrame | None, columns: Sequence[str]
 ) -> None:
     """Both sides exist and have the columns; reads no data."""
-    for df, name in ((reference, "Reference dataset"), (current, "Current dataset for monitoring")):
+    for df, name in ((reference, "the reference"), (current, "the current batch")):
         if df is None or not df.columns:
-            raise ValueError(f"{name} cannot be empty or None")
+            raise ValueError(f"{name} is not given or has no columns")
         require_columns(df, columns, name)
 
 
@@ -230,9 +269,9 @@ def check_sides(known: dict[str, Sides], columns: Sequence[str]) -> None:
     for column in columns:
         found = known.get(column)
         if found is None or not found.ref:
-            raise ValueError(f"Reference dataset cannot be empty or None: no values of '{column}'")
+            raise ValueError(f"the reference has no values of {column!r}")
         if not found.cur:
-            raise ValueError(f"Current dataset cannot be empty or None: no values of '{column}'")
+            raise ValueError(f"the current batch has no values of {column!r}")
 
 
 def check_ranges(paired: DataFrame, features: Sequence[str]) -> None:
@@ -246,7 +285,7 @@ def check_ranges(paired: DataFrame, features: Sequence[str]) -> None:
     bad = paired.filter((F.col("n_cur") > 0) & outside).select(FEATURE).first()
     if bad is not None:
         low, high = bounds[bad[0]]
-        raise ValueError(f"Invalid feature value: '{bad[0]}' must be between {low} and {high}.")
+        raise ValueError(f"values of {bad[0]!r} outside {low} to {high}")
 
 
 def drift_table(paired: DataFrame, known: dict[str, Sides], categorical: Sequence[str] = ()) -> DataFrame:
@@ -355,6 +394,13 @@ def alert(performance: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def _performance(figures: Row) -> tuple:
+    """Samples, MAE, MSE, RMSE and R2, rounded as performance figures are."""
+    mse, variance = figures["mse"], figures["variance"]
+    r2 = round(1.0 - mse / variance, 6) if variance else None
+    return figures["samples"], round(figures["mae"], 4), round(mse, 2), round(math.sqrt(mse), 4), r2
+
+
 def monitoring_report(
     reference: DataFrame,
     current: DataFrame,
@@ -366,24 +412,23 @@ def monitoring_report(
 ) -> dict[str, DataFrame | None]:
     """All parts of a report on scored rows, each a table carrying the report label.
 
-    Performance and alert exist only where the current rows have actuals. Features and predictions
-    are counted together, so the rows are read once for all drift scores and once for performance.
+    Performance and alert exist only where current rows have actuals. Features, predictions and
+    errors are counted together, so the rows are read once.
     """
     columns = [*CALENDAR_FEATURES, prediction]
     check_columns(reference, current, columns)
-    paired = paired_counts(reference, current, columns)
+    known_actual = actual if actual in current.columns else None
+    paired, figures = paired_counts_and_errors(reference, current, columns, known_actual, prediction)
     known = sides(paired)
     check_sides(known, columns)
     check_ranges(paired, CALENDAR_FEATURES)
     table = drift_table(paired, known)
     spark, performance = current.sparkSession, None
-    if actual in current.columns:
-        scores = regression_metrics(current, actual, prediction).first()
-        if not scores["samples"]:
-            raise ValueError("Actuals and predictions cannot be empty")
-        performance = small_table(spark, [tuple(scores)], PERFORMANCE_SCHEMA)
+    if figures["samples"]:
+        performance = small_table(spark, [_performance(figures)], PERFORMANCE_SCHEMA)
+    monitored = figures["n_cur"]
     summary = small_table(
-        spark, [(label, current.count())], "dataset_label string, monitored_samples bigint"
+        spark, [(label, monitored)], "dataset_label string, monitored_samples bigint"
     ).select(F.localtimestamp().alias("timestamp"), "dataset_label", "monitored_samples")
     parts = {
         "feature_drift": _feature_report(

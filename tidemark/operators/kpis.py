@@ -10,6 +10,7 @@ from tidemark.functions import calendar, labels
 from tidemark.operators import aggregates, selection
 from tidemark.operators.quality import require_values
 from tidemark.operators.quantiles import overall_quantiles
+from tidemark.session import materialize
 
 TARGET = "traffic_volume"
 
@@ -165,8 +166,9 @@ def long_kpis(wide: DataFrame, texts: dict[str, Column], category: str) -> DataF
 def business_kpis(
     df: DataFrame, errors: DataFrame, comparison: DataFrame | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    demand = demand_kpis(df, settings)
-    model = model_kpis(errors, comparison, settings)
+    """Both KPI tables as rows. Each wide row is computed once and written, as every text reads it."""
+    demand = materialize(demand_kpis(df, settings), "demand-kpis")
+    model = materialize(model_kpis(errors, comparison, settings), "model-kpis")
     return long_kpis(demand, demand_kpi_texts(demand, settings), DEMAND_CATEGORY).unionByName(
         long_kpis(model, model_kpi_texts(settings), MODEL_CATEGORY)
     )

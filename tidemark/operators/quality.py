@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.quantiles import QUARTILES, overall_quantiles, quantiles
+from tidemark.config import (
+    EMPTY_FILE,
+    INVALID_TIME_GRAIN,
+    MEAN_MISMATCH,
+    MISSING_COLUMN,
+    MISSING_FILE,
+    PASSED,
+    ROW_COUNT_MISMATCH,
+    VALID_NOTE,
+)
+from tidemark.operators.ordering import ranked_values
+from tidemark.operators.quantiles import QUARTILES, pick_quantiles, quantiles
+from tidemark.session import materialize, small_table
 
 TARGET = "traffic_volume"
 
@@ -94,16 +106,18 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, value: str = TARGET) -> DataFrame:
     """Tukey fences and the rows outside them."""
-    q = overall_quantiles(df, value, {"q1": 0.25, "q3": 0.75})
-    q1, q3 = q["q1"], q["q3"]
-    if q1 is None:
+    ranked = materialize(ranked_values(df, value), "ranked")
+    size = ranked.agg(F.sum("n")).first()[0]
+    if not size:
         raise ValueError(f"column '{value}' has no values")
+    q = pick_quantiles(ranked, value, {"q1": 0.25, "q3": 0.75}, {None: size})[None]
+    q1, q3 = q["q1"], q["q3"]
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    v = F.col(value)
-    counts = df.agg(
-        F.count(v).alias("_n"),
-        F.count_if(v < low).alias("outliers_below"),
-        F.count_if(v > high).alias("outliers_above"),
+    v, n = F.col(value), F.col("n")
+    counts = ranked.agg(
+        F.sum(n).alias("_n"),
+        F.coalesce(F.sum(F.when(v < low, n)), F.lit(0)).alias("outliers_below"),
+        F.coalesce(F.sum(F.when(v > high, n)), F.lit(0)).alias("outliers_above"),
     )
     total = F.col("outliers_below") + F.col("outliers_above")
     return counts.select(
@@ -151,75 +165,82 @@ def require_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]] | None
         found = range_violations(df, ranges).first()
         for c, (low, high) in ranges.items():
             if found[c]:
-                raise ValueError(f"Invalid feature value: '{c}' must be between {low} and {high}.")
+                raise ValueError(f"values of {c!r} outside {low} to {high}")
     return df
 
 
+def _table_report(
+    name: str,
+    df: DataFrame,
+    rows: int | None,
+    mean: tuple[str, float, float] | None,
+    columns: Sequence[str],
+    hours: int | None,
+) -> DataFrame:
+    """The report row of one table, from one aggregate over it. A later rule's status wins, as the
+    notes of all broken rules are kept."""
+    mean_ready = mean is not None and mean[0] in df.columns
+    nulls = [F.count_if(F.col(c).isNull()) for c in df.columns]
+    facts = df.agg(
+        F.count("*").alias("row_count"),
+        sum(nulls[1:], nulls[0]).alias("null_count"),
+        (F.avg(mean[0]) if mean_ready else F.lit(None).cast("double")).alias("_mean"),
+    )
+    n = F.col("row_count")
+    rules = [(n == 0, EMPTY_FILE, F.lit("0 rows"))]
+    if rows is not None:
+        rules.append((n != rows, ROW_COUNT_MISMATCH, F.format_string(f"Expected {rows:,} rows, got %d", n)))
+    if mean is not None:
+        off = F.col("_mean").isNull() | (F.abs(F.col("_mean") - mean[1]) > mean[2])
+        got = F.coalesce(F.format_string("%.2f", F.col("_mean")), F.lit("none"))
+        rules.append((off, MEAN_MISMATCH, F.concat(F.lit(f"Expected mean ~{mean[1]:g}, got "), got)))
+    for c in columns:
+        if c not in df.columns:
+            rules.append((F.lit(True), MISSING_COLUMN, F.lit(f"Missing {c}")))
+    if hours is not None:
+        rules.append((n != hours, INVALID_TIME_GRAIN, F.format_string(f"Expected {hours} hours, got %d", n)))
+    status = F.lit(PASSED)
+    for broken, verdict, _ in rules:
+        status = F.when(broken, verdict).otherwise(status)
+    notes = F.concat_ws("; ", *[F.when(broken, note) for broken, _, note in rules])
+    return facts.select(
+        F.lit(name).alias("table_name"),
+        "row_count",
+        F.lit(len(df.columns)).alias("column_count"),
+        "null_count",
+        status.alias("status"),
+        F.when(notes == "", VALID_NOTE).otherwise(notes).alias("notes"),
+    )
+
+
 def validate_layer(
-    tables: dict[str, DataFrame],
+    tables: dict[str, DataFrame | None],
     expected_rows: dict[str, int] | None = None,
     expected_means: dict[str, tuple[str, float, float]] | None = None,
     required: dict[str, Sequence[str]] | None = None,
+    hours: dict[str, int] | None = None,
 ) -> DataFrame:
     """One report row per table: rows, columns, nulls, status and notes.
 
-    Rules are data: exact row counts, ``(column, mean, tolerance)`` and required columns. Each
-    table is read by one aggregate; ``all_passed`` repeats the overall verdict on every row.
+    Rules are data: exact row counts, ``(column, mean, tolerance)``, required columns and the hours
+    of a time table. A table that is None, or has no columns, is missing. Each table is read by one
+    aggregate; ``all_passed`` repeats the overall verdict on every row.
     """
     expected_rows, expected_means = expected_rows or {}, expected_means or {}
-    required = required or {}
-    reports = []
+    required, hours = required or {}, hours or {}
+    reports, missing = [], []
     for name, df in tables.items():
-        mean_rule = expected_means.get(name)
-        mean_ready = mean_rule is not None and mean_rule[0] in df.columns
-        nulls = [F.count_if(F.col(c).isNull()) for c in df.columns]
-        facts = df.agg(
-            F.count("*").alias("row_count"),
-            sum(nulls[1:], nulls[0]).alias("null_count"),
-            (F.avg(mean_rule[0]) if mean_ready else F.lit(None).cast("double")).alias("_mean"),
-        )
-        rows = F.col("row_count")
-        rules = [(rows == 0, "FAILED (Empty File)", F.lit("0 rows"))]
-        if name in expected_rows:
-            want = expected_rows[name]
-            rules.append(
-                (
-                    rows != want,
-                    "FAILED (Row Count Mismatch)",
-                    F.format_string(f"Expected {want} rows, got %d", rows),
-                )
-            )
-        if mean_rule is not None:
-            _, mean, tolerance = mean_rule
-            off = F.col("_mean").isNull() | (F.abs(F.col("_mean") - mean) > tolerance)
-            rules.append(
-                (
-                    off,
-                    "FAILED (Mean Metric Mismatch)",
-                    F.concat(
-                        F.lit(f"Expected mean ~{mean:g}, got "),
-                        F.coalesce(F.format_string("%.2f", F.col("_mean")), F.lit("none")),
-                    ),
-                )
-            )
-        for c in required.get(name, []):
-            rules.append((F.lit(c not in df.columns), "FAILED (Missing Column)", F.lit(f"Missing {c}")))
-        status = F.lit("PASSED")
-        for broken, verdict, _ in rules:
-            status = F.when(broken, verdict).otherwise(status)
-        notes = F.concat_ws("; ", *[F.when(broken, note) for broken, _, note in rules])
-        reports.append(
-            facts.select(
-                F.lit(name).alias("table_name"),
-                "row_count",
-                F.lit(len(df.columns)).alias("column_count"),
-                "null_count",
-                status.alias("status"),
-                F.when(notes == "", "Valid Schema & Content").otherwise(notes).alias("notes"),
-            )
-        )
+        if df is None or not df.columns:
+            missing.append((name, 0, 0, 0, MISSING_FILE, "File missing"))
+        else:
+            rules = expected_rows.get(name), expected_means.get(name), required.get(name, []), hours.get(name)
+            reports.append(_table_report(name, df, *rules))
+    if missing:
+        spark = SparkSession.active()
+        schema = "table_name string, row_count bigint, column_count int, null_count bigint, status string, notes string"
+        reports.append(small_table(spark, missing, schema))
     report = reports[0]
     for more in reports[1:]:
         report = report.unionByName(more)
-    failed = report.agg(F.count_if(F.col("status") != "PASSED")).scalar()
+    failed = report.agg(F.count_if(F.col("status") != PASSED)).scalar()
     return report.withColumn("all_passed", failed == 0)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import CALENDAR_FEATURES, DEFAULTS, WEATHER_FEATURES, Settings
+from tidemark.functions import labels
 from tidemark.operators import drift, errors, kpis, modeling, quality, selection, statistics, windows
 from tidemark.plans import star, views
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch_scope
 from tidemark.sources import datasets
 from tidemark.sources.observations import write_csv
 
@@ -47,7 +48,9 @@ def run_statistics(df: DataFrame, folder: str, replicates: int = 1000) -> dict[s
     reports = {
         "descriptive_stats": statistics.descriptive(df),
         "confidence_intervals": statistics.confidence_report(df, replicates=replicates),
-        "correlations_pvalues": statistics.correlations(df, features),
+        "correlations_pvalues": statistics.correlations(df, features).withColumns(
+            {p: labels.p_text(F.col(p)) for p in ("pearson_p", "spearman_p")}
+        ),
         "weekday_weekend_test": statistics.weekday_test(df),
         "rush_hour_test": statistics.rush_test(df),
     }
@@ -84,10 +87,12 @@ def run_analysis(
 
 
 def monitoring_inputs(
-    df: DataFrame, sample: int = 1000, settings: Settings = DEFAULTS
+    df: DataFrame, sample: int | None = None, settings: Settings = DEFAULTS
 ) -> tuple[DataFrame, DataFrame]:
-    """Early rows as reference, a seeded sample of the late rows as current batch."""
+    """Early rows as reference; the late rows, or a seeded sample of ``sample`` of them, as current batch."""
     reference, late = modeling.chronological_split(df, settings)
+    if sample is None:
+        return reference, late
     return reference, selection.fixed_sample(late, sample, modeling.time_keys(df), settings.seed)
 
 
@@ -95,12 +100,19 @@ def export_star(
     df: DataFrame,
     folder: str,
     trees: int = 200,
-    sample: int = 1000,
+    sample: int | None = None,
     settings: Settings = DEFAULTS,
     fmt: str = "parquet",
 ) -> None:
     """Write all ten tables. The hourly fact is partitioned by year, so a slicer on dates reads only
-    the years it needs."""
+    the years it needs. Intermediate tables are dropped at the end."""
+    with scratch_scope(df.sparkSession):
+        _export_star(df, folder, trees, sample, settings, fmt)
+
+
+def _export_star(
+    df: DataFrame, folder: str, trees: int, sample: int | None, settings: Settings, fmt: str
+) -> None:
     df = materialize(df, "base")
     comparison, forecast_rows = lag_forecast(df, trees, settings)
     holdout, model = calendar_holdout(df, trees, settings)
@@ -114,7 +126,7 @@ def export_star(
         "traffic_monthly": star.traffic_monthly(df),
         "demand_forecast": forecast,
         "model_performance": star.model_performance(holdout, forecast, settings),
-        "error_analysis": star.error_analysis_single_pass(holdout, settings),
+        "error_analysis": star.error_analysis(holdout, settings),
         "business_kpis": kpis.business_kpis(df, errors.holdout(holdout, settings), comparison, settings),
         "monitoring_metrics": drift.flatten_report(report, settings),
         "dim_date": star.dim_date(df),
@@ -132,18 +144,15 @@ def validate_export(
     expected_mean: tuple[float, float] | None = None,
     fmt: str = "parquet",
 ) -> DataFrame:
-    """The layer report over an exported folder."""
-    tables = {
-        name: datasets.load_dataset(spark, name, folder, fmt, check_empty=False)
-        for name in datasets.REQUIRED_COLUMNS
-    }
-    rows = {"dim_time": 24}
+    """The layer report over an exported folder; a table that is not there is a row of the report."""
+    tables = {name: datasets.find_dataset(spark, name, folder, fmt) for name in datasets.REQUIRED_COLUMNS}
+    rows = {}
     if expected_rows is not None:
         rows["traffic_hourly"] = expected_rows
     means = {}
     if expected_mean is not None:
         means["traffic_hourly"] = ("traffic_volume", *expected_mean)
-    return quality.validate_layer(tables, rows, means, {"demand_forecast": ["ml_rf_forecast_pred"]})
+    return quality.validate_layer(tables, rows, means, datasets.REQUIRED_COLUMNS, {"dim_time": 24})
 
 
 def model_metadata(

@@ -120,27 +120,7 @@ def model_performance(
 def error_analysis(
     scored: DataFrame, settings: Settings = DEFAULTS, right_closed: bool = True, digits: int | None = 2
 ) -> DataFrame:
-    """Segment errors by bucket, hour, rush status and weekday, stacked."""
-    rows = errors.holdout(scored, settings, right_closed)
-    parts = [
-        errors.segment_report(rows, s, settings, digits=digits)
-        for s in ("volume_bucket", "hour", "is_rush", "weekday")
-    ]
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    return stacked.select(
-        "segment_type",
-        "segment_value",
-        F.col("segment_value").alias("segment_label"),
-        *stacked.columns[2:],
-    )
-
-
-def error_analysis_single_pass(
-    scored: DataFrame, settings: Settings = DEFAULTS, right_closed: bool = True, digits: int | None = 2
-) -> DataFrame:
-    """The same table from one grouping-sets aggregate: the form used for the export."""
+    """Segment errors by bucket, hour, rush status and weekday, stacked by one grouping-sets aggregate."""
     rows = errors.holdout(scored, settings, right_closed)
     report = errors.full_report(rows, ("volume_bucket", "hour", "is_rush", "weekday"), settings, digits)
     return report.select(

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -44,11 +46,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate or result table in the shared folder, below a folder of the
-    application, which can be dropped as a whole once the application has ended."""
-    run = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/tidemark/{run}/{name}-{uuid.uuid4().hex}"
+    application or, inside :func:`scratch_scope`, of the scope."""
+    folder = _SCOPES[-1] if _SCOPES else _application_folder(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def _drop(folder: str) -> None:
+    files, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+    if files.get_file_info(path).type != fs.FileType.NotFound:
+        files.delete_dir(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables written inside are dropped at the end: for jobs that leave no lazy result behind."""
+    _SCOPES.append(f"{_application_folder(spark)}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _drop(_SCOPES.pop())
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Drop all that the application has written to the shared folder; its lazy results end with it."""
+    _drop(_application_folder(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

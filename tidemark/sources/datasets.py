@@ -24,47 +24,83 @@ REQUIRED_COLUMNS = {
 }
 
 
-# Types of all published columns, so that text files are read without an inference pass.
+# Types of all published columns, so that text files are read without an inference pass.
 COLUMN_TYPES = {
-    "int": (
-        "year quarter month day hour weekday day_of_week is_weekday is_rush is_rush_hour week_of_year clouds_all"
-    ),
-    "bigint": "record_count sample_count",
-    "double": (
-        "temp temp_celsius rain_1h snow_1h traffic_volume avg_traffic_volume total_traffic_volume min_traffic_volume "
-        "max_traffic_volume peak_hourly_volume actual_traffic_volume naive_lag1h_pred naive_lag24h_pred "
-        "ml_rf_forecast_pred naive_lag1h_error naive_lag1h_abs_error ml_rf_error ml_rf_abs_error "
-        "ml_rf_squared_error mae rmse r2_score mean_bias_error reference_mean current_mean psi_score "
-        "rmse_threshold monitored_rmse"
-    ),
-    "boolean": "alert_triggered",
-    "timestamp_ntz": "date_time",
+    "year": "int",
+    "quarter": "int",
+    "month": "int",
+    "day": "int",
+    "hour": "int",
+    "weekday": "int",
+    "day_of_week": "int",
+    "is_weekday": "int",
+    "is_rush": "int",
+    "is_rush_hour": "int",
+    "week_of_year": "int",
+    "clouds_all": "int",
+    "record_count": "bigint",
+    "sample_count": "bigint",
+    "temp": "double",
+    "temp_celsius": "double",
+    "rain_1h": "double",
+    "snow_1h": "double",
+    "traffic_volume": "double",
+    "avg_traffic_volume": "double",
+    "total_traffic_volume": "double",
+    "min_traffic_volume": "double",
+    "max_traffic_volume": "double",
+    "peak_hourly_volume": "double",
+    "actual_traffic_volume": "double",
+    "naive_lag1h_pred": "double",
+    "naive_lag24h_pred": "double",
+    "ml_rf_forecast_pred": "double",
+    "naive_lag1h_error": "double",
+    "naive_lag1h_abs_error": "double",
+    "ml_rf_error": "double",
+    "ml_rf_abs_error": "double",
+    "ml_rf_squared_error": "double",
+    "mae": "double",
+    "rmse": "double",
+    "r2_score": "double",
+    "mean_bias_error": "double",
+    "reference_mean": "double",
+    "current_mean": "double",
+    "psi_score": "double",
+    "rmse_threshold": "double",
+    "monitored_rmse": "double",
+    "alert_triggered": "boolean",
+    "date_time": "timestamp_ntz",
     "date": "date",
 }
 
 
 def _typed(df: DataFrame) -> DataFrame:
     """Text columns with a published type, converted to it."""
-    wanted = {c: t for t, names in COLUMN_TYPES.items() for c in names.split()}
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    return df.withColumns({c: F.col(c).cast(wanted[c]) for c in df.columns if c in text and c in wanted})
+    return df.withColumns({c: F.col(c).cast(COLUMN_TYPES[c]) for c in df.columns if c in text and c in COLUMN_TYPES})
 
 
-def load_dataset(
-    spark: SparkSession, name: str, folder: str, fmt: str = "parquet", check_empty: bool = True
-) -> DataFrame:
-    """Load one named data set: missing, empty and incomplete ones are errors."""
-    path = f"{folder.rstrip('/')}/{name}"
+def find_dataset(spark: SparkSession, name: str, folder: str, fmt: str = "parquet") -> DataFrame | None:
+    """One named data set as it is, typed; None where there is none."""
     try:
-        df = spark.read.format(fmt).options(header=True).load(path)
+        return _typed(spark.read.format(fmt).options(header=True).load(f"{folder.rstrip('/')}/{name}"))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Required dataset missing: '{path}'") from e
+            return None
         raise
-    require_columns(df, REQUIRED_COLUMNS.get(name, []), name)
+
+
+def load_dataset(
+    spark: SparkSession, name: str, folder: str, fmt: str = "parquet", check_empty: bool = True
+) -> DataFrame:
+    """Load one named data set: missing, empty and incomplete ones are errors."""
+    df = find_dataset(spark, name, folder, fmt)
+    if df is None:
+        raise FileNotFoundError(f"no data set {name!r} in {folder}")
+    require_columns(df, REQUIRED_COLUMNS.get(name, []), f"data set {name!r}")
     if check_empty and df.isEmpty():
-        raise ValueError(f"Dataset '{path}' is empty.")
-    return _typed(df)
+        raise ValueError(f"data set {name!r} in {folder} has no rows")
+    return df
 
 
 def load_all(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
@@ -72,6 +108,28 @@ def load_all(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str
     return {name: load_dataset(spark, name, folder, fmt) for name in REQUIRED_COLUMNS}
 
 
+class Shelf:
+    """The data sets of a folder, each read and checked once and then shared, until ``clear``.
+
+    What is shared is the plan and the cached rows that Spark keeps of it, spilling to disk.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fmt: str = "parquet"):
+        self.spark, self.folder, self.fmt, self.reads = spark, folder, fmt, 0
+        self._held: dict[str, DataFrame] = {}
+
+    def get(self, name: str) -> DataFrame:
+        if name not in self._held:
+            self._held[name] = load_dataset(self.spark, name, self.folder, self.fmt).persist()
+            self.reads += 1
+        return self._held[name]
+
+    def clear(self) -> None:
+        for df in self._held.values():
+            df.unpersist()
+        self._held.clear()
+
+
 def read_model_metadata(spark: SparkSession, path: str) -> DataFrame | None:
     """Nested metadata document; ``None`` where there is none."""
     try:

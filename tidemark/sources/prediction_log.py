@@ -22,7 +22,8 @@ def append_predictions(
     """Append scored rows; one time per call; a missing actual becomes null.
 
     The order of log rows is (``timestamp``, ``row_id``). With a ``batch`` number the call replaces
-    that batch's partition, so a batch that is replayed after a failure is not logged twice.
+    that batch's partition, so a batch that is replayed after a failure is not logged twice; without
+    one the batch is null. Both kinds of calls may share a path, as the layout is the same.
     """
     require_columns(scored, [*CALENDAR_FEATURES, prediction], "scored rows")
     actual_column = F.col(actual).cast("double") if actual else F.lit(None).cast("double")
@@ -33,17 +34,14 @@ def append_predictions(
         F.col(prediction).cast("double").alias("predicted_traffic_volume"),
         actual_column.alias("actual_traffic_volume"),
         F.lit(model_version).alias("model_version"),
+        F.lit(batch).cast("bigint").alias("batch_id"),
+    )
+    (
+        rows.write.mode("append" if batch is None else "overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("model_version", "batch_id")
+        .parquet(path)
     )
-    if batch is None:
-        rows.write.mode("append").partitionBy("model_version").parquet(path)
-    else:
-        (
-            rows.withColumn("batch_id", F.lit(int(batch)))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("model_version", "batch_id")
-            .parquet(path)
-        )
 
 
 def latest_predictions(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:

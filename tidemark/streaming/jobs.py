@@ -37,7 +37,8 @@ def monitor_batch(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: score, log, and write performance and alert of the batch.
 
-    Both sinks replace the partition of the batch, so a replay leaves one copy.
+    Both sinks replace the partition of the batch, so a replay leaves one copy. Actuals may come
+    later: a batch without them, or without their column, is logged and has no metrics.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -46,8 +47,11 @@ def monitor_batch(
         scored = modeling.score_batch(model, batch, settings).withColumnRenamed("Prediction", "prediction")
         scored.persist()
         try:
-            append_predictions(scored, log_path, actual=actual, model_version=model_version, batch=batch_id)
-            performance = modeling.evaluate_performance(scored, actual)
+            known = actual if actual in scored.columns else None
+            append_predictions(scored, log_path, actual=known, model_version=model_version, batch=batch_id)
+            if known is None or scored.filter(F.col(actual).isNotNull()).isEmpty():
+                return
+            performance = modeling.regression_metrics(scored, actual)
             verdict = drift.alert(performance, settings).select(F.struct("*")).scalar()
             (
                 performance.withColumn("_a", verdict)
