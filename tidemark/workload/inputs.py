@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.config import CALENDAR_FEATURES, Settings
+from tidemark.config import CALENDAR_FEATURES, WEATHER_FEATURES, Settings
+from tidemark.functions import calendar
 from tidemark.operators import modeling, windows
 from tidemark.session import materialize
 from tidemark.sources import observations as obs
@@ -31,6 +33,16 @@ def hourly(spark: SparkSession, folder: str) -> DataFrame:
     return obs.hourly_from_events(spark, folder, EVENTS)
 
 
+def hourly_weather(spark: SparkSession, folder: str) -> DataFrame:
+    """The hourly volume with all four weather columns, each an hourly mean over the events."""
+    hour = calendar.hour_start(F.col("date_time")).alias("date_time")
+    rows = events(spark, folder).withColumn("snow_1h", F.col("rain_1h") * F.col("clouds_all") / 100)
+    hourly_rows = rows.groupBy(hour).agg(
+        F.count("*").cast("double").alias("traffic_volume"), *[F.avg(c).alias(c) for c in WEATHER_FEATURES]
+    )
+    return obs.prepare(hourly_rows, EVENTS, deduplicate=False, identified=False)
+
+
 def event_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return modeling.chronological_split(events(spark, folder), EVENTS)
 

@@ -18,13 +18,15 @@ from tidemark.workload.inputs import (
     event_split,
     events,
     hourly,
+    hourly_weather,
     scored_events,
     scored_forecast,
     series,
 )
 from tidemark.workload.registry import query
 
-TREES = 10
+# The documented forest.
+TREES = 200
 
 
 @query(
@@ -122,9 +124,19 @@ def _(spark, folder):
 
 @query("feature_set_comparison", "M12", "feature_set:s r2:d rmse:d")
 def _(spark, folder):
-    return modeling.compare_feature_sets(
-        hourly(spark, folder), ["date_time"], ["temp", "clouds_all"], TREES, EVENTS
-    )
+    df = hourly_weather(spark, folder)
+    return modeling.compare_feature_sets(df, ["date_time"], trees=TREES, settings=EVENTS)
+
+
+@query(
+    "forest_of_one_tree", "M6 M7", "obs_id:i prediction:d",
+    EV_SPLIT + "SELECT obs_id, cell AS prediction FROM test JOIN cells USING (hour)",
+)
+def _(spark, folder):
+    """Without bootstrap, one unbounded tree of a forest on the hour predicts the hour's mean."""
+    train, test = event_split(spark, folder)
+    forest = modeling.random_forest(trees=1, depth=30).setBootstrap(False)
+    return modeling.predict(modeling.fit(train, forest, ["hour"]), test)
 
 
 @query("feature_importances", "M13", "feature:s importance:d")
@@ -199,14 +211,9 @@ STACKED_SQL = EV_SCORED + " UNION ALL ".join(
 )
 
 
-@query("error_analysis_stacked", "U1 X6 P23", STACKED, STACKED_SQL)
-def _(spark, folder):
-    return star.error_analysis(materialize(scored_events(spark, folder)[1], "holdout"), EVENTS, digits=None)
-
-
-@query("error_analysis", "X6 A16 P23", STACKED, STACKED_SQL)
+@query("error_analysis_stacked", "U1 X6 A16 P23", STACKED, STACKED_SQL)
 def _(spark, folder):
-    return star.error_analysis_single_pass(scored_events(spark, folder)[1], EVENTS, digits=None)
+    return star.error_analysis(scored_events(spark, folder)[1], EVENTS, digits=None)
 
 
 @query(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
-from tidemark.operators import measures, modeling, quality
-from tidemark.plans import star
+from tidemark.operators import measures, modeling, quality, selection, windows
+from tidemark.plans import reports, star
 from tidemark.session import scratch_path
 from tidemark.sources import datasets
 from tidemark.sources import observations as obs
@@ -16,9 +16,11 @@ from tidemark.workload.inputs import (
     EV_FORECAST,
     EV_SPLIT,
     EVENTS,
+    HR,
     ORD,
     ORDERS,
     events,
+    hourly,
     orders,
     scored_events,
     scored_forecast,
@@ -137,27 +139,82 @@ def _(spark, folder):
       avg(mae) FILTER (segment_type = 'Traffic Volume Bucket' AND segment_label = 'Heavy (>=100)') AS heavy_mae FROM seg""",
 )
 def _(spark, folder):
-    segments = star.error_analysis_single_pass(scored_events(spark, folder)[1], EVENTS, digits=None)
+    segments = star.error_analysis(scored_events(spark, folder)[1], EVENTS, digits=None)
     return measures.evaluate(segments, measures.error_measures(EVENTS))
 
 
 @query(
-    "layer_validation", "Q9", "table_name:s row_count:i column_count:i null_count:i status:s all_passed:b",
-    EV + """SELECT 'traffic_hourly' AS table_name, count(*) AS row_count, 18 AS column_count, 0 AS null_count, 'FAILED (Mean Metric Mismatch)' AS status, false AS all_passed FROM ev
-    UNION ALL SELECT 'traffic_daily', count(DISTINCT date_time::DATE), 13, 0, 'PASSED', false FROM ev
-    UNION ALL SELECT 'dim_date', date_diff('day', min(date_time)::DATE, max(date_time)::DATE) + 1, 10, 0, 'PASSED', false FROM ev
-    UNION ALL SELECT 'dim_time', 24, 4, 0, 'PASSED', false""",
+    "layer_validation", "Q9", "table_name:s row_count:i column_count:i null_count:i status:s notes:s all_passed:b",
+    EV + """, v AS (SELECT 'traffic_hourly' AS table_name, count(*) AS row_count, 18 AS column_count, 0 AS null_count, 'FAILED (Mean Metric Mismatch)' AS status,
+      printf('Expected mean ~3259.82, got %.2f', avg(traffic_volume)) AS notes FROM ev
+    UNION ALL SELECT 'traffic_daily', count(DISTINCT date_time::DATE), 13, 0, 'PASSED', 'Valid Schema & Content' FROM ev
+    UNION ALL SELECT 'traffic_monthly', 0, 8, 0, 'FAILED (Empty File)', '0 rows'
+    UNION ALL SELECT 'demand_forecast', count(*), 1, 0, 'FAILED (Missing Column)', 'Missing ml_rf_forecast_pred' FROM ev
+    UNION ALL SELECT 'business_kpis', 0, 0, 0, 'FAILED (Missing File)', 'File missing'
+    UNION ALL SELECT 'error_analysis', count(*), 1, 0, 'FAILED (Row Count Mismatch)', printf('Expected 48,187 rows, got %d', count(*)) FROM ev
+    UNION ALL SELECT 'dim_date', date_diff('day', min(date_time)::DATE, max(date_time)::DATE) + 1, 10, 0, 'PASSED', 'Valid Schema & Content' FROM ev
+    UNION ALL SELECT 'dim_time', 23, 4, 0, 'FAILED (Invalid Time Grain)', 'Expected 24 hours, got 23')
+    SELECT *, false AS all_passed FROM v""",
 )
 def _(spark, folder):
+    """One table for every rule that a table can break, beside two good ones."""
     df = events(spark, folder)
     tables = {
         "traffic_hourly": star.traffic_hourly(df, EVENTS),
         "traffic_daily": star.traffic_daily(df),
+        "traffic_monthly": star.traffic_monthly(df).filter("false"),
+        "demand_forecast": df.select("obs_id"),
+        "business_kpis": datasets.find_dataset(spark, "business_kpis", scratch_path(spark, "nothing")),
+        "error_analysis": df.select("obs_id"),
         "dim_date": star.dim_date(df),
-        "dim_time": star.dim_time(spark, EVENTS),
+        "dim_time": star.dim_time(spark, EVENTS).filter("hour < 23"),
     }
-    means = {"traffic_hourly": ("traffic_volume", 3259.82, 1.0)}
-    return quality.validate_layer(tables, {"dim_time": 24}, means, {"traffic_daily": ["total_traffic_volume"]})
+    return quality.validate_layer(
+        tables,
+        {"error_analysis": 48187},
+        {"traffic_hourly": ("traffic_volume", 3259.82, 1.0)},
+        {"traffic_daily": ["total_traffic_volume"], "demand_forecast": ["ml_rf_forecast_pred"]},
+        {"dim_time": 24},
+    )
+
+
+@query(
+    "raw_csv_split", "S1 P1 M1 M2 O4", "split:s row_count:i window_start:t window_end:t sampled:i",
+    """WITH n AS (SELECT o_orderdate AS date_time, row_number() OVER (ORDER BY o_orderdate) - 1 AS rn, count(*) OVER () AS n_all FROM orders)
+    SELECT CASE WHEN rn < floor(n_all * 0.85::DOUBLE) THEN 'train' ELSE 'test' END AS split, count(*) AS row_count,
+      min(date_time) AS window_start, max(date_time) AS window_end, 100 AS sampled FROM n GROUP BY 1""",
+)
+def _(spark, folder):
+    """Orders written without their key: many rows per time, told apart by their own columns. Both
+    splits and samples of two partitionings of the rows are the same."""
+    path = scratch_path(spark, "raw-csv")
+    rows = orders(spark, folder).select(
+        F.date_format("date_time", "dd-MM-yyyy HH:mm").alias("date_time"), "traffic_volume", "weather_main", "custkey"
+    )
+    obs.write_csv(rows, path)
+    raw = obs.read_csv(spark, path, "date_time string, traffic_volume double, weather_main string, custkey bigint")
+    df = obs.prepare(raw, ORDERS)
+    samples = [selection.fixed_sample(part, 100, ["obs_id"]).select("obs_id") for part in (df, df.repartition(7))]
+    same = samples[0].join(samples[1], "obs_id").agg(F.count("*")).scalar()
+    return modeling.split_summary(df, ORDERS).withColumn("sampled", same)
+
+
+@query(
+    "raw_csv_lags", "S1 W4 W6", "date_time:t traffic_volume:d lag_1h:d lag_24h:d rolling_mean_24h:d",
+    """WITH e AS (SELECT date_trunc('second', ts) AS date_time, round(value, 2) AS traffic_volume FROM events),
+    u AS (SELECT date_time, min(traffic_volume) AS traffic_volume FROM e GROUP BY 1)
+    SELECT date_time, traffic_volume, lag(traffic_volume, 1) OVER o AS lag_1h, lag(traffic_volume, 24) OVER o AS lag_24h,
+      CASE WHEN count(*) OVER p = 24 THEN avg(traffic_volume) OVER p END AS rolling_mean_24h FROM u
+      WINDOW o AS (ORDER BY date_time), p AS (ORDER BY date_time ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)""",
+)
+def _(spark, folder):
+    """Events of one second merged and written without their key, read back with an identity of their own."""
+    path = scratch_path(spark, "raw-csv")
+    second = F.date_trunc("second", F.col("date_time")).cast("timestamp_ntz")
+    rows = events(spark, folder).groupBy(second.alias("date_time")).agg(F.min(F.round("traffic_volume", 2)).alias("traffic_volume"))
+    obs.write_csv(rows.withColumn("date_time", F.date_format("date_time", "dd-MM-yyyy HH:mm:ss")), path)
+    df = obs.prepare(obs.read_csv(spark, path, "date_time string, traffic_volume double"), EVENTS)
+    return windows.forecasting_features(df, drop_incomplete=False)
 
 
 @query(
@@ -179,21 +236,33 @@ def _(spark, folder):
 
 
 @query(
-    "published_tables", "S3 S4 S5 X2 X3", "table_name:s n:i",
-    ORD + """SELECT 'traffic_daily' AS table_name, count(DISTINCT date_time::DATE) AS n FROM od UNION ALL
-      SELECT 'traffic_monthly', count(DISTINCT date_trunc('month', date_time)) FROM od""",
+    "published_tables", "S3 S4 S5 X2 X3", "table_name:s n:i reads:i",
+    HR + """, f AS (SELECT *, row_number() OVER (ORDER BY date_time) - 1 AS rn, count(*) OVER () AS n_all FROM hr),
+    late AS (SELECT * FROM f WHERE rn >= floor(n_all * 0.85::DOUBLE)),
+    s AS (SELECT count(DISTINCT hour) + count(DISTINCT weekday) + count(DISTINCT is_rush)
+            + count(DISTINCT CASE WHEN traffic_volume <= 20 THEN 0 WHEN traffic_volume <= 100 THEN 1 ELSE 2 END) AS n FROM late),
+    r AS (SELECT 'traffic_hourly' AS table_name, count(*) AS n FROM hr UNION ALL
+      SELECT 'traffic_daily', count(DISTINCT date_time::DATE) FROM hr UNION ALL
+      SELECT 'traffic_monthly', count(DISTINCT date_trunc('month', date_time)) FROM hr UNION ALL
+      SELECT 'demand_forecast', (count(*) - 24) - CAST(floor((count(*) - 24) * 0.85::DOUBLE) AS BIGINT) FROM hr UNION ALL
+      SELECT 'model_performance', 3 UNION ALL SELECT 'error_analysis', n FROM s UNION ALL SELECT 'business_kpis', 24 UNION ALL
+      SELECT 'monitoring_metrics', 6 UNION ALL SELECT 'dim_date', date_diff('day', min(date_time)::DATE, max(date_time)::DATE) + 1 FROM hr UNION ALL
+      SELECT 'dim_time', 24)
+    SELECT *, 10 AS reads FROM r""",
 )
 def _(spark, folder):
-    """Two data sets published to a folder, loaded by name with their checks."""
+    """All ten data sets published to a folder and loaded by name with their checks; a second load
+    of each shares the first one's read. Forests are compared by queries of their own; here a small
+    one fills the columns."""
     path = scratch_path(spark, "published")
-    df = orders(spark, folder)
-    star.write_table(star.traffic_daily(df), path, "traffic_daily")
-    star.write_table(star.traffic_monthly(df), path, "traffic_monthly")
-    loaded = [
-        datasets.load_dataset(spark, name, path).agg(F.lit(name).alias("table_name"), F.count("*").alias("n"))
-        for name in ("traffic_daily", "traffic_monthly")
-    ]
-    return loaded[0].unionByName(loaded[1])
+    reports.export_star(hourly(spark, folder), path, trees=10, settings=EVENTS)
+    shelf = datasets.Shelf(spark, path)
+    loaded = None
+    for name in datasets.REQUIRED_COLUMNS:
+        shelf.get(name)
+        part = shelf.get(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        loaded = part if loaded is None else loaded.unionByName(part)
+    return loaded.withColumn("reads", F.lit(shelf.reads))
 
 
 def _event_stream(spark, folder):

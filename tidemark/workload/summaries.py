@@ -395,10 +395,10 @@ def _(spark, folder):
 @query(
     "weekday_means", "A4", "weekday:i weekday_name:s avg_traffic_volume:d",
     EV + """SELECT w AS weekday, ['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][w + 1] AS weekday_name,
-      (SELECT avg(traffic_volume) FROM ev WHERE weekday = w AND weekday <> 2) AS avg_traffic_volume FROM range(7) AS r(w)""",
+      (SELECT avg(traffic_volume) FROM ev WHERE weekday = w) AS avg_traffic_volume FROM range(7) AS r(w)""",
 )
 def _(spark, folder):
-    return aggregates.weekday_means(events(spark, folder).filter("weekday <> 2"))
+    return aggregates.weekday_means(events(spark, folder))
 
 
 @query(
