@@ -30,18 +30,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.byte_bpe import CACHED_LENGTH, PieceCache
+from tidemark.llm.byte_bpe import CACHED_LENGTH, CACHED_PIECES
 from tidemark.llm.common import documents, python_ready, quoted, text_of
 from tidemark.session import materialize, scratch_path
 
 MAGIC = b"TMDAC001"
 BLOCK = 512
 SHARD_IDS = 8_000_000
+ENCODED_BYTES = 20 << 20
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
@@ -146,22 +148,24 @@ class Shard:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Document id, start in the shard and ids of each document."""
-        for k, (doc, null) in enumerate(zip(self.doc_ids.tolist(), self.doc_nulls.tolist())):
-            start, stop = int(self.starts[k]), int(self.starts[k + 1])
-            yield None if null else doc, start, self.codes.range(start, stop)
+        ids, starts = self.codes.range(0, len(self.codes)), self.starts.tolist()
+        for doc, null, start, stop in zip(self.doc_ids.tolist(), self.doc_nulls.tolist(), starts, starts[1:]):
+            yield None if null else doc, start, ids[start:stop]
 
 
 # --- encoding ---------------------------------------------------------------------------------------
 
 
 class WordEncoder:
-    """Ids of a text from those of its words, for tokenizers that never join across the six ASCII blanks.
+    """Ids of texts from those of their words, for tokenizers that ignore case in A-Z and never join
+    across the six ASCII blanks.
 
-    New words are encoded many at once, a blank between them, and told apart by their offsets. ASCII marks
+    Arrow splits all texts of a batch and numbers their distinct words; only these are looked up. New
+    ones are encoded many at once, a blank between them, and told apart by their offsets. ASCII marks
     behind a letter are pieces of their own in such tokenizers, so they are encoded apart from the word.
     """
 
-    MARKS = b".,!?;:%$#&*)"
+    MARKS = ".,!?;:%$#&*)"
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -169,41 +173,78 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.words = PieceCache(lambda word: self._together([word])[0])
+        # Two generations of a bounded cache: words of the older one come back when they are met again.
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind another, and the number of ids of each."""
+        # Only special tokens depend on case, and those begin with "<|".
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(lower)
+        words = lists.flatten().dictionary_encode()
+        blob, sizes = self._distinct(words.dictionary)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        which = words.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        places = np.repeat(starts[which] - ends[:-1].astype(np.int32), counts)
+        places += np.arange(len(places), dtype=np.int32)
+        at = ends[lists.offsets.to_numpy(zero_copy_only=False) - lists.offsets[0].as_py()]
+        return blob[places], np.diff(at)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one behind another, and the number of ids of each."""
+        stems = pc.ascii_rtrim(words, characters=self.MARKS)
+        # The last byte tells a lower-case letter of ASCII at once; other stems stay whole words unless
+        # they end with a letter in lower case.
+        ends = np.frombuffer(stems.buffers()[1], np.int32, len(stems) + 1, stems.offset * 4)[1:]
+        data = np.frombuffer(stems.buffers()[2] or b"", np.uint8)
+        sizes = pc.binary_length(stems).to_numpy(zero_copy_only=False)
+        cut = pc.binary_length(words).to_numpy(zero_copy_only=False) - sizes
+        last = data[np.maximum(ends - 1, 0)] if len(data) else np.zeros(len(stems), np.uint8)
+        plain = (sizes > 0) & (last >= 97) & (last <= 122)
+        whole = np.flatnonzero((cut > 0) & ~plain)
+        keep = [k for k, stem in zip(whole.tolist(), stems.take(whole).to_pylist()) if not stem or not stem[-1].lower()[-1].isalpha()]
+        if keep:
+            mask = np.zeros(len(words), bool)
+            mask[keep] = True
+            stems = pc.if_else(pa.array(mask), words, stems)
+            cut = np.where(mask, 0, cut)
+        units = stems.dictionary_encode()
+        ids = self._looked_up(units.dictionary.cast(pa.binary()).to_pylist())
+        marked = np.flatnonzero(cut)
+        tails = [w[-n:] for w, n in zip(words.take(marked).cast(pa.binary()).to_pylist(), cut[marked].tolist())]
+        known = dict(zip(distinct := list(set(tails)), self._looked_up(distinct)))
+        result = list(map(ids.__getitem__, units.indices.to_pylist()))
+        for k, tail in zip(marked.tolist(), tails):
+            result[k] += known[tail]
+        return np.frombuffer(b"".join(result), "<u4"), np.fromiter(map(len, result), np.int32, len(result)) // 4
 
     def _together(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in words]
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        cuts = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts).tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-
-    def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, result = self.words, []
-        for k in range(0, len(texts), 64):
-            split = [t.split() for t in texts[k : k + 64]]
-            seen = {w for words in split for w in words}
-            new = [w for w in seen if w not in known and w not in known.old and len(w) <= CACHED_LENGTH]
-            parts = {w: self._parts(w) for w in new}
-            units = {u for p in parts.values() for u in p}
-            found = {u: ids for u in units if (ids := known.get(u) or known.old.get(u)) is not None}
-            units = list(units - found.keys())
-            for j in range(0, len(units), 200):
-                found |= zip(units[j : j + 200], self._together(units[j : j + 200]))
-            for unit in units:
-                known.store(unit, found[unit])
-            for word, p in parts.items():
-                known.store(word, b"".join(map(found.__getitem__, p)))
-            result += [b"".join(map(known.__getitem__, words)) for words in split]
-        return result
-
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        stem = word.rstrip(self.MARKS)
-        if len(stem) == len(word) or not stem or not stem.decode()[-1].lower()[-1].isalpha():
-            return (word,)
-        return stem, word[len(stem) :]
+        data = np.array(found.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted([a for a, _ in found.offsets], starts)).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; new ones are encoded, and kept if they are short."""
+        if len(self.known) > CACHED_PIECES:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        ids = list(map(known.get, words))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        for k in gaps:
+            ids[k] = old.get(words[k])
+        new = [k for k in gaps if ids[k] is None]
+        for j in range(0, len(new), 200):
+            part = new[j : j + 200]
+            for k, found in zip(part, self._together([words[k] for k in part])):
+                ids[k] = found
+        known.update((words[k], ids[k]) for k in gaps if len(words[k]) <= CACHED_LENGTH)
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -211,18 +252,6 @@ def word_encoder(name: str) -> WordEncoder:
     return WordEncoder(name)
 
 
-def encoded(text: Column, name: str = DEFAULT_TOKENIZER, end_id: int = END_ID) -> Column:
-    """The ids of a text and the end id as little-endian unsigned 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
-
-    @F.arrow_udf("binary")
-    def encode(texts: pa.Array) -> pa.Array:
-        found = word_encoder(name).encode_all([(t.as_py() or "").encode() for t in texts])
-        return pa.array([ids + end for ids in found], pa.binary())
-
-    return encode(text)
-
-
 # --- files --------------------------------------------------------------------------------------------
 
 
@@ -230,39 +259,43 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri.removeprefix("file:")))
 
 
-def write_shards(rows: DataFrame, folder: str, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Write rows (id, ids) in ascending order of id; the manifest has a row for each shard."""
+def write_shards(
+    rows: DataFrame, folder: str, name: str = DEFAULT_TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS
+) -> DataFrame:
+    """Encode rows (id, text), an end id behind each, and write them in their order; the manifest has a
+    row for each shard."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        encoder = word_encoder(name)
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
         docs, counts, parts, seq, held = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, held
-            name = f"shard-{part:06d}-{seq:06d}.dac"
-            partial = f"{root}/.{name}.{uuid.uuid4().hex}"
+            file = f"shard-{part:06d}-{seq:06d}.dac"
+            partial = f"{root}/.{file}.{uuid.uuid4().hex}"
             with fs.open_output_stream(partial) as out:
                 out.write(shard_bytes(docs, counts, np.concatenate(parts)))
-            fs.move(partial, f"{root}/{name}")
-            row = {"part": [part], "seq": [seq], "file": [name], "n_docs": [len(docs)], "n_ids": [held]}
+            fs.move(partial, f"{root}/{file}")
+            row = {"part": [part], "seq": [seq], "file": [file], "n_docs": [len(docs)], "n_ids": [held]}
             docs.clear(), counts.clear(), parts.clear()
             seq, held = seq + 1, 0
             return pa.RecordBatch.from_pydict(row, schema)
 
-        for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(data.as_py(), "<u4")
-                # Ids of real vocabularies fit 16 bits mostly; what is held takes half the room then.
-                parts.append(ids.astype(np.uint16) if ids.max() < 65536 else ids)
-                docs.append(doc)
-                counts.append(len(ids))
-                held += len(ids)
-                if held >= shard_ids:
-                    yield flush()
+        for ids_of, texts in _gathered(batches, ENCODED_BYTES):
+            ids, sizes = encoder.encode(texts)
+            ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
+            # Ids of most vocabularies fit 16 bits; what is held takes half the room then.
+            parts.append(ids.astype(np.uint16) if ids.max() < 65536 else ids)
+            docs += ids_of.to_pylist()
+            counts += (sizes + 1).tolist()
+            held += len(ids)
+            if held >= shard_ids:
+                yield flush()
         if docs:
             yield flush()
 
@@ -270,10 +303,27 @@ def write_shards(rows: DataFrame, folder: str, shard_ids: int = SHARD_IDS) -> Da
         [("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]
     )
     ddl = "part int, seq int, file string, n_docs bigint, n_ids bigint"
-    manifest = rows.select("id", "ids").mapInArrow(write, ddl)
+    manifest = rows.select("id", "text").mapInArrow(write, ddl)
     return materialize(manifest, "token-manifest")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of batches put together up to ``size`` bytes, as larger ones repeat more words."""
+    held, total = [], 0
+    for batch in batches:
+        if held and total + batch.nbytes > size:
+            yield _joined(held)
+            held, total = [], 0
+        held.append(batch)
+        total += batch.nbytes
+    if held and sum(b.num_rows for b in held):
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    return tuple(pa.concat_arrays([b.column(k) for b in batches]) for k in range(2))
+
+
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document, from the files: id, start among all ids, number of ids, their CRC-32."""
     schema = T.StructType.fromDDL("id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
@@ -306,7 +356,7 @@ def write_documents(
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = F.col("id").asc_nulls_first()
     ordered = rows.repartitionByRange(n, ids).sortWithinPartitions(ids, "text")
-    return write_shards(ordered.select("id", encoded(F.col("text"), name).alias("ids")), folder)
+    return write_shards(ordered, folder, name)
 
 
 def op9_token_files(spark, folder: str) -> DataFrame:
