@@ -113,4 +113,5 @@ def top_k_per_year(df: DataFrame, k: int = 5, value: str = TARGET) -> DataFrame:
     distinct = df.select(year.alias("year"), F.col(value)).filter(F.col(value).isNotNull()).distinct()
     best = Window.partitionBy("year").orderBy(F.col(value).desc())
     top = distinct.withColumn("volume_rank", F.dense_rank().over(best)).filter(F.col("volume_rank") <= k)
-    return df.withColumn("year", year).join(F.broadcast(top), ["year", value])
+    # A few thousand rows at most for usual k; for others Spark decides by the size it sees.
+    return df.withColumn("year", year).join(F.broadcast(top) if k <= 100 else top, ["year", value])

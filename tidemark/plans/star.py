@@ -160,12 +160,18 @@ def dim_time(spark: SparkSession, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+# Five centuries of days.
+MAX_DAYS = 200_000
+
+
 def star_join(fact: DataFrame, dates: DataFrame, times: DataFrame) -> DataFrame:
-    """Fact with its dimensions. Both are bounded by the calendar (one row per day, 24 hours), so
-    they are broadcast whatever the size of the fact; dimension columns get a prefix."""
+    """Fact with its dimensions; dimension columns get a prefix. The hours are broadcast, and so are
+    the days unless stray times stretch them over more than ``MAX_DAYS``."""
     d = dates.select(*[F.col(c).alias("date" if c == "date" else f"date_{c}") for c in dates.columns])
     t = times.select(*[F.col(c).alias("hour" if c == "hour" else f"time_{c}") for c in times.columns])
-    return fact.join(F.broadcast(d), "date").join(F.broadcast(t), "hour")
+    if d.limit(MAX_DAYS + 1).count() <= MAX_DAYS:
+        d = F.broadcast(d)
+    return fact.join(d, "date").join(F.broadcast(t), "hour")
 
 
 def write_table(
