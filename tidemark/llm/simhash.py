@@ -299,6 +299,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _with_lowest(links_: DataFrame) -> DataFrame:
+    """Links (a, b) with the smallest ``b`` of each ``a`` as ``m``; a node with very many links is no hot key."""
+    low = links_.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    low = materialize(low, "lowest")
+    return join_with_large_keys(links_, low, "a", "n", low.agg(F.sum("n")).first()[0] or 0)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with a link; the root is the smallest node of the component."""
     schema = "a bigint, b bigint"
@@ -306,12 +313,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = links_.unionByName(links_.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        star = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = star.groupBy("a").agg(F.min("b").alias("m"))
-        joined = star.join(down, "a")
-        star = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            down.select("a", F.col("m").alias("b"))
+        # Large star: the larger neighbours of a node go to the smallest node around it.
+        large = _with_lowest(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        # Small star: the smaller neighbours of a node, and the node, go to the smallest of them.
+        small = _with_lowest(materialize(large, "large-star"))
+        star = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+            small.select("a", F.col("m").alias("b"))
         )
         links_ = materialize(star.distinct(), "links")
         digest = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
