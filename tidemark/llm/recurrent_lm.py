@@ -33,7 +33,7 @@ from tidemark.llm.common import documents, python_ready, quoted, text_of
 from tidemark.session import materialize
 
 END = " "  # no word has a blank
-FREQUENT = 1 << 16
+FREQUENT = 1 << 16  # words, and so the rows of the table, are fewer
 VOCABULARY = 2046
 CLASSES = 45
 HIDDEN = 24
@@ -96,11 +96,24 @@ class Unigrams:
 
 
 def unigrams(counts: DataFrame, frequent: int = FREQUENT) -> Unigrams:
-    """The end stands among the words of the network's vocabulary, however rare it is."""
+    """The words with the highest counts, fewer than ``frequent``, and the end, which stands among the
+    words of the network's vocabulary, however rare it is.
+
+    The lowest count of a frequent word is found from the number of words by steps of their count, a
+    few hundred rows, so that no task hands its own list of frequent words to the driver.
+    """
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     is_end = F.col("word") == END
-    top = counts.filter(~is_end).orderBy(F.desc("n"), "word").limit(frequent - 1).collect()
-    pairs = [(r.word.encode(), r.n) for r in top]
+    step = F.floor(F.log2("n") * 16)
+    rows = counts.filter(~is_end).groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n"))
+    lowest, held = None, 0
+    for row in sorted(rows.collect(), key=lambda r: -r.step):
+        held += row.words
+        if held >= frequent:
+            break
+        lowest = row.n
+    top = [] if lowest is None else counts.filter(~is_end & (F.col("n") >= lowest)).collect()
+    pairs = sorted(((r.word.encode(), r.n) for r in top), key=lambda p: (-p[1], p[0]))
     for r in counts.filter(is_end).collect():  # one row at most
         rank = sum(n >= r.n for _, n in pairs)
         pairs.insert(min(rank, VOCABULARY - 1), (END.encode(), r.n))
@@ -197,11 +210,16 @@ class GatedNetwork:
                 gradient["h"][own] += d @ p["word"][:, a:b].T
         return result
 
-    def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 64, window: int = 24, rate: float = 0.01):
-        """Truncated backpropagation through time with Adam over documents packed into lanes."""
+    def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 32, window: int = 24, rate: float = 0.01):
+        """Truncated backpropagation through time with Adam over documents packed into lanes. The rate is
+        halved from pass to pass; every tenth document is kept back, and the parameters of the pass (or
+        of the start) that predict those best stay."""
+        kept = docs[9::10]
+        docs = [d for k, d in enumerate(docs) if k % 10 != 9]
+        best = (self.score(kept).sum(), {k: v.copy() for k, v in self.p.items()})
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         rng, steps = np.random.default_rng(SEED), 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
             order = rng.permutation(len(docs))
             grid, live = pack([docs[k] for k in order], lanes, self.end)[:2]
             h = np.zeros((grid.shape[1], HIDDEN), np.float32)
@@ -215,8 +233,11 @@ class GatedNetwork:
                     m, s = moments[k]
                     m += 0.1 * (v - m)
                     s += 0.01 * (v * v - s)
-                    size = rate * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
+                    size = rate * 0.5**epoch * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
                     self.p[k] -= (size * m / (np.sqrt(s) + 1e-6)).astype(np.float32)
+            if not kept or (now := self.score(kept).sum()) > best[0]:
+                best = (now if kept else 0.0, {k: v.copy() for k, v in self.p.items()})
+        self.p = best[1]
         return self
 
     def _window(self, h: np.ndarray, ids: np.ndarray, on: np.ndarray):
@@ -336,7 +357,10 @@ def fit(train: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     others = max(known.total - own.sum() + 0.5 * (known.distinct - len(inside) + 1), 0.5)
     network = GatedNetwork(own, others, place[END.encode()])
     docs = sample_documents(train, text, known.total)
-    network.train([np.array([*(place.get(w, network.n) for w in d), network.end], np.int32) for d in docs])
+    rows = [np.array([*(place.get(w, network.n) for w in d), network.end], np.int32) for d in docs]
+    seen = max(sum(map(len, rows)), 1)
+    # A corpus smaller than the sample is passed more often.
+    network.train(rows, epochs=min(2 * EPOCHS, max(EPOCHS, EPOCHS * SAMPLE_TOKENS // seen)))
     whole = known.total + 0.5 * (known.distinct + 1)
     return Model(known, network, float(np.log10(whole / others)))
 
