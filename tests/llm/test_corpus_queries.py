@@ -1,5 +1,6 @@
 """The registered queries on the smallest data set, against brute force, and the pipeline as a whole."""
 
+import base64
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -163,7 +164,7 @@ def test_pipeline(spark, docs, bpe):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r.doc_id for r in rows} <= set(left)
     for r in rows:
-        ids = np.frombuffer(r.ids, "<u4").tolist()
+        ids = np.frombuffer(base64.b64decode(r.ids_base64), "<u4").tolist()
         assert ids == bpe.encode_ordinary(left[r.doc_id].text) and r.n_tokens == len(ids)
     times = Counter(r.doc_id for r in rows)
     size = {i: len(d.text.split()) for i, d in left.items()}

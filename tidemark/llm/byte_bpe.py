@@ -19,6 +19,8 @@ like the results, pass unchanged (results get a fresh name); an empty table give
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -33,6 +35,7 @@ from tidemark.llm.common import documents, fresh, python_ready, quoted, text_of
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 CACHED_PIECES = 200_000
 CACHED_LENGTH = 64
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class Vocabulary:
@@ -43,15 +46,18 @@ class Vocabulary:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.split_from = regex.compile(pattern).finditer
-        self.endings: set[bytes] = {t[i:] for t in ranks for i in range(len(t))}
-        self._valid: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        # Every ending of a token, with the token that it is, or -1 if it is none that merging leads to.
+        self.endings = {t[i:]: -1 for t in ranks for i in range(len(t))}
+        self.endings |= {t: rank for t, rank in ranks.items() if self.merged(t) == [rank]}
+        self._valid: dict[int, bool] = {}
+        self._spines: dict[tuple[int, int], list[int]] = {}
         self.pieces = PieceCache(self.encode_piece)
 
-    def merged(self, data: bytes) -> list[int]:
-        """Merging step by step: the pair of lowest rank first, the leftmost of equal ones. Quadratic, for short data."""
+    def merged(self, data: bytes, stop: int = 1) -> list[int]:
+        """Merging step by step, down to ``stop`` parts: the pair of lowest rank first, the leftmost of
+        equal ones. Quadratic, for short data."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             options = [
                 (rank, i) for i in range(len(parts) - 1) if (rank := self.ranks.get(parts[i] + parts[i + 1])) is not None
             ]
@@ -61,48 +67,70 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def spine(self, token: int, side: int) -> list[int]:
+        """The tokens that a token's first (side 0) or last (side -1) byte belongs to while it is merged,
+        from the byte to the token."""
+        found = self._spines.get((token, side))
+        if found is None:
+            data = self.bytes_of[token]
+            found = [token]
+            if len(data) > 1:
+                found = self.spine(self.merged(data, 2)[side], side) + found
+            self._spines[token, side] = found
+        return found
+
     def valid(self, left: int, right: int) -> bool:
-        found = self._valid.get((left, right))
+        """Whether merging the bytes of two tokens (each of which merges to itself) gives back the two.
+
+        It does unless, at some time, the parts beside the border have a merge of lower rank than the
+        next merge that either of them has inside its own token; at equal ranks the left one comes first.
+        """
+        key = left << 24 | right
+        found = self._valid.get(key)
         if found is None:
             if len(self._valid) > 2_000_000:
                 self._valid.clear()
-            found = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self._valid[left, right] = found
+            a, b, i, j = self.spine(left, -1), self.spine(right, 0), 0, 0
+            never = 1 << 60
+            while True:
+                across = self.ranks.get(self.bytes_of[a[i]] + self.bytes_of[b[j]], never)
+                next_a = a[i + 1] if i + 1 < len(a) else never
+                next_b = b[j + 1] if j + 1 < len(b) else never
+                if across < never and across < next_a and across <= next_b:
+                    found = False
+                    break
+                if next_a == next_b == never:
+                    found = True
+                    break
+                if next_a <= next_b:
+                    i += 1
+                else:
+                    j += 1
+            self._valid[key] = found
         return found
 
     def whole(self, token: int) -> bool:
         """Whether the token's own bytes merge to it."""
-        found = self._whole.get(token)
-        if found is None:
-            found = self._whole[token] = self.merged(self.bytes_of[token]) == [token]
-        return found
+        return self.endings[self.bytes_of[token]] == token
 
     def fill(self, data: bytes, last: list[int]) -> list[int]:
         """Extend ``last``, the last token of each prefix of ``data`` (place 0 stands for no bytes), to its end."""
-        ranks, endings, valid = self.ranks, self.endings, self._valid
+        ending, known = self.endings.get, self._valid.get
         for end in range(len(last), len(data) + 1):
-            options = []
             start = end - 1
-            while start >= 0 and (tail := data[start:end]) in endings:
-                token = ranks.get(tail)
-                if token is not None:
-                    options.append((start, token))
-                start -= 1
-            for start, token in reversed(options):
-                if start == 0:
-                    if self.whole(token):
-                        last.append(token)
+            while (token := ending(data[start:end])) is not None and start >= 0:
+                if token >= 0:
+                    if not start:
                         break
-                else:
-                    before = last[start]
-                    fits = valid.get((before, token))
+                    fits = known(last[start] << 24 | token)
                     if fits is None:
-                        fits = self.valid(before, token)
+                        fits = self.valid(last[start], token)
                     if fits:
-                        last.append(token)
                         break
+                start -= 1
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
+            last.append(token)
         return last
 
     def read_back(self, last: list[int]) -> list[int]:
@@ -120,10 +148,37 @@ class Vocabulary:
         ids = [token] if token is not None else self.read_back(self.fill(data, [-1]))
         return np.array(ids, "<u4").tobytes()
 
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces that the cache lacks: in order, so that each keeps the table of the prefix that
+        it shares with the one before."""
+        before, last = b"", [-1]
+        known, old = self.pieces, self.pieces.old
+        new = [p for p in pieces if p not in known and p not in old and len(p) <= CACHED_LENGTH]
+        for data in sorted(p.encode() for p in new):
+            token = self.ranks.get(data)
+            if token is not None:
+                ids = [token]
+            else:
+                most, same = min(len(data), len(last) - 1), 0
+                while same < most and data[same] == before[same]:
+                    same += 1
+                del last[same + 1 :]
+                ids, before = self.read_back(self.fill(data, last)), data
+            self.pieces.store(data.decode(), array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes())
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
+    def encode_all(self, texts: list[str], together: int = 500) -> list[bytes]:
+        """The same for many texts, whose new pieces are encoded together."""
+        known, result = self.pieces, []
+        for k in range(0, len(texts), together):
+            split = [self.split(t) for t in texts[k : k + together]]
+            self.learn({p for pieces in split for p in pieces})
+            result += [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        return result
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -220,8 +275,7 @@ def encoded(text: Column, name: str = DEFAULT_RANKS, pattern: str | None = None)
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        v = vocabulary(name, pattern)
-        return pa.array([v.encode(t.as_py()) if t.is_valid else b"" for t in texts], pa.binary())
+        return pa.array(vocabulary(name, pattern).encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
     # Called non-deterministic so that an expression over its result reads it and does not encode again.
     return encode.asNondeterministic()(text)
@@ -257,9 +311,10 @@ def n_ids(ids: str) -> Column:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: id, number of tokens and the ids of every document."""
+    """The last stage: id, number of tokens and the ids of every document, in Base64 as the table is
+    meant to be compared and moved as text."""
     rows = encode_documents(docs.select(quoted("doc_id"), quoted("text")))
-    return rows.select("doc_id", n_ids("ids").alias("n_tokens"), "ids")
+    return rows.select("doc_id", n_ids("ids").alias("n_tokens"), F.base64("ids").alias("ids_base64"))
 
 
 def op1_byte_bpe(spark, folder: str) -> DataFrame:
