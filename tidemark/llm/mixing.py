@@ -25,7 +25,7 @@ from tidemark.session import materialize
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
-RANGE_BITS = 14
+RANGE_BITS = 12
 HASH_BITS = 60
 
 
