@@ -122,3 +122,26 @@ def test_no_training_rows(spark, edge):
     found = r.scored(df, model, counts).collect()
     assert len(found) == len(rows)
     assert all(x.n_known == 0 and x.score == x.base_score == 0 for x in found)
+
+
+def test_every_training_row_trains_the_network(spark, monkeypatch):
+    """Without the sample, what follows what is learnt from the rows on Spark alone."""
+    monkeypatch.setattr(r, "sample_documents", lambda *a: [])
+    monkeypatch.setattr(r, "ROUND_RATE", 0.02)
+    rows = [(k, "one two three " * (40 + k % 9)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    counts = materialize(r.token_counts(df), "counts")
+    model = r.fit(df, counts)
+    found = r.scored(df.limit(50), model, counts).selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
+    assert found.s > found.b * 0.8
+
+
+def test_copies_are_averaged_by_tokens():
+    import pyarrow as pa
+
+    parts = [np.array([1, 2], np.float32), np.array([4, 8], np.float32)]
+    batch = pa.record_batch(
+        [pa.array([5, 5], pa.int32()), pa.array([1, 2], pa.int64()), pa.array([p.tobytes() for p in parts])], names=["block", "n", "part"]
+    )
+    (found,) = r._averaged(iter([batch]))
+    assert np.frombuffer(found.column(1)[0].as_py(), np.float32).tolist() == [3, 6]

@@ -3,9 +3,11 @@
 Tokens are the lower-cased words of a text and one end. Counts of all training tokens are gathered on
 Spark: they give the base score, the vocabulary and its classes, and the start of every output bias, and
 they grow with the corpus. The recurrent network (one gated layer, class-factored output softmax: first
-the class of a word, then the word within it) is trained in numpy by truncated backpropagation through
-time on a bounded sample of the training documents (``SAMPLE_TOKENS``). Words outside the network's
-vocabulary share one class; inside it they have their smoothed share of the corpus counts.
+the class of a word, then the word within it) is trained in numpy by truncated backpropagation through time. A bounded sample
+(``SAMPLE_TOKENS``) gives a common start; from there every training row is passed once on Spark, in
+``ROUNDS`` parts: each task trains a copy on its rows of the part, and the copies, weighted by their
+tokens, are averaged before the next part. Words outside the network's vocabulary share one class;
+inside it they have their smoothed share of the corpus counts.
 
 Scoring runs whole documents side by side in lanes; the state is carried from window to window, so a
 document's probability is that of its whole text, however long it is. The ``FREQUENT`` most frequent
@@ -40,6 +42,11 @@ HIDDEN = 24
 EMBEDDING = 16
 SAMPLE_TOKENS = 400_000
 EPOCHS = 2
+ROUNDS = 4
+ROUND_RATE = 0.004  # of the first round; halved from round to round
+ROUND_LANES = 256
+HELD_TOKENS = 400_000  # that a task trains on at once
+BLOCKS = 2048  # in which parameters are averaged
 LANES = 1024
 WINDOW = 64
 BUFFERED_TOKENS = 2_000_000
@@ -127,6 +134,25 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
+class Adam:
+    """Steps of Adam with the gradient cut to the norm 1."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+        self.steps = 0
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
+        size = rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        for k, v in g.items():
+            v *= min(1.0, 1.0 / max(norm, 1e-12))
+            m, s = self.moments[k]
+            m += 0.1 * (v - m)
+            s += 0.01 * (v * v - s)
+            p[k] -= (size * m / (np.sqrt(s) + 1e-6)).astype(np.float32)
+
+
 class GatedNetwork:
     """A gated recurrent layer with a class-factored softmax over ids.
 
@@ -217,29 +243,35 @@ class GatedNetwork:
         kept = docs[9::10]
         docs = [d for k, d in enumerate(docs) if k % 10 != 9]
         best = (self.score(kept).sum(), {k: v.copy() for k, v in self.p.items()})
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        rng, steps = np.random.default_rng(SEED), 0
+        rng, adam = np.random.default_rng(SEED), Adam(self.p)
         for epoch in range(epochs):
             order = rng.permutation(len(docs))
-            grid, live = pack([docs[k] for k in order], lanes, self.end)[:2]
-            h = np.zeros((grid.shape[1], HIDDEN), np.float32)
-            for t in range(0, len(grid), window):
-                ids, on = grid[t : t + window], live[t : t + window]
-                h, g = self._window(h, ids, on)
-                steps += 1
-                norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
-                for k, v in g.items():
-                    v *= min(1.0, 1.0 / max(norm, 1e-12))
-                    m, s = moments[k]
-                    m += 0.1 * (v - m)
-                    s += 0.01 * (v * v - s)
-                    size = rate * 0.5**epoch * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
-                    self.p[k] -= (size * m / (np.sqrt(s) + 1e-6)).astype(np.float32)
+            self.learn([docs[k] for k in order], adam, lanes, window, rate * 0.5**epoch)
             if not kept or (now := self.score(kept).sum()) > best[0]:
                 best = (now if kept else 0.0, {k: v.copy() for k, v in self.p.items()})
         self.p = best[1]
         return self
 
+    def learn(self, docs: list[np.ndarray], adam: Adam, lanes: int, window: int, rate: float) -> None:
+        """One pass over the documents."""
+        grid, live = pack(docs, lanes, self.end)[:2]
+        h = np.zeros((grid.shape[1], HIDDEN), np.float32)
+        for t in range(0, len(grid), window):
+            # Lanes are sorted by length, so those that are done are the last ones.
+            n = int(live[t].sum())
+            h, g = self._window(h[:n], grid[t : t + window, :n], live[t : t + window, :n])
+            adam.step(self.p, g, rate)
+
+    def flat(self) -> np.ndarray:
+        """All parameters in one row."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def set_flat(self, values: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+
     def _window(self, h: np.ndarray, ids: np.ndarray, on: np.ndarray):
         """The state behind a window and the mean gradient of its tokens; nothing flows back before it."""
         table, p = self.table(), self.p
@@ -346,6 +378,71 @@ def sample_documents(train: DataFrame, text: str, total_tokens: int, wanted: int
     return docs
 
 
+def _ids(words: list[bytes], place: dict[bytes, int], network: GatedNetwork) -> np.ndarray:
+    return np.array([*(place.get(w, network.n) for w in words), network.end], np.int32)
+
+
+def _round(shared, rate: float):
+    """A mapInArrow function: a copy of the network trained on the rows of the task, in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, words = shared.value
+        place = {w: k for k, w in enumerate(words)}
+        adam, docs, held, total = Adam(network.p), [], 0, 0
+        network.p = {k: v.copy() for k, v in network.p.items()}
+        for batch in batches:
+            for text in batch.column(0):
+                docs.append(_ids(tokens(text.as_py()), place, network))
+                held += len(docs[-1])
+                if held > HELD_TOKENS:
+                    network.learn(docs, adam, ROUND_LANES, 24, rate)
+                    total, held, docs = total + held, 0, []
+        if docs:
+            network.learn(docs, adam, ROUND_LANES, 24, rate)
+            total += held
+        if total:
+            parts = np.array_split(network.flat(), BLOCKS)
+            yield pa.record_batch(
+                [
+                    pa.array(range(BLOCKS), pa.int32()), pa.array([total] * BLOCKS, pa.int64()),
+                    pa.array([p.tobytes() for p in parts], pa.binary()),
+                ],
+                names=["block", "n", "part"],
+            )
+
+    return run
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the blocks, weighted by the tokens; all copies of a block are in this task."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for block, n, part in zip(*(c.to_pylist() for c in batch.columns)):
+            own = sums.setdefault(block, [0, 0.0])
+            own[0] += n
+            own[1] = own[1] + n * np.frombuffer(part, np.float32).astype(np.float64)
+    means = [(total / n).astype(np.float32).tobytes() for n, total in sums.values()]
+    yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary())], names=["block", "part"])
+
+
+def train_on_all(train: DataFrame, network: GatedNetwork, words: list[bytes], text: str = "text") -> None:
+    """One pass over every training row, in rounds; a row's round is told by a hash of its text."""
+    spark = train.sparkSession
+    rows = train.select(text_of(text).alias("text"))
+    part = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((network, words))  # bounded by the network's size
+        run = _round(shared, ROUND_RATE * 0.5**k)
+        copies = rows.filter(part == k).mapInArrow(run, "block int, n bigint, part binary")
+        copies = materialize(copies, "network-copies")
+        means = copies.repartition("block").sortWithinPartitions("block", "n", "part")
+        means = materialize(means.mapInArrow(_averaged, "block int, part binary"), "network")
+        found = {r.block: r.part for r in means.collect()}
+        if found:
+            network.set_flat(np.concatenate([np.frombuffer(found[b], np.float32) for b in range(BLOCKS)]))
+        shared.destroy()
+
+
 def fit(train: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     """``counts`` are the written token counts of ``train``."""
     known = unigrams(counts)
@@ -357,10 +454,8 @@ def fit(train: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     others = max(known.total - own.sum() + 0.5 * (known.distinct - len(inside) + 1), 0.5)
     network = GatedNetwork(own, others, place[END.encode()])
     docs = sample_documents(train, text, known.total)
-    rows = [np.array([*(place.get(w, network.n) for w in d), network.end], np.int32) for d in docs]
-    seen = max(sum(map(len, rows)), 1)
-    # A corpus smaller than the sample is passed more often.
-    network.train(rows, epochs=min(2 * EPOCHS, max(EPOCHS, EPOCHS * SAMPLE_TOKENS // seen)))
+    network.train([_ids(d, place, network) for d in docs])
+    train_on_all(train, network, inside, text)
     whole = known.total + 0.5 * (known.distinct + 1)
     return Model(known, network, float(np.log10(whole / others)))
 
