@@ -145,3 +145,16 @@ def test_copies_are_averaged_by_tokens():
     )
     (found,) = r._averaged(iter([batch]))
     assert np.frombuffer(found.column(1)[0].as_py(), np.float32).tolist() == [3, 6]
+
+
+def test_memory_follows_tokens_beside_a_long_document():
+    import tracemalloc
+
+    net = network()
+    docs = [np.array([0, 3], np.int32)] * 1023 + [np.array([0, 1, 2] * 20_000 + [3], np.int32)]
+    tracemalloc.start()
+    found = net.score(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[-1] < found[0] < 0
+    assert most < 60 << 20  # a grid of 60,001 steps and 1,024 lanes takes over 500 MB

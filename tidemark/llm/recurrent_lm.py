@@ -22,6 +22,7 @@ of the input are not read.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -254,12 +255,11 @@ class GatedNetwork:
 
     def learn(self, docs: list[np.ndarray], adam: Adam, lanes: int, window: int, rate: float) -> None:
         """One pass over the documents."""
-        grid, live = pack(docs, lanes, self.end)[:2]
-        h = np.zeros((grid.shape[1], HIDDEN), np.float32)
-        for t in range(0, len(grid), window):
-            # Lanes are sorted by length, so those that are done are the last ones.
-            n = int(live[t].sum())
-            h, g = self._window(h[:n], grid[t : t + window, :n], live[t : t + window, :n])
+        packed = Lanes(docs, lanes, self.end)
+        h = np.zeros((packed.lanes, HIDDEN), np.float32)
+        for t in range(0, packed.steps, window):
+            ids, on, _ = packed.window(t, window)
+            h, g = self._window(h[: ids.shape[1]], ids, on)
             adam.step(self.p, g, rate)
 
     def flat(self) -> np.ndarray:
@@ -310,48 +310,55 @@ class GatedNetwork:
         """The log10 probability of each document (ids with the end)."""
         if not docs:
             return np.zeros(0)
-        grid, live, owner = pack(docs, lanes, self.end)
+        packed = Lanes(docs, lanes, self.end)
         table, sums = self.table(), np.zeros(len(docs))
-        h = np.zeros((grid.shape[1], HIDDEN), np.float32)
-        for t in range(0, len(grid), window):
-            # Lanes are sorted by length, so those that are done are the last ones.
-            n = int(live[t].sum())
-            ids, on = grid[t : t + window, :n], live[t : t + window, :n]
+        h = np.zeros((packed.lanes, HIDDEN), np.float32)
+        for t in range(0, packed.steps, window):
+            ids, on, owner = packed.window(t, window)
+            n = ids.shape[1]
             h, states = h[:n], np.empty((len(ids), n, HIDDEN), np.float32)
             for k, step in enumerate(ids):
                 states[k] = h
                 h, _ = self.step(h, table[step])
                 h[step == self.end] = 0
             found = self.log_probability(states[on], ids[on])
-            sums += np.bincount(owner[t : t + window, :n][on], found, len(docs))
+            sums += np.bincount(owner[on], found, len(docs))
         return sums / np.log(10)
 
 
+class Lanes:
+    """Documents one behind another in lanes of like length, longest lane first. What is held are their
+    tokens; a grid of steps and lanes is made for one window and its live lanes alone."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int, fill: int):
+        lanes = max(1, min(lanes, len(docs)))
+        heap = [(0, k) for k in range(lanes)]
+        queues: list[list[int]] = [[] for _ in range(lanes)]
+        for d in sorted(range(len(docs)), key=lambda d: (-len(docs[d]), d)):
+            length, k = heapq.heappop(heap)
+            queues[k].append(d)
+            heapq.heappush(heap, (length + len(docs[d]), k))
+        heap.sort(key=lambda x: (-x[0], x[1]))
+        order = [d for _, k in heap for d in queues[k]]
+        self.lanes, self.steps, self.fill = lanes, heap[0][0], fill
+        self.lengths = np.array([n for n, _ in heap])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = np.concatenate([docs[d] for d in order] or [np.zeros(0, np.int32)]).astype(np.int32)
+        self.owner = np.repeat(np.array(order, np.int32), [len(docs[d]) for d in order])
+
+    def window(self, t: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids by (step, lane) from step ``t`` on, which of them are real, and the document of each."""
+        n = int((self.lengths > t).sum())
+        at = np.arange(t, min(t + size, self.steps))[:, None]
+        live = at < self.lengths[:n]
+        places = np.minimum(self.starts[:n] + at, max(len(self.ids) - 1, 0))
+        return np.where(live, self.ids[places], np.int32(self.fill)), live, np.where(live, self.owner[places], 0)
+
+
 def pack(docs: list[np.ndarray], lanes: int, fill: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents one behind another in lanes of like length, longest lane first: ids by (step, lane),
-    which of them are real, and the document of each."""
-    import heapq
-
-    lanes = max(1, min(lanes, len(docs)))
-    heap = [(0, k) for k in range(lanes)]
-    queues: list[list[int]] = [[] for _ in range(lanes)]
-    for d in sorted(range(len(docs)), key=lambda d: (-len(docs[d]), d)):
-        length, k = heapq.heappop(heap)
-        queues[k].append(d)
-        heapq.heappush(heap, (length + len(docs[d]), k))
-    order = [k for _, k in sorted(heap, key=lambda x: (-x[0], x[1]))]
-    lengths = {k: n for n, k in heap}
-    steps = max(lengths.values(), default=0)
-    grid = np.full((steps, lanes), fill, np.int32)
-    live = np.zeros((steps, lanes), bool)
-    owner = np.zeros((steps, lanes), np.int32)
-    for column, k in enumerate(order):
-        if queues[k]:
-            n = lengths[k]
-            grid[:n, column] = np.concatenate([docs[d] for d in queues[k]])
-            owner[:n, column] = np.repeat(queues[k], [len(docs[d]) for d in queues[k]])
-            live[:n, column] = True
-    return grid, live, owner
+    """All steps of the lanes at once, for few and short documents."""
+    packed = Lanes(docs, lanes, fill)
+    return packed.window(0, packed.steps)
 
 
 # --- fitting and scoring ----------------------------------------------------------------------------------
