@@ -81,3 +81,12 @@ def test_null_ids_repeats_and_no_rows(spark, edge):
     assert sorted((r.start, str(r.id), r.n_tokens) for r in found) == [(0, "None", 2), (2, "5", 1), (3, "5", 3), (6, "5", 3)]
     folder = scratch_path(spark, "tokens")
     assert t.read_shards(t.write_documents(edge[2], folder), folder).count() == 0
+
+
+def test_capitals_before_combining_marks_stay(library):
+    marks = [chr(k) for k in range(0x300, 0x370)]
+    words = [f"{chr(c)}{m}{tail}" for c in range(65, 91) for m in marks for tail in ("", "i", "S!")]
+    texts = words + [f"The {w} And THE {w.lower()}" for w in words[::7]]
+    ids, sizes = t.word_encoder(t.DEFAULT_TOKENIZER).encode(t.pa.array(texts))
+    parts = [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert parts == [library.encode(x, add_special_tokens=False).ids for x in texts]

@@ -157,8 +157,8 @@ class Shard:
 
 
 class WordEncoder:
-    """Ids of texts from those of their words, for tokenizers that ignore case in A-Z and never join
-    across the six ASCII blanks.
+    """Ids of texts from those of their words, for tokenizers that ignore case in words of ASCII alone
+    and never join across the six ASCII blanks.
 
     Arrow splits all texts of a batch and numbers their distinct words; only these are looked up. New
     ones are encoded many at once, a blank between them, and told apart by their offsets. ASCII marks
@@ -179,11 +179,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind another, and the number of ids of each."""
-        # Only special tokens depend on case, and those begin with "<|".
-        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        lists = pc.ascii_split_whitespace(lower)
+        lists = pc.ascii_split_whitespace(self._lowered(texts))
         words = lists.flatten().dictionary_encode()
-        blob, sizes = self._distinct(words.dictionary)
+        blob, sizes = self._distinct(self._lowered(words.dictionary))
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
         which = words.indices.to_numpy(zero_copy_only=False)
         counts = sizes[which]
@@ -193,6 +191,14 @@ class WordEncoder:
         at = ends[lists.offsets.to_numpy(zero_copy_only=False) - lists.offsets[0].as_py()]
         return blob[places], np.diff(at)
 
+    @staticmethod
+    def _lowered(texts: pa.Array) -> pa.Array:
+        """Texts that are ASCII throughout in lower case. Others stay as they are, since a capital and a
+        mark behind it may compose differently from the small letter; so do special tokens, which depend
+        on case and begin with "<|"."""
+        fixed = pc.or_(pc.invert(pc.string_is_ascii(texts)), pc.match_substring(texts, "<|"))
+        return pc.if_else(fixed, texts, pc.ascii_lower(texts))
+
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words, one behind another, and the number of ids of each."""
         stems = pc.ascii_rtrim(words, characters=self.MARKS)
