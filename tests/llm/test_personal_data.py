@@ -55,3 +55,22 @@ def test_documents(spark, edge, trained):
     assert {x.doc_id: x.s.base for x in found} == {i: ",".join(brute.personal_spans(t or "")) for i, t in rows}
     assert all(x.s.spans == x.s.base for x in found)  # the prose has nothing to add
     assert empty.select(p.scanned(text_of("text"), p.fit(empty))).count() == 0
+
+
+@pytest.mark.parametrize("text", ["write to joe @ example.com now", "joe@example (dot) com", "joe@example dot com"])
+def test_an_at_sign_is_a_hint(text):
+    assert p.base_spans(text) == []
+    assert [c[0] for c in p.candidates(text)] == [0]
+
+
+def test_corpus_candidates_are_labelled_by_patterns_and_formats_alone():
+    import pyarrow as pa
+
+    def labels(text):
+        (found,) = p._corpus_rows(iter([pa.record_batch([pa.array([text])], names=["text"])]))
+        return found.column(1).to_pylist()
+
+    for text in ("joe (at) example (dot) com", "call (555) 010-4477", "card 3782 822463 10005", "10[.]0[.]0[.]1"):
+        assert p.candidates(text) and 0 not in labels(text)[:1], text
+    assert set(labels("on 2024-01-05")) == {0} and set(labels("v 1.2.3.1400")) == {0}
+    assert labels("a@b.org") == [1]

@@ -6,7 +6,7 @@ a plus. Boosted trees (logistic loss, depth 3, histogram splits, in numpy) score
 format (digits, marks, group sizes, Luhn) and its context (words before it, characters around it).
 
 The trees learn from a labelled sample: candidates of about ``SAMPLE_DOCUMENTS`` documents, labelled by the
-patterns, and seeded examples of both classes in context. Scores are calibrated by a logistic fit on a
+patterns or, as negative, by a format that excludes personal data, and seeded examples of both classes in context. Scores are calibrated by a logistic fit on a
 held-out part, and a kind's threshold is the lowest probability at which held-out precision reaches
 ``PRECISION``. Spans of the patterns always stay; accepted candidates are added, best first, where they
 touch no span yet. Every whole text is scanned, and nothing shuffles but the sample.
@@ -100,7 +100,7 @@ GENERATORS = (
     re.compile(r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){12,18}(?![0-9])"),
     re.compile(r"(?<![0-9+])\+?\(?[0-9]{1,4}\)?(?:[\x20./-]{0,2}\(?[0-9]{2,4}\)?){1,5}(?![0-9])"),
 )
-_HINT = re.compile(r"[0-9]|[([{]at[)\]}]|\x20at\x20", re.I)
+_HINT = re.compile(r"[0-9@]|[([{]at[)\]}]|\x20at\x20", re.I)
 CONTEXT = {
     "mail": ("mail", "contact", "write to", "reach"),
     "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "dial"),
@@ -263,9 +263,26 @@ def seeded_examples(n: int = SYNTHETIC, seed: int = SEED) -> list[tuple[str, int
     return rows
 
 
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([./-])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])")
+
+
+def excluded(span: str, kind: int) -> bool:
+    """Whether the format alone says that a candidate is no personal data of its kind."""
+    digits = digits_of(span)
+    if kind == 0:  # no top-level domain
+        last = re.split(r"[^A-Za-z0-9-]+", span)[-1]
+        return len(last) < 2 or not last[0].isalpha()
+    if kind == 1:
+        return any(int(g) > 255 for g in re.findall("[0-9]+", span))
+    if kind == 2:
+        return not luhn(digits)
+    return not 7 <= len(digits) <= 15 or bool(_DATE.fullmatch(span))
+
+
 def _corpus_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features and labels of the candidates of whole documents; a candidate that a pattern of its own
-    kind finds is personal data, one that no pattern touches is not, and others are left out."""
+    kind finds is personal data, one that no pattern touches and whose format excludes it is not, and
+    others are left out, as nobody has labelled them."""
     x, y = [], []
     for batch in batches:
         for text in batch.column(0):
@@ -274,7 +291,7 @@ def _corpus_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for span in candidates(text):
                 kind, start, end = span
                 touched = [b for b in base if b[1] < end and start < b[2]]
-                if span in base or not touched:
+                if span in base or not touched and excluded(text[start:end], kind):
                     x.append(np.array(features(text, span), np.float32).tobytes())
                     y.append(int(bool(touched)))
     yield pa.record_batch([pa.array(x, pa.binary()), pa.array(y, pa.int32())], names=["x", "y"])
