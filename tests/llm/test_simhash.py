@@ -89,3 +89,11 @@ def test_null_and_repeated_ids(spark):
     assert sorted((str(r.doc_id), r.component_id or -1) for r in found) == [
         ("4", 4), ("4", 4), ("9", 9), ("None", -1), ("None", 4),
     ]
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = "one two three four five six", "other words here now then and again", "alone among all the words of it"
+    rows = [(3, a), (5, a + " "), (5, b), (7, b), (7, b), (None, b), (None, c), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = s.one_of_each(df.repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in found) == [("3", a), ("5", b), ("None", c)]

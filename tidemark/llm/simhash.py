@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns, documents, join_with_large_keys, python_ready, quoted, text_of
+from tidemark.llm.common import columns, documents, fresh, join_with_large_keys, python_ready, quoted, text_of
 from tidemark.session import materialize
 
 BITS = 64
@@ -334,6 +334,11 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", limi
     """Per row: id, fp (64 bits as a signed integer) and component_id, the smallest id reachable."""
     python_ready(df.sparkSession)
     rows = materialize(df.select(quoted(id_).alias("id"), fingerprints(text_of(text)).alias("fp")), "fingerprints")
+    return _grouped(rows, limit).select(F.col("id").alias(id_), "fp", "component_id")
+
+
+def _grouped(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Written ``rows`` (id, fp and others) with root, which tells the component, and component_id."""
     per_fp = rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     per_fp = materialize(per_fp, "distinct-fingerprints")
     found = materialize(components(links(per_fp, limit)), "components")
@@ -341,17 +346,26 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", limi
     rooted = materialize(rooted.select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
     named = materialize(named, "component-ids")
-    table = join_with_large_keys(rooted, named, "root", "m", rooted.count()).select("fp", "component_id", "n")
+    table = join_with_large_keys(rooted, named, "root", "m", rooted.count()).select("fp", "root", "component_id", "n")
     table = materialize(table, "fingerprint-components")
-    return join_with_large_keys(rows, table, "fp", "n", rows.count()).select(F.col("id").alias(id_), "fp", "component_id")
+    return join_with_large_keys(rows, table, "fp", "n", rows.count())
 
 
 def one_of_each(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without those whose component has a smaller id."""
-    marked = near_duplicates(df, id_, text)
-    gone = marked.filter(quoted(id_) != F.col("component_id")).select(quoted(id_).alias("gone_id")).distinct()
-    gone = materialize(gone, "near-duplicates")
-    return df.join(gone, quoted(id_) == F.col("gone_id"), "left_anti").select(*columns(df.columns))
+    """One row of each component of ``df``: that with the smallest id, nulls last, then the smallest hash of
+    the text. Rows are told apart by a number written with them, so ids may repeat or be null."""
+    python_ready(df.sparkSession)
+    (row,) = fresh(df, "row")
+    numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    t = text_of(text)
+    rows = numbered.select(
+        quoted(id_).alias("id"), fingerprints(t).alias("fp"), F.xxhash64(t).alias("tie"), quoted(row).alias("row")
+    )
+    marked = materialize(_grouped(materialize(rows, "fingerprints")).select("root", "id", "tie", "row"), "grouped")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "tie", "row"))["row"]
+    kept = marked.groupBy("root").agg(first.alias("row")).select("row")
+    gone = materialize(marked.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", "gone"), "near-duplicates")
+    return numbered.join(gone, quoted(row) == F.col("gone"), "left_anti").select(*columns(df.columns))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
