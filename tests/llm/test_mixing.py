@@ -43,3 +43,23 @@ def test_stage_repeats_rows(spark, edge):
     assert m.mix(empty).count() == 0
     assert m.stage(spark, empty, "").count() == 0
     assert m.mix(df.union(df)).count() == 2 * len(rows)
+
+
+def test_empty_texts_behind_the_cut_take_nothing(spark):
+    """Steps of 10, 20,000 and 0 words in one hash range with 6 wanted: 10 are taken."""
+    rows = [("x", 10, 1), ("x", 20_000, 2), ("x", 0, 3), ("y", 20_010, 1)]
+    sizes = spark.createDataFrame(rows, "source string, size bigint, u bigint")
+    found = {r.mix_source: r for r in m.plan(sizes, weights=(6, 40_014)).collect()}
+    assert (found["x"].target, found["x"].epochs, found["x"].last) == (6, 0, 1)
+
+
+def test_mix_agrees_with_the_sql_where_texts_are_empty(spark):
+    duckdb = pytest.importorskip("duckdb")
+    texts = [(None, "", " \n", "w " * 3, "w " * 400)[k % 5] for k in range(3000)]
+    rows = [(k, t, "abc"[k % 7 % 3]) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    documents = df.toArrow()  # noqa: F841
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        wanted = {r[0]: r[4] for r in con.sql(m.SQL).fetchall()}
+    assert {r.doc_id: r.taken for r in m.mix(df).collect()} == wanted

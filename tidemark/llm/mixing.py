@@ -80,7 +80,7 @@ def plan(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
     steps = inside.groupBy("mix_source", "u", "before", "wanted").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("mix_source").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    taken = steps.filter("words = 0 OR before + words / 2.0D <= wanted").groupBy("mix_source").agg(F.max("u").alias("last"))
+    taken = steps.filter("words > 0 AND before + words / 2.0D <= wanted").groupBy("mix_source").agg(F.max("u").alias("last"))
     # Where not even the first document of the range is taken, the cut is the end of the range before.
     cuts = cut.join(taken.withColumnRenamed("mix_source", "s"), F.col("mix_source").eqNullSafe(F.col("s")), "left")
     at = F.coalesce("last", F.shiftleft(F.col("range"), HASH_BITS - RANGE_BITS) - 1)
