@@ -52,3 +52,18 @@ def test_documents(spark, edge, trained):
     assert {x.doc_id: x.s.base for x in found} == {i: ",".join(brute.secret_spans(t or "")) for i, t in rows}
     assert s.fit(empty).ordinary is None
     assert empty.select(s.scanned(text_of("text"), s.fit(empty))).count() == 0
+
+
+def test_threshold_does_not_depend_on_partitions(spark):
+    """More than 200 held-out tokens of growing oddity: all count, however the rows are dealt."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprst"), 6)) for _ in range(400)]
+    rows = [(k, " ".join("_".join(rng.choice(words, 4)) for _ in range(30)) + f" n{k}") for k in range(60)]
+    rows.append((99, " ".join("-".join("qzxjkvw"[(k + j) % 7] + "aeiou"[j % 5] + str(k * j % 10) for j in range(9)) for k in range(40))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tokens = {t for b in [s._sample_counts(iter([s.pa.record_batch([s.pa.array([r[1] for r in rows])], names=["text"])]))]
+              for x in b for t in x.column(3).to_pylist() if t}
+    assert len(tokens) > 200
+    found = [s.fit(df.orderBy("doc_id").repartition(1)), s.fit(df.repartition(7)), s.fit(df.orderBy(s.F.desc("doc_id")).coalesce(2))]
+    assert len({m.threshold for m in found}) == 1
+    assert found[0].threshold == max([s.MARGIN, *(r + 0.2 for r in map(found[0].ratio, tokens) if r < s.MARGIN + 0.4)])

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, python_ready, quoted, text_of
+from tidemark.session import materialize
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -138,8 +139,7 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 for token in [*words, *identifiers(words)]:
                     # Every fourth of the long ordinary tokens is kept back for the threshold.
                     if len(token) >= MIN_LENGTH and sum(map(ord, token)) % 4 == 0:
-                        if len(held) < 200:
-                            held.add(token)
+                        held.add(token)
                         continue
                     np.add.at(counts[0], transitions(token), 1)
                 at = max(at, end)
@@ -171,9 +171,9 @@ def fit(df: DataFrame, text: str = "text", seed: int = SEED) -> Models:
     # What documents share is counted once, so that no large group of copies fills the sample.
     chosen = chosen.dropDuplicates(["text"])
     table = chosen.mapInArrow(_sample_counts, "label int, pair int, n bigint, token string")
-    table = table.groupBy("label", "pair", "token").agg(F.sum("n").alias("n")).toPandas()
+    table = materialize(table.groupBy("label", "pair", "token").agg(F.sum("n").alias("n")), "secret-sample")
     counts = np.zeros((2, SIZE * SIZE))
-    numbers = table[table["label"] < 2]
+    numbers = table.filter("label < 2").toPandas()
     counts[numbers["label"].to_numpy(int), numbers["pair"].to_numpy(int)] = numbers["n"].to_numpy()
     rng = np.random.default_rng(seed)
     models = []
@@ -187,8 +187,20 @@ def fit(df: DataFrame, text: str = "text", seed: int = SEED) -> Models:
     if not counts[0].sum():
         return Models(None, np.array(models), MARGIN)
     found = Models(_logs(counts[0]), np.array(models), MARGIN)
-    held_out = [found.ratio(token) for token in table.loc[table["label"] == 2, "token"]]
-    return Models(found.ordinary, found.random, max([MARGIN, *(r + 0.2 for r in held_out if r < MARGIN + 0.4)]))
+    highest = table.filter("label = 2").select("token").mapInArrow(_highest(found), "ratio double")
+    highest = highest.agg(F.max("ratio")).first()[0]
+    return Models(found.ordinary, found.random, MARGIN if highest is None else max(MARGIN, highest + 0.2))
+
+
+def _highest(models: Models):
+    """A mapInArrow function: the highest ratio of the held-out tokens of a task that look ordinary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = (models.ratio(token) for batch in batches for token in batch.column(0).to_pylist())
+        most = max((r for r in ratios if r < MARGIN + 0.4), default=None)
+        yield pa.record_batch([pa.array([most], pa.float64())], names=["ratio"])
+
+    return run
 
 
 def scanned(text: Column, models: Models) -> Column:
