@@ -6,6 +6,7 @@ from tidemark.llm import (
     byte_bpe,
     exact_dedup,
     language_codes,
+    merkle,
     mixing,
     personal_data,
     quality_rules,
@@ -27,4 +28,5 @@ QUERIES = {
     "op8_personal_data": (personal_data.op8_personal_data, None),
     "op9_token_files": (token_files.op9_token_files, None),
     "op10_language_codes": (language_codes.op10_language_codes, None),
+    "op11_merkle": (merkle.op11_merkle, merkle.SQL),
 }
