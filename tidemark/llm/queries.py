@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm import (
     byte_bpe,
+    curve_shards,
     exact_dedup,
     language_codes,
     merkle,
@@ -29,4 +30,5 @@ QUERIES = {
     "op9_token_files": (token_files.op9_token_files, None),
     "op10_language_codes": (language_codes.op10_language_codes, None),
     "op11_merkle": (merkle.op11_merkle, merkle.SQL),
+    "op12_curve_shards": (curve_shards.op12_curve_shards, curve_shards.SQL),
 }
