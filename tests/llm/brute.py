@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -145,3 +146,85 @@ def personal_spans(text):
         *spans("card", r"[0-9]([\x20-]?[0-9])+", lambda d, m: 16 <= len(d) <= 19 and _luhn(d)),
         *spans("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda d, m: 8 <= len(d) <= 15),
     ]
+
+
+def merkle(rows, fields, changed, order=("doc_id", "source", "lang", "n_chars", "text"), key=None):
+    """{doc_id or row number: (leaf, subroot, root, proof, folded root, verified)}."""
+
+    def part(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def leaf(row):
+        return sha("".join(part(row[f]) for f in order))
+
+    rows = [dict(zip(fields, r)) for r in rows]
+    lower = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    by = {}
+    for n, row in enumerate(rows):
+        other = dict(row, text=row["text"].translate(lower)) if changed(row) and row["text"] is not None else row
+        by.setdefault(row["lang"], []).append((row["doc_id"], leaf(row), n, leaf(other)))
+
+    def levels(hashes):
+        result = [hashes]
+        while len(hashes) > 1:
+            hashes = [sha("".join(hashes[i : i + 8])) for i in range(0, len(hashes), 8)]
+            result.append(hashes)
+        return result
+
+    def up(tree, place, digest, siblings):
+        for hashes in tree[:-1]:
+            first = place // 8 * 8
+            run = hashes[first : first + 8]
+            siblings += run[: place - first] + run[place - first + 1 :]
+            digest = sha("".join(run[: place - first] + [digest] + run[place - first + 1 :]))
+            place //= 8
+        return digest, siblings
+
+    trees = {}
+    for lang, members in by.items():
+        members.sort(key=lambda m: (m[0] is not None, m[0] or 0, m[1]))
+        trees[lang] = levels([m[1] for m in members])
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    top = levels([trees[x][-1][0] for x in langs])
+    result, root = {}, top[-1][0]
+    for at, lang in enumerate(langs):
+        for place, (doc_id, own, n, other) in enumerate(by[lang]):
+            digest, siblings = up(trees[lang], place, other, [])
+            digest, siblings = up(top, at, digest, siblings)
+            key = n if doc_id is None else doc_id
+            result[key] = (own, trees[lang][-1][0], root, sha("".join(siblings)), digest, digest == root)
+    return result
+
+
+def trie(rows):
+    """All nodes of the conversation trie for rows (conv, turn, role, text), in the order of the query's columns."""
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is None:
+            continue
+        role, text = role or "", text or ""
+        content = sha(f"{len(role.encode())}:{role}{text}")[:32]
+        own.setdefault(conv, []).append((turn is not None, turn or 0, content, role, text))
+    for turns in own.values():
+        turns.sort()
+    nodes, ends = {}, {}
+    for conv, turns in own.items():
+        h = zlib.crc32(str(conv).encode()) % 6
+        base = conv - int(math.fmod(conv, 100))
+        path = [t[3:] for t in own.get(base, [])[:h] + turns[h:]]
+        for d in range(len(path) + 1):
+            nodes.setdefault(tuple(path[:d]), []).append(conv)
+        ends.setdefault(tuple(path), []).append(conv)
+    children, leaves, saved = Counter(), Counter(), Counter()
+    for path in nodes:
+        if path:
+            children[path[:-1]] += 1
+    for path, members in nodes.items():
+        for d in range(len(path) + 1):
+            saved[path[:d]] += (len(members) - 1) * (len(path[-1][1]) if path else 0)
+            leaves[path[:d]] += not children[path]
+    return [
+        (min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p],
+         sha(",".join(map(str, sorted(ends.get(p, []))))))
+        for p, m in nodes.items()
+    ]

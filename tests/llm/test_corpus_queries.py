@@ -49,7 +49,7 @@ def crc(id_):
 
 def test_registered():
     assert set(QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_op1(docs, result, bpe):
@@ -144,10 +144,35 @@ def test_op10(docs, result):
     assert np.mean(held) > 0.95
 
 
+def test_op11(docs, result):
+    wanted = brute.merkle([tuple(d) for d in docs], docs[0].__fields__, lambda d: crc(d["doc_id"]) % 3 == 0)
+    for i, r in result("op11_merkle").items():
+        assert (r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) == wanted[i]
+
+
+def test_op12(docs, result):
+    rows = result("op12_curve_shards")
+    assert {r.law for r in rows.values()} == {"rows"} and {r.shard for r in rows.values()} == set(range(40))
+    slots = defaultdict(list)
+    for d in docs:
+        r = rows[d.doc_id]
+        assert r.size == len(d.text.encode()) + 16 and r.text_crc32 == zlib.crc32(d.text.encode())
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {len(s) for s in slots.values()} <= {len(docs) // 40, -(-len(docs) // 40)}
+
+
+def test_op13(spark):
+    talks = spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()
+    found = QUERIES["op13_turn_trie"][0](spark, FOLDER).collect()
+    assert sorted(tuple(r) for r in found if r.depth) == sorted(r for r in brute.trie([tuple(r) for r in talks]) if r[1])
+    assert sum(r.depth == 0 for r in found) == 1
+
+
 def test_native_plans_hold_no_python(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     native = dict(corpus_pipeline.STAGES)
-    plans = [QUERIES[n][0](spark, FOLDER) for n in ("op2_quality_rules", "op3_exact_dedup", "op6_mixing")]
+    plans = [QUERIES[n][0](spark, FOLDER) for n in ("op2_quality_rules", "op3_exact_dedup", "op6_mixing", "op12_curve_shards")]
     plans += [native[n](spark, docs, FOLDER) for n in ("quality rules", "exact dedup", "mixing sources to target weights")]
     for df in plans:
         plan = df._jdf.queryExecution().executedPlan().toString()

@@ -53,6 +53,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK + "+"), "")
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a short ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+    list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), lambda c, b:
+      list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda v, i:
+        CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+
+
 def python_ready(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
     """Limit what Spark hands to a Python worker at once, since texts can be long, and see that workers
     find this package: a cluster that does not have it installed or on its path gets it as a zip file."""

@@ -35,7 +35,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, quoted
+from tidemark.llm.common import crc32_sql, documents, quoted
 from tidemark.operators.ordering import running_totals, with_ordinal
 from tidemark.session import materialize
 
@@ -296,15 +296,10 @@ def op11_merkle(spark, folder: str) -> DataFrame:
 
 
 _PART = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
-# CRC-32 of the decimal id, bit by bit.
-_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
-    list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b:
-      list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda v, i:
-        CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
 SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, {" || ".join(_PART.format(f) for f in FIELDS[:4])} AS head, text,
-         CASE WHEN {_CRC} % 3 = 0 THEN translate(text, '{ascii_uppercase}', '{ascii_lowercase}') ELSE text END AS given
+         CASE WHEN ({crc32_sql("doc_id::varchar")}) % 3 = 0 THEN translate(text, '{ascii_uppercase}', '{ascii_lowercase}') ELSE text END AS given
   FROM documents),
 l AS (SELECT doc_id, lang, sha256(head || {_PART.format("text")}) AS leaf, sha256(head || {_PART.format("given")}) AS changed FROM d),
 p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l),

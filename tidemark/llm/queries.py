@@ -15,6 +15,7 @@ from tidemark.llm import (
     secret_scan,
     simhash,
     token_files,
+    turn_trie,
 )
 
 # The others are tested against brute force: SQL lacks their hashes, tokenizers and models.
@@ -31,4 +32,5 @@ QUERIES = {
     "op10_language_codes": (language_codes.op10_language_codes, None),
     "op11_merkle": (merkle.op11_merkle, merkle.SQL),
     "op12_curve_shards": (curve_shards.op12_curve_shards, curve_shards.SQL),
+    "op13_turn_trie": (turn_trie.op13_turn_trie, turn_trie.SQL),
 }
