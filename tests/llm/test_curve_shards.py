@@ -36,7 +36,7 @@ def placed(df, shards, dims=c.DIMENSIONS):
     return c.place_rows(c.metadata(df, dims, "doc_id", "text", F.monotonically_increasing_id()), shards)
 
 
-@pytest.mark.parametrize("shards", [1, 7, 40, 500])
+@pytest.mark.parametrize("shards", [7, 500])
 def test_counts_differ_by_one_at_most(edge, shards):
     df, rows, empty = edge
     found = placed(df, shards).collect()

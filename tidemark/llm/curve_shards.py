@@ -76,40 +76,55 @@ def step_of(value: Column, bounds: Sequence[tuple]) -> Column:
     return step.otherwise(F.lit(bounds[0][0])).cast("int")
 
 
+def _bit(value: Column, at: int | Column) -> Column:
+    return F.call_function("shiftright", value, at if isinstance(at, Column) else F.lit(at)).bitwiseAND(F.lit(1))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def with_curve(df: DataFrame, dims: Sequence[str], bits: int, name: str) -> DataFrame:
     """Add the place on the Hilbert curve of the point whose coordinates, ``bits`` wide, are in ``dims``.
 
     The coordinates are turned into the transposed index from the highest bit down: where a coordinate has
     the bit, the lower bits of the first are inverted, else they are exchanged with those of the first;
-    then the bits are Gray-coded and read across the dimensions. Every change is a projection of its own, as
-    nested expressions would double with each.
+    then the bits are Gray-coded and read across the dimensions. The changes are a fold over an array, so
+    that each is computed once; as nested expressions they would double with every step.
     """
-    own, n = df.columns, len(dims)
-    *axes, turned = fresh(df, *[f"axis_{k}" for k in range(n)], "turned")
-    out = df.withColumns({a: quoted(d).cast("bigint") for a, d in zip(axes, dims)})
-    for bit in range(bits - 1, 0, -1):
-        low = (1 << bit) - 1
-        for k, axis in enumerate(axes):
-            x, first = F.col(axis), F.col(axes[0])
-            has = F.shiftright(x, bit).bitwiseAND(F.lit(1)) == 1
-            differ = first.bitwiseXOR(x).bitwiseAND(F.lit(low))
-            change = {axes[0]: F.when(has, first.bitwiseXOR(F.lit(low))).otherwise(first.bitwiseXOR(differ))}
-            if k:
-                change[axis] = F.when(has, x).otherwise(x.bitwiseXOR(differ))
-            out = out.withColumns(change)
-    for before, axis in zip(axes, axes[1:]):
-        out = out.withColumn(axis, F.col(axis).bitwiseXOR(F.col(before)))
-    turn = F.lit(0).cast("bigint")
-    for bit in range(bits - 1, 0, -1):
-        has = F.shiftright(F.col(axes[-1]), bit).bitwiseAND(F.lit(1))
-        turn = turn.bitwiseXOR(has * F.lit((1 << bit) - 1))
-    out = out.withColumn(turned, turn)
-    index = F.lit(0).cast("bigint")
-    for bit in range(bits):
-        for k, axis in enumerate(axes):
-            digit = F.shiftright(F.col(axis).bitwiseXOR(F.col(turned)), bit).bitwiseAND(F.lit(1))
-            index = index + digit * F.lit(1 << (bit * n + n - 1 - k))
-    return out.select(*columns(own), index.alias(name))
+    n = len(dims)
+    turns = [F.struct(F.lit(bit).alias("bit"), F.lit(k).alias("axis")) for bit in range(bits - 1, 0, -1) for k in range(n)]
+
+    def changed(point: Column, turn: Column) -> Column:
+        x = F.element_at(point, turn["axis"] + 1)
+        low = F.call_function("shiftleft", F.lit(1).cast("bigint"), turn["bit"]) - 1
+        has = _bit(x, turn["bit"]) == 1
+        differ = point[0].bitwiseXOR(x).bitwiseAND(low)
+        first = point[0].bitwiseXOR(F.when(has, low).otherwise(differ))
+        others = [F.when((turn["axis"] == k) & ~has, point[k].bitwiseXOR(differ)).otherwise(point[k]) for k in range(1, n)]
+        return F.array(first, *others)
+
+    def gray(point: Column) -> Column:
+        axes = [point[0]]
+        for k in range(1, n):
+            axes.append(axes[-1].bitwiseXOR(point[k]))
+        turned = F.lit(0).cast("bigint")
+        for bit in range(bits - 1, 0, -1):
+            turned = turned.bitwiseXOR(_bit(axes[-1], bit) * F.lit((1 << bit) - 1))
+        return F.array(*axes, turned)
+
+    def read(point: Column) -> Column:
+        digits = [
+            _bit(point[k].bitwiseXOR(point[n]), bit) * F.lit(1 << (bit * n + n - 1 - k))
+            for bit in range(bits) for k in range(n)
+        ]
+        return sum(digits[1:], digits[0])
+
+    point = F.array(*[quoted(d).cast("bigint") for d in dims])
+    if turns:
+        point = F.aggregate(F.array(*turns), point, changed)
+    return df.withColumn(name, _let(_let(point, gray), read).cast("bigint"))
 
 
 def metadata(df: DataFrame, dims: Sequence[str], id_: str, text: str, row: Column) -> DataFrame:
