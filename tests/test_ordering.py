@@ -175,3 +175,64 @@ def test_no_window_gathers_all_rows(make_series):
         windows.volume_rank(df),
     ):
         assert _row_level_single_partitions(result, df.columns) == []
+
+
+def _exchanges(df, columns):
+    """Shuffles that carry all of ``columns``, of a plan without adaptive execution."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    found = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    return found, plan
+
+
+def test_bounded_frames_exchange_rows_once(spark, make_series, monkeypatch):
+    """One exchange over row columns before the blocks are written; only block ends are exchanged again."""
+    plans = []
+
+    def written(df, name):
+        plans.append((name, *_exchanges(df, df.columns)))
+        return materialize(df, name)
+
+    materialize = ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", written)
+    df = make_series([float(i % 97) for i in range(9000)]).repartition(6).persist()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for make in (windows.rolling_average, windows.lag_features, windows.forecasting_features):
+            plans.clear()
+            result = make(df, chunk_rows=1000)
+            assert [name for name, *_ in plans] == ["blocks"]
+            own = [line for line in plans[0][1] if "RoundRobin" not in line]
+            assert len(own) == 1 and "_block" in own[0]
+            # What is read back is filtered, not shuffled, but for the heads and tails of blocks.
+            after, plan = _exchanges(result, df.columns)
+            assert len(after) == 1 and "_owned" in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        df.unpersist()
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 60, 400])
+def test_one_hour_spans_many_blocks(make_series, chunk):
+    """A third of all rows share an hour, blocks are shorter than the frame, and rows without a time come last."""
+    rng = np.random.default_rng(11)
+    hours = np.sort(np.where(np.arange(600) % 3 == 0, 50, rng.integers(0, 100, 600)))
+    values = rng.integers(0, 7000, 600).astype(float)
+    df = make_series(values, hours=hours)
+    df = df.withColumn("date_time", F.when(F.col("obs_id") < 590, F.col("date_time"))).repartition(7)
+    got = windows.lag_features(df, [1, 24], chunk_rows=chunk).toPandas().sort_values("obs_id")
+    assert np.allclose(got["lag_24h"], pd.Series(values).shift(24), equal_nan=True)
+    got = windows.rolling_average(df, digits=None, chunk_rows=chunk).toPandas().sort_values("obs_id")
+    assert np.allclose(got["rolling_24h_avg"], pd.Series(values).rolling(24, min_periods=1).mean())
+
+
+def test_series_that_cross_blocks(make_series):
+    """Series of every length, one over many blocks, one null; only those that cross a cut are mended."""
+    names = [None] * 50 + ["big"] * 700 + [f"s{i % 40}" for i in range(400)]
+    values = np.random.default_rng(5).integers(0, 7000, len(names)).astype(float)
+    df = make_series(values, site=names).repartition(5)
+    got = windows.lag_features(df, [1, 30], series=["site"], chunk_rows=64).toPandas()
+    assert len(got) == len(names)
+    for _, part in got.groupby(got["site"].fillna("-")):
+        part = part.sort_values("date_time")
+        assert np.allclose(part["lag_30h"], part["traffic_volume"].shift(30), equal_nan=True)
+        assert np.allclose(part["lag_1h"], part["traffic_volume"].shift(1), equal_nan=True)

@@ -5,15 +5,16 @@ over a *layout*: rows are range-partitioned and sorted by a full ordering key, a
 written once with two columns, the block (partition number) and the slot (position in it). Blocks
 are balanced whatever the key distribution is, because the key includes a tie-breaker. Anything
 cumulative is then a window inside a block plus one offset per block, a table that has at most as
-many rows as there are partitions and is the only thing broadcast.
+many rows as there are partitions and is the only thing broadcast. What looks back a bounded number of
+rows (``over_blocks``) needs no second order: blocks hand their last rows to the next one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import hour_start
@@ -244,6 +245,150 @@ def from_key(keys: Sequence[str], bound: tuple) -> Column:
     return condition
 
 
+BLOCKS_PER_PARTITION = 4
+SAMPLES_PER_BLOCK = 16
+# Shorter blocks would hand on about as many rows as they hold.
+ROWS_PER_BLOCK = 1 << 15
+
+
+class Blocks:
+    """A total order cut into blocks at sampled keys.
+
+    A row's block is the number of cuts not above its key, found by bisection in a constant of the plan.
+    It follows from the row alone: whatever executor computes it, and however often, a row lands in
+    the same block, and nothing has to be written before rows are exchanged by it. Cuts decide on balance
+    only, never on a result. Keys are ascending, missing values last, ``series`` first.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], series: Sequence[str], lookback: int, rows: int | None):
+        self.series, self.keys = list(series), [*series, *keys]
+        types = dict(df.dtypes)
+        self.types = [types[k] for k in self.keys]
+        self.partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        most = BLOCKS_PER_PARTITION * self.partitions
+        counted = Observation()
+        sample = (
+            df.select(*[F.col(k).cast("string").alias(k) for k in self.keys], *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)])
+            .observe(counted, F.count(F.lit(1)).alias("n"))
+            .orderBy(F.rand(7))
+            .limit(SAMPLES_PER_BLOCK * most)
+            .orderBy(*[F.col(f"_k{i}").asc_nulls_last() for i in range(len(self.keys))])
+            .select(*self.keys)
+            .collect()
+        )
+        self.rows = counted.get["n"]
+        wanted = rows or max(4 * lookback, ROWS_PER_BLOCK, -(-self.rows // most))
+        blocks = max(1, min(len(sample), -(-self.rows // wanted)))
+        picked = [tuple(sample[len(sample) * b // blocks]) for b in range(1, blocks)]
+        self.cuts = [c for i, c in enumerate(picked) if i == 0 or c != picked[i - 1]]
+
+    def _constant(self) -> Column:
+        """The cuts as an array that is computed while planning, values as hexadecimal text."""
+
+        def fields(cut: tuple) -> str:
+            parts = []
+            for i, (value, type_) in enumerate(zip(cut, self.types)):
+                text = "NULL" if value is None else f"CAST(unhex('{value.encode().hex()}') AS STRING)"
+                parts.append(f"'f{2 * i}', {str(value is None).lower()}, 'f{2 * i + 1}', CAST({text} AS {type_})")
+            return f"named_struct({', '.join(parts)})"
+
+        return F.expr(f"array({', '.join(map(fields, self.cuts))})")
+
+    @staticmethod
+    def _key(values: Sequence[Column]) -> Column:
+        fields = [f.alias(f"f{2 * i + j}") for i, v in enumerate(values) for j, f in enumerate((v.isNull(), v))]
+        return F.struct(*fields)
+
+    def number(self) -> Column:
+        """The block of a row."""
+        if not self.cuts:
+            # Zero, but of the row: a constant would make the window one without partitions in the plan.
+            return F.least(F.lit(0), F.length(F.col(self.keys[0]).cast("string")))
+        cuts, key = self._constant(), self._key([F.col(k) for k in self.keys])
+        steps = [1 << b for b in reversed(range(len(self.cuts).bit_length()))]
+
+        def bisect(low: Column, step: Column) -> Column:
+            tried = low + step
+            found = (tried <= len(self.cuts)) & (F.get(cuts, tried - 1) <= key)
+            return F.when(found, tried).otherwise(low)
+
+        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), bisect)
+
+    def name(self, left: int) -> tuple:
+        return self.cuts[left][: len(self.series)]
+
+    def crossing(self, cut: Column) -> Column:
+        """Whether a row is of the series that goes across a cut; false where there is no such cut."""
+        known = (cut >= 0) & (cut < len(self.cuts))
+        found = F.get(self._constant(), F.when(known, cut).otherwise(F.lit(0)))
+        same = known
+        for i, s in enumerate(self.series):
+            same = same & F.col(s).eqNullSafe(found[f"f{2 * i + 1}"])
+        return same
+
+    def sources(self, published: dict[int, int], lookback: int) -> list[tuple[int, int]]:
+        """Pairs (block that publishes, block that needs it): the nearest earlier blocks of the same series
+        that have ``lookback`` rows together; one pair a block unless blocks are shorter than that."""
+        pairs = []
+        for target in range(1, len(self.cuts) + 1):
+            missing, source = lookback, target - 1
+            while source >= 0 and missing > 0 and self.name(source) == self.name(target - 1):
+                if published.get(source):
+                    pairs.append((source, target))
+                    missing -= published[source]
+                source -= 1
+        return pairs
+
+
+def over_blocks(
+    df: DataFrame,
+    keys: Sequence[str],
+    lookback: int,
+    features: Callable[[DataFrame, list[str], list[Column]], DataFrame],
+    series: Sequence[str] = (),
+    rows: int | None = None,
+) -> DataFrame:
+    """Add features that look back ``lookback`` rows at most in the order of ``keys``, each series by itself.
+
+    ``features(df, parts, order)`` adds columns by windows over ``parts`` in ``order``. It runs inside every
+    block, in the one exchange of the rows, and the outcome is written. Only the first rows of a block
+    lack history then. They run again behind the last ``lookback`` rows of the blocks before, which
+    are published: twice ``lookback`` rows per block, whatever the size of the table. ``rows`` sets the
+    rows of a block; by default there are some for every shuffle partition.
+    """
+    series = list(series)
+    blocks = Blocks(df, keys, series, lookback, rows)
+    parts, order = [BLOCK, *series], [F.col(k).asc_nulls_last() for k in keys]
+    inside = Window.partitionBy(*parts).orderBy(*order)
+    marked = df.withColumn(BLOCK, blocks.number())
+    if not blocks.cuts:
+        return features(marked, parts, order).drop(BLOCK)
+    # A stated number, or small tables would be written by one task.
+    marked = marked.repartition(min(blocks.partitions, len(blocks.cuts) + 1), BLOCK)
+    first = (F.row_number().over(inside) <= lookback) & blocks.crossing(F.col(BLOCK) - 1)
+    last = F.lead(F.lit(1), lookback).over(inside).isNull() & blocks.crossing(F.col(BLOCK))
+    done = features(marked.withColumns({"_first": first, "_last": last}), parts, order)
+    written = materialize(done, "blocks")
+    published = written.filter("_last").groupBy(BLOCK).count().collect()  # a row per block
+    pairs = blocks.sources({r[BLOCK]: r["count"] for r in published}, lookback)
+    targets: dict[int, list[int]] = {}
+    for source, target in pairs:
+        targets.setdefault(source, []).append(target)
+    places = small_table(df.sparkSession, [(s, ",".join(map(str, t))) for s, t in targets.items()], f"{BLOCK} int, _targets string")
+    # Block ends in one scan: the first rows for their own block, the last ones for those that need them.
+    ends = written.filter("_first OR _last").join(F.broadcast(places), BLOCK, "left")
+    here = F.when(F.col("_first"), F.array(F.struct(F.col(BLOCK).alias(BLOCK), F.lit(True).alias("_owned"))))
+    there = F.when(
+        F.col("_last"),
+        F.transform(F.split("_targets", ","), lambda t: F.struct(t.cast("int").alias(BLOCK), F.lit(False).alias("_owned"))),
+    )
+    none = F.array().cast(f"array<struct<{BLOCK}: int, _owned: boolean>>")
+    roles = F.concat(F.coalesce(here, none), F.coalesce(there, none))
+    mended = features(ends.select(*df.columns, F.inline(roles)), parts, order).filter("_owned")
+    helpers = [BLOCK, "_first", "_last", "_owned"]
+    return written.filter("NOT _first").drop(*helpers).unionByName(mended.drop(*helpers))
+
+
 def halo_chunks(
     df: DataFrame, lookback: int, chunk_rows: int = 8192, ordinal: str = "ordinal"
 ) -> DataFrame:

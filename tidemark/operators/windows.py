@@ -1,6 +1,6 @@
 """Lags, rolling statistics, exponential averages and ranks over one global order.
 
-All row-based features share one ordinal and one chunked shuffle: see ``ordering.halo_chunks``.
+All row-based features share one exchange: see ``ordering.over_blocks``.
 """
 
 from __future__ import annotations
@@ -12,18 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import hour_start
-from tidemark.operators.ordering import halo_chunks, lookup, ranked_values, with_ordinal
+from tidemark.operators.ordering import halo_chunks, lookup, over_blocks, ranked_values
 
 TARGET = "traffic_volume"
 TIME_KEYS = ("date_time", "obs_id")
 
 
-def _in_chunks(
-    df: DataFrame, keys: Sequence[str], lookback: int, chunk_rows: int, series: Sequence[str]
-) -> DataFrame:
-    return halo_chunks(with_ordinal(df, [*series, *keys]), lookback, chunk_rows)
-
-
 def _finish(df: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
     return df.filter("owned").drop("owned", "chunk", *drop)
 
@@ -35,14 +29,16 @@ def rolling_average(
     keys: Sequence[str] = TIME_KEYS,
     series: Sequence[str] = (),
     digits: int | None = 2,
-    chunk_rows: int = 8192,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Average over the current and the preceding ``rows - 1`` rows; shorter at the start."""
-    chunked = _in_chunks(df, keys, rows - 1, chunk_rows, series)
-    frame = Window.partitionBy("chunk", *series).orderBy("ordinal").rowsBetween(-(rows - 1), 0)
-    average = F.avg(TARGET).over(frame)
-    rounded = average if digits is None else F.round(average, digits)
-    return _finish(chunked.withColumn(name, rounded), ["ordinal"])
+    """Average over the current and the preceding ``rows - 1`` rows; shorter at the start.
+    ``chunk_rows`` sets the rows of a block here and below; see ``ordering.over_blocks``."""
+
+    def features(df: DataFrame, parts: list[str], order: list[Column]) -> DataFrame:
+        average = F.avg(TARGET).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(-(rows - 1), 0))
+        return df.withColumn(name, average if digits is None else F.round(average, digits))
+
+    return over_blocks(df, keys, rows - 1, features, series, chunk_rows)
 
 
 def lag_features(
@@ -50,14 +46,15 @@ def lag_features(
     lags: Sequence[int] = (1, 24),
     keys: Sequence[str] = TIME_KEYS,
     series: Sequence[str] = (),
-    chunk_rows: int = 8192,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """``lag_<n>h``: the volume n rows earlier."""
-    chunked = _in_chunks(df, keys, max(lags), chunk_rows, series)
-    order = Window.partitionBy("chunk", *series).orderBy("ordinal")
-    return _finish(
-        chunked.withColumns({f"lag_{n}h": F.lag(TARGET, n).over(order) for n in lags}), ["ordinal"]
-    )
+
+    def features(df: DataFrame, parts: list[str], order: list[Column]) -> DataFrame:
+        place = Window.partitionBy(*parts).orderBy(*order)
+        return df.withColumns({f"lag_{n}h": F.lag(TARGET, n).over(place) for n in lags})
+
+    return over_blocks(df, keys, max(lags), features, series, chunk_rows)
 
 
 def _decay(span: int) -> tuple[float, int]:
@@ -67,17 +64,16 @@ def _decay(span: int) -> tuple[float, int]:
     return q, math.ceil(math.log(1e-18) / math.log(q)) if q > 0 else 1
 
 
-def _exponential_average(v: Column, q: float, reach: int, place: Column, parts: Sequence[str]) -> Column:
-    """``sum(q^age * v) / sum(q^age)`` over the rows before each row of a chunk.
+def _exponential_average(v: Column, q: float, reach: int, parts: Sequence[str]) -> Column:
+    """``sum(q^age * v) / sum(q^age)`` over the rows before each row, which has its ``_place`` in its part.
 
-    Rows are cut into runs of ``reach``. A row adds up its own run so far, with weights relative to
+    Rows are cut into runs of ``reach``, ``_run``. A row adds up its own run so far, with weights relative to
     the start of the run, and the whole run before it; older rows weigh nothing. No weight leaves
-    the range of ``q^reach``, however long a chunk is.
+    the range of ``q^reach``, however long a part is.
     """
-    run = F.floor(place / reach)
-    inside = place - run * reach
-    so_far = Window.partitionBy(*parts, run).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*parts).orderBy(run).rangeBetween(-1, -1)
+    inside = F.col("_place") - F.col("_run") * reach
+    so_far = Window.partitionBy(*parts, "_run").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*parts).orderBy("_run").rangeBetween(-1, -1)
 
     def weighted(x: Column) -> Column:
         own = F.sum(x * F.pow(F.lit(q), -inside.cast("double"))).over(so_far)
@@ -96,7 +92,6 @@ def forecasting_features(
     window: int = 24,
     span: int = 24,
     chunk_rows: int | None = None,
-    keep_ordinal: bool = False,
     drop_incomplete: bool = True,
 ) -> DataFrame:
     """Lags, rolling mean and sample deviation of the previous ``window`` rows, and the bias-adjusted
@@ -106,26 +101,27 @@ def forecasting_features(
     too short for a feature, and no others.
     """
     q, reach = _decay(span)
-    halo = max(*lags, window, reach)
-    size = max(chunk_rows or 8192, halo)
-    chunked = _in_chunks(df, keys, halo, size, series)
     v = F.col(TARGET).cast("double")
-    order = Window.partitionBy("chunk", *series).orderBy("ordinal")
-    previous = order.rowsBetween(-window, -1)
-    place = F.col("ordinal") - F.col("chunk") * size
-    full = F.count(v).over(previous) == window
-    # A span of one row leaves no weight but that of the row before.
-    parts = ["chunk", *series]
-    average = _exponential_average(v, q, reach, place, parts) if q > 0 else F.lag(v, 1).over(order)
-    features = chunked.withColumns(
-        {
-            **{f"lag_{n}h": F.lag(v, n).over(order) for n in lags},
-            f"rolling_mean_{window}h": F.when(full, F.avg(v).over(previous)),
-            f"rolling_std_{window}h": F.when(full, F.stddev_samp(v).over(previous)),
-            f"ewma_{span}h": average,
-        }
-    )
-    done = _finish(features, [] if keep_ordinal else ["ordinal"])
+
+    def features(df: DataFrame, parts: list[str], order: list[Column]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order)) - 1
+        placed = df.withColumn("_place", place).withColumn("_run", F.floor(F.col("_place") / reach))
+        # By run and place, the order that the average needs as well, so that rows are sorted once more only.
+        ordered = Window.partitionBy(*parts).orderBy("_run", "_place")
+        previous = ordered.rowsBetween(-window, -1)
+        full = F.count(v).over(previous) == window
+        # A span of one row leaves no weight but that of the row before.
+        average = _exponential_average(v, q, reach, parts) if q > 0 else F.lag(v, 1).over(ordered)
+        return placed.withColumns(
+            {
+                **{f"lag_{n}h": F.lag(v, n).over(ordered) for n in lags},
+                f"rolling_mean_{window}h": F.when(full, F.avg(v).over(previous)),
+                f"rolling_std_{window}h": F.when(full, F.stddev_samp(v).over(previous)),
+                f"ewma_{span}h": average,
+            }
+        ).drop("_place", "_run")
+
+    done = over_blocks(df, keys, max(*lags, window, reach), features, series, chunk_rows)
     if drop_incomplete:
         names = [f"lag_{n}h" for n in lags] + [f"rolling_mean_{window}h", f"rolling_std_{window}h", f"ewma_{span}h"]
         complete = F.lit(True)
