@@ -169,3 +169,34 @@ def test_report_without_actuals(reference, current):
     assert report["performance_metrics"] is None and report["alert"] is None
     row = drift.flatten_report(report).first()
     assert row.monitored_rmse is None and row.alert_message == "Normal"
+
+
+def test_many_values_are_cut_into_blocks(spark, monkeypatch):
+    """Running totals over blocks give what one window gives; ties and an outer range included."""
+    monkeypatch.setattr(drift, "ROWS_PER_BLOCK", 50)
+    rng = np.random.default_rng(8)
+    a, b = np.round(rng.normal(0, 40, 3000), 1), np.round(rng.normal(5, 50, 2000), 1)
+    paired = drift.paired_counts(column(spark, a).repartition(9), column(spark, b), ["v"])
+    known = drift.sides(paired)
+    assert len(known["v"].cuts) > 8
+    found = drift.shapes(paired, known, {("v", "ref"): [0.25, 0.5], ("v", "cur"): [0.75]})["v"]
+    assert found.wasserstein == pytest.approx(brute_distance(a, b), abs=1e-9)
+    assert found.quantile("ref", 3000, 0.25) == pytest.approx(np.percentile(a, 25))
+    assert found.quantile("ref", 3000, 0.5) == pytest.approx(np.median(a))
+    assert found.quantile("cur", 2000, 0.75) == pytest.approx(np.percentile(b, 75))
+    assert drift.psi(paired, known=known).first().psi == pytest.approx(brute_psi(a, b), abs=1e-9)
+
+
+def test_a_report_takes_few_jobs(spark, reference, current):
+    """Counts, three aggregates; parts of the report are local tables afterwards. With adaptive execution every
+    shuffle is a job of its own."""
+    scored = [df.withColumn("prediction", F.col("traffic_volume") + 10.0) for df in (reference, current)]
+    spark.sparkContext.setJobGroup("report", "jobs of a report")
+    try:
+        report = drift.monitoring_report(*scored)
+        built = len(spark.sparkContext.statusTracker().getJobIdsForGroup("report"))
+        drift.flatten_report(report).collect()
+        total = len(spark.sparkContext.statusTracker().getJobIdsForGroup("report"))
+    finally:
+        spark.sparkContext.setJobGroup("other", "")
+    assert 0 < built <= 10 and total - built <= 3

@@ -1,7 +1,9 @@
 """Distribution drift, performance alerts and the monitoring report.
 
-Reference and current rows are counted per distinct value, side by side. The population stability
-index, the Wasserstein distance and the quantiles all come from running totals over that table.
+Reference and current rows are counted per distinct value, side by side, and written. Three aggregates over
+these counts give everything else, each for all features at once: sizes, means and ranges; then, over running
+totals, the distance, the deviations and the values at all wanted quantiles; then the rows per bin. What passes
+between them is some numbers per named feature, which become constants of the next plan.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import (
@@ -24,9 +26,9 @@ from tidemark.config import (
     Settings,
 )
 from tidemark.functions import labels
-from tidemark.operators.ordering import running_totals
+from tidemark.operators.ordering import BLOCKS_PER_PARTITION, ROWS_PER_BLOCK, bisect
 from tidemark.operators.quality import ALLOWED_RANGES
-from tidemark.operators.quantiles import QUARTILES, pick_quantiles
+from tidemark.operators.quantiles import QUARTILES, interpolated, positions
 from tidemark.session import materialize, small_table
 from tidemark.sources.observations import require_columns
 
@@ -34,6 +36,7 @@ EPSILON = 1e-4
 PERFORMANCE_SCHEMA = "samples bigint, mae double, mse double, rmse double, r2 double"
 FEATURE, VALUE = "feature", "value"
 ROWS = "(rows)"
+MOST_BLOCKS = 1024
 
 
 def _long(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
@@ -42,34 +45,21 @@ def _long(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
 
 
 def paired_counts(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Per feature and distinct value: rows on either side and rows before it on either side."""
+    """Per feature and distinct value: rows on either side; written."""
     both = _long(reference, features, "ref").unionByName(_long(current, features, "cur"))
-    return _ranked_counts(both.groupBy(FEATURE, VALUE).agg(*_side_counts()))
+    return materialize(both.groupBy(FEATURE, VALUE).agg(*_side_counts()), "paired-counts")
 
 
 def _side_counts() -> list[Column]:
     return [F.count_if(F.col("side") == side).alias(f"n_{side}") for side in ("ref", "cur")]
 
 
-def _ranked_counts(counts: DataFrame) -> DataFrame:
-    running = running_totals(counts, [VALUE], {"u_ref": "n_ref", "u_cur": "n_cur"}, [FEATURE])
-    table = running.select(
-        FEATURE,
-        VALUE,
-        "n_ref",
-        "n_cur",
-        (F.col("u_ref") - F.col("n_ref")).alias("b_ref"),
-        (F.col("u_cur") - F.col("n_cur")).alias("b_cur"),
-    )
-    return materialize(table, "paired-counts")
-
-
 def paired_counts_and_errors(
     reference: DataFrame, current: DataFrame, features: Sequence[str], actual: str | None, prediction: str
-) -> tuple[DataFrame, Row]:
+) -> DataFrame:
     """The paired counts and, from the same pass over the rows, the number of current rows and the
-    error figures of those with an actual and a prediction. Errors ride along as a further feature
-    without a value, so that they need neither another read nor another shuffle."""
+    error figures of those with an actual and a prediction. Errors ride along as a further feature,
+    ``ROWS``, without a value, so that they need neither another read nor another shuffle."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         none = F.lit(None).cast("double")
@@ -93,15 +83,13 @@ def paired_counts_and_errors(
         F.avg(error * error).alias("mse"),
         F.var_pop(F.when(error.isNotNull(), F.col("a"))).alias("variance"),
     )
-    counts = materialize(counts, "counts")
-    figures = counts.filter(F.col(FEATURE) == ROWS).select("n_cur", "samples", "mae", "mse", "variance").first()
-    values = counts.filter(F.col(FEATURE) != ROWS).select(FEATURE, VALUE, "n_ref", "n_cur")
-    return _ranked_counts(values), figures
+    return materialize(counts, "paired-counts")
 
 
 @dataclass(frozen=True)
 class Sides:
-    """Sums over one feature's values: rows, mean and range on either side."""
+    """Sums over one feature's values: rows, mean and range on either side, whether current values leave
+    the allowed range, and values that cut its distinct values into blocks, if there are many."""
 
     ref: int
     cur: int
@@ -110,11 +98,27 @@ class Sides:
     low: float
     ref_low: float | None
     ref_high: float | None
+    outside: bool
+    cuts: tuple[float, ...] = ()
+
+
+def _outside() -> Column:
+    outside = F.lit(False)
+    for feature, (low, high) in ALLOWED_RANGES.items():
+        outside = outside | ((F.col(FEATURE) == feature) & ~F.col(VALUE).between(low, high))
+    return outside
 
 
 def sides(paired: DataFrame) -> dict[str, Sides]:
     """One entry per feature; there are as many features as the caller named."""
+    return _sides_and_errors(paired)[0]
+
+
+def _sides_and_errors(paired: DataFrame) -> tuple[dict[str, Sides], Row | None]:
+    """The first aggregate: :class:`Sides` of every feature and the figures of ``ROWS``, if counted."""
     v, r, c = F.col(VALUE), F.col("n_ref"), F.col("n_cur")
+    figures = [n for n in ("samples", "mae", "mse", "variance") if n in paired.columns]
+    blocks = min(MOST_BLOCKS, BLOCKS_PER_PARTITION * int(paired.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = paired.groupBy(FEATURE).agg(
         F.sum(r).alias("ref"),
         F.sum(c).alias("cur"),
@@ -123,36 +127,143 @@ def sides(paired: DataFrame) -> dict[str, Sides]:
         F.min(v).alias("low"),
         F.min(F.when(r > 0, v)).alias("ref_low"),
         F.max(F.when(r > 0, v)).alias("ref_high"),
+        F.bool_or((c > 0) & _outside()).alias("outside"),
+        # They only balance blocks, so they need not be exact.
+        F.percentile_approx(v, [b / blocks for b in range(1, blocks)], 10 * blocks).alias("cuts"),
+        F.count(v).alias("n"),
+        *[F.max(n).alias(n) for n in figures],
     )
-    return {row[FEATURE]: Sides(*row[1:]) for row in rows.collect()}
+    known, errors = {}, None
+    for row in rows.collect():
+        if row[FEATURE] == ROWS:
+            errors = row
+        else:
+            cuts = tuple(sorted(set(row["cuts"]))) if row["n"] > ROWS_PER_BLOCK else ()
+            known[row[FEATURE]] = Sides(*[row[f] for f in ("ref", "cur", "ref_mean", "cur_mean", "low", "ref_low", "ref_high", "outside")], cuts)
+    return known, errors
 
 
-def _with_sizes(paired: DataFrame, known: dict[str, Sides]) -> DataFrame:
-    """Values of features that have rows on both sides, with that feature's :class:`Sides`."""
-    rows = [
-        (f, s.ref, s.cur, s.low, s.ref_mean, s.cur_mean) for f, s in known.items() if s.ref and s.cur
-    ]
-    schema = (
-        f"{FEATURE} string, size_ref bigint, size_cur bigint, low double, mean_ref double, mean_cur double"
+def _for_feature(values: dict[str, object], type_: str) -> Column:
+    """A constant of the row's feature, null for others; as SQL text, since every part of an expression that
+    is put together here would be a call of its own."""
+
+    def shown(value: object) -> str:
+        if isinstance(value, (list, tuple)):
+            return f"array({', '.join(map(shown, value))})"
+        return "NULL" if value is None else f"CAST('{value!r}' AS {type_.removeprefix('array<').rstrip('>')})"
+
+    if not values:
+        return F.lit(None).cast(type_)
+    names = {f: f.replace("\\", "\\\\").replace("'", "\\'") for f in values}
+    cases = " ".join(f"WHEN '{names[f]}' THEN CAST({shown(v)} AS {type_})" for f, v in values.items())
+    return F.expr(f"CASE {FEATURE} {cases} END")
+
+
+def _cumulated(paired: DataFrame, known: dict[str, Sides]) -> DataFrame:
+    """Add ``b_ref`` and ``b_cur``, the rows of lesser values on either side.
+
+    Values of a feature are cut into blocks at ``Sides.cuts``; a running total inside a block follows on the
+    totals of the blocks before, a table of some rows per feature that is broadcast.
+    """
+    both = paired.filter(F.col(FEATURE).isin(*[f for f, s in known.items() if s.ref and s.cur]))
+    cuts = {f: list(s.cuts) for f, s in known.items() if s.cuts}
+    inside = Window.partitionBy(FEATURE).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"b_{s}": F.coalesce(F.sum(f"n_{s}").over(inside), F.lit(0)) for s in ("ref", "cur")}
+    if not cuts:
+        # A block of each feature: few enough values for one task.
+        return both.withColumns(before)
+    edges = F.coalesce(_for_feature(cuts, "array<double>"), F.array().cast("array<double>"))
+    blocks = both.withColumn("_b", bisect(edges, max(map(len, cuts.values())), F.col(VALUE)))
+    inside = Window.partitionBy(FEATURE, "_b").orderBy(VALUE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(FEATURE).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy(FEATURE, "_b").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur")).select(
+        FEATURE, "_b", *[F.coalesce(F.sum(f"t_{s}").over(earlier), F.lit(0)).alias(f"s_{s}") for s in ("ref", "cur")]
     )
-    return paired.join(F.broadcast(small_table(paired.sparkSession, rows, schema)), FEATURE)
+    own = {f"b_{s}": F.coalesce(F.sum(f"n_{s}").over(inside), F.lit(0)) for s in ("ref", "cur")}
+    placed = blocks.withColumns(own).join(F.broadcast(starts), [FEATURE, "_b"])
+    return placed.withColumns({f"b_{s}": F.col(f"b_{s}") + F.col(f"s_{s}") for s in ("ref", "cur")})
 
 
-def bin_edges(paired: DataFrame, known: dict[str, Sides], bins: int = 10) -> dict[str, list[float]]:
-    """Distinct quantile edges of the reference; a constant reference gets one wide bin."""
-    marks = pick_quantiles(
-        paired,
-        VALUE,
-        {i: i / bins for i in range(bins + 1)},
-        {f: s.ref for f, s in known.items() if s.ref and s.cur},
-        FEATURE,
-        "n_ref",
-        "b_ref",
+@dataclass(frozen=True)
+class Shape:
+    """What running totals say of one feature: the distance, deviations, and values by side and position."""
+
+    wasserstein: float | None
+    ref_std: float | None
+    cur_std: float | None
+    marks: dict[tuple[str, int], float]
+
+    def quantile(self, side: str, size: int, share: float) -> float:
+        return interpolated({p: v for (s, p), v in self.marks.items() if s == side}, size, share)
+
+
+def shapes(
+    paired: DataFrame, known: dict[str, Sides], wanted: dict[tuple[str, str], Sequence[float]]
+) -> dict[str, Shape]:
+    """The second aggregate, for features with rows on both sides.
+
+    The distance is the area between the cumulative distributions, summed by parts: each value
+    contributes itself times the drop in the absolute difference across it, so no row needs its
+    successor. ``wanted`` names quantiles by (feature, side); their positions are known from the sizes, and
+    the values that cover them, one for each, come back with the sums.
+    """
+    both = {f: s for f, s in known.items() if s.ref and s.cur}
+    if not both:
+        return {}
+    constants = {"low": _for_feature({f: s.low for f, s in both.items()}, "double")}
+    for side in ("ref", "cur"):
+        constants[f"size_{side}"] = _for_feature({f: getattr(s, side) for f, s in both.items()}, "bigint")
+        constants[f"mean_{side}"] = _for_feature({f: getattr(s, f"{side}_mean") for f, s in both.items()}, "double")
+
+    def gap(extra_ref: Column, extra_cur: Column) -> Column:
+        return F.abs(
+            (F.col("b_ref") + extra_ref) / F.col("size_ref") - (F.col("b_cur") + extra_cur) / F.col("size_cur")
+        )
+
+    def deviation(side: str) -> Column:
+        off = F.col(VALUE) - F.col(f"mean_{side}")
+        return F.sqrt(F.sum(F.col(f"n_{side}") * off * off / F.col(f"size_{side}"))).alias(f"std_{side}")
+
+    before, after = gap(F.lit(0), F.lit(0)), gap(F.col("n_ref"), F.col("n_cur"))
+    term = (F.col(VALUE) - F.col("low")) * (before - after)
+    spots: dict[str, dict[str, list[int]]] = {"ref": {}, "cur": {}}
+    for (feature, side), shares in wanted.items():
+        if feature in both:
+            rows = getattr(both[feature], side)
+            found = {spot for share in shares for spot in positions(rows, share)[:2]}
+            spots[side][feature] = sorted(found)
+
+    def covered(side: str) -> Column:
+        first, after = F.col(f"b_{side}"), F.col(f"b_{side}") + F.col(f"n_{side}")
+        here = F.exists(_for_feature(spots[side], "array<bigint>"), lambda s: (first <= s) & (s < after))
+        return F.collect_list(F.when(here, F.struct(F.col(VALUE), first.alias("a"), after.alias("z")))).alias(f"at_{side}")
+
+    rows = _cumulated(paired, known).withColumns(constants).groupBy(FEATURE).agg(
+        F.sum(term).alias("wasserstein"), deviation("ref"), deviation("cur"), covered("ref"), covered("cur")
     )
-    edges = {f: sorted(set(m.values())) for f, m in marks.items()}
-    return {
-        f: e if len(e) > 1 else [known[f].ref_low - 1, known[f].ref_high + 1] for f, e in edges.items()
-    }
+    result = {}
+    for row in rows.collect():
+        feature = row[FEATURE]
+        marks = {
+            (side, spot): next(m[VALUE] for m in row[f"at_{side}"] if m["a"] <= spot < m["z"])
+            for side in ("ref", "cur") for spot in spots[side].get(feature, [])
+        }
+        result[feature] = Shape(row["wasserstein"], row["std_ref"], row["std_cur"], marks)
+    return result
+
+
+def _bin_shares(known: dict[str, Sides], bins: int) -> dict[tuple[str, str], list[float]]:
+    return {(f, "ref"): [i / bins for i in range(bins + 1)] for f in known}
+
+
+def bin_edges(known: dict[str, Sides], found: dict[str, Shape], bins: int = 10) -> dict[str, list[float]]:
+    """Distinct quantile edges of the reference; a constant reference gets one wide bin."""
+    edges = {}
+    for feature, shape in found.items():
+        side = known[feature]
+        marks = sorted({shape.quantile("ref", side.ref, i / bins) for i in range(bins + 1)})
+        edges[feature] = marks if len(marks) > 1 else [side.ref_low - 1, side.ref_high + 1]
+    return edges
 
 
 def psi(
@@ -170,74 +281,63 @@ def psi(
     ``open_ends`` extends the outer bins. ``categorical`` features use one bin per distinct value.
     """
     known = sides(paired) if known is None else known
-    scores = _psi_scores(paired, known, bins, epsilon, open_ends, categorical)
+    found = shapes(paired, known, _bin_shares(known, bins))
+    scores = _psi_scores(paired, known, found, bins, epsilon, open_ends, categorical)
     return small_table(paired.sparkSession, list(scores.items()), f"{FEATURE} string, psi double")
 
 
 def _psi_scores(
     paired: DataFrame,
     known: dict[str, Sides],
+    found: dict[str, Shape],
     bins: int = 10,
     epsilon: float = EPSILON,
     open_ends: bool = False,
     categorical: Sequence[str] = (),
 ) -> dict[str, float]:
-    v, binned = F.col(VALUE), []
-    for feature, edges in bin_edges(paired, known, bins).items():
-        if feature in categorical:
-            continue
-        last = len(edges) - 2
-        for i, (low, high) in enumerate(zip(edges, edges[1:])):
-            low = -math.inf if open_ends and i == 0 else low
-            high = math.inf if open_ends and i == last else high
-            binned.append((feature, i, low, high, i == last, known[feature].ref, known[feature].cur))
-    schema = "_f string, bin int, lo double, hi double, closed boolean, size_ref bigint, size_cur bigint"
-    table = F.broadcast(small_table(paired.sparkSession, binned, schema))
-    below = (v < F.col("hi")) | (F.col("closed") & (v <= F.col("hi")))
-    groups = paired.join(table, (F.col(FEATURE) == F.col("_f")) & (v >= F.col("lo")) & below).select(
-        FEATURE, F.col("bin").cast("double").alias("bin"), "n_ref", "n_cur", "size_ref", "size_cur"
-    )
-    if categorical:
-        distinct = _with_sizes(paired.filter(F.col(FEATURE).isin(*categorical)), known)
-        groups = groups.unionByName(
-            distinct.select(FEATURE, v.alias("bin"), "n_ref", "n_cur", "size_ref", "size_cur")
+    """The third aggregate: rows per feature and bin, and from them the index."""
+    v = F.col(VALUE)
+    edges = bin_edges(known, found, bins)
+    binned = {f: e for f, e in edges.items() if f not in categorical}
+    each = [f for f in edges if f in categorical]
+    if not edges:
+        return {f: 0.0 for f in known}
+    inner = _for_feature({f: e[1:-1] for f, e in binned.items()}, "array<double>")
+    place = F.size(F.filter(inner, lambda e: e <= v))
+    inside = F.lit(True)
+    if not open_ends:
+        inside = (v >= _for_feature({f: e[0] for f, e in binned.items()}, "double")) & (
+            v <= _for_feature({f: e[-1] for f, e in binned.items()}, "double")
         )
-    counted = groups.groupBy(FEATURE, "bin", "size_ref", "size_cur").agg(
-        F.sum("n_ref").alias("c_ref"), F.sum("n_cur").alias("c_cur")
-    )
 
-    def share(count: str, size: str) -> Column:
-        return F.when(F.col(count) == 0, epsilon).otherwise(F.col(count) / F.col(size))
-
-    ref, cur = share("c_ref", "size_ref"), share("c_cur", "size_cur")
-    terms = counted.groupBy(FEATURE).agg(F.sum((cur - ref) * F.log(cur / ref)).alias("psi"))
-    found = {r[FEATURE]: r["psi"] for r in terms.collect()}  # one row per named feature
-    return {f: found.get(f) or 0.0 for f in known}
+    def index(ref: Column, cur: Column) -> Column:
+        r = F.when(ref == 0, epsilon).otherwise(ref / F.col("size_ref"))
+        c = F.when(cur == 0, epsilon).otherwise(cur / F.col("size_cur"))
+        return (c - r) * F.log(c / r)
+
+    most = max((len(e) - 1 for e in binned.values()), default=0)
+    sizes = {f"size_{side}": _for_feature({f: getattr(known[f], side) for f in edges}, "bigint") for side in ("ref", "cur")}
+    here = F.when(F.col(FEATURE).isin(*binned) & inside, place) if binned else F.lit(None).cast("int")
+    counts = [
+        F.expr(f"array({', '.join(f'sum(IF(_bin = {b}, n_{side}, 0))' for b in range(most))})")
+        .cast("array<bigint>").alias(f"c_{side}")
+        for side in ("ref", "cur")
+    ]
+    single = F.when(F.col(FEATURE).isin(*each), index(F.col("n_ref"), F.col("n_cur"))) if each else F.lit(0.0)
+    summed = paired.filter(F.col(FEATURE).isin(*edges)).withColumns({"_bin": here, **sizes}).groupBy(FEATURE, *sizes).agg(
+        F.sum(single).alias("single"), *counts
+    )
+    terms = F.zip_with("c_ref", "c_cur", index)
+    total = F.aggregate(terms, F.coalesce("single", F.lit(0.0)), lambda a, t: a + t)
+    scores = {r[FEATURE]: r["psi"] for r in summed.select(FEATURE, total.alias("psi")).collect()}
+    return {f: scores.get(f) or 0.0 for f in known}
 
 
 def distances(paired: DataFrame, known: dict[str, Sides] | None = None) -> DataFrame:
-    """Wasserstein distance and the population deviation of both sides, per feature with rows on both.
-
-    The distance is the area between the cumulative distributions, summed by parts: each value
-    contributes itself times the drop in the absolute difference across it, so no row needs its
-    successor.
-    """
-
-    def gap(extra_ref: Column, extra_cur: Column) -> Column:
-        return F.abs(
-            (F.col("b_ref") + extra_ref) / F.col("size_ref") - (F.col("b_cur") + extra_cur) / F.col("size_cur")
-        )
-
-    def deviation(side: str) -> Column:
-        off = F.col(VALUE) - F.col(f"mean_{side}")
-        return F.sqrt(F.sum(F.col(f"n_{side}") * off * off / F.col(f"size_{side}"))).alias(f"std_{side}")
-
-    before, after = gap(F.lit(0), F.lit(0)), gap(F.col("n_ref"), F.col("n_cur"))
-    term = (F.col(VALUE) - F.col("low")) * (before - after)
-    placed = _with_sizes(paired, sides(paired) if known is None else known)
-    return placed.groupBy(FEATURE).agg(
-        F.sum(term).alias("wasserstein"), deviation("ref"), deviation("cur")
-    )
+    """Wasserstein distance and the population deviation of both sides, per feature with rows on both."""
+    found = shapes(paired, sides(paired) if known is None else known, {})
+    rows = [(f, s.wasserstein, s.ref_std, s.cur_std) for f, s in found.items()]
+    return small_table(paired.sparkSession, rows, f"{FEATURE} string, wasserstein double, std_ref double, std_cur double")
 
 
 def wasserstein(paired: DataFrame, known: dict[str, Sides] | None = None) -> DataFrame:
@@ -250,8 +350,10 @@ def single_drift(
     """PSI and Wasserstein distance of one numeric column; an empty side gives a PSI of 0."""
     paired = paired_counts(reference, current, [column])
     known = sides(paired)
-    scores = psi(paired, bins, open_ends=open_ends, known=known)
-    return scores.join(wasserstein(paired, known), FEATURE, "left")
+    found = shapes(paired, known, _bin_shares(known, bins))
+    score = _psi_scores(paired, known, found, bins, open_ends=open_ends).get(column, 0.0)
+    far = found[column].wasserstein if column in found else None
+    return small_table(paired.sparkSession, [(column, score, far)], f"{FEATURE} string, psi double, wasserstein double")
 
 
 def check_columns(
@@ -274,27 +376,28 @@ def check_sides(known: dict[str, Sides], columns: Sequence[str]) -> None:
             raise ValueError(f"the current batch has no values of {column!r}")
 
 
-def check_ranges(paired: DataFrame, features: Sequence[str]) -> None:
-    """Current values of calendar features stay in their allowed range; read from the counts."""
-    bounds = {c: b for c, b in ALLOWED_RANGES.items() if c in features}
-    if not bounds:
-        return
-    outside = F.lit(False)
-    for c, (low, high) in bounds.items():
-        outside = outside | ((F.col(FEATURE) == c) & ~F.col(VALUE).between(low, high))
-    bad = paired.filter((F.col("n_cur") > 0) & outside).select(FEATURE).first()
-    if bad is not None:
-        low, high = bounds[bad[0]]
-        raise ValueError(f"values of {bad[0]!r} outside {low} to {high}")
+def check_ranges(known: dict[str, Sides], features: Sequence[str]) -> None:
+    """Current values of calendar features stay in their allowed range."""
+    for feature in features:
+        if feature in ALLOWED_RANGES and feature in known and known[feature].outside:
+            low, high = ALLOWED_RANGES[feature]
+            raise ValueError(f"values of {feature!r} outside {low} to {high}")
 
 
-def drift_table(paired: DataFrame, known: dict[str, Sides], categorical: Sequence[str] = ()) -> DataFrame:
+def drift_table(
+    paired: DataFrame,
+    known: dict[str, Sides],
+    categorical: Sequence[str] = (),
+    found: dict[str, Shape] | None = None,
+) -> DataFrame:
     """PSI, distance, means and deviations of every feature of a paired count, as a local table."""
-    scores = _psi_scores(paired, known, categorical=categorical)
-    far = {r[FEATURE]: r for r in distances(paired, known).collect()}
+    if found is None:
+        found = shapes(paired, known, _bin_shares(known, 10))
+    scores = _psi_scores(paired, known, found, categorical=categorical)
+    none = Shape(None, None, None, {})
     rows = [
-        (f, scores[f], *(far[f][1:] if f in far else (None, None, None)), s.ref_mean, s.cur_mean)
-        for f, s in known.items()
+        (f, scores[f], far.wasserstein, far.ref_std, far.cur_std, s.ref_mean, s.cur_mean)
+        for f, s in known.items() for far in [found.get(f, none)]
     ]
     schema = (
         f"{FEATURE} string, psi double, wasserstein double, reference_std double, current_std double, "
@@ -335,29 +438,35 @@ def feature_drift(
     paired = paired_counts(reference, current, features)
     known = sides(paired)
     check_sides(known, features)
-    check_ranges(paired, features)
+    check_ranges(known, features)
     table = drift_table(paired, known, categorical)
     return _feature_report(table, settings, digits, with_means)
 
 
+def _with_quartiles(known: dict[str, Sides], column: str) -> dict[tuple[str, str], list[float]]:
+    """The quantiles of a report: bin edges of all features, quartiles of one column on both sides."""
+    wanted = _bin_shares(known, 10)
+    wanted[column, "ref"] = [*wanted[column, "ref"], *QUARTILES.values()]
+    wanted[column, "cur"] = list(QUARTILES.values())
+    return wanted
+
+
 def _prediction_report(
-    paired: DataFrame,
-    known: dict[str, Sides],
+    shape: Shape,
+    size: Sides,
     table: DataFrame,
     column: str,
     settings: Settings,
     digits: tuple[int, int] | None = (2, 4),
 ) -> DataFrame:
     """The summary of one column of a paired count: location and spread of both sides, and drift."""
-    only, size = paired.filter(F.col(FEATURE) == column), known[column]
     shown = []
 
     def rounded(c: Column, place: int) -> Column:
         return c if digits is None else F.round(c, digits[place])
 
-    for side, prefix, rows in (("ref", "reference", size.ref), ("cur", "current", size.cur)):
-        marks = pick_quantiles(only, VALUE, QUARTILES, {None: rows}, n=f"n_{side}", before=f"b_{side}")[None]
-        values = {name: F.lit(x) for name, x in marks.items()}
+    for side, prefix in (("ref", "reference"), ("cur", "current")):
+        values = {name: F.lit(shape.quantile(side, getattr(size, side), q)) for name, q in QUARTILES.items()}
         values |= {name: F.col(f"{prefix}_{name}") for name in ("mean", "std")}
         shown += [rounded(c, 0).alias(f"{prefix}_{name}") for name, c in values.items()]
     flag = labels.drift_detected(F.col("psi"), settings)
@@ -382,7 +491,9 @@ def prediction_drift(
     paired = paired_counts(reference, current, [column])
     known = sides(paired)
     check_sides(known, [column])
-    return _prediction_report(paired, known, drift_table(paired, known), column, settings, digits)
+    found = shapes(paired, known, _with_quartiles(known, column))
+    table = drift_table(paired, known, found=found)
+    return _prediction_report(found[column], known[column], table, column, settings, digits)
 
 
 def alert(performance: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -418,15 +529,16 @@ def monitoring_report(
     columns = [*CALENDAR_FEATURES, prediction]
     check_columns(reference, current, columns)
     known_actual = actual if actual in current.columns else None
-    paired, figures = paired_counts_and_errors(reference, current, columns, known_actual, prediction)
-    known = sides(paired)
+    paired = paired_counts_and_errors(reference, current, columns, known_actual, prediction)
+    known, figures = _sides_and_errors(paired)
     check_sides(known, columns)
-    check_ranges(paired, CALENDAR_FEATURES)
-    table = drift_table(paired, known)
+    check_ranges(known, CALENDAR_FEATURES)
+    found = shapes(paired, known, _with_quartiles(known, prediction))
+    table = drift_table(paired, known, found=found)
     spark, performance = current.sparkSession, None
     if figures["samples"]:
         performance = small_table(spark, [_performance(figures)], PERFORMANCE_SCHEMA)
-    monitored = figures["n_cur"]
+    monitored = figures["cur"]
     summary = small_table(
         spark, [(label, monitored)], "dataset_label string, monitored_samples bigint"
     ).select(F.localtimestamp().alias("timestamp"), "dataset_label", "monitored_samples")
@@ -434,7 +546,7 @@ def monitoring_report(
         "feature_drift": _feature_report(
             table.filter(F.col(FEATURE) != prediction), settings, with_means=True
         ),
-        "prediction_drift": _prediction_report(paired, known, table, prediction, settings),
+        "prediction_drift": _prediction_report(found[prediction], known[prediction], table, prediction, settings),
         "performance_metrics": performance,
         "alert": None if performance is None else alert(performance, settings),
         "model_metadata": metadata,

@@ -251,6 +251,18 @@ SAMPLES_PER_BLOCK = 16
 ROWS_PER_BLOCK = 1 << 15
 
 
+def bisect(cuts: Column, most: int, key: Column) -> Column:
+    """How many of the ascending ``cuts``, ``most`` at most, are not above a key; by halving."""
+    steps = [1 << b for b in reversed(range(most.bit_length()))]
+
+    def halve(low: Column, step: Column) -> Column:
+        tried = low + step
+        found = (tried <= F.size(cuts)) & (F.get(cuts, tried - 1) <= key)
+        return F.when(found, tried).otherwise(low)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
+
+
 class Blocks:
     """A total order cut into blocks at sampled keys.
 
@@ -304,15 +316,7 @@ class Blocks:
         if not self.cuts:
             # Zero, but of the row: a constant would make the window one without partitions in the plan.
             return F.least(F.lit(0), F.length(F.col(self.keys[0]).cast("string")))
-        cuts, key = self._constant(), self._key([F.col(k) for k in self.keys])
-        steps = [1 << b for b in reversed(range(len(self.cuts).bit_length()))]
-
-        def bisect(low: Column, step: Column) -> Column:
-            tried = low + step
-            found = (tried <= len(self.cuts)) & (F.get(cuts, tried - 1) <= key)
-            return F.when(found, tried).otherwise(low)
-
-        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), bisect)
+        return bisect(self._constant(), len(self.cuts), self._key([F.col(k) for k in self.keys]))
 
     def name(self, left: int) -> tuple:
         return self.cuts[left][: len(self.series)]

@@ -19,17 +19,17 @@ from tidemark.session import small_table
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def _positions(size: int, p: float) -> tuple[int, int, float]:
+def positions(size: int, p: float) -> tuple[int, int, float]:
     """The two neighbouring positions of a quantile and the weight of the upper one."""
     place = p * (size - 1)
     low = math.floor(place)
     return low, min(low + 1, size - 1), place - low
 
 
-def _interpolated(values: dict[int, float], size: int, p: float) -> float | None:
+def interpolated(values: dict[int, float], size: int, p: float) -> float | None:
     if not size:
         return None
-    low, high, weight = _positions(size, p)
+    low, high, weight = positions(size, p)
     return values[low] + (values[high] - values[low]) * weight
 
 
@@ -52,7 +52,7 @@ def pick_quantiles(
             for g, size in sizes.items()
             if size
             for p in probabilities.values()
-            for spot in _positions(size, p)[:2]
+            for spot in positions(size, p)[:2]
         },
         key=repr,
     )
@@ -74,7 +74,7 @@ def pick_quantiles(
             for r in ranked.join(F.broadcast(spots), inside).select("_g", "_spot", v).collect():
                 found[r["_g"]][r["_spot"]] = r["_v"]
     return {
-        g: {name: _interpolated(found[g], size, p) for name, p in probabilities.items()}
+        g: {name: interpolated(found[g], size, p) for name, p in probabilities.items()}
         for g, size in sizes.items()
     }
 
