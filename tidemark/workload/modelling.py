@@ -128,8 +128,29 @@ def _(spark, folder):
     return modeling.compare_feature_sets(df, ["date_time"], trees=TREES, settings=EVENTS)
 
 
+STEP_SQL = "floor(lag_1h / 10.0::DOUBLE) * 10"
+
+
+@query(
+    "lag_forest_of_one_tree", "M7 M17", "obs_id:i prediction:d",
+    EV_FORECAST + f""",
+steps AS (SELECT {STEP_SQL} AS step, avg(traffic_volume) AS cell FROM ftrain GROUP BY 1),
+bounds AS (SELECT cell, (lag(step) OVER w + step) / 2 AS above, (lead(step) OVER w + step) / 2 AS upto FROM steps WINDOW w AS (ORDER BY step))
+SELECT obs_id, cell AS prediction FROM (SELECT *, {STEP_SQL} AS step FROM ftest) t
+JOIN bounds ON (above IS NULL OR step > above) AND (upto IS NULL OR step <= upto)""",
+)
+def _(spark, folder):
+    """A forest on a lag feature whose values are determined: one unbounded tree without bootstrap, on the lag in
+    steps of ten, predicts the mean of the early rows of a step; steps it has not seen go to the nearest one."""
+    features = materialize(windows.forecasting_features(series(spark, folder)), "features")
+    stepped = features.withColumn("lag_step", F.floor(F.col("lag_1h") / 10.0) * 10.0)
+    train, test = modeling.chronological_split(stepped, EVENTS)
+    forest = modeling.random_forest(trees=1, depth=30).setBootstrap(False)
+    return modeling.predict(modeling.fit(train, forest, ["lag_step"]), test)
+
+
 @query(
-    "forest_of_one_tree", "M6 M7", "obs_id:i prediction:d",
+    "forest_of_one_tree", "M6", "obs_id:i prediction:d",
     EV_SPLIT + "SELECT obs_id, cell AS prediction FROM test JOIN cells USING (hour)",
 )
 def _(spark, folder):

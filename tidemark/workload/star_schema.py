@@ -252,10 +252,9 @@ def _(spark, folder):
 )
 def _(spark, folder):
     """All ten data sets published to a folder and loaded by name with their checks; a second load
-    of each shares the first one's read. Forests are compared by queries of their own; here a small
-    one fills the columns."""
+    of each shares the first one's read. Forests are compared by queries of their own."""
     path = scratch_path(spark, "published")
-    reports.export_star(hourly(spark, folder), path, trees=10, settings=EVENTS)
+    reports.export_star(hourly(spark, folder), path, settings=EVENTS)
     shelf = datasets.Shelf(spark, path)
     loaded = None
     for name in datasets.REQUIRED_COLUMNS:
