@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tests.llm import brute
 from tidemark.llm import exact_dedup as x
 
@@ -41,3 +43,14 @@ def test_filter_lets_unique_rows_pass(spark):
     marked = x.mark(df)
     assert marked.filter("kept").count() == 3001
     assert marked.filter("keep_id = 3000").count() == 1500
+
+
+def test_stage_with_names_of_its_own(spark, edge):
+    df, rows, _ = edge
+    names = ["bucket_0", "bucket_0_of", "bucket_1_of", "bits_1", "group_sha", "sha", "row_sha"]
+    wide = df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    found = x.stage(spark, wide, "")
+    assert found.columns == wide.columns
+    found = found.collect()
+    assert sorted(r.doc_id for r in found) == sorted({keep for keep, _ in brute.exact_groups(rows).values()})
+    assert all(r[c] == k for r in found for k, c in enumerate(names))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
 from tests.llm import brute
 from tidemark.llm import simhash as s
 
@@ -97,3 +98,23 @@ def test_one_row_of_each_component_stays(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = s.one_of_each(df.repartition(3)).collect()
     assert sorted((str(r.doc_id), r.text) for r in found) == [("3", a), ("5", b), ("None", c)]
+
+
+def test_stage_of_written_rows(spark, edge, tmp_path, monkeypatch):
+    """Rows named by file and position: those that stay with numbers, by maps and by shuffle, clashing
+    names and repeated rows included."""
+    df, rows, empty = edge
+    names = ["gone", "place", "number", "map_bits", "_metadata"]
+    wide = df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    wide.union(wide.filter("doc_id % 3 = 0")).repartition(4).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    assert s.scanned_rows(read) is not None and s.scanned_rows(wide.union(wide)) is None
+    wanted = sorted(set(brute.components(rows).values()))
+    for most in (s.MAPS_AT_ONCE, 0):
+        monkeypatch.setattr(s, "MAPS_AT_ONCE", most)
+        once = s.stage(spark, read, "")
+        assert once.columns == read.columns
+        assert sorted(r.doc_id for r in once.collect()) == wanted
+    assert sorted(r.doc_id for r in s.one_of_each(wide).collect()) == wanted
+    empty.write.parquet(str(tmp_path / "empty"))
+    assert s.stage(spark, spark.read.parquet(str(tmp_path / "empty")), "").count() == 0

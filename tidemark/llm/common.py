@@ -53,6 +53,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK + "+"), "")
 
 
+def bit_set(bits: Column, at: Column) -> Column:
+    """Whether bit ``at`` of a bitmap is set; false where there is no bitmap."""
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int"))
+    return F.coalesce(F.lit(1).bitwiseAND(bit) == 1, F.lit(False))
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned CRC-32 of a short ASCII text, bit by bit."""
     return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint,

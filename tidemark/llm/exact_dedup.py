@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK, columns, documents, fresh, quoted, text_of
+from tidemark.llm.common import BLANK, bit_set, columns, documents, fresh, quoted, text_of
 from tidemark.session import materialize
 
 CELLS_PER_ROW = 16
@@ -57,14 +57,11 @@ class RepeatFilter:
         own = [c for c in df.columns]
         flags = []
         for k, cell in enumerate(_cells(quoted(sha), self.n_cells)):
-            bucket, bits = fresh(df, f"bucket_{k}", f"bits_{k}")
+            bucket, of, bits = fresh(df, f"bucket_{k}", f"bucket_{k}_of", f"bits_{k}")
             maps = F.broadcast(self.maps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
-            at = F.bitmap_bit_position(cell)
-            df = df.withColumn(bucket + "_of", F.bitmap_bucket_number(cell))
-            df = df.join(maps, F.col(bucket + "_of") == F.col(bucket), "left")
-            byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            set_ = F.expr("1").bitwiseAND(F.call_function("shiftright", byte, (at % 8).cast("int"))) == 1
-            flags.append(F.coalesce(set_, F.lit(False)))
+            df = df.withColumn(of, F.bitmap_bucket_number(cell))
+            df = df.join(maps, F.col(of) == F.col(bucket), "left")
+            flags.append(bit_set(F.col(bits), F.bitmap_bit_position(cell)))
         return df.select(*columns(own), (flags[0] & flags[1]).alias(out))
 
 
@@ -92,11 +89,12 @@ class Groups:
 
     def join(self, df: DataFrame, sha: str) -> DataFrame:
         """Possibly repeated rows with ``best`` and ``group_size`` of their group, null for single ones."""
-        key = F.col("group_sha")
-        hot, rest = (g.withColumnRenamed("sha", "group_sha") for g in (self.hot, self.rest))
-        large = df.join(F.broadcast(hot), quoted(sha) == key, "inner").drop("group_sha")
-        others = df.join(F.broadcast(hot), quoted(sha) == key, "left_anti")
-        return large.unionByName(others.join(rest, quoted(sha) == key, "left").drop("group_sha"))
+        (key,) = fresh(df, "group_sha")
+        hot, rest = (g.withColumnRenamed("sha", key) for g in (self.hot, self.rest))
+        same = quoted(sha) == F.col(key)
+        large = df.join(F.broadcast(hot), same, "inner").drop(key)
+        others = df.join(F.broadcast(hot), same, "left_anti")
+        return large.unionByName(others.join(rest, same, "left").drop(key))
 
 
 def mark(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,10 +31,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns, documents, fresh, join_with_large_keys, python_ready, quoted, text_of
+from tidemark.llm.common import (
+    bit_set,
+    columns,
+    documents,
+    fresh,
+    join_with_large_keys,
+    python_ready,
+    quoted,
+    text_of,
+)
 from tidemark.session import materialize
 
 BITS = 64
@@ -42,6 +52,8 @@ LIMIT = 4
 SHINGLE = 4
 SEED = 42
 LARGE_VALUE = 2048
+# Maps of 4 KiB, each for 32,768 rows of a file, that are broadcast: 32 MiB at most.
+MAPS_AT_ONCE = 8192
 _CHUNK = 1 << 16
 
 
@@ -337,39 +349,89 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", limi
     return _grouped(rows, limit).select(F.col("id").alias(id_), "fp", "component_id")
 
 
-def _grouped(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Written ``rows`` (id, fp and others) with root, which tells the component, and component_id."""
+def _grouped(rows: DataFrame, limit: int = LIMIT, least: int = 1) -> DataFrame:
+    """Written ``rows`` (id, fp and others) with root, which tells the component, and component_id; only
+    those of components with ``least`` rows or more."""
     per_fp = rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     per_fp = materialize(per_fp, "distinct-fingerprints")
     found = materialize(components(links(per_fp, limit)), "components")
     rooted = per_fp.join(found, per_fp["fp"] == found["node"], "left")
     rooted = materialize(rooted.select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
+    named = rooted.groupBy("root").agg(
+        F.min("first").alias("component_id"), F.count("*").alias("m"), F.sum("n").alias("rows")
+    )
     named = materialize(named, "component-ids")
-    table = join_with_large_keys(rooted, named, "root", "m", rooted.count()).select("fp", "root", "component_id", "n")
-    table = materialize(table, "fingerprint-components")
+    table = join_with_large_keys(rooted, named, "root", "m", rooted.count()).filter(F.col("rows") >= least)
+    table = materialize(table.select("fp", "root", "component_id", "n"), "fingerprint-components")
     return join_with_large_keys(rows, table, "fp", "n", rows.count())
 
 
-def one_of_each(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def scanned_rows(df: DataFrame) -> tuple[Column, Column] | None:
+    """File and position of the rows of a table read from Parquet files, which name a row alike at each
+    reading; None for other tables."""
+    try:
+        place = df.metadataColumn("_metadata")
+        named = place["file_path"], place["row_index"]
+        df.select(*named)
+    except AnalysisException:
+        return None
+    return named
+
+
+def one_of_each(
+    df: DataFrame, id_: str = "doc_id", text: str = "text", named: tuple[Column, Column] | None = None
+) -> DataFrame:
     """One row of each component of ``df``: that with the smallest id, nulls last, then the smallest hash of
-    the text. Rows are told apart by a number written with them, so ids may repeat or be null."""
+    the text. Ids may repeat or be null. Rows are told apart by ``named``, a text and a whole number that
+    each reading of ``df`` gives them again (see :func:`scanned_rows`). Without it, rows are numbered and
+    the whole table is written with the numbers.
+
+    Rows that go are bits in maps per text and range of numbers. The table does not shuffle as long as the
+    maps stay within ``MAPS_AT_ONCE``; beyond, both sides shuffle by the name of the row."""
     python_ready(df.sparkSession)
-    (row,) = fresh(df, "row")
-    numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    place, number = fresh(df, "place", "number")
+    if named is None:
+        df_named = df.withColumn(place, F.lit("")).withColumn(number, F.monotonically_increasing_id())
+        df_named = materialize(df_named, "numbered")
+    else:
+        df_named = df.select("*", named[0].alias(place), named[1].alias(number))
     t = text_of(text)
-    rows = numbered.select(
-        quoted(id_).alias("id"), fingerprints(t).alias("fp"), F.xxhash64(t).alias("tie"), quoted(row).alias("row")
+    rows = df_named.select(
+        quoted(id_).alias("id"),
+        fingerprints(t).alias("fp"),
+        F.xxhash64(t).alias("tie"),
+        quoted(place).alias("place"),
+        quoted(number).alias("number"),
+    )
+    marked = _grouped(materialize(rows, "fingerprints"), least=2).select("root", "id", "tie", "place", "number")
+    marked = materialize(marked, "grouped")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "tie", "place", "number"))
+    kept = marked.groupBy("root").agg(first.alias("first")).select("first.place", "first.number")
+    gone = materialize(marked.select("place", "number").join(kept, ["place", "number"], "left_anti"), "near-duplicates")
+    return _without(df_named, place, number, gone).select(*columns(df.columns))
+
+
+def _without(df: DataFrame, place: str, number: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose (place, number) is not among the written rows ``gone``."""
+    maps = gone.groupBy("place", F.bitmap_bucket_number("number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
+    )
+    maps = materialize(maps, "gone-maps")
+    if maps.count() > MAPS_AT_ONCE:
+        p, n = fresh(df, "gone_place", "gone_number")
+        gone = gone.select(F.col("place").alias(p), F.col("number").alias(n))
+        return df.join(gone, (quoted(place) == F.col(p)) & (quoted(number) == F.col(n)), "left_anti")
+    p, b, bits = fresh(df, "map_place", "map_bucket", "map_bits")
+    maps = maps.select(F.col("place").alias(p), F.col("bucket").alias(b), F.col("bits").alias(bits))
+    same = (quoted(place) == F.col(p)) & (F.bitmap_bucket_number(quoted(number)) == F.col(b))
+    return df.join(F.broadcast(maps), same, "left").filter(
+        ~bit_set(F.col(bits), F.bitmap_bit_position(quoted(number)))
     )
-    marked = materialize(_grouped(materialize(rows, "fingerprints")).select("root", "id", "tie", "row"), "grouped")
-    first = F.min(F.struct(F.col("id").isNull(), "id", "tie", "row"))["row"]
-    kept = marked.groupBy("root").agg(first.alias("row")).select("row")
-    gone = materialize(marked.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", "gone"), "near-duplicates")
-    return numbered.join(gone, quoted(row) == F.col("gone"), "left_anti").select(*columns(df.columns))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    """``docs`` as the stage before wrote it: its files are read twice, the corpus is not written again."""
+    return one_of_each(docs, named=scanned_rows(docs))
 
 
 def op4_simhash(spark, folder: str) -> DataFrame:
