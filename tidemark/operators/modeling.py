@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -153,10 +153,14 @@ def feature_importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
 
 
 def compare_models(
-    train: DataFrame, test: DataFrame, features: Sequence[str] = CALENDAR_FEATURES, trees: int = 200
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[str] = CALENDAR_FEATURES,
+    trees: int = 200,
+    learners: dict[str, Estimator] | None = None,
 ) -> DataFrame:
-    """Linear regression, decision tree and random forest on the same split."""
-    learners = {
+    """Linear regression, decision tree and random forest, or the given learners, on the same split."""
+    learners = learners or {
         "Linear Regression": linear_regression(),
         "Decision Tree": decision_tree(),
         "Random Forest": random_forest(trees),
@@ -176,15 +180,17 @@ def compare_splits(
     features: Sequence[str] = CALENDAR_FEATURES,
     trees: int = 200,
     settings: Settings = DEFAULTS,
+    learner: Estimator | None = None,
 ) -> DataFrame:
-    """The same forest under a random and a chronological split."""
+    """The same forest, or the given learner, under a random and a chronological split."""
+    learner = learner or random_forest(trees)
     splits = {
         RANDOM_METHOD: selection.random_split(df, settings.train_share, identity, settings.seed),
         CHRONOLOGICAL_METHOD: chronological_split(df, settings),
     }
     scored = None
     for method, (train, test) in splits.items():
-        part = predict(fit(train, random_forest(trees), features), test).select(
+        part = predict(fit(train, learner, features), test).select(
             F.lit(method).alias("validation_method"), TARGET, "prediction"
         )
         scored = part if scored is None else scored.unionByName(part)
@@ -197,16 +203,19 @@ def compare_feature_sets(
     extra: Sequence[str] = WEATHER_FEATURES,
     trees: int = 200,
     settings: Settings = DEFAULTS,
+    base: Sequence[str] = CALENDAR_FEATURES,
+    learner: Estimator | None = None,
 ) -> DataFrame:
     """Calendar features alone against calendar plus weather, on one random split."""
+    learner = learner or random_forest(trees)
     train, test = selection.random_split(df, settings.train_share, identity, settings.seed)
     sets = {
-        "Temporal Only (Baseline)": list(CALENDAR_FEATURES),
-        "Temporal + Weather": [*CALENDAR_FEATURES, *extra],
+        "Temporal Only (Baseline)": list(base),
+        "Temporal + Weather": [*base, *extra],
     }
     scored = None
     for name, features in sets.items():
-        part = predict(fit(train, random_forest(trees), features), test).select(
+        part = predict(fit(train, learner, features), test).select(
             F.lit(name).alias("feature_set"), TARGET, "prediction"
         )
         scored = part if scored is None else scored.unionByName(part)

@@ -99,6 +99,26 @@ def _t_quantile(df: str, z: str) -> str:
     )
 
 
+def _area_sql(density: str, start: str, length: str) -> str:
+    """Simpson's rule over 2,000 steps; ``density`` is a formula of {u}."""
+    u = f"(({start}) + i * ({length}) / 2000.0::DOUBLE)"
+    weight = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"({length}) * list_sum(list_transform(range(0, 2001), lambda i: ({weight}) * {density.format(u=u)}))"
+
+
+def _t_two_sided_sql(t: str, df: str) -> str:
+    """Both tails of t by quadrature: with t = sqrt(df) tan(u / sqrt(df)) the density is cos(u / sqrt(df)) ^ (df - 1)."""
+    density, end = f"pow(greatest(cos({{u}} / sqrt({df})), 0), {df} - 1)", f"(pi() / 2 * sqrt({df}))"
+    start = f"(sqrt({df}) * atan(abs({t}) / sqrt({df})))"
+    tail = _area_sql(density, start, f"least(40 / greatest({start}, 1), {end} - {start})")
+    return f"({tail}) / ({_area_sql(density, '0', f'least(40, {end})')})"
+
+
+def _normal_two_sided_sql(z: str) -> str:
+    density = "exp(-{u} * {u} / 2)"
+    return f"({_area_sql(density, z, f'40 / greatest({z}, 1)')}) / sqrt(pi() / 2) / 6000"
+
+
 @query(
     "mean_interval", "T2", "n:i mean:d sem:d ci_low:d ci_high:d",
     EV + f"""SELECT count(*) AS n, avg(traffic_volume) AS mean, stddev_samp(traffic_volume) / sqrt(count(*)) AS sem,
@@ -134,9 +154,10 @@ def _ranks(column: str) -> str:
 
 
 @query(
-    "correlations", "T6 T7 T8 O5", "feature:s n:i pearson_r:d spearman_r:d significant:b",
-    EV + f", r AS (SELECT *, {_ranks('traffic_volume')} AS ry, " + ", ".join(f"{_ranks(f)} AS r_{f}" for f in FEATURES) + " FROM ev) "
-    + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, corr({f}, traffic_volume) AS pearson_r, corr(r_{f}, ry) AS spearman_r, abs(corr({f}, traffic_volume)) * sqrt((count(*) - 2) / (1 - pow(corr({f}, traffic_volume), 2))) > {_t_quantile('count(*) - 2', T995)} AS significant FROM r" for f in FEATURES),
+    "correlations", "T6 T7 T8 O5", "feature:s n:i pearson_r:d pearson_p:d spearman_r:d spearman_p:d significant:b",
+    "SELECT *, " + ", ".join(f"{_t_two_sided_sql(f'(abs({c}_r) * sqrt((n - 2) / (1 - {c}_r * {c}_r)))', '(n - 2)')} AS {c}_p" for c in ("pearson", "spearman")) + " FROM ("
+    + EV + f", r AS (SELECT *, {_ranks('traffic_volume')} AS ry, " + ", ".join(f"{_ranks(f)} AS r_{f}" for f in FEATURES) + " FROM ev) "
+    + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, corr({f}, traffic_volume) AS pearson_r, corr(r_{f}, ry) AS spearman_r, abs(corr({f}, traffic_volume)) * sqrt((count(*) - 2) / (1 - pow(corr({f}, traffic_volume), 2))) > {_t_quantile('count(*) - 2', T995)} AS significant FROM r" for f in FEATURES) + ")",
 )
 def _(spark, folder):
     """The base is written once: several passes would otherwise parse the event properties anew."""
@@ -156,6 +177,15 @@ def _(spark, folder):
 
 
 def _two_sample_sql(base: str, table: str, condition: str) -> str:
+    sigma = "sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))))"
+    z = f"((greatest(mann_whitney_u, n1 * n2 - mann_whitney_u) - n1 * n2 / 2 - 0.5::DOUBLE) / {sigma})"
+    return f"""SELECT *, {_t_two_sided_sql("sqrt(levene_statistic)", "(n1 + n2 - 2)")} AS levene_p,
+      {_t_two_sided_sql("welch_t", "welch_f")} AS welch_p,
+      CASE WHEN {z} > 0 THEN least(1, {_normal_two_sided_sql(z)}) ELSE 1 END AS mann_whitney_p
+      FROM ({_two_sample_statistics_sql(base, table, condition)})"""
+
+
+def _two_sample_statistics_sql(base: str, table: str, condition: str) -> str:
     return base + f""", s AS (SELECT traffic_volume AS v, CASE WHEN {condition} THEN 1 ELSE 2 END AS g FROM {table}),
     ranked AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS rk,
                       median(v) OVER (PARTITION BY g) AS med FROM s),
@@ -164,7 +194,9 @@ def _two_sample_sql(base: str, table: str, condition: str) -> str:
        max(med) FILTER (g = 1) AS median1, max(med) FILTER (g = 2) AS median2, sum(rk) FILTER (g = 1) AS r1,
        avg(abs(v - med)) FILTER (g = 1) AS z1, avg(abs(v - med)) FILTER (g = 2) AS z2, avg(abs(v - med)) AS z,
        var_pop(abs(v - med)) FILTER (g = 1) AS zv1, var_pop(abs(v - med)) FILTER (g = 2) AS zv2 FROM ranked)
-    SELECT n1, n2, m1 AS mean1, m2 AS mean2, median1, median2, m1 - m2 AS mean_difference,
+    SELECT n1, n2, (SELECT sum(pow(c, 3) - c) FROM (SELECT count(*)::DOUBLE AS c FROM s GROUP BY v)) AS ties,
+       pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS welch_f,
+       m1 AS mean1, m2 AS mean2, median1, median2, m1 - m2 AS mean_difference,
        (n1 + n2 - 2) * (n1 * pow(z1 - z, 2) + n2 * pow(z2 - z, 2)) / (n1 * zv1 + n2 * zv2) AS levene_statistic,
        (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS welch_t, r1 - n1 * (n1 + 1) / 2 AS mann_whitney_u,
        (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS cohens_d,
@@ -173,7 +205,7 @@ def _two_sample_sql(base: str, table: str, condition: str) -> str:
        CASE WHEN abs(cohens_d) < 0.2 THEN 'Negligible Effect Size (|d| < 0.2)' WHEN abs(cohens_d) < 0.5 THEN 'Small Effect Size (|d| < 0.5)' WHEN abs(cohens_d) < 0.8 THEN 'Medium Effect Size (|d| < 0.8)' ELSE 'Large Effect Size (|d| >= 0.8)' END AS effect_size FROM m"""
 
 
-TWO = "n1:i n2:i mean1:d mean2:d median1:d median2:d mean_difference:d levene_statistic:d welch_t:d mann_whitney_u:d cohens_d:d rank_biserial:d conclusion:s effect_size:s"
+TWO = "n1:i n2:i mean1:d mean2:d median1:d median2:d mean_difference:d levene_statistic:d levene_p:d welch_t:d welch_p:d mann_whitney_u:d mann_whitney_p:d cohens_d:d rank_biserial:d conclusion:s effect_size:s"
 
 
 @query("weekday_test", "T10 T11 T12 T13 T14 T15", TWO, _two_sample_sql(EV, "ev", "weekday < 5"))
@@ -187,7 +219,10 @@ def _(spark, folder):
     return statistics.rush_test(hourly(spark, folder))
 
 
-@query("rush_test_p_values", "T10 T11 T12 T16", "levene_p:d welch_p:d mann_whitney_p:d effect_size:s conclusion:s")
+@query(
+    "rush_test_p_values", "T10 T11 T12 T16", "levene_p:d welch_p:d mann_whitney_p:d effect_size:s conclusion:s",
+    _two_sample_sql(HR, "hr", "is_rush = 1"),
+)
 def _(spark, folder):
     return statistics.rush_test(hourly(spark, folder))
 

@@ -145,8 +145,7 @@ def _(spark, folder):
     features = materialize(windows.forecasting_features(series(spark, folder)), "features")
     stepped = features.withColumn("lag_step", F.floor(F.col("lag_1h") / 10.0) * 10.0)
     train, test = modeling.chronological_split(stepped, EVENTS)
-    forest = modeling.random_forest(trees=1, depth=30).setBootstrap(False)
-    return modeling.predict(modeling.fit(train, forest, ["lag_step"]), test)
+    return modeling.predict(modeling.fit(train, _one_tree(), ["lag_step"]), test)
 
 
 @query(
@@ -156,8 +155,7 @@ def _(spark, folder):
 def _(spark, folder):
     """Without bootstrap, one unbounded tree of a forest on the hour predicts the hour's mean."""
     train, test = event_split(spark, folder)
-    forest = modeling.random_forest(trees=1, depth=30).setBootstrap(False)
-    return modeling.predict(modeling.fit(train, forest, ["hour"]), test)
+    return modeling.predict(modeling.fit(train, _one_tree(), ["hour"]), test)
 
 
 @query("feature_importances", "M13", "feature:s importance:d")
@@ -167,6 +165,87 @@ def _(spark, folder):
     return modeling.feature_importances(spark, model)
 
 
+def _one_tree(depth: int = 30):
+    """A forest of one tree on all rows: its splits are determined."""
+    return modeling.random_forest(trees=1, depth=depth).setBootstrap(False)
+
+
+def _rounded_metrics_sql(table: str) -> str:
+    return (
+        "samples, round(mae, 4) AS mae, round(mse, 2) AS mse, round(rmse, 4) AS rmse, round(r2, 6) AS r2 "
+        f"FROM (SELECT {_metrics_sql(table, 'traffic_volume', 'prediction')})"
+    )
+
+
+@query(
+    "model_comparison_determined", "M4 M5 M6 M10", f"model:s {METRICS}",
+    EV_SPLIT + LINE_SQL.format(train="train") + ", lined AS (SELECT traffic_volume, a + b * hour AS prediction FROM test, line), celled AS (SELECT traffic_volume, cell AS prediction FROM test JOIN cells USING (hour)) "
+    + " UNION ALL ".join(f"SELECT '{name}' AS model, {_rounded_metrics_sql(t)}" for name, t in (("Linear Regression", "lined"), ("Decision Tree", "celled"), ("Random Forest", "celled"))),
+)
+def _(spark, folder):
+    """The comparison over learners on the hour whose predictions are determined: the line and the hour's means."""
+    learners = {
+        "Linear Regression": modeling.linear_regression(),
+        "Decision Tree": modeling.decision_tree(),
+        "Random Forest": _one_tree(),
+    }
+    return modeling.compare_models(*event_split(spark, folder), ["hour"], learners=learners)
+
+
+RANDOM_SQL = f"""
+sides AS (SELECT *, (weekday >= 5)::INTEGER AS weekend, CAST('0x' || substr(md5(concat_ws(':', obs_id::VARCHAR, '{EVENTS.seed}')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < {EVENTS.train_share} AS drawn FROM ev),
+by_hour AS (SELECT hour, avg(traffic_volume) AS prediction FROM sides WHERE drawn GROUP BY ALL),
+by_both AS (SELECT hour, weekend, avg(traffic_volume) AS prediction FROM sides WHERE drawn GROUP BY ALL),
+random_hour AS (SELECT traffic_volume, prediction FROM sides JOIN by_hour USING (hour) WHERE NOT drawn),
+random_both AS (SELECT traffic_volume, prediction FROM sides JOIN by_both USING (hour, weekend) WHERE NOT drawn)"""
+
+
+@query(
+    "split_comparison_determined", "M3 M6 M11", f"validation_method:s {METRICS}",
+    EV_SPLIT + "," + RANDOM_SQL + f", late AS (SELECT traffic_volume, cell AS prediction FROM test JOIN cells USING (hour)) SELECT '{modeling.RANDOM_METHOD}' AS validation_method, {_rounded_metrics_sql('random_hour')} UNION ALL SELECT '{modeling.CHRONOLOGICAL_METHOD}', {_rounded_metrics_sql('late')}",
+)
+def _(spark, folder):
+    """Both splits with a forest of one tree on the hour, which predicts the hour's mean."""
+    df = series(spark, folder)
+    return modeling.compare_splits(df, ["obs_id"], ["hour"], settings=EVENTS, learner=_one_tree())
+
+
+@query(
+    "feature_set_comparison_determined", "M12", "feature_set:s r2:d rmse:d",
+    EV + "," + RANDOM_SQL + f" SELECT 'Temporal Only (Baseline)' AS feature_set, {_rounded_metrics_sql('random_hour')} UNION ALL SELECT 'Temporal + Weather', {_rounded_metrics_sql('random_both')}",
+)
+def _(spark, folder):
+    """The hour alone against hour and weekend: an unbounded tree predicts the mean of each cell."""
+    df = series(spark, folder).withColumn("weekend", (F.col("weekday") >= 5).cast("int"))
+    return modeling.compare_feature_sets(
+        df, ["obs_id"], ["weekend"], settings=EVENTS, base=["hour"], learner=modeling.decision_tree()
+    )
+
+
+def _best_splits_sql(name: str, rows: str) -> str:
+    """Per node of ``rows`` (node, f, x, y) the split of all features' values that lowers the squares most."""
+    return f"""{name}_values AS (SELECT node, f, x, count(*)::DOUBLE AS n, sum(y) AS s FROM {rows} GROUP BY ALL),
+{name}_sums AS (SELECT node, f, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER g AS nn, sum(s) OVER g AS ss
+  FROM {name}_values WINDOW w AS (PARTITION BY node, f ORDER BY x), g AS (PARTITION BY node, f)),
+{name}_gains AS (SELECT node, f, x, sl * sl / nl + pow(ss - sl, 2) / (nn - nl) - ss * ss / nn AS gain FROM {name}_sums WHERE nn > nl),
+{name} AS (SELECT node, arg_max(f, gain) AS f, arg_max(x, gain) AS x, max(gain) AS gain FROM {name}_gains GROUP BY node)"""
+
+
+@query(
+    "feature_importances_of_one_tree", "M13", "feature:s importance:d",
+    EV_SPLIT + ", long AS (" + " UNION ALL ".join(f"SELECT obs_id, 0 AS node, '{f}' AS f, {f} AS x, traffic_volume - (SELECT avg(traffic_volume) FROM train) AS y FROM train" for f in CALENDAR_FEATURES) + "), "
+    + _best_splits_sql("top", "long")
+    + ", halves AS (SELECT obs_id, CASE WHEN long.x <= top.x THEN 1 ELSE 2 END AS half FROM long JOIN top USING (f)), lower AS (SELECT half AS node, f, x, y FROM long JOIN halves USING (obs_id)), "
+    + _best_splits_sql("second", "lower")
+    + ", used AS (SELECT f, gain FROM top UNION ALL SELECT f, gain FROM second) SELECT f AS feature, coalesce(sum(gain) / (SELECT sum(gain) FROM used), 0) AS importance FROM (SELECT DISTINCT f FROM long) LEFT JOIN used USING (f) GROUP BY f",
+)
+def _(spark, folder):
+    """A tree of two levels on all calendar features: its importances are the squares that its three splits
+    remove, which SQL finds by trying every split."""
+    train, _ = event_split(spark, folder)
+    return modeling.feature_importances(spark, modeling.fit(train, _one_tree(2), CALENDAR_FEATURES))
+
+
 @query(
     "diurnal_curve", "M16", "hour:i prediction:d",
     EV_SPLIT + LINE_SQL.format(train="train") + " SELECT h AS hour, a + b * h AS prediction FROM range(24) AS r(h), line",
