@@ -149,7 +149,9 @@ def _poisson_one(uniform: Column) -> Column:
 
 
 def _uniform(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """A number in [0, 1) from the first 52 bits of an MD5, which any SQL engine can repeat."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
 def _log_factorial(k: Column) -> Column:
@@ -169,8 +171,7 @@ def _poisson(mean: Column, key: Sequence[Column]) -> Column:
     a = -0.059 + 0.02483 * b
     scale, quick = 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6224 / (b - 2.0)
 
-    def attempt(i: Column) -> Column:
-        u, v = _uniform(*key, 2 * i) - 0.5, _uniform(*key, 2 * i + 1)
+    def accepted(u: Column, v: Column) -> Column:
         edge = F.greatest(0.5 - F.abs(u), F.lit(1e-18))
         k = F.floor((2 * a / edge + b) * u + mean + 0.43)
         inside = (edge >= 0.07) & (v <= quick)
@@ -178,6 +179,11 @@ def _poisson(mean: Column, key: Sequence[Column]) -> Column:
         below = level <= k * F.log(mean) - mean - _log_factorial(k)
         return F.when(inside | ((k >= 0) & ~((edge < 0.013) & (v > edge)) & below), k)
 
+    def attempt(i: Column) -> Column:
+        # As elements of an array the two numbers are hashed once, however often they are used.
+        pair = F.struct((_uniform(*key, 2 * i) - 0.5).alias("u"), _uniform(*key, 2 * i + 1).alias("v"))
+        return F.get(F.transform(F.array(pair), lambda p: accepted(p["u"], p["v"])), F.lit(0))
+
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(64)), F.lit(None).cast("bigint"), lambda found, i: F.coalesce(found, attempt(i))
     )
