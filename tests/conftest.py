@@ -1,4 +1,5 @@
 import sys
+import uuid
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -20,6 +21,23 @@ def spark():
     session.stop()
 
 
+@pytest.fixture
+def count_jobs(spark):
+    """Runs a function and returns its result with the number of jobs it took. With adaptive execution every
+    shuffle is a job of its own."""
+
+    def run(job):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, "counted")
+        try:
+            result = job()
+        finally:
+            spark.sparkContext.setJobGroup("other", "")
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    return run
+
+
 @pytest.fixture(scope="session")
 def make_series(spark):
     """Observations from a list of volumes, one per hour unless hours are given."""

@@ -155,6 +155,52 @@ def test_kpi_table(cycle, scored):
     assert rows["Peak Single-Hour Volume (veh/hr)"].kpi_value == str(pdf["traffic_volume"].max())
 
 
+@pytest.mark.parametrize("limit", [1, 1 << 15])
+def test_demand_kpis_over_blocks(spark, make_series, monkeypatch, limit):
+    """Also where volumes are cut into blocks and a third of the rows share one."""
+    monkeypatch.setattr(kpis, "ROWS_PER_BLOCK", limit)
+    rng = np.random.default_rng(3)
+    volumes = [None if i % 50 == 0 else 300.0 if i % 3 == 0 else float(v) for i, v in enumerate(rng.integers(0, 900, 2001))]
+    df = make_series(volumes)
+    pdf = df.toPandas()
+    row = kpis.demand_kpis(df.repartition(7), Settings(low=200, heavy=600)).first()
+    v = pdf.traffic_volume
+    assert (row.median_volume, row.peak_volume, row.total_count) == (v.median(), v.max(), len(pdf))
+    assert row.avg_volume == pytest.approx(v.mean()) and row.rush_mean == pytest.approx(v[pdf.is_rush == 1].mean())
+    assert row.weekend_mean == pytest.approx(v[pdf.weekday >= 5].mean())
+    assert (row.low_count, row.heavy_count) == ((v < 200).sum(), (v >= 600).sum())
+    best = v.groupby(pdf.hour).mean().sort_values(ascending=False, kind="stable").head(3)
+    assert row.top_hours == ", ".join(f"{h:02d}:00 ({m:.0f} veh/hr)" for h, m in best.items())
+
+
+def test_demand_kpis_need_volumes(make_series):
+    with pytest.raises(ValueError, match="no values"):
+        kpis.demand_kpis(make_series([None, None]).filter("obs_id < 1"))
+    with pytest.raises(ValueError, match="no values"):
+        kpis.demand_kpis(make_series([1, 2]).filter("traffic_volume > 5"))
+
+
+def test_kpi_table_takes_few_jobs_and_one_read(spark, make_series, count_jobs):
+    df = make_series([float(i % 40) for i in range(400)])
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        reads.add(1)
+        return v
+
+    facts = df.withColumn("traffic_volume", counted("traffic_volume"))
+    scored = errors.with_residuals(df.withColumn("prediction", F.lit(20.0)))
+    rows, jobs = count_jobs(lambda: kpis.business_kpis(facts, scored).collect())
+    assert len(rows) == 24 and reads.value == 400 and jobs <= 12
+
+
+def test_model_kpis_of_no_rows(spark):
+    none = errors.with_residuals(spark.createDataFrame([], "hour int, traffic_volume double, prediction double"))
+    row = kpis.model_kpis(none).first()
+    assert (row.total_samples, row.underpred_count, row.mae, row.worst_hours) == (0, 0, None, "")
+
+
 def test_ties_are_neither_under_nor_over(spark):
     rows = [(5.0, 5.0), (6.0, 5.0), (4.0, 5.0), (9.0, 5.0)]
     df = errors.with_residuals(spark.createDataFrame(rows, "traffic_volume double, prediction double"))

@@ -92,6 +92,46 @@ def test_correlations_match_pandas(sample, pdf):
     assert len(matrix) == 25 and all(r.r == pytest.approx(1.0) for r in matrix if r.column_a == r.column_b)
 
 
+def test_correlations_over_blocks(spark, monkeypatch):
+    """Many blocks, a third of the rows at one target, another third at one feature value, and a constant feature."""
+    monkeypatch.setattr(statistics, "ROWS_PER_BLOCK", 10)
+    rng = np.random.default_rng(5)
+    n = 3000
+    y = np.where(np.arange(n) % 3 == 0, 7.0, np.round(rng.normal(7, 4, n), 2))
+    x = np.where(np.arange(n) % 3 == 1, -1.5, np.round(y + rng.normal(0, 6, n), 2))
+    frame = pd.DataFrame({"traffic_volume": y, "a": x, "b": rng.integers(0, 4, n), "c": 1})
+    df = spark.createDataFrame(frame.sample(frac=1, random_state=1)).repartition(5)
+    rows = {r.feature: r for r in statistics.correlations(df, ["a", "b", "c"]).collect()}
+    for f in ("a", "b"):
+        assert rows[f].n == n
+        assert rows[f].pearson_r == pytest.approx(frame[f].corr(frame.traffic_volume), rel=1e-9)
+        assert rows[f].spearman_r == pytest.approx(frame[f].rank().corr(frame.traffic_volume.rank()), rel=1e-9)
+    assert rows["c"].pearson_r is None and rows["c"].spearman_r is None and not rows["c"].significant
+
+
+def test_correlations_read_the_facts_once(spark, sample, count_jobs, tmp_path):
+    sample.write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        reads.add(1)
+        return v
+
+    # Not deterministic: a filter would otherwise call it once more for the same read.
+    watched = facts.withColumn("traffic_volume", counted.asNondeterministic()("traffic_volume"))
+    rows, jobs = count_jobs(lambda: statistics.correlations(watched, ["temp", "hour"]).collect())
+    assert len(rows) == 2 and reads.value == facts.count() and jobs <= 12
+
+
+def test_correlations_without_complete_rows(spark):
+    df = spark.createDataFrame([(1.0, None), (None, 2.0), (float("nan"), 1.0)], "traffic_volume double, a double")
+    assert statistics.correlations(df, ["a"]).collect() == []
+    df = spark.createDataFrame([(1.0, 3.0)], "traffic_volume double, a double")
+    assert statistics.correlations(df, ["a"]).first().pearson_r is None
+
+
 def brute_two_sample(a, b):
     both = pd.concat([a, b], keys=["a", "b"])
     ranks = both.rank()

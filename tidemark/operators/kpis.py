@@ -2,55 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, DEMAND_CATEGORY, MODEL_CATEGORY, Settings
 from tidemark.functions import calendar, labels
-from tidemark.operators import aggregates, selection
+from tidemark.operators import aggregates
+from tidemark.operators.ordering import ROWS_PER_BLOCK, block_cuts, point_block
 from tidemark.operators.quality import require_values
-from tidemark.operators.quantiles import overall_quantiles
+from tidemark.operators.quantiles import block_quantiles, overall_quantiles
 from tidemark.session import materialize
 
 TARGET = "traffic_volume"
 
 
-def _joined_text(top: DataFrame, key: str, text: Column) -> Column:
-    """The texts of a handful of top rows, best first, as one scalar."""
-    order = F.struct((-F.col("mean_value")).alias("a"), F.col(key).alias("b"), text.alias("t"))
-    ranked = F.array_sort(F.collect_list(order))
-    return top.agg(F.array_join(F.transform(ranked, lambda r: r["t"]), ", ")).scalar()
+CELL = ("hour", "weekday", "month", "is_rush")
+TOP = 3
+
+
+def _top_text(top: Column, text: Callable[[Column], Column]) -> Column:
+    """The texts of the best of some groups, given as an array of (mean, key); equal means keep the smaller key first."""
+    ranked = F.array_sort(F.transform(top, lambda g: F.struct((-g["mean"]).alias("a"), g["key"].alias("b"), text(g).alias("t"))))
+    return F.array_join(F.transform(F.slice(ranked, 1, TOP), lambda g: g["t"]), ", ")
+
+
+def _demand_cells(df: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Rows per calendar cell and volume, from the only read of the facts, and values that cut the volumes
+    into blocks, if there are many."""
+    seen, v = Observation(), F.col(TARGET)
+    counts = df.groupBy(*CELL, TARGET).agg(F.count("*").alias("n"))
+    watched = counts.observe(
+        seen, F.count(v).alias("rows"), block_cuts(df.sparkSession, v.cast("double")).alias("cuts")
+    )
+    cells = materialize(watched, "demand-cells")
+    many = (seen.get.get("rows") or 0) > ROWS_PER_BLOCK
+    return cells, sorted(set(seen.get["cuts"])) if many else []
+
+
+def _demand_groups(cells: DataFrame, cuts: list[float], settings: Settings) -> dict[tuple[str, int | None], Row]:
+    """Sums over the whole table, every hour, month, rush and weekday side and block of volumes, in one
+    aggregate: at most some forty groups and the blocks."""
+    v, n = F.col(TARGET), F.col("n")
+    groups = {
+        "all": F.lit(0),
+        "hour": F.col("hour"),
+        "month": F.col("month"),
+        "rush": (F.col("is_rush") == 1),
+        "work": (F.col("weekday") < 5),
+        "block": point_block(cuts, v.cast("double")),
+    }
+    entries = [F.struct(F.lit(k).alias("kind"), c.cast("int").alias("key")) for k, c in groups.items()]
+    rows = (
+        cells.select(v, n, F.inline(F.array(*entries)))
+        .groupBy("kind", "key")
+        .agg(
+            F.sum(n).alias("rows"),
+            F.sum(F.when(v.isNotNull(), n)).alias("values"),
+            F.sum(v.cast("double") * n).alias("total"),
+            F.max(v).alias("top"),
+            F.sum(F.when(v < settings.low, n)).alias("low"),
+            F.sum(F.when((v >= settings.low) & (v < settings.heavy), n)).alias("moderate"),
+            F.sum(F.when(v >= settings.heavy, n)).alias("heavy"),
+        )
+    )
+    return {(r["kind"], r["key"]): r for r in rows.collect()}
 
 
 def demand_kpis(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row of numeric demand KPIs, with the texts beside them.
 
-    One aggregate gives all conditional means and counts; the median and the two top-3 lists are
-    scalar subqueries over grouped data.
+    The facts are read once, into rows per calendar cell and volume. One aggregate over those gives
+    every sum; the median ranks only the block of volumes that holds it. Groups without a volume are
+    not among the top ones.
     """
-    require_values(df, TARGET)
-    v, rush, work = F.col(TARGET), F.col("is_rush") == 1, F.col("weekday") < 5
-    base = df.agg(
-        F.avg(v).alias("avg_volume"),
-        F.max(v).alias("peak_volume"),
-        F.avg(F.when(rush, v)).alias("rush_mean"),
-        F.avg(F.when(~rush, v)).alias("non_rush_mean"),
-        F.avg(F.when(work, v)).alias("weekday_mean"),
-        F.avg(F.when(~work, v)).alias("weekend_mean"),
-        F.count_if(v < settings.low).alias("low_count"),
-        F.count_if((v >= settings.low) & (v < settings.heavy)).alias("moderate_count"),
-        F.count_if(v >= settings.heavy).alias("heavy_count"),
-        F.count("*").alias("total_count"),
-    )
-    hours = selection.top_groups_by_mean(df, "hour")
-    months = selection.top_groups_by_mean(df, "month")
-    hour_text = labels.hour_text(F.col("hour"), F.col("mean_value"))
-    month_text = labels.month_text(calendar.month_abbreviation(F.col("month")), F.col("mean_value"))
-    wide = base.withColumns(
+    if TARGET not in df.columns:
+        require_values(df, TARGET)
+    cells, cuts = _demand_cells(df)
+    groups = _demand_groups(cells, cuts, settings)
+    whole = groups.get(("all", 0))
+    if whole is None or not whole["values"]:
+        return require_values(df, TARGET)
+
+    def mean(kind: str, key: int) -> Column:
+        g = groups.get((kind, key))
+        return F.lit(g["total"] / g["values"] if g and g["values"] else None).cast("double")
+
+    def means(kind: str) -> Column:
+        known = [(g["total"] / g["values"], key) for (k, key), g in groups.items() if k == kind and g["values"]]
+        return F.array(*[F.struct(F.lit(m).alias("mean"), F.lit(key).cast("int").alias("key")) for m, key in known])
+
+    blocks = {key: g["values"] for (kind, key), g in groups.items() if kind == "block" and g["values"]}
+    median = block_quantiles(cells, TARGET, {"median": 0.5}, cuts, blocks)["median"]
+    wide = df.sparkSession.range(0, 1, 1, 1).select(
+        mean("all", 0).alias("avg_volume"),
+        F.lit(whole["top"]).cast(df.schema[TARGET].dataType).alias("peak_volume"),
+        mean("rush", 1).alias("rush_mean"),
+        mean("rush", 0).alias("non_rush_mean"),
+        mean("work", 1).alias("weekday_mean"),
+        mean("work", 0).alias("weekend_mean"),
+        *[F.lit(whole[c] or 0).cast("bigint").alias(f"{c}_count") for c in ("low", "moderate", "heavy")],
+        F.lit(whole["rows"]).cast("bigint").alias("total_count"),
+        F.lit(median).cast("double").alias("median_volume"),
+        _top_text(means("hour"), lambda g: labels.hour_text(g["key"], g["mean"])).alias("top_hours"),
+        _top_text(means("month"), lambda g: labels.month_text(calendar.month_abbreviation(g["key"]), g["mean"])).alias("top_months"),
+    ).withColumns(
         {
-            "median_volume": F.lit(overall_quantiles(df, TARGET, {"median": 0.5})["median"]),
-            "top_hours": _joined_text(hours, "hour", hour_text),
-            "top_months": _joined_text(months, "month", month_text),
             "rush_diff": F.col("rush_mean") - F.col("non_rush_mean"),
             "weekday_diff": F.col("weekday_mean") - F.col("weekend_mean"),
         }
@@ -91,35 +149,58 @@ def demand_kpi_texts(kpis: DataFrame, settings: Settings = DEFAULTS) -> dict[str
     }
 
 
-def error_kpis(errors: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row of holdout error KPIs from rows with residuals, in one aggregate."""
+def _error_sums(settings: Settings) -> dict[str, Column]:
+    """What error KPIs follow from; sums of parts of the rows add up to those of all."""
     a, p = F.col(TARGET), F.col("prediction")
     heavy = a >= settings.heavy
-    return errors.agg(
-        F.count("*").alias("total_samples"),
-        F.count_if(a > p).alias("underpred_count"),
-        F.count_if(a < p).alias("overpred_count"),
-        F.avg("error").alias("mean_bias"),
-        F.avg("abs_error").alias("mae"),
-        F.sqrt(F.avg("squared_error")).alias("rmse"),
-        F.avg(F.when(heavy, F.col("abs_error"))).alias("heavy_mae"),
-        F.sqrt(F.avg(F.when(heavy, F.col("squared_error")))).alias("heavy_rmse"),
-        F.avg(F.when(heavy, F.col("error"))).alias("heavy_bias"),
-    ).withColumns(
-        {
-            "underpred_pct": F.try_divide(F.col("underpred_count") * 100.0, F.col("total_samples")),
-            "overpred_pct": F.try_divide(F.col("overpred_count") * 100.0, F.col("total_samples")),
-        }
+    sums = {
+        "total_samples": F.count("*"),
+        "underpred_count": F.count_if(a > p),
+        "overpred_count": F.count_if(a < p),
+    }
+    for error in ("error", "abs_error", "squared_error"):
+        for side, value in (("all", F.col(error)), ("heavy", F.when(heavy, F.col(error)))):
+            sums |= {f"_{side}_{error}": F.sum(value.cast("double")), f"_{side}_{error}_n": F.count(value)}
+    return sums
+
+
+def _error_figures(sums: DataFrame, *others: str) -> DataFrame:
+    def mean(side: str, error: str) -> Column:
+        return F.try_divide(F.col(f"_{side}_{error}"), F.col(f"_{side}_{error}_n"))
+
+    counts = ("total_samples", "underpred_count", "overpred_count")
+    return sums.select(
+        *counts,
+        mean("all", "error").alias("mean_bias"),
+        mean("all", "abs_error").alias("mae"),
+        F.sqrt(mean("all", "squared_error")).alias("rmse"),
+        mean("heavy", "abs_error").alias("heavy_mae"),
+        F.sqrt(mean("heavy", "squared_error")).alias("heavy_rmse"),
+        mean("heavy", "error").alias("heavy_bias"),
+        *[F.try_divide(F.col(c) * 100.0, F.col("total_samples")).alias(c.replace("count", "pct")) for c in counts[1:]],
+        *others,
     )
 
 
+def error_kpis(errors: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row of holdout error KPIs from rows with residuals, in one aggregate."""
+    return _error_figures(errors.agg(*[c.alias(n) for n, c in _error_sums(settings).items()]))
+
+
 def model_kpis(
     errors: DataFrame, comparison: DataFrame | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Error KPIs plus the hours with the largest errors and the forecasting comparison text."""
-    hours = selection.top_groups_by_mean(errors, "hour", value="abs_error")
-    text = labels.hour_error_text(F.col("hour"), F.col("mean_value"))
-    wide = error_kpis(errors, settings).withColumn("worst_hours", _joined_text(hours, "hour", text))
+    """Error KPIs plus the hours with the largest errors and the forecasting comparison text, all from one
+    read of the rows: sums per hour first, then those of all hours."""
+    sums = _error_sums(settings)
+    hours = errors.groupBy("hour").agg(*[c.alias(n) for n, c in sums.items()])
+    mean = F.try_divide(F.col("_all_abs_error"), F.col("_all_abs_error_n"))
+    group = F.when(mean.isNotNull(), F.struct(mean.alias("mean"), F.col("hour").alias("key")))
+    whole = hours.agg(
+        *[(F.coalesce(F.sum(n), F.lit(0)) if n.endswith(("_n", "samples", "count")) else F.sum(n)).alias(n) for n in sums],
+        F.collect_list(group).alias("_hours"),
+    ).withColumn("worst_hours", _top_text(F.col("_hours"), lambda g: labels.hour_error_text(g["key"], g["mean"])))
+    wide = _error_figures(whole, "worst_hours")
     if comparison is None:
         return wide.withColumn("forecast_text", F.lit(None).cast("string"))
     f = forecast_kpis(comparison, "Random Forest|ML", "Naive Prev-Hour", ignore_case=False)
@@ -166,9 +247,9 @@ def long_kpis(wide: DataFrame, texts: dict[str, Column], category: str) -> DataF
 def business_kpis(
     df: DataFrame, errors: DataFrame, comparison: DataFrame | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Both KPI tables as rows. Each wide row is computed once and written, as every text reads it."""
-    demand = materialize(demand_kpis(df, settings), "demand-kpis")
-    model = materialize(model_kpis(errors, comparison, settings), "model-kpis")
+    """Both KPI tables as rows, from one read of the facts and one of the scored rows."""
+    demand = demand_kpis(df, settings)
+    model = model_kpis(errors, comparison, settings)
     return long_kpis(demand, demand_kpi_texts(demand, settings), DEMAND_CATEGORY).unionByName(
         long_kpis(model, model_kpi_texts(settings), MODEL_CATEGORY)
     )

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import hour_start
@@ -246,6 +246,7 @@ def from_key(keys: Sequence[str], bound: tuple) -> Column:
 
 
 BLOCKS_PER_PARTITION = 4
+MOST_BLOCKS = 1024
 SAMPLES_PER_BLOCK = 16
 # Shorter blocks would hand on about as many rows as they hold.
 ROWS_PER_BLOCK = 1 << 15
@@ -263,6 +264,24 @@ def bisect(cuts: Column, most: int, key: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
 
 
+def block_cuts(spark: SparkSession, value: Column) -> Column:
+    """An aggregate: ascending values that cut ``value`` into blocks of about equal counts. They are
+    approximate and only balance blocks, so they never decide on a result."""
+    blocks = min(MOST_BLOCKS, BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return F.percentile_approx(value, [b / blocks for b in range(1, blocks)], 10 * blocks)
+
+
+def point_block(cuts: Sequence[float], key: Column) -> Column:
+    """The block of a key, numbered in ascending order: each cut is a block of its own (odd), the values
+    between two cuts share one (even). A value above a block's share of the rows is a cut, so an
+    even block is never heavy, and all rows of an odd one are equal."""
+    if not cuts:
+        return F.lit(0)
+    held = F.expr("array({})".format(", ".join(f"double('{c!r}')" for c in cuts)))
+    reached = bisect(held, len(cuts), key)
+    return 2 * reached - F.when((reached > 0) & (F.get(held, reached - 1) == key), 1).otherwise(0)
+
+
 class Blocks:
     """A total order cut into blocks at sampled keys.
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import ranked_values
+from tidemark.operators.ordering import point_block, ranked_values
 from tidemark.session import small_table
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -88,6 +88,42 @@ def overall_quantiles(
     return pick_quantiles(ranked, value, probabilities, {None: size})[None]
 
 
+def block_quantiles(
+    counts: DataFrame,
+    value: str,
+    probabilities: dict[str, float],
+    cuts: Sequence[float],
+    per_block: dict[int, int],
+) -> dict[str, float | None]:
+    """Quantiles of a column whose rows are counted (``n``, equal values may repeat) when the rows in each
+    block of ``cuts`` are known: only the one or two blocks that hold a wanted position are ranked."""
+    size = sum(per_block.values())
+    spots = sorted({spot for p in probabilities.values() for spot in positions(size, p)[:2]}) if size else []
+    starts, reached = {}, 0
+    for b in sorted(per_block):
+        if any(reached <= spot < reached + per_block[b] for spot in spots):
+            starts[b] = reached
+        reached += per_block[b]
+    found = {}
+    if spots:
+        v = F.col(value).cast("double")
+        inside = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(*[F.when(F.col("_b") == b, F.lit(s).cast("bigint")) for b, s in starts.items()])
+        rows = (
+            counts.filter(F.col(value).isNotNull())
+            .select(point_block(cuts, v).alias("_b"), v.alias("_v"), "n")
+            .filter(F.col("_b").isin(*starts))
+            .groupBy("_b", "_v")
+            .agg(F.sum("n").alias("n"))
+            .withColumn("_a", start + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+            .withColumn("_z", F.col("_a") + F.col("n"))
+        )
+        covers = F.exists(F.array(*[F.lit(s).cast("bigint") for s in spots]), lambda s: (F.col("_a") <= s) & (s < F.col("_z")))
+        picked = rows.filter(covers).select("_v", "_a", "_z").collect()
+        found = {spot: next(r["_v"] for r in picked if r["_a"] <= spot < r["_z"]) for spot in spots}
+    return {name: interpolated(found, size, p) for name, p in probabilities.items()}
+
+
 def _at(position: Column, value: Column, before: Column, n: Column) -> Column:
     return F.max(F.when((before <= position) & (position < before + n), value))
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import distributions as dist
 from tidemark.functions.labels import effect_size
-from tidemark.operators.ordering import lookup, ranked_values, running_totals, value_counts
+from tidemark.operators.ordering import ROWS_PER_BLOCK, block_cuts, point_block, ranked_values, running_totals, value_counts
 from tidemark.operators.quality import require_values
 from tidemark.operators.quantiles import QUARTILES, overall_quantiles, pick_quantiles
 from tidemark.session import materialize, small_table
@@ -247,59 +247,117 @@ def _correlation_p(r: float | None, n: int) -> float:
     return dist.t_two_sided(r * math.sqrt((n - 2) / (1.0 - r * r)), n - 2)
 
 
-def pearson(df: DataFrame, features: Sequence[str], value: str = TARGET) -> dict[str, float | None]:
-    """Correlation of every feature with the target, in one aggregate."""
-    row = df.agg(*[F.corr(F.col(f).cast("double"), F.col(value).cast("double")).alias(f) for f in features]).first()
-    return {f: row[f] for f in features}
+def _pair_counts(
+    df: DataFrame, features: Sequence[str], value: str
+) -> tuple[DataFrame, dict[str, list[float]], list[float]]:
+    """Rows per (feature, ``x``, target ``y``), from the only read of the facts, and values that cut each
+    feature and the target into blocks, if there are many rows."""
+    spark, seen = df.sparkSession, Observation()
+    y, x = F.col(value).cast("double"), F.col("x")
+    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), y.alias("y")) for f in features]
+    counts = df.select(value, *features).na.drop().select(F.inline(F.array(*pairs))).groupBy("feature", "x", "y").agg(
+        F.count("*").alias("n")
+    )
+    watched = counts.observe(
+        seen,
+        F.count("*").alias("rows"),
+        block_cuts(spark, F.col("y")).alias("cuts"),
+        *[block_cuts(spark, F.when(F.col("feature") == f, x)).alias(f"cuts_{i}") for i, f in enumerate(features)],
+    )
+    written, found = materialize(watched, "pair-counts"), seen.get
+    if (found.get("rows") or 0) <= ROWS_PER_BLOCK:
+        return written, {f: [] for f in features}, []
+    by_feature = {f: sorted(set(found[f"cuts_{i}"])) for i, f in enumerate(features)}
+    return written, by_feature, sorted(set(found["cuts"]))
+
+
+def _starts(totals: dict[int, int], cuts: Sequence[float]) -> list[int]:
+    """Rows in the blocks before each block."""
+    starts = [0]
+    for b in range(2 * len(cuts)):
+        starts.append(starts[-1] + totals.get(b, 0))
+    return starts
+
 
+def _constants(values: Sequence[int]) -> Column:
+    return F.expr("array({})".format(", ".join(f"{v}L" for v in values)))
 
-def spearman(df: DataFrame, features: Sequence[str], value: str = TARGET) -> DataFrame:
-    """Rank correlation of every feature with the target, ties sharing their mid-rank.
 
-    Target ranks are looked up once per row. After that a feature needs only the count and the sum
-    of target ranks per distinct feature value; no pair of values is formed.
+def correlation_sums(df: DataFrame, features: Sequence[str], value: str = TARGET) -> list[dict]:
+    """Pearson and Spearman coefficient of every feature with the target, ties sharing their mid-rank.
+
+    Works on rows per (feature, value, target). Both ranks are running totals inside blocks of values
+    that follow on the rows of the blocks before. A value that holds more than a block's share is a block
+    of its own: its rank is a constant and its rows are spread over the tasks. Sums are taken of
+    deviations from the means.
     """
-    target_ranks = ranked_values(df, value).select(value, "n", F.col("avg_rank").alias("_ry"))
-    rows = lookup(df.select(value, *features), target_ranks, value, ["_ry"])
-    long = rows.select(
-        "_ry",
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]
-            )
-        ),
+    counts, x_cuts, y_cuts = _pair_counts(df, features, value)
+    feature, x, y, n = F.col("feature"), F.col("x"), F.col("y"), F.col("n")
+
+    def each(choose) -> Column:
+        return F.coalesce(*[F.when(feature == f, choose(f)) for f in features])
+
+    x_block = each(lambda f: point_block(x_cuts[f], x))
+    y_block = point_block(y_cuts, y)
+    # The rows of one feature are all rows, so the target is counted once.
+    sides = F.array(
+        F.struct(F.lit("x").alias("side"), x_block.alias("block"), x.alias("v")),
+        F.struct(F.when(feature == features[0], "y").alias("side"), y_block.alias("block"), y.alias("v")),
     )
-    per_value = long.groupBy("feature", "x").agg(
-        F.count("*").alias("n"), F.sum("_ry").alias("_sy"), F.sum(F.col("_ry") * F.col("_ry")).alias("_syy")
+    totals = counts.select("feature", "n", F.inline(sides)).filter("side IS NOT NULL").groupBy("feature", "side", "block").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s")
+    ).collect()  # some blocks for each named feature
+    if not totals:
+        return []
+    size = sum(r["n"] for r in totals if r["side"] == "y")
+    y_rows = {r["block"]: r["n"] for r in totals if r["side"] == "y"}
+    x_rows = {f: {r["block"]: r["n"] for r in totals if r["side"] == "x" and r["feature"] == f} for f in features}
+    y_mean = math.fsum(r["s"] for r in totals if r["side"] == "y") / size
+    x_mean = {f: math.fsum(r["s"] for r in totals if r["side"] == "x" and r["feature"] == f) / size for f in features}
+    middle = (size + 1) / 2
+
+    single = F.col("_yb") % 2 == 1
+    placed = counts.withColumn("_yb", y_block).withColumn(
+        "_spread", F.when(single, F.pmod(F.xxhash64("x"), F.lit(1000))).otherwise(F.lit(0))
     )
-    ranked = running_totals(per_value, ["x"], {"_upto": "n"}, ["feature"]).withColumn(
-        "_rx", F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2
+    block = ["feature", "_yb", "_spread"]
+    upto = F.sum("n").over(Window.partitionBy(*block).orderBy("y").rangeBetween(Window.unboundedPreceding, 0))
+    ties = F.sum("n").over(Window.partitionBy(*block, "y"))
+    start = F.get(_constants(_starts(y_rows, y_cuts)), F.col("_yb"))
+    held = F.get(_constants([y_rows.get(b, 0) for b in range(2 * len(y_cuts) + 1)]), F.col("_yb"))
+    ranked = placed.withColumns({"_upto": upto, "_ties": ties}).withColumn(
+        "_ry",
+        start + F.when(single, (held + 1) / 2).otherwise(F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2) - middle,
     )
-    rx, n = F.col("_rx"), F.col("n")
-    sums = ranked.groupBy("feature").agg(
-        F.sum("n").cast("double").alias("_n"),
-        F.sum(n * rx * rx).alias("_xx"),
-        F.sum(rx * F.col("_sy")).alias("_xy"),
-        F.sum("_syy").alias("_yy"),
+    ry, dy = F.col("_ry"), y - y_mean
+    per_value = ranked.groupBy("feature", "x").agg(
+        F.sum("n").alias("n"),
+        F.sum(n * ry).alias("_sr"),
+        F.sum(n * ry * ry).alias("_srr"),
+        F.sum(n * dy).alias("_sy"),
+        F.sum(n * dy * dy).alias("_syy"),
     )
-    center = F.col("_n") * (F.col("_n") + 1) * (F.col("_n") + 1) / 4
-    rho = F.try_divide(
-        F.col("_xy") - center, F.sqrt((F.col("_xx") - center) * (F.col("_yy") - center))
+    below = F.sum("n").over(Window.partitionBy("feature", "_xb").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    x_start = each(lambda f: F.get(_constants(_starts(x_rows[f], x_cuts[f])), F.col("_xb")))
+    both = per_value.withColumn("_xb", x_block).withColumn("_below", F.coalesce(below, F.lit(0)))
+    rx, dx = x_start + F.col("_below") + (n + 1) / 2 - middle, x - each(lambda f: F.lit(x_mean[f]))
+    sums = both.withColumns({"_rx": rx, "_dx": dx}).groupBy("feature").agg(
+        F.try_divide(F.sum(F.col("_dx") * F.col("_sy")), F.sqrt(F.sum(n * F.col("_dx") * F.col("_dx")) * F.sum("_syy"))).alias("pearson_r"),
+        F.try_divide(F.sum(F.col("_rx") * F.col("_sr")), F.sqrt(F.sum(n * F.col("_rx") * F.col("_rx")) * F.sum("_srr"))).alias("spearman_r"),
     )
-    return sums.select("feature", F.col("_n").cast("long").alias("n"), rho.alias("spearman_r"))
+    return [r.asDict() | {"n": size} for r in sums.collect()]  # one row per feature
 
 
 def correlations(
     df: DataFrame, features: Sequence[str], value: str = TARGET, alpha: float = 0.01
 ) -> DataFrame:
-    """Pearson and Spearman coefficient and p-value per feature, strongest first."""
-    complete = df.select(value, *features).na.drop()
-    r = pearson(complete, features, value)
+    """Pearson and Spearman coefficient and p-value per feature, strongest first. The facts are read
+    once, while this is called; what is returned is a table of one row per feature."""
     rows = []
-    for s in spearman(complete, features, value).collect():  # one row per feature
-        p = _correlation_p(r[s["feature"]], s["n"])
+    for s in correlation_sums(df, features, value):
+        p = _correlation_p(s["pearson_r"], s["n"])
         rows.append(
-            (s["feature"], s["n"], r[s["feature"]], p, s["spearman_r"], _correlation_p(s["spearman_r"], s["n"]), p < alpha)
+            (s["feature"], s["n"], s["pearson_r"], p, s["spearman_r"], _correlation_p(s["spearman_r"], s["n"]), p < alpha)
         )
     schema = (
         "feature string, n bigint, pearson_r double, pearson_p double, "

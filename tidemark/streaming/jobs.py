@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.config import DEFAULTS, Settings
 from tidemark.operators import drift, modeling
+from tidemark.session import scratch_path
 from tidemark.sources.prediction_log import append_predictions
 
 
@@ -27,6 +29,32 @@ def hourly_volume(events: DataFrame, time: str = "ts", lateness: str = "2 hours"
     )
 
 
+def replay(rows: DataFrame, arrival: str, arrivals: Sequence[int], folder: str, drain: Callable[[], None]) -> None:
+    """Hand a table to a stream over ``folder`` in the order in which its rows arrived.
+
+    ``arrival`` names the step of a row and ``arrivals`` the steps in order. The table is read once and
+    written apart by step; then each step is appended to the folder and ``drain`` runs the stream until it has
+    taken all of it. A drained stream has also moved its watermark, so rows of a later step that lie before
+    it are late, however many files a step has.
+    """
+    spark = rows.sparkSession
+    steps = scratch_path(spark, "replay")
+    rows.write.partitionBy(arrival).parquet(steps)
+    # Without their column: partition values would be part of the stream's schema.
+    kept = rows.drop(arrival).schema
+    empty = spark.createDataFrame([], kept)
+    for step in arrivals:
+        path = f"{steps}/{arrival}={step}"
+        try:
+            found = spark.read.schema(kept).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = empty
+        found.write.mode("append").parquet(folder)
+        drain()
+
+
 def monitor_batch(
     model: PipelineModel,
     log_path: str,

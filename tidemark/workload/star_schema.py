@@ -283,6 +283,41 @@ def _(spark, folder):
     return spark.read.parquet(out)
 
 
+# Events arrive in three steps by time; those of one type are a step late.
+LATE_TYPE, STEPS = "error", 3
+
+
+@query(
+    "streamed_hourly_volume_with_late_rows", "R1", "date_time:t traffic_volume:i",
+    f"""WITH bounds AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events),
+    e AS (SELECT ts, least(CAST(floor(epoch_us(ts - lo) * {STEPS} / epoch_us(hi - lo)::DOUBLE) AS INTEGER), {STEPS - 1})
+              + CASE WHEN event_type = '{LATE_TYPE}' THEN 1 ELSE 0 END AS step FROM events, bounds),
+    marks AS (SELECT step, max(max(ts)) OVER (ORDER BY step) - INTERVAL 2 HOUR AS mark FROM e GROUP BY step),
+    kept AS (SELECT ts FROM e LEFT JOIN marks ON marks.step = e.step - 1
+             WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark)
+    SELECT date_trunc('hour', ts) AS date_time, count(*) AS traffic_volume FROM kept GROUP BY 1
+    HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(mark) FROM marks)""",
+)
+def _(spark, folder):
+    """The event table replayed in steps, with stragglers: rows behind the watermark of the step before are left out."""
+    rows = obs.table(spark, folder, "events").select("ts", "event_type")
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp"))
+    width = F.unix_micros(F.lit(high).cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp"))
+    slice_ = F.least(F.floor(since * STEPS / width.cast("double")), F.lit(STEPS - 1))
+    step = (slice_ + F.when(F.col("event_type") == LATE_TYPE, 1).otherwise(0)).cast("int")
+    source, out, state = (scratch_path(spark, n) for n in ("replayed", "hourly", "hourly-state"))
+    arrived = rows.select("ts", step.alias("step"))
+
+    def drain():
+        stream = jobs.hourly_volume(spark.readStream.schema(arrived.drop("step").schema).parquet(source))
+        writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start(out).awaitTermination()
+
+    jobs.replay(arrived, "step", range(STEPS + 1), source, drain)
+    return spark.read.parquet(out)
+
+
 @query(
     "streamed_monitoring", "R2 S11 D5 D6", "batch_id:i samples:i mae:d rmse:d alert_triggered:b",
     EV_SPLIT + LINE_SQL.format(train="train") + """, s AS (SELECT traffic_volume - (a + b * hour) AS e FROM ev, line)
