@@ -1,8 +1,10 @@
 """Plain Python versions of the operators, for comparison on small tables."""
 
 import hashlib
+import itertools
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -18,25 +20,50 @@ def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
 
 
-def quality(text, rules):
-    text = text or ""
-    words = re.findall(WORD, text)
-    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    often = Counter(windows)
-    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
+def line_verdicts(text, rules):
+    """Per line with a word: the line and whether it fails."""
     lines = [x for x in text.split("\n") if re.search(WORD, x)]
 
     def fails(line):
-        w, bars = len(re.findall(WORD, line)), len(re.findall(r"[|»•·]", line))
+        w, bars, chars = len(re.findall(WORD, line)), len(re.findall(r"[|»•·]", line)), len(re.sub(BLANK, "", line))
+        lowered = "".join(c.lower() if c.isascii() else c for c in line)
+        said = sum(len(re.sub(BLANK, "", m)) for m in re.findall("|".join(rules.phrases), lowered))
         return (
-            any(p in line.lower() for p in rules.phrases)
-            or len(re.findall(SYMBOL, line)) * 100 >= rules.symbol_percent * len(re.sub(BLANK, "", line))
+            said * 100 >= rules.phrase_percent * chars
+            or sum(unicodedata.category(c)[0] == "L" for c in line) * 100 < rules.letter_percent * chars
+            or len(re.findall(SYMBOL, line)) * 100 >= rules.symbol_percent * chars
             or len(re.findall("!!+", line)) * 100 >= rules.shout_percent * w
             or (bars >= rules.bar_count and bars * 100 >= rules.bar_percent * w)
         )
 
+    def short(line):
+        end = line.strip(" \t\n\v\f\r").rstrip("\"'”’»)]")
+        return len(re.findall(WORD, line)) <= rules.menu_words and not end.endswith(tuple(".!?:;,…。！？"))
+
+    verdicts = []
+    for is_short, run in itertools.groupby(lines, short):
+        run = list(run)
+        menu = is_short and len(run) >= rules.menu_lines
+        verdicts += [(x, menu or fails(x)) for x in run]
+    return verdicts
+
+
+def cleaned(text, rules):
+    verdicts = line_verdicts(text or "", rules)
+    return "\n".join(x for x, bad in verdicts if not bad) if any(bad for _, bad in verdicts) else text
+
+
+def quality(text, rules):
+    text = text or ""
+    words = re.findall(WORD, text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
+    verdicts = line_verdicts(text, rules)
+    lines = [x for x, _ in verdicts]
+
     chars = len("".join(words))
-    left = sum(len(re.sub(BLANK, "", x)) for x in lines if not fails(x))
+    left = sum(len(re.sub(BLANK, "", x)) for x, bad in verdicts if not bad)
     failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
     return {
         "n_words": len(words),

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import Row
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -180,7 +181,11 @@ def test_native_plans_hold_no_python(spark):
 
 
 def test_pipeline(spark, docs, bpe):
-    good = [d for d in docs if brute.quality(d.text, quality_rules.LineRules())["kept"]]
+    rules = quality_rules.LineRules()
+    good = [
+        Row(doc_id=d.doc_id, source=d.source, text=brute.cleaned(d.text, rules))
+        for d in docs if brute.quality(d.text, rules)["kept"]
+    ]
     keep = {k for k, _ in brute.exact_groups([(d.doc_id, d.text) for d in good]).values()}
     once = [d for d in good if d.doc_id in keep]
     near = brute.components([(d.doc_id, d.text) for d in once])

@@ -27,6 +27,42 @@ def test_cleaned_text_keeps_good_lines(spark):
     assert row.quality.kept
 
 
+PROSE = "The river rose slowly through the night and by morning the lower fields were under water again. "
+
+
+def test_lines_by_share_and_by_run(spark):
+    menu = "\n".join(["Home", "About us", "News", "Contact", "Shop", "Login now"])
+    texts = [
+        PROSE + "They mention a privacy policy once, and the story goes on from there with many more words.",
+        PROSE + "\nShare this\nSubscribe to our letter\n" + PROSE.upper(),
+        menu + "\n" + PROSE + "\n" + PROSE.lower(),
+        PROSE + "\nOne.\nTwo words!\nThree more words,\nFour:\nFive (six).\nSeven?",
+        PROSE + "\n2024 1 22 333 4444 x\n" + PROSE[::-1],
+        menu + "\n" + menu,
+        PROSE + "\nHome\nAbout\nNews\nShop\r\n" + PROSE.lower(),
+    ]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id int, text string, n_chars int")
+    rules = q.LineRules()
+    judged = {r.doc_id: r.quality for r in q.quality(df).collect()}
+    for i, t in enumerate(texts):
+        wanted = brute.quality(t, rules)
+        assert {n: judged[i][n] for n in wanted} == wanted
+        assert judged[i].cleaned == "\n".join(x for x, bad in brute.line_verdicts(t, rules) if not bad)
+    assert judged[0].kept and judged[0].cleaned == texts[0]
+    assert "Share" not in judged[1].cleaned and "Subscribe" not in judged[1].cleaned
+    assert judged[2].cleaned.startswith("The river") and judged[3].cleaned == texts[3]
+    assert "2024" not in judged[4].cleaned and not judged[5].kept and "About" in judged[6].cleaned
+
+
+def test_stage_passes_cleaned_texts_on(spark):
+    text = PROSE + "\nAll rights reserved\n" + PROSE.upper()
+    rows = [(1, text, len(text)), (2, PROSE + "\n\n " + PROSE.upper(), 7), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_chars int")
+    found = {r.doc_id: (r.text, r.n_chars) for r in q.stage(spark, df, "").collect()}
+    clean = PROSE + "\n" + PROSE.upper()
+    assert found == {1: (clean, len(clean)), 2: (rows[1][1], 7)}
+
+
 def test_stage_keeps_columns_and_rows(spark, edge):
     df, rows, empty = edge
     kept = q.stage(spark, df, "")
