@@ -64,6 +64,9 @@ class LineRules:
         return rf"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){more}[\x20\x09-\x0D]*\z"
 
 
+# A line of less than half letters starts with another character or has two others side by side. Letters
+# beyond ASCII count as others here, so that the test is quick and only lets more lines through.
+MAYBE_FEW_LETTERS = r"(?:^|[^A-Za-z\x20\x09-\x0D])[\x20\x09-\x0D]*[^A-Za-z\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A mark that ends a sentence or a part of one, with quotes or brackets behind it.
 ENDED = r"""[.!?:;,…。！？]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
@@ -92,7 +95,7 @@ def _line_fails(line: Column, rules: LineRules, phrases: Column) -> Column:
     without = _length_without(F.translate(line, UPPER, LOWER), "|".join([*rules.phrases, BLANK + "+"]))
     return (
         (phrases & ((n_chars - without) * 100 >= n_chars * rules.phrase_percent))
-        | ((others > 0) & ((n_chars - others) * 100 < n_chars * rules.letter_percent))
+        | (line.rlike(MAYBE_FEW_LETTERS) & ((n_chars - others) * 100 < n_chars * rules.letter_percent))
         | (
             odd
             & (
@@ -104,12 +107,14 @@ def _line_fails(line: Column, rules: LineRules, phrases: Column) -> Column:
     )
 
 
-def _menu_lines(lines: Column, rules: LineRules) -> Column:
-    """Per line, whether it is part of a run of short lines without an end punctuation; empty if there is
-    no such run."""
-    kinds = F.array_join(
-        F.transform(lines, lambda x: F.when(x.rlike(rules.short_line()) & ~x.rlike(ENDED), "s").otherwise("p")), ""
-    )
+def _line_kinds(lines: Column, rules: LineRules) -> Column:
+    """A character per line: s for short ones without an end punctuation, p for others."""
+    kind = lambda x: F.when(x.rlike(rules.short_line()) & ~x.rlike(ENDED), "s").otherwise("p")
+    return F.array_join(F.transform(lines, kind), "")
+
+
+def _menu_lines(kinds: Column, rules: LineRules) -> Column:
+    """Per line, whether it is part of a run of short lines; empty if there is no such run."""
     runs = F.transform(
         F.regexp_extract_all(kinds, F.lit("s+|p"), F.lit(0)),
         lambda r: F.array_repeat(F.startswith(r, F.lit("s")) & (F.length(r) >= rules.menu_lines), F.length(r)),
@@ -144,8 +149,8 @@ def quality(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -
     """The rows of ``df`` with a struct column ``quality`` behind them (or ``quality_`` and so on if
     there is one): base figures, the share lost, the cleaned text and the verdict ``kept``."""
     own = df.columns
-    t, words, lines, phrases, menu, windows, positions, good, result = fresh(
-        df, "t", "words", "lines", "phrases", "menu", "windows", "positions", "good_lines", "quality"
+    t, words, lines, phrases, kinds, menu, windows, positions, good, result = fresh(
+        df, "t", "words", "lines", "phrases", "kinds", "menu", "windows", "positions", "good_lines", "quality"
     )
     df = df.withColumn(t, text_of(text)).withColumn(phrases, _has_phrase(F.col(t), rules))
     df = df.withColumn(words, words_of(F.col(t))).withColumn(
@@ -166,7 +171,7 @@ def quality(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -
         F.lit(0).cast("bigint"),
         lambda total, x: total + x,
     )
-    df = df.withColumn(menu, _menu_lines(F.col(lines), rules))
+    df = df.withColumn(kinds, _line_kinds(F.col(lines), rules)).withColumn(menu, _menu_lines(F.col(kinds), rules))
     listed = F.col(menu)
     df = df.withColumn(
         good,
