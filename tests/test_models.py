@@ -92,6 +92,15 @@ def test_model_tables(cycle, split):
     assert len(sets) == 2 and all(r.r2 > 0.5 for r in sets)
 
 
+@pytest.mark.parametrize("learner", [modeling.decision_tree, lambda: modeling.random_forest(1, modeling.UNBOUNDED).setBootstrap(False)])
+def test_an_unbounded_tree_has_a_leaf_for_every_value(spark, learner):
+    """Also for values too rare for a sample of the rows, and for more values than the usual bins."""
+    step = F.when(F.col("id") < 200, F.col("id") * 10).otherwise(F.lit(2000) + F.col("id") % 3 * 10)
+    rows = spark.range(40_000).select(step.cast("double").alias("step"), (step + 3).alias("traffic_volume"))
+    found = modeling.predict(modeling.fit(rows, learner(), ["step"]), rows)
+    assert found.filter(F.abs(F.col("prediction") - F.col("traffic_volume")) > 1e-6).count() == 0
+
+
 def test_batch_scoring_after_reload(spark, split, tmp_path):
     train, test = split
     model = modeling.fit(train, modeling.random_forest(5), CALENDAR_FEATURES)

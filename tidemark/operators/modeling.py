@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -26,6 +27,8 @@ RANDOM_METHOD, CHRONOLOGICAL_METHOD = "Random Split (85/15)", "Chronological Spl
 NAIVE_HOUR = "Naive Prev-Hour Baseline (Lag 1h)"
 NAIVE_DAY = "Naive Prev-Day Baseline (Lag 24h)"
 LAG_FOREST = "Random Forest Forecasting (Temporal + Lags)"
+UNBOUNDED = 30  # Spark's deepest trees
+MOST_BINS = 46_340  # Spark squares the number of bins as an int
 
 
 def time_keys(df: DataFrame) -> list[str]:
@@ -107,7 +110,7 @@ def linear_regression() -> LinearRegression:
     return LinearRegression(solver="normal")
 
 
-def decision_tree(depth: int = 30, seed: int = 42) -> DecisionTreeRegressor:
+def decision_tree(depth: int = UNBOUNDED, seed: int = 42) -> DecisionTreeRegressor:
     """As deep as Spark allows, standing for an unbounded tree."""
     return DecisionTreeRegressor(maxDepth=depth, maxBins=64, seed=seed)
 
@@ -123,7 +126,22 @@ def fit(train: DataFrame, regressor, features: Sequence[str], label: str = TARGE
     require_columns(train, [*features, label], "training rows")
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     learner = regressor.setFeaturesCol("features").setLabelCol(label).setPredictionCol("prediction")
-    return Pipeline(stages=[assembler, learner]).fit(train.select(*features, label).na.drop())
+    rows = train.select(*features, label).na.drop()
+    if learner.hasParam("maxBins") and learner.getMaxDepth() >= UNBOUNDED:
+        learner = learner.copy({learner.maxBins: max(learner.getMaxBins(), bins_for_every_value(rows, features))})
+    return Pipeline(stages=[assembler, learner]).fit(rows)
+
+
+def bins_for_every_value(rows: DataFrame, features: Sequence[str]) -> int:
+    """Bins with which an unbounded tree may split between any two values of a feature.
+
+    Spark looks for split points in a sample of about the squared number of bins, so there must be enough bins
+    not only for the values but for every row to be read; values without a row take no bin.
+    """
+    per_feature = [rows.groupBy(F.col(f).cast("double").alias("value")).agg(F.count("*").alias("n")) for f in features]
+    sizes = [v.agg(F.count("*").alias("values"), F.sum("n").alias("n")).first() for v in per_feature]
+    wanted = [max(s["values"], math.ceil(math.sqrt(s.n or 0))) + 1 for s in sizes]
+    return min(max(wanted), MOST_BINS)
 
 
 def predict(model: PipelineModel, rows: DataFrame, name: str = "prediction") -> DataFrame:

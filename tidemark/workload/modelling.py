@@ -165,7 +165,7 @@ def _(spark, folder):
     return modeling.feature_importances(spark, model)
 
 
-def _one_tree(depth: int = 30):
+def _one_tree(depth: int = modeling.UNBOUNDED):
     """A forest of one tree on all rows: its splits are determined."""
     return modeling.random_forest(trees=1, depth=depth).setBootstrap(False)
 
