@@ -158,3 +158,28 @@ def test_memory_follows_tokens_beside_a_long_document():
     tracemalloc.stop()
     assert found[-1] < found[0] < 0
     assert most < 60 << 20  # a grid of 60,001 steps and 1,024 lanes takes over 500 MB
+
+
+def test_a_long_document_is_learnt_in_pieces_of_all_lanes():
+    rng = np.random.default_rng(6)
+    docs = [np.array([*rng.integers(0, 3, 20 if k else 9000), 3], np.int32) for k in range(400)]
+    cut = r.pieces(docs, 64, 3)
+    assert max(map(len, cut)) <= 1 + r.BEHIND + max(r.LEAST_PIECE, -(-sum(map(len, docs)) // 64))
+    assert np.concatenate([c[c >= 0] for c in cut]).tolist() == np.concatenate(docs).tolist()
+    assert (~cut[1][: r.BEHIND]).tolist() == cut[0][cut[0] >= 0][-r.BEHIND :].tolist() and cut[0][-1] == ~3
+    net = network()
+    adam = r.Adam(net.p)
+    net.learn(docs, adam, 64, 24, 0.01)
+    assert adam.steps < 20  # the lane of the long one alone has 376 windows
+
+
+def test_words_of_a_batch():
+    import pyarrow as pa
+
+    texts = ["", "  A b\x0b\x0cC\x1c \u00c9A\u2003x ", " ", "z", "\r\n\tq"]
+    words, owners = r.batch_tokens(pa.array(texts))
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in r.tokens(t)]
+    assert owners.tolist() == [k for k, t in enumerate(texts) for _ in r.tokens(t)]
+    found = pa.array([None if k % 2 else k for k in range(len(words))], pa.int32())
+    ids, bounds = r.batch_ids(found, owners, len(texts), 77, -1)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[77], [0, -1, 2, -1, 77], [77], [4, 77], [-1, 77]]

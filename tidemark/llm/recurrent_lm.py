@@ -6,7 +6,8 @@ they grow with the corpus. The recurrent network (one gated layer, class-factore
 the class of a word, then the word within it) is trained in numpy by truncated backpropagation through time. A bounded sample
 (``SAMPLE_TOKENS``) gives a common start; from there every training row is passed once on Spark, in
 ``ROUNDS`` parts: each task trains a copy on its rows of the part, and the copies, weighted by their
-tokens, are averaged before the next part. Words outside the network's vocabulary share one class;
+tokens, are averaged before the next part. In training, documents longer than a lane are cut into pieces that
+learn side by side; the tokens before a piece are run again, to bring its state back. Words outside the network's vocabulary share one class;
 inside it they have their smoothed share of the corpus counts.
 
 Scoring runs whole documents side by side in lanes; the state is carried from window to window, so a
@@ -23,12 +24,13 @@ of the input are not read.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ ROUNDS = 4
 ROUND_RATE = 0.004  # of the first round; halved from round to round
 ROUND_LANES = 256
 HELD_TOKENS = 400_000  # that a task trains on at once
+LEAST_PIECE = 240  # tokens of a document that training keeps together at least
+BEHIND = 24  # tokens before a piece that bring its state back
 BLOCKS = 2048  # in which parameters are averaged
 LANES = 1024
 WINDOW = 64
@@ -60,29 +64,44 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def batch_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The same for a batch without nulls: all words one behind another, and the place of each word's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, owners = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full), owners.filter(full).to_numpy()
+
+
+def batch_ids(found: pa.Array, owners: np.ndarray, rows: int, end: int, missing: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of a batch with an end behind every text, and where each text's ids begin (and the last end)."""
+    bounds = np.append(0, np.cumsum(np.bincount(owners, minlength=rows) + 1))
+    ids = np.full(bounds[-1], end, np.int32)
+    ids[np.arange(len(owners)) + owners] = found.fill_null(missing).to_numpy()
+    return ids, bounds
+
+
 # --- counts ------------------------------------------------------------------------------------------
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token counts of a task, given out whenever many distinct words are held."""
-    held: Counter = Counter()
+    held: list[pa.Table] = []
 
-    def flush() -> pa.RecordBatch:
-        words, numbers = list(held.keys()), list(held.values())
-        held.clear()
-        # Fixed width for Arrow: words go out as strings.
-        return pa.record_batch(
-            [pa.array([w.decode() for w in words], pa.string()), pa.array(numbers, pa.int64())], names=["word", "n"]
-        )
+    def together() -> pa.Table:
+        whole = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return whole.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-    end = END.encode()
     for batch in batches:
-        for text in batch.column(0):
-            held.update(tokens(text.as_py()))
-            held[end] += 1
-            if len(held) > DISTINCT_HELD:
-                yield flush()
-    yield flush()
+        texts = batch.column(0)
+        counted = batch_tokens(texts)[0].value_counts()
+        held.append(pa.table({"word": counted.field("values"), "n": counted.field("counts")}))
+        held.append(pa.table({"word": [END], "n": [len(texts)]}))
+        if sum(map(len, held)) > DISTINCT_HELD:
+            held = [together()]
+            if len(held[0]) > DISTINCT_HELD * 3 // 4:
+                yield from held.pop().to_batches()
+    if held:
+        yield from together().to_batches()
 
 
 def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -131,8 +150,9 @@ def unigrams(counts: DataFrame, frequent: int = FREQUENT) -> Unigrams:
 # --- the network ---------------------------------------------------------------------------------------
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _by_gate(values: np.ndarray) -> np.ndarray:
+    """Rows of update, reset and candidate as three tables."""
+    return values.reshape(len(values), 3, HIDDEN).swapaxes(0, 1)
 
 
 class Adam:
@@ -190,53 +210,81 @@ class GatedNetwork:
         """What each id adds to the gates."""
         return self.p["embedding"] @ self.p["input"] + self.p["gate_bias"]
 
+    def gates(self) -> np.ndarray:
+        """The same by gate, id and unit."""
+        return np.ascontiguousarray(_by_gate(self.table()))
+
     def step(self, h: np.ndarray, x: np.ndarray):
         """The next state, and what the way back needs."""
-        a = h @ self.p["state"]
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        c = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        return h + z * (c - h), (z, r, c, a[:, 2 * HIDDEN :])
+        return self._step(h, _by_gate(x), _by_gate(self.p["state"]))
+
+    @staticmethod
+    def _step(h: np.ndarray, x: np.ndarray, state: np.ndarray):
+        a = h @ state
+        zr = x[:2] + a[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c = zr[1] * a[2]
+        c += x[2]
+        np.tanh(c, out=c)
+        after = c - h
+        after *= zr[0]
+        after += h
+        return after, (zr[0], zr[1], c, a[2])
 
     def log_probability(self, h: np.ndarray, ids: np.ndarray, gradient: dict | None = None) -> np.ndarray:
         """Natural log probability of each id from the state before it (rows). With ``gradient``, what the
         loss asks of the parameters is added there and of the states under "h"."""
         p = self.p
-        classes = self.class_of[ids]
-        logits = h @ p["class"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows = np.arange(len(ids))
-        result = logits[rows, classes] - np.log(total)
-        if gradient is not None:
-            d = e / total[:, None]
-            d[rows, classes] -= 1
-            gradient["class"] += h.T @ d
-            gradient["class_bias"] += d.sum(axis=0)
-            gradient["h"] = d @ p["class"].T
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(len(self.starts)))
+        # By class, and one column for each row: sums over words run along rows. A one behind each state brings the bias.
+        order = np.argsort(self.class_of[ids].astype(np.uint16), kind="stable")
+        ids, by_class = ids[order], np.ones((len(ids), HIDDEN + 1), h.dtype)
+        by_class[:, :HIDDEN] = h[order]
+        class_weights, word_weights = np.vstack([p["class"], p["class_bias"]]), np.vstack([p["word"], p["word_bias"]])
+        classes, rows, learning = self.class_of[ids], np.arange(len(ids)), gradient is not None
+        e, found = self._softmax(class_weights.T @ by_class.T, classes, rows, learning)
+        if learning:
+            e[classes, rows] -= 1
+            of_classes, of_words = by_class.T @ e.T, np.zeros_like(word_weights)
+            asked = e.T @ p["class"].T
+        bounds = np.searchsorted(classes, np.arange(len(self.starts)))
         for k in range(len(self.starts) - 1):
             a, b = self.starts[k], self.starts[k + 1]
-            own = order[bounds[k] : bounds[k + 1]]
-            if b - a < 2 or not len(own):
+            own = slice(bounds[k], bounds[k + 1])
+            if b - a < 2 or own.start == own.stop:
                 continue
-            part = h[own]
-            logits = part @ p["word"][:, a:b] + p["word_bias"][a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            at = np.arange(len(own))
-            result[own] += logits[at, ids[own] - a] - np.log(total)
-            if gradient is not None:
-                d = e / total[:, None]
-                d[at, ids[own] - a] -= 1
-                gradient["word"][:, a:b] += part.T @ d
-                gradient["word_bias"][a:b] += d.sum(axis=0)
-                gradient["h"][own] += d @ p["word"][:, a:b].T
+            part, within, at = by_class[own], ids[own] - a, rows[: own.stop - own.start]
+            e, inner = self._softmax(word_weights[:, a:b].T @ part.T, within, at, learning)
+            found[own] += inner
+            if learning:
+                e[within, at] -= 1
+                np.matmul(part.T, e.T, out=of_words[:, a:b])
+                asked[own] += e.T @ p["word"][:, a:b].T
+        if learning:
+            for name, values in (("class", of_classes), ("word", of_words)):
+                gradient[name] += values[:HIDDEN]
+                gradient[name + "_bias"] += values[HIDDEN]
+        result = np.empty_like(found)
+        result[order] = found
+        if learning:
+            gradient["h"] = np.empty_like(asked)
+            gradient["h"][order] = asked
         return result
 
+    @staticmethod
+    def _softmax(logits: np.ndarray, chosen: np.ndarray, columns: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of the chosen probability of each column and, if asked for, all probabilities in place."""
+        logits -= logits.max(axis=0)
+        found = logits[chosen, columns]
+        np.exp(logits, out=logits)
+        total = logits.sum(axis=0)
+        found -= np.log(total)
+        if whole:
+            logits *= 1 / total
+        return logits, found
+
     def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 32, window: int = 24, rate: float = 0.01):
         """Truncated backpropagation through time with Adam over documents packed into lanes. The rate is
         halved from pass to pass; every tenth document is kept back, and the parameters of the pass (or
@@ -254,11 +302,13 @@ class GatedNetwork:
         return self
 
     def learn(self, docs: list[np.ndarray], adam: Adam, lanes: int, window: int, rate: float) -> None:
-        """One pass over the documents."""
-        packed = Lanes(docs, lanes, self.end)
+        """One pass over the documents, long ones in pieces, so that no lane runs on alone."""
+        packed = Lanes(pieces(docs, lanes, self.end), lanes, self.end)
         h = np.zeros((packed.lanes, HIDDEN), np.float32)
         for t in range(0, packed.steps, window):
             ids, on, _ = packed.window(t, window)
+            silent = ids < 0
+            ids, on = np.where(silent, ~ids, ids), on & ~silent
             h, g = self._window(h[: ids.shape[1]], ids, on)
             adam.step(self.p, g, rate)
 
@@ -274,36 +324,53 @@ class GatedNetwork:
 
     def _window(self, h: np.ndarray, ids: np.ndarray, on: np.ndarray):
         """The state behind a window and the mean gradient of its tokens; nothing flows back before it."""
-        table, p = self.table(), self.p
-        states, kept, ends = [], [], []
-        for step in ids:
-            states.append(h)
-            h, parts = self.step(h, table[step])
-            kept.append(parts)
-            ends.append(step == self.end)
-            h = np.where(ends[-1][:, None], np.float32(0), h)
+        p, (steps, n) = self.p, ids.shape
+        places = ids.ravel()
+        x, to_state = self.gates().take(places, axis=1, mode="clip"), _by_gate(p["state"])
+        states, z, r, c, a = np.empty((5, steps, n, HIDDEN), h.dtype)
+        ends = ids == self.end
+        for t in range(steps):
+            states[t] = h
+            h, (z[t], r[t], c[t], a[t]) = self._step(h, x[:, t * n : (t + 1) * n], to_state)
+            h[ends[t]] = 0
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        flat = on.ravel()
-        all_states = np.concatenate(states)
+        flat, total = on.ravel(), max(int(on.sum()), 1)
+        if total == len(flat):
+            flat = slice(None)
+        all_states = states.reshape(-1, HIDDEN)
         asked = np.zeros_like(all_states)
-        self.log_probability(all_states[flat], ids.ravel()[flat], g)
+        self.log_probability(all_states[flat], places[flat], g)
         asked[flat] = g.pop("h")
-        asked = asked.reshape(len(ids), -1, HIDDEN)
+        asked = asked.reshape(states.shape)
+        # What a state is asked for, times these, is asked of the candidate and, by gate, of what the state gave.
+        candidate = z * (1 - c * c)
+        factors = np.empty((steps, 4, n, HIDDEN), h.dtype)
+        factors[:, 0] = (c - states) * z * (1 - z)
+        factors[:, 1] = candidate * a * r * (1 - r)
+        factors[:, 2] = candidate * r
+        stays = 1 - z
+        backs, from_state = np.empty_like(states), np.ascontiguousarray(to_state.swapaxes(1, 2))
         back = np.zeros_like(h)
-        for t in range(len(ids) - 1, -1, -1):
-            z, r, c, a = kept[t]
-            back = np.where(ends[t][:, None], np.float32(0), back)
-            dc = back * z * (1 - c * c)
-            dz = back * (c - states[t]) * z * (1 - z)
-            dr = dc * a * r * (1 - r)
-            dx = np.concatenate([dz, dr, dc], axis=1)
-            da = np.concatenate([dz, dr, dc * r], axis=1)
-            g["state"] += states[t].T @ da
-            g["gate_bias"] += dx.sum(axis=0)
-            g["input"] += p["embedding"][ids[t]].T @ dx
-            np.add.at(g["embedding"], ids[t], dx @ p["input"].T)
-            back = back * (1 - z) + da @ p["state"].T + asked[t]
-        scale = np.float32(1 / max(int(flat.sum()), 1))
+        for t in range(steps - 1, -1, -1):
+            back[ends[t]] = 0
+            backs[t] = back
+            own = factors[t, :3]
+            own *= back
+            back *= stays[t]
+            back += asked[t]
+            for part in own @ from_state:
+                back += part
+        # One product for what the inputs, the states and the bias give: update, reset, candidate, its state part.
+        np.multiply(backs, candidate, out=factors[:, 3])
+        dx = np.ascontiguousarray(factors[:, [0, 1, 3, 2]].swapaxes(1, 2)).reshape(-1, 4 * HIDDEN)
+        given = np.concatenate([all_states, p["embedding"][places], np.ones((len(places), 1), h.dtype)], axis=1)
+        product = given.T @ dx
+        g["state"] += product[:HIDDEN, [*range(2 * HIDDEN), *range(3 * HIDDEN, 4 * HIDDEN)]]
+        g["input"] += product[HIDDEN:-1, : 3 * HIDDEN]
+        g["gate_bias"] += product[-1, : 3 * HIDDEN]
+        for k, column in enumerate(p["input"] @ dx[:, : 3 * HIDDEN].T):
+            g["embedding"][:, k] = np.bincount(places, column, len(g["embedding"]))
+        scale = np.float32(1 / total)
         return h, {k: v * scale for k, v in g.items()}
 
     def score(self, docs: list[np.ndarray], lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
@@ -311,7 +378,7 @@ class GatedNetwork:
         if not docs:
             return np.zeros(0)
         packed = Lanes(docs, lanes, self.end)
-        table, sums = self.table(), np.zeros(len(docs))
+        gates, to_state, sums = self.gates(), _by_gate(self.p["state"]), np.zeros(len(docs))
         h = np.zeros((packed.lanes, HIDDEN), np.float32)
         for t in range(0, packed.steps, window):
             ids, on, owner = packed.window(t, window)
@@ -319,10 +386,11 @@ class GatedNetwork:
             h, states = h[:n], np.empty((len(ids), n, HIDDEN), np.float32)
             for k, step in enumerate(ids):
                 states[k] = h
-                h, _ = self.step(h, table[step])
+                h, _ = self._step(h, gates.take(step, axis=1, mode="clip"), to_state)
                 h[step == self.end] = 0
-            found = self.log_probability(states[on], ids[on])
-            sums += np.bincount(owner[on], found, len(docs))
+            on = on if not on.all() else slice(None)
+            found = self.log_probability(states[on].reshape(-1, HIDDEN), ids[on].ravel())
+            sums += np.bincount(owner[on].ravel(), found, len(docs))
         return sums / np.log(10)
 
 
@@ -355,6 +423,19 @@ class Lanes:
         return np.where(live, self.ids[places], np.int32(self.fill)), live, np.where(live, self.owner[places], 0)
 
 
+def pieces(docs: list[np.ndarray], lanes: int, end: int) -> list[np.ndarray]:
+    """Documents cut to about the length of a lane, every token in one piece. A piece starts with the tokens before
+    it, which bring the state back, and one that goes on elsewhere has an end behind it; these additions, which are
+    run and not learnt, are given as their complements."""
+    length = max(LEAST_PIECE, -(-sum(map(len, docs)) // lanes))
+    found = []
+    for doc in docs:
+        for at in range(0, len(doc), length):
+            stop = at + length
+            found.append(np.concatenate([~doc[max(at - BEHIND, 0) : at], doc[at:stop], np.full(int(stop < len(doc)), ~end, doc.dtype)]))
+    return found
+
+
 def pack(docs: list[np.ndarray], lanes: int, fill: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All steps of the lanes at once, for few and short documents."""
     packed = Lanes(docs, lanes, fill)
@@ -386,7 +467,10 @@ def sample_documents(train: DataFrame, text: str, total_tokens: int, wanted: int
 
 
 def _ids(words: list[bytes], place: dict[bytes, int], network: GatedNetwork) -> np.ndarray:
-    return np.array([*(place.get(w, network.n) for w in words), network.end], np.int32)
+    ids = np.empty(len(words) + 1, np.int32)
+    ids[:-1] = list(map(place.get, words, repeat(network.n)))
+    ids[-1] = network.end
+    return ids
 
 
 def _round(shared, rate: float):
@@ -394,13 +478,15 @@ def _round(shared, rate: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, words = shared.value
-        place = {w: k for k, w in enumerate(words)}
+        known = pa.array([w.decode() for w in words], pa.string())
         adam, docs, held, total = Adam(network.p), [], 0, 0
         network.p = {k: v.copy() for k, v in network.p.items()}
         for batch in batches:
-            for text in batch.column(0):
-                docs.append(_ids(tokens(text.as_py()), place, network))
-                held += len(docs[-1])
+            found, owners = batch_tokens(batch.column(0))
+            ids, bounds = batch_ids(pc.index_in(found, known), owners, len(batch), network.end, network.n)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                docs.append(ids[a:b])
+                held += b - a
                 if held > HELD_TOKENS:
                     network.learn(docs, adam, ROUND_LANES, 24, rate)
                     total, held, docs = total + held, 0, []
@@ -481,65 +567,57 @@ def _scorer(shared):
 
         model: Model = shared.value
         known, network = model.known, model.network
-        place = {w: k for k, w in enumerate(known.words)}
-        logs = np.append(known.log10(known.counts), 0.0)
+        words = pa.array([w.decode() for w in known.words], pa.string())
+        logs = np.append(known.log10(known.counts), 0.0)  # the last for -1, words that are not frequent
         inside = network.n if network else 0
-        end = END.encode()
-        row = TaskContext.get().partitionId() << 40
+        end = known.words.index(END.encode()) if END.encode() in known.words else -1
+        first = TaskContext.get().partitionId() << 40
         docs, rows, held = [], [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def given(**columns) -> pa.RecordBatch:
+            n = len(columns["row"])
+            arrays = [columns.get(f.name, pa.nulls(n, f.type)) for f in schema]
+            arrays = [v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in arrays]
+            arrays = [v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(arrays, schema)]
+            return pa.record_batch(arrays, schema=schema)
+
+        def flush() -> pa.RecordBatch:
             nonlocal held
-            scores = network.score(docs) if network else np.zeros(len(docs))
-            columns = [list(c) for c in zip(*rows)] or [[] for _ in range(6)]
-            columns[5] = (np.array(columns[5]) + scores).tolist()
-            nothing = pa.nulls(len(rows), pa.string())
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, (schema[0], schema[1], *list(schema)[3:]))]
-            yield pa.record_batch([*arrays[:2], nothing, *arrays[2:]], schema=schema)
+            row, id_, n, n_known, base, score = zip(*rows)
+            row, n, n_known, base, score = (np.concatenate(c) for c in (row, n, n_known, base, score))
+            if network:
+                score = score + network.score(docs)
+            batch = given(row=row, id=pa.concat_arrays(id_), n=n, n_known=n_known, base=base, score=score)
             docs.clear(), rows.clear()
             held = 0
-
-        rare_rows, rare_words, rare_n = [], [], []
-
-        def flush_rare() -> pa.RecordBatch:
-            n = len(rare_rows)
-            batch = pa.record_batch(
-                [
-                    pa.array(rare_rows, pa.int64()), pa.nulls(n, pa.int64()), pa.array(rare_words, pa.string()),
-                    pa.array(rare_n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()),
-                ],
-                schema=schema,
-            )
-            rare_rows.clear(), rare_words.clear(), rare_n.clear()
             return batch
 
         for batch in batches:
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = tokens(text.as_py())
-                words.append(end)
-                ids = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-                frequent = ids >= 0
-                base = float(logs[ids].sum())
-                outside = ids >= inside
-                score = float(logs[ids[outside]].sum()) + model.others_shift * int((outside | ~frequent).sum())
-                if network:
-                    docs.append(np.where(frequent & ~outside, ids, network.n).astype(np.int32))
-                else:
-                    score = base
-                    docs.append(ids)
-                rows.append((row, id_, len(words), int(frequent.sum()), base, score))
-                for word, n in Counter([words[k] for k in np.flatnonzero(~frequent)]).items():
-                    rare_rows.append(row)
-                    rare_words.append(word.decode())
-                    rare_n.append(n)
-                row += 1
-                held += len(words)
-                if len(rare_rows) > 200_000:
-                    yield flush_rare()
-                if held > BUFFERED_TOKENS:
-                    yield from flush()
-        yield flush_rare()
-        yield from flush()
+            found, owners = batch_tokens(batch.column(1))
+            ids, bounds = batch_ids(pc.index_in(found, words), owners, len(batch), end, -1)
+            lengths = np.diff(bounds)
+            owner = np.repeat(np.arange(len(batch)), lengths)
+            sums = lambda values: np.bincount(owner, values, len(batch))
+            frequent, logged, row = ids >= 0, logs[ids], first + np.arange(len(batch))
+            base = sums(logged)
+            score = base
+            if network:
+                outside = ~frequent | (ids >= inside)
+                score = sums(np.where(outside, logged + model.others_shift, 0.0))
+                ids = np.where(outside, np.int32(network.n), ids)
+                docs.extend(ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+            rows.append((row, batch.column(0), lengths, sums(frequent).astype(np.int64), base, score))
+            first, held = first + len(batch), held + len(ids)
+            rare = ~frequent[np.arange(len(owners)) + owners]
+            rare = pa.table({"row": row[owners[rare]], "word": found.filter(pa.array(rare))})
+            rare = rare.group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")])
+            yield given(row=rare["row"], word=rare["word"], n=rare["count_all"])
+            if end < 0:
+                yield given(row=row, word=[END] * len(row), n=np.ones(len(row), np.int64))
+            if held > BUFFERED_TOKENS:
+                yield flush()
+        if rows:
+            yield flush()
 
     return run, "row bigint, id bigint, word string, n bigint, n_known bigint, base double, score double"
 
