@@ -54,6 +54,7 @@ BEHIND = 24  # tokens before a piece that bring its state back
 BLOCKS = 2048  # in which parameters are averaged
 LANES = 1024
 WINDOW = 64
+AT_ONCE = 16  # steps of a window whose logits stay in a processor's cache
 BUFFERED_TOKENS = 2_000_000
 DISTINCT_HELD = 400_000
 SEED = 29
@@ -164,14 +165,22 @@ class Adam:
 
     def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
         self.steps += 1
-        norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
+        cut = min(1.0, 1.0 / max(norm, 1e-12))
         size = rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for k, v in g.items():
-            v *= min(1.0, 1.0 / max(norm, 1e-12))
             m, s = self.moments[k]
-            m += 0.1 * (v - m)
-            s += 0.01 * (v * v - s)
-            p[k] -= (size * m / (np.sqrt(s) + 1e-6)).astype(np.float32)
+            v *= 0.1 * cut
+            m *= 0.9
+            m += v
+            v *= v  # a hundredth of the squared gradient
+            s *= 0.99
+            s += v
+            np.sqrt(s, out=v)
+            v += 1e-6
+            np.divide(m, v, out=v)
+            v *= size
+            p[k] -= v
 
 
 class GatedNetwork:
@@ -338,18 +347,20 @@ class GatedNetwork:
         if total == len(flat):
             flat = slice(None)
         all_states = states.reshape(-1, HIDDEN)
-        asked = np.zeros_like(all_states)
         self.log_probability(all_states[flat], places[flat], g)
-        asked[flat] = g.pop("h")
+        asked = g.pop("h")
+        if total < len(all_states):
+            asked, some = np.zeros_like(all_states), asked
+            asked[flat] = some
         asked = asked.reshape(states.shape)
         # What a state is asked for, times these, is asked of the candidate and, by gate, of what the state gave.
         candidate = z * (1 - c * c)
         factors = np.empty((steps, 4, n, HIDDEN), h.dtype)
-        factors[:, 0] = (c - states) * z * (1 - z)
-        factors[:, 1] = candidate * a * r * (1 - r)
-        factors[:, 2] = candidate * r
         stays = 1 - z
-        backs, from_state = np.empty_like(states), np.ascontiguousarray(to_state.swapaxes(1, 2))
+        np.multiply(candidate, r, out=factors[:, 0])
+        np.multiply((c - states) * z, stays, out=factors[:, 1])
+        np.multiply(factors[:, 0] * a, 1 - r, out=factors[:, 2])
+        backs, from_state = np.empty_like(states), np.ascontiguousarray(to_state[[2, 0, 1]].swapaxes(1, 2))
         back = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
             back[ends[t]] = 0
@@ -360,15 +371,16 @@ class GatedNetwork:
             back += asked[t]
             for part in own @ from_state:
                 back += part
-        # One product for what the inputs, the states and the bias give: update, reset, candidate, its state part.
+        # One product for what the inputs, the states and the bias give: the candidate's state part, update, reset,
+        # candidate.
         np.multiply(backs, candidate, out=factors[:, 3])
-        dx = np.ascontiguousarray(factors[:, [0, 1, 3, 2]].swapaxes(1, 2)).reshape(-1, 4 * HIDDEN)
+        dx = np.ascontiguousarray(factors.swapaxes(1, 2)).reshape(-1, 4 * HIDDEN)
         given = np.concatenate([all_states, p["embedding"][places], np.ones((len(places), 1), h.dtype)], axis=1)
         product = given.T @ dx
-        g["state"] += product[:HIDDEN, [*range(2 * HIDDEN), *range(3 * HIDDEN, 4 * HIDDEN)]]
-        g["input"] += product[HIDDEN:-1, : 3 * HIDDEN]
-        g["gate_bias"] += product[-1, : 3 * HIDDEN]
-        for k, column in enumerate(p["input"] @ dx[:, : 3 * HIDDEN].T):
+        g["state"] += np.roll(product[:HIDDEN, : 3 * HIDDEN], -HIDDEN, axis=1)
+        g["input"] += product[HIDDEN:-1, HIDDEN:]
+        g["gate_bias"] += product[-1, HIDDEN:]
+        for k, column in enumerate(p["input"] @ dx[:, HIDDEN:].T):
             g["embedding"][:, k] = np.bincount(places, column, len(g["embedding"]))
         scale = np.float32(1 / total)
         return h, {k: v * scale for k, v in g.items()}
@@ -388,9 +400,10 @@ class GatedNetwork:
                 states[k] = h
                 h, _ = self._step(h, gates.take(step, axis=1, mode="clip"), to_state)
                 h[step == self.end] = 0
-            on = on if not on.all() else slice(None)
-            found = self.log_probability(states[on].reshape(-1, HIDDEN), ids[on].ravel())
-            sums += np.bincount(owner[on].ravel(), found, len(docs))
+            for k in range(0, len(ids), AT_ONCE):
+                live = on[k : k + AT_ONCE]
+                found = self.log_probability(states[k : k + AT_ONCE][live], ids[k : k + AT_ONCE][live])
+                sums += np.bincount(owner[k : k + AT_ONCE][live], found, len(docs))
         return sums / np.log(10)
 
 
